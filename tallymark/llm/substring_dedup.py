@@ -270,6 +270,12 @@ def repeat_groups(key: np.ndarray, doc: np.ndarray, at: np.ndarray, left: np.nda
                 yield n, d, members[x:y]
 
 
+def _at_first(doc: np.ndarray, at: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which members stand at the earliest position."""
+    low = doc[m].min()
+    return (doc[m] == low) & (at[m] == at[m][doc[m] == low].min())
+
+
 def _search(min_len: int, with_first: bool):
     reach = min_len - GRAM
 
@@ -287,19 +293,22 @@ def _search(min_len: int, with_first: bool):
         span = np.arange(reach)
         left = np.where(span < n_left[:, None], data[np.maximum(anchor - 1 - span, 0)], 0)
         at = lo + n_left
-        out = {k: [] for k in ("grp", "doc_id", "lo", "hi", "first")}
-        for n, d, members in repeat_groups(key, doc, at, left, right, n_left, n_right, min_len):
-            m = members[np.lexsort((at[members], doc[members]))]
-            first = (doc[m] == doc[m[0]]) & (at[m] == at[m[0]])
-            if not with_first:
-                m, first = m[~first], first[~first]
-            out["grp"].append(np.full(len(m), hash((int(key[m[0]]) if len(m) else 0, n, d, data[begin[members[0]] + n_left[members[0]] - n : begin[members[0]] + n_left[members[0]] + d].tobytes())), np.int64) if with_first else np.zeros(len(m), np.int64))
-            out["doc_id"].append(doc[m])
-            out["lo"].append(at[m] - n)
-            out["hi"].append(at[m] + d)
-            out["first"].append(first)
-        kinds = {"first": bool}
-        return pa.table({k: np.concatenate(v) if v else np.zeros(0, kinds.get(k, np.int64)) for k, v in out.items()})
+        groups = repeat_groups(key, doc, at, left, right, n_left, n_right, min_len)
+        if with_first:
+            out = {k: [np.zeros(0, np.int64)] for k in ("grp", "doc_id", "lo", "hi")} | {"first": [np.zeros(0, bool)]}
+            for n, d, m in groups:
+                string = data[begin[m[0]] + n_left[m[0]] - n : begin[m[0]] + n_left[m[0]] + d].tobytes()
+                grp = int.from_bytes(hashlib.blake2b(key[m[:1]].tobytes() + string, digest_size=8).digest(), "little", signed=True)
+                for k, v in (("grp", np.full(len(m), grp)), ("doc_id", doc[m]), ("lo", at[m] - n), ("hi", at[m] + d), ("first", _at_first(doc, at, m))):
+                    out[k].append(v)
+            return pa.table({k: np.concatenate(v) for k, v in out.items()})
+        # all groups of an occurrence hold its anchor, so what they cover of it is one stretch
+        before, after = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for n, d, m in groups:
+            m = m[~_at_first(doc, at, m)]
+            before[m], after[m] = np.maximum(before[m], n), np.maximum(after[m], d)
+        hit = after > 0
+        return pa.table({"grp": key[hit], "doc_id": doc[hit], "lo": (at - before)[hit], "hi": (at + after)[hit], "first": np.zeros(int(hit.sum()), bool)})
 
     return run
 
@@ -314,8 +323,8 @@ def find_repeats(docs: DataFrame, min_len: int = 100, with_first: bool = False)
 
     Each group is a string of min_len bytes or more with all its occurrences: from its anchor it reaches as far to
     both sides as its occurrences agree, or as strings of min_len bytes around the anchor go; a longer repeat is a
-    chain of groups. Without with_first, occurrences at a group's earliest position are left out (and grp is 0 for
-    those from the suffix array). Rows with null doc_id or text, or a text shorter than min_len, have none.
+    chain of groups. Without with_first, occurrences at a group's earliest position are left out, and what the suffix array's
+    groups cover of an occurrence is one row. Rows with null doc_id or text, or a text shorter than min_len, have none.
     """
     if not GRAM < min_len <= 140:
         raise ValueError(f"min_len must be in {GRAM + 1}..140")
