@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import language_id, license_scan, mixing, quality_rules, substring_dedup
 
-MODULES = (substring_dedup,)
+MODULES = (quality_rules, substring_dedup, mixing, license_scan, language_id)
 
 
 def queries() -> dict:
