@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, mixing, quality_rules, substring_dedup
+from . import bpe, fixity, language_id, license_scan, mixing, ngram_join, quality_rules, sharding, substring_dedup
 
-MODULES = (quality_rules, substring_dedup, mixing, license_scan, language_id)
+MODULES = (quality_rules, substring_dedup, mixing, license_scan, language_id, bpe, ngram_join, sharding, fixity)
 
 
 def queries() -> dict:
