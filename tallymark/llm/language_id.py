@@ -141,25 +141,27 @@ def _score(model: Model):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                name, score = model.predict(part.column(part.num_columns - 1).to_pylist())
-                cols = [*part.columns[:-1], pa.array(name), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, [*part.schema.names[:-1], "lang_pred", "score"])
+                name, score = model.predict(part.column("_text").to_pylist())
+                rest = part.drop_columns(["_text"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(name, pa.string()), pa.array(score, pa.float64())], [*rest.schema.names, "lang_pred", "score"])
 
     return run
 
 
-def predict_language(docs: DataFrame, held_out=None) -> DataFrame:
-    """All columns of docs but text, then lang_pred (a learned value, `und` for null texts and texts without a
-    letter) and score (0 to 1; 0 for `und`). Whole texts are read.
+def predict_language(docs: DataFrame, held_out=None, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (by default all but text), then lang_pred (a learned value, `und` for null texts and
+    texts without a letter) and score (0 to 1; 0 for `und`). Whole texts are read.
 
     Learns from rows of docs with text and lang outside held_out (by default crc32(doc_id) mod 3 = 1); with none,
-    all is `und`. lang, source and doc_id are no input of a prediction. Equal texts get equal results.
+    all is `und`. lang, source and doc_id are no input of a prediction. Equal texts get equal results. Columns of docs
+    named lang_pred or score are left out.
     """
     held_out = third() == 1 if held_out is None else held_out
     model = train(*labelled_sample(docs, held_out))
-    rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(rest).schema)
-    return docs.select(*rest, "text").mapInArrow(_score(model), f"{schema}, lang_pred string, score double")
+    kept = [c for c in (keep or [c for c in docs.columns if c != "text"]) if c not in ("lang_pred", "score")]
+    rows = docs.select(*kept, F.col("text").alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema)
+    return rows.mapInArrow(_score(model), f"{schema}, lang_pred string, score double")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_RE, materialize, table
+from .common import WORD_RE, table
 
 #: Patterns of membership that the driver's flow takes; more raise an error.
 MAX_PATTERNS = 1000
@@ -82,57 +82,61 @@ def route(patterns: list[tuple[int, ...]], sizes: list[int], quotas: list[int],
     return [{to[e] - first_s: cap[e ^ 1] for e in of[p] if e % 2 == 0 and first_s <= to[e] < start} for p in range(n_p)]
 
 
-def mix(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
-    """Choose how many words of each row the mix takes.
+def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
+    """Choose how often the mix takes each row.
 
-    sized: doc_id, sources (array of strings, null for no source name), size (long). Sources stand in code point
-    order, the missing name last, and get weights in turn; a row with several sources may serve any of them. Adds
-    source_size and target (arrays beside sources would repeat them: sums over the row's sources) and taken.
-    A pattern's rows are all taken floor(flow / size) times, then once more in seeded order up to the flow's rest,
-    to the nearest row; no row is taken more than repeats times. Rows with null doc_id take part (ordered by
-    size); equal rows are interchangeable. An empty table gives an empty result.
+    rows: doc_id, sources (array of strings; none or null for no source's name), size (long), and others, which stay.
+    Sources stand in code point order, the missing name last, and get weights in turn; a row with several sources may
+    serve any of them. Adds source_size and target (of the row's source; sums for several), times and taken (size *
+    times). A pattern's rows are all taken floor(flow / size) times, then once more in seeded order up to the flow's
+    rest, to the nearest row; none more than repeats times. Rows with null doc_id take part (ordered by size); equal
+    rows are interchangeable. An empty table gives an empty result. rows is read twice and must read alike.
+
+    Sums of at most MAX_PATTERNS patterns in SLICES slices of the seeded order reach the driver; a slice that a
+    pattern's rest ends in is ordered in one task.
     """
-    key = F.coalesce(F.array_sort(F.array_distinct("sources")), F.array(F.lit(None).cast("string")))
-    rows = sized.withColumn("pattern", F.to_json(F.struct(key.alias("s")), {"ignoreNullFields": "false"})).withColumn("u", F.xxhash64("doc_id", F.lit(seed)))
-    rows = materialize(rows.withColumn("slice", F.shiftrightunsigned("u", 64 - (SLICES.bit_length() - 1)).cast("int")))
-    names = rows.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(names) > MAX_PATTERNS:
+    spark = rows.sparkSession
+    key = F.array_sort(F.array_distinct(F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array(F.lit(None).cast("string")))))
+    rows = rows.withColumn("_key", key).withColumn("_u", F.xxhash64("doc_id", F.lit(seed)))
+    rows = rows.withColumns({"_pattern": F.to_json(F.struct("_key"), {"ignoreNullFields": "false"}), "_slice": F.shiftrightunsigned("_u", 64 - (SLICES.bit_length() - 1)).cast("int")})
+    sums, members_of = defaultdict(dict), {}
+    for r in rows.groupBy("_pattern", "_slice").agg(F.first("_key").alias("key"), F.sum("size").alias("size")).limit(MAX_PATTERNS * SLICES + 1).collect():
+        sums[r["_pattern"]][r["_slice"]] = int(r["size"] or 0)
+        members_of[r["_pattern"]] = r["key"]
+    if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    names.sort(key=lambda r: r["pattern"])
-    every = sorted({s for r in names for s in (r["sources"] or [None])}, key=lambda s: (s is None, s or ""))
+    names = sorted(sums)
+    every = sorted({s for k in members_of.values() for s in k}, key=lambda s: (s is None, s or ""))
     index = {s: i for i, s in enumerate(every)}
-    members = [tuple(sorted({index[s] for s in (r["sources"] or [None])})) for r in names]
-    sizes = [int(r["size"] or 0) for r in names]
+    members = [tuple(sorted({index[s] for s in members_of[p]})) for p in names]
+    sizes = [sum(sums[p].values()) for p in names]
     of_source = [sum(z for m, z in zip(members, sizes, strict=True) if i in m) for i in range(len(every))]
     targets = target_sizes(of_source, [weights[i % len(weights)] for i in range(len(every))], share, repeats)
     flows = route(members, sizes, [round(t) for t in targets], repeats)
-    plans, spark = [], sized.sparkSession
-    sums = defaultdict(dict)
-    for r in rows.groupBy("pattern", "slice").agg(F.sum("size").alias("size")).collect():  # MAX_PATTERNS x SLICES rows at most
-        sums[r["pattern"]][r["slice"]] = r["size"]
-    for r, m, z, f in zip(names, members, sizes, flows, strict=True):
+    plans = []
+    for p, m, z, f in zip(names, members, sizes, flows, strict=True):
         full, rest = divmod(sum(f.values()), z) if z else (0, 0)
         before, cut = 0, SLICES
-        for k in sorted(sums[r["pattern"]]):
-            if before + sums[r["pattern"]][k] > rest:
+        for k in sorted(sums[p]):
+            if before + sums[p][k] > rest:
                 cut = k
                 break
-            before += sums[r["pattern"]][k]
-        plans.append((r["pattern"], float(sum(targets[i] for i in m)), sum(of_source[i] for i in m), int(full), cut, int(rest - before)))
-    plan = spark.createDataFrame(plans, "pattern string, target double, source_size long, full long, cut int, rest long")
-    rows = rows.join(F.broadcast(plan), "pattern")  # at most MAX_PATTERNS rows
-    whole = rows.where("slice <> cut").withColumn("more", (F.col("slice") < F.col("cut")).cast("long"))
-    # one slice in SLICES of a pattern's rows
-    run = Window.partitionBy("pattern").orderBy("u", "doc_id", "size")
+            before += sums[p][k]
+        plans.append((p, float(sum(targets[i] for i in m)), sum(of_source[i] for i in m), int(full), cut, int(rest - before)))
+    plan = spark.createDataFrame(plans, "_pattern string, target double, source_size long, _full long, _cut int, _rest long")
+    rows = rows.drop("target", "source_size", "times", "taken").join(F.broadcast(plan), "_pattern")  # MAX_PATTERNS rows at most
+    whole = rows.where("_slice <> _cut").withColumn("_more", (F.col("_slice") < F.col("_cut")).cast("long"))
+    run = Window.partitionBy("_pattern").orderBy("_u", "doc_id", "size")
     before = F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    part = rows.where("slice = cut").withColumn("more", (before + F.col("size") / 2 <= F.col("rest")).cast("long"))
-    return whole.unionByName(part).withColumn("taken", F.col("size") * (F.col("full") + F.col("more"))).drop("pattern", "u", "slice", "full", "cut", "rest", "more")
+    part = rows.where("_slice = _cut").withColumn("_more", (before + F.col("size") / 2 <= F.col("_rest")).cast("long"))
+    out = whole.unionByName(part).withColumn("times", F.col("_full") + F.col("_more")).withColumn("taken", F.col("size") * F.col("times"))
+    return out.drop("_key", "_u", "_pattern", "_slice", "_full", "_cut", "_rest", "_more")
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, sources (the one source of each), size in words (null text: 0)."""
+def sized_documents(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, sources (the one source of each), size in words (null text: 0), and the columns keep."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.array("source").alias("sources"), size.alias("size"))
+    return docs.select("doc_id", *keep, F.array("source").alias("sources"), size.alias("size"))
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -313,18 +313,18 @@ def _search(min_len: int, with_first: bool):
     return run
 
 
-def _by_document(docs: DataFrame, parts: int) -> DataFrame:
+def _by_document(docs: DataFrame, parts: int, keep: tuple[str, ...] = ()) -> DataFrame:
     row = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return docs.select("doc_id", "text", F.pmod(row, F.lit(parts)).cast("int").alias("part"))
+    return docs.select("doc_id", "text", *keep, F.pmod(row, F.lit(parts)).cast("int").alias("part"))
 
 
-def find_repeats(docs: DataFrame, min_len: int = 100, with_first: bool = False) -> DataFrame:
+def find_repeats(docs: DataFrame, min_len: int = 100, with_first: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Occurrences of repeat groups: grp, doc_id, lo, hi (bytes), first.
 
     Each group is a string of min_len bytes or more with all its occurrences: from its anchor it reaches as far to
     both sides as its occurrences agree, or as strings of min_len bytes around the anchor go; a longer repeat is a
     chain of groups. Without with_first, occurrences at a group's earliest position are left out, and what the suffix array's
-    groups cover of an occurrence is one row. Rows with null doc_id or text, or a text shorter than min_len, have none.
+    groups cover of an occurrence is one row. keep names columns that a later step wants with the same shuffle of texts. Rows with null doc_id or text, or a text shorter than min_len, have none.
     """
     if not GRAM < min_len <= 140:
         raise ValueError(f"min_len must be in {GRAM + 1}..140")
@@ -335,7 +335,7 @@ def find_repeats(docs: DataFrame, min_len: int = 100, with_first: bool = False)
     found = materialize(packed.groupBy("bucket").applyInArrow(_reduce_anchors(with_first), FOUND_SCHEMA))
     many = 2 * parts
     asked = found.where("kind = 1").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(many)).cast("int"))
-    contexts = asked.groupBy("part").cogroup(_by_document(docs, many).groupBy("part")).applyInArrow(_fetch, "grp long, doc_id long, lo long, left int, ctx binary")
+    contexts = asked.groupBy("part").cogroup(_by_document(docs, many, keep).groupBy("part")).applyInArrow(_fetch, "grp long, doc_id long, lo long, left int, ctx binary")
     searched = (
         contexts.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(many)).cast("int"))
         .groupBy("bucket")
@@ -347,7 +347,7 @@ def find_repeats(docs: DataFrame, min_len: int = 100, with_first: bool = False)
 DIGEST_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _apply(texts_out: bool):
+def _apply(texts_out: bool, keep: tuple[str, ...]):
     def run(key, spans: pa.Table, texts: pa.Table) -> pa.Table:
         doc, lo, hi = (spans[c].to_numpy() for c in ("doc_id", "lo", "hi"))
         order = np.lexsort((lo, doc))
@@ -374,12 +374,13 @@ def _apply(texts_out: bool):
             out.append((*row, (kept.decode("utf-8", "ignore") if removed else text.as_py()) if texts_out else hashlib.sha256(kept).hexdigest()))
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "text" if texts_out else "kept_sha256"]
         types = [pa.int64()] * 4 + [pa.string()]
-        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, types, strict=True))})
+        done = {n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, types, strict=True))}
+        return pa.table(done | {c: texts[c] for c in keep})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, min_len: int = 100, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_len: int = 100, texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte that a string of min_len bytes covers which also starts earlier (smaller doc_id, or same
     document and earlier start).
 
@@ -387,12 +388,13 @@ def remove_repeats(docs: DataFrame, min_len: int = 100, texts: bool = False) ->
     texts, the remaining text (bytes of a character cut in two go as well). doc_id must be unique but for wholly
     repeated rows, which all get the same result; another text under the same doc_id raises an error. Null text:
     0 bytes (with texts it stays null); null doc_id: kept whole and earlier than nothing. An empty table gives none.
-    Columns other than doc_id and text are ignored.
+    Columns other than doc_id and text are left out but for those in keep.
     """
     many = 2 * shuffle_partitions(docs.sparkSession)
-    spans = find_repeats(docs, min_len).where("not first").select("doc_id", "lo", "hi", F.pmod(F.xxhash64("doc_id"), F.lit(many)).cast("int").alias("part"))
+    spans = find_repeats(docs, min_len, keep=keep).where("not first").select("doc_id", "lo", "hi", F.pmod(F.xxhash64("doc_id"), F.lit(many)).cast("int").alias("part"))
     schema = DIGEST_SCHEMA.replace("kept_sha256", "text") if texts else DIGEST_SCHEMA
-    return spans.groupBy("part").cogroup(_by_document(docs, many).groupBy("part")).applyInArrow(_apply(texts), schema)
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else ""
+    return spans.groupBy("part").cogroup(_by_document(docs, many, keep).groupBy("part")).applyInArrow(_apply(texts, keep), schema)
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
