@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scores, snapshots
+from . import prices, scores, snapshots
 
-MODULES = (snapshots, scores)
+MODULES = (snapshots, scores, prices)
 
 
 def queries() -> dict:
