@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import prices, scores, snapshots
+from . import prices, reports, scores, snapshots
 
-MODULES = (snapshots, scores, prices)
+MODULES = (snapshots, scores, prices, reports)
 
 
 def queries() -> dict:
