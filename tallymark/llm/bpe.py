@@ -2,8 +2,9 @@
 
 Tasks split texts into words and send each word once per chunk of documents to the word's bucket. There every
 distinct word of the corpus is encoded once; its ids go back to the chunks that hold it and are put in place by
-position. The tokenizer's pieces never span white space and its normaliser works on each side of it alone, so the
-ids of a text are its words' ids one after the other.
+position. The tokenizer's pieces never span white space, nor the end of a run of letters before ASCII punctuation, and
+its normaliser works on each side of these alone, so the ids of a text are its words' ids one after the other. A
+special token's text starts with punctuation and stays whole.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import WORD_RE, shuffle_partitions, table
 
 #: Bytes of text in one chunk; a longer text is a chunk of its own.
-CHUNK = 4 << 20
-_WORDS = re.compile(WORD_RE)
+CHUNK = 12 << 20
+_WORDS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+(?=[!-/:-@\[-`{-~\x20\x09-\x0D]|\Z)|" + WORD_RE)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -73,28 +75,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield chunk, ids, texts
 
 
-def _bucket(word: str, buckets: int) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little") % buckets
-
-
 def _split(buckets: int):
     """(bucket, chunk, its distinct words)"""
 
     def run(batches):
-        known: dict[str, int] = {}
         for chunk, _, texts in _chunks(batches):
             words = set()
             for t in texts:
                 words.update(_WORDS.findall(t))
             by: dict[int, list[str]] = {}
             for w in words:
-                b = known.get(w)
-                if b is None:
-                    if len(known) >= 200_000:
-                        known.clear()
-                    b = known[w] = _bucket(w, buckets)
-                by.setdefault(b, []).append(w)
-            pack = zstandard.ZstdCompressor(level=3)
+                by.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
+            del words, texts
+            pack = zstandard.ZstdCompressor(level=6)
             rows = [(b, chunk, pack.compress("\n".join(sorted(ws)).encode())) for b, ws in by.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "chunk", "words"])
@@ -119,7 +112,9 @@ def _encode(path: str):
             ids = [table_[w] for w in ws]
             sizes = np.array([len(x) for x in ids], np.uint32)
             flat = np.array([y for x in ids for y in x], np.uint32)
-            answers.append(pack.compress(sizes.tobytes() + flat.tobytes() + "\n".join(ws).encode()))
+            # byte planes: the high bytes of sizes and ids are mostly zero
+            planes = [x.view(np.uint8).reshape(-1, 4).T.tobytes() for x in (sizes, flat)]
+            answers.append(pack.compress(planes[0] + planes[1] + "\n".join(ws).encode()))
         return pa.table({"chunk": t["chunk"], "n": pa.array([len(w) for w in asked], pa.int64()), "answer": pa.array(answers, pa.binary())})
 
     return run
@@ -127,12 +122,16 @@ def _encode(path: str):
 
 def _documents(batches):
     for chunk, ids, texts in _chunks(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         raw = [t.encode() for t in texts]
         body = pack.compress(np.array([len(r) for r in raw], np.uint64).tobytes() + b"".join(raw))
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([body], pa.binary())], ["chunk", "ids", "body"])
 
 
+def _planes(raw: bytes, at: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view(np.uint32).ravel()
+
+
 def _place(path: str, finish, schema: pa.Schema):
     """Put the words' ids in place by position in each text of a chunk."""
 
@@ -141,11 +140,12 @@ def _place(path: str, finish, schema: pa.Schema):
         ids_of: dict[str, bytes] = {}
         for n, a in zip(answers["n"].to_pylist(), answers["answer"], strict=True):
             raw = unpack.decompress(a.as_py())
-            sizes = np.frombuffer(raw, np.uint32, n)
-            end = 4 * n + 4 * int(sizes.sum())
-            cuts = (4 * n + 4 * np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))).tolist()
-            for w, i, j in zip(raw[end:].decode().split("\n"), cuts[:-1], cuts[1:], strict=True):
-                ids_of[w] = raw[i:j]
+            sizes = _planes(raw, 0, n)
+            total = int(sizes.sum())
+            flat = _planes(raw, 4 * n, total).tobytes()
+            cuts = (4 * np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))).tolist()
+            for w, i, j in zip(raw[4 * (n + total) :].decode().split("\n"), cuts[:-1], cuts[1:], strict=True):
+                ids_of[w] = flat[i:j]
         out = []
         for doc_ids, body in zip(docs["ids"].to_pylist(), docs["body"], strict=True):
             raw = unpack.decompress(body.as_py())
