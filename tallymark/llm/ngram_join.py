@@ -32,7 +32,7 @@ FLUSH = 1 << 19
 #: Lists up to this length give all their pairs at once.
 SHORT = 6
 #: Tokens known as frequent: found at least this often in a task's slice of documents; this many at most.
-OFTEN, FREQUENT = 12, 1 << 17
+OFTEN, FREQUENT = 2, 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -139,7 +139,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token = shingles(words, of)[1]
             held.append(token)
             n += len(token)
-            if n >= 4 * FLUSH:
+            if n >= 8 * FLUSH:
                 yield flush()
                 held, n = [], 0
     if n:
