@@ -16,16 +16,16 @@ MAX_PATTERNS = 1000
 SLICES = 4096
 
 
-def target_sizes(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
-    """Split share of all sizes by weight; a target stops at most times its size, the excess is shared anew."""
+def target_sizes(sizes: list[int], weights: list[float], share: float, most: float, total: int | None = None) -> list[float]:
+    """Split share of total (by default of all sizes) by weight; a target stops at most times its size, the excess is shared anew."""
     target = [0.0] * len(sizes)
-    left, free = share * sum(sizes), [i for i in range(len(sizes))]
+    left, free = share * (sum(sizes) if total is None else total), list(range(len(sizes)))
     while free and left > 0:
-        total = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / total > most * sizes[i]]
+        weight = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / weight > most * sizes[i]]
         if not over:
             for i in free:
-                target[i] = left * weights[i] / total
+                target[i] = left * weights[i] / weight
             break
         for i in over:
             target[i] = most * sizes[i]
@@ -111,7 +111,7 @@ def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeats: int = 2
     members = [tuple(sorted({index[s] for s in members_of[p]})) for p in names]
     sizes = [sum(sums[p].values()) for p in names]
     of_source = [sum(z for m, z in zip(members, sizes, strict=True) if i in m) for i in range(len(every))]
-    targets = target_sizes(of_source, [weights[i % len(weights)] for i in range(len(every))], share, repeats)
+    targets = target_sizes(of_source, [weights[i % len(weights)] for i in range(len(every))], share, repeats, sum(sizes))
     flows = route(members, sizes, [round(t) for t in targets], repeats)
     plans = []
     for p, m, z, f in zip(names, members, sizes, flows, strict=True):
