@@ -298,7 +298,7 @@ def _search(min_len: int, with_first: bool):
             out = {k: [np.zeros(0, np.int64)] for k in ("grp", "doc_id", "lo", "hi")} | {"first": [np.zeros(0, bool)]}
             for n, d, m in groups:
                 string = data[begin[m[0]] + n_left[m[0]] - n : begin[m[0]] + n_left[m[0]] + d].tobytes()
-                grp = int.from_bytes(hashlib.blake2b(key[m[:1]].tobytes() + string, digest_size=8).digest(), "little", signed=True)
+                grp = int.from_bytes(hashlib.blake2b(key[m[:1]].tobytes() + bytes([n]) + string, digest_size=8).digest(), "little", signed=True)
                 for k, v in (("grp", np.full(len(m), grp)), ("doc_id", doc[m]), ("lo", at[m] - n), ("hi", at[m] + d), ("first", _at_first(doc, at, m))):
                     out[k].append(v)
             return pa.table({k: np.concatenate(v) for k, v in out.items()})
