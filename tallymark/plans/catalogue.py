@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import prices, reports, scores, snapshots
+from . import audits, prices, reports, scores, snapshots
 
-MODULES = (snapshots, scores, prices, reports)
+MODULES = (snapshots, scores, prices, reports, audits)
 
 
 def queries() -> dict:
