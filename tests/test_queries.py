@@ -1,7 +1,7 @@
 """Every query of the index library against its SQL."""
 
 import pytest
-from conftest import compare
+from sqlcheck import compare
 
 from tallymark.plans import catalogue
 
