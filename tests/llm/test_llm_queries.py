@@ -1,7 +1,7 @@
 """Registered queries that have SQL, and the shapes of all."""
 
 import pytest
-from conftest import SMALL, compare
+from sqlcheck import SMALL, compare
 
 from tallymark.llm import queries
 
