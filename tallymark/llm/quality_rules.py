@@ -24,7 +24,7 @@ RULES = (
     ("mean_word_length", "mean_word_length", 2.0, 12.0),
     ("symbols", "symbol_ratio", None, 0.1),
     ("stop_words", "stop_ratio", 0.01, None),
-    ("repeated_lines", "dup_line_ratio", None, 0.3),
+    ("repeated_lines", "dup_line_ratio", None, 0.5),
 )
 #: Rules whose failure is also reported as base_failed.
 BASE = ("words", "repeated_words")
@@ -137,7 +137,7 @@ WITH d AS (
          n_words > 0 AND (word_chars * 1.0 / n_words < 2 OR word_chars * 1.0 / n_words > 12) AS f3,
          n_words > 0 AND n_symbols::DOUBLE / n_words > 0.1 AS f4,
          n_words > 0 AND n_stop::DOUBLE / n_words < 0.01 AS f5,
-         n_lines > 0 AND n_dup_lines::DOUBLE / n_lines > 0.3 AS f6
+         n_lines > 0 AND n_dup_lines::DOUBLE / n_lines > 0.5 AS f6
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
