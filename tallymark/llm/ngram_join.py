@@ -5,8 +5,8 @@ with another shares one of its first n - ceil(t n) + 1 tokens with it, so only t
 
 * Index lists are sorted by set size and hold each set's position of the token. Sizes bound the partners, and blocks
   of equal position whose rest is too short for the overlap wanted are skipped whole.
-* Equal sets are one class. A long list first compares only its first set with the others. Then a pair (x, y) of it
-  needs a look only if x and y aren't connected yet, and only if what is known of both against the list's first set
+* Equal sets are one class. A long list first compares only one of its sets, its head, with the others. Then a pair
+  (x, y) of it needs a look only if x and y aren't connected yet, and only if what is known of both against the head
   c leaves room: |x & y| <= min(|x & c|, |y & c|) + min(|x - c|, |y - c|). So the answers of a set follow from those of
   a highly similar set.
 """
@@ -31,6 +31,7 @@ SLICE = 1 << 20
 FLUSH = 1 << 19
 #: Lists up to this length give all their pairs at once.
 SHORT = 6
+ATTEMPTS = 3
 #: Tokens known as frequent: found at least this often in a task's slice of documents; this many at most.
 OFTEN, FREQUENT = 2, 1 << 18
 
@@ -247,7 +248,7 @@ def _candidates(t: pa.Table) -> pa.Table:
                 left.append(s + k)
                 right.append(s + k + gap)
     for s, m in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
-        head = s + m // 2  # of middle size
+        head = s + int(mix(doc[s : s + m].astype(np.uint64)).argmin())  # lists of much the same sets mostly agree on it
         own = np.arange(s, s + m)
         rest = own[own != head]
         left.append(np.full(len(rest), head))
@@ -308,28 +309,43 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
 
 
-def _open_pairs(t: pa.Table) -> pa.Table:
-    """Pairs of one list that are in different components and that nothing known rules out."""
-    order = np.lexsort((t["b"].to_numpy(), t["pos"].to_numpy(), t["n"].to_numpy()))
-    doc, n, pos, common, comp = (t[c].to_numpy()[order] for c in ("b", "n", "pos", "common", "component"))
-    head = int(t["a"][0].as_py())
-    rest = n - common
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(np.unique(comp)) > 1:
-        end = np.searchsorted(n, DOWN * n // UP, "right")
-        for k in range(len(n)):
-            m = slice(k + 1, int(end[k]))
-            need = wanted(n[k], n[m])
-            ok = comp[m] != comp[k]
-            ok &= np.minimum(n[k] - pos[k], n[m] - pos[m]) >= need
-            # common is -1 where the first set's overlap isn't known
-            known = (common[m] >= 0) & (common[k] >= 0)
-            ok &= ~known | (np.minimum(common[k], common[m]) + np.minimum(rest[k], rest[m]) >= need)
-            hit = doc[m][ok]
-            hit = hit[(hit != head) & (doc[k] != head)]
-            a.append(np.minimum(doc[k], hit))
-            b.append(np.maximum(doc[k], hit))
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+def _open_pairs(attempt: int | None):
+    """Pairs that are in different components and that nothing known rules out, once for all lists of a head.
+
+    With an attempt, one partner of each set only, another one in each attempt.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        order = np.lexsort((t["b"].to_numpy(), t["pos"].to_numpy(), t["n"].to_numpy(), t["token"].to_numpy()))
+        token, doc, n, pos, common, comp = (t[c].to_numpy()[order] for c in ("token", "b", "n", "pos", "common", "component"))
+        head = int(t["a"][0].as_py())
+        rest = n - common
+        draw = mix(doc.astype(np.uint64) * M2 + np.uint64(attempt or 0))
+        found: set[tuple[int, int]] = set()
+        starts = runs(token)
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(token)], strict=True):
+            if (comp[i:j] == comp[i]).all():
+                continue
+            size = n[i:j]
+            end = i + np.searchsorted(size, DOWN * size // UP, "right")
+            for k in range(i, j):
+                m = slice(k + 1, int(end[k - i]))
+                need = wanted(n[k], n[m])
+                ok = (comp[m] != comp[k]) & (doc[m] != head)
+                ok &= np.minimum(n[k] - pos[k], n[m] - pos[m]) >= need
+                # common is -1 where the overlap with the head isn't known
+                known = (common[m] >= 0) & (common[k] >= 0)
+                ok &= ~known | (np.minimum(common[k], common[m]) + np.minimum(rest[k], rest[m]) >= need)
+                if doc[k] == head or not ok.any():
+                    continue
+                x, others = int(doc[k]), doc[m][ok]
+                if attempt is not None:
+                    others = others[[int((draw[m][ok] ^ draw[k]).argmin())]]
+                found.update((x, y) if x < y else (y, x) for y in others.tolist())
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,18 +380,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = first.where(link).select("a", "b")
     lists = found.where("kind = 1")
     if not lists.isEmpty():
-        near = components(links)
         known = first.select("a", "b", "common").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "common"))
-        entry = (
-            lists.join(known, ["a", "b"], "left")
-            .join(near.select(F.col("id").alias("b"), "component"), "b", "left")
-            .select("token", "a", "b", "n", "pos", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.coalesce("common", F.lit(-1))).alias("common"), F.coalesce("component", "b").alias("component"))
-        )
-        more = entry.groupBy("token").applyInArrow(_open_pairs, "a long, b long").distinct()
-        more = materialize(more.join(first.select("a", "b"), ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = links.unionByName(verify(more, docs).where(link).select("a", "b"))
-    linked = components(links)
+        lists = materialize(lists.join(known, ["a", "b"], "left").withColumn("common", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.coalesce("common", F.lit(-1)))))
+        texts_of = materialize(texts.join(lists.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        tried = first.select("a", "b")
+        linked = components(links)
+        # most open pairs fall together after a few attempts at one partner of each set; then all that are still open
+        attempts: list[int | None] = [*range(ATTEMPTS), None]
+        while attempts:
+            attempt = attempts.pop(0)
+            entry = lists.join(linked.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+            by_head = entry.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(4))).select("a", "part", "token", "b", "n", "pos", "common", "component").groupBy("a", "part")
+            more = by_head.applyInArrow(_open_pairs(attempt), "a long, b long").distinct()
+            more = materialize(more.join(tried, ["a", "b"], "left_anti"))
+            if more.isEmpty():
+                attempts = attempts[-1:]
+                continue
+            tried = tried.unionByName(more)
+            new = materialize(verify(more, texts_of).where(link).select("a", "b"))
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                linked = components(links)
+    else:
+        linked = components(links)
     keys = texts.mapInArrow(_keys, "doc_id long, n_shingles long, k1 long, k2 long")
     keys = materialize(keys)
     classes = keys.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
