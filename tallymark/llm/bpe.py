@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import WORD_RE, shuffle_partitions, table
 
 #: Bytes of text in one chunk; a longer text is a chunk of its own.
-CHUNK = 12 << 20
+CHUNK = 8 << 20
 _WORDS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+(?=[!-/:-@\[-`{-~\x20\x09-\x0D]|\Z)|" + WORD_RE)
 
 
@@ -64,13 +64,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
     chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
     ids, texts, size = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t or "")
-            size += len(t or "")
-            if size >= CHUNK:
-                yield chunk, ids, texts
-                chunk, ids, texts, size = chunk + 1, [], [], 0
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(t or "")
+                size += len(t or "")
+                if size >= CHUNK:
+                    yield chunk, ids, texts
+                    chunk, ids, texts, size = chunk + 1, [], [], 0
     if ids:
         yield chunk, ids, texts
 
@@ -155,7 +157,7 @@ def _place(path: str, finish, schema: pa.Schema):
                 text = raw[at : at + n].decode()
                 at += n
                 out.append((d, *finish(path, b"".join(map(ids_of.__getitem__, _WORDS.findall(text))))))
-        return pa.table([pa.array(list(c), t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
+        return pa.table([_column(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
 
     return run
 
@@ -172,7 +174,15 @@ def _digest(path: str, ids: bytes) -> tuple:
 
 
 def _ids(path: str, ids: bytes) -> tuple:
-    return (np.frombuffer(ids, "<u4").tolist(),)
+    return (ids,)
+
+
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    """A column; lists of ids come as their bytes."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    ends = np.cumsum([0, *(len(v) // 4 for v in values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), "<i4")))
 
 
 def _run(docs: DataFrame, path: str, finish, fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
