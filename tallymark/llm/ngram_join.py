@@ -32,6 +32,8 @@ FLUSH = 1 << 19
 #: Lists up to this length give all their pairs at once.
 SHORT = 6
 ATTEMPTS = 3
+#: Words of 64 bits of the map of documents that pairs name; its size bounds what is broadcast.
+MAP_WORDS = 1 << 18
 #: Tokens known as frequent: found at least this often in a task's slice of documents; this many at most.
 OFTEN, FREQUENT = 2, 1 << 18
 
@@ -301,11 +303,28 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, ["a", "b", "na", "nb", "common"])
 
 
+def _named(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id is among ids (column id), and few others.
+
+    A map of MAP_WORDS words of bits over hashes of the ids is broadcast, so its size doesn't grow with the data; where
+    very many ids fill it, more rows than needed pass.
+    """
+    at = F.pmod(F.xxhash64("id"), F.lit(64 * MAP_WORDS))
+    word, bit = F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    bits = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    rows = texts.select("doc_id", "text", F.col("doc_id").cast("long").alias("id")).withColumn("word", word)
+    return rows.join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("doc_id", "text")
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Exact overlaps of candidate pairs: a, b, na, nb, common. Texts meet pairs in two joins on doc_id."""
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """Exact overlaps of candidate pairs: a, b, na, nb, common.
+
+    Texts that pairs name meet them in two joins on doc_id; those joins shuffle at every size.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = _named(docs.where("doc_id is not null"), ids)
+    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
 
 
@@ -375,15 +394,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = 1 << (4 * parts - 1).bit_length()
     packed = texts.mapInArrow(_index(frequent, count, buckets), "bucket int, entries binary")
     found = materialize(packed.groupBy("bucket").applyInArrow(_candidates, LIST_SCHEMA))
-    first = materialize(verify(found.where("kind = 0").select("a", "b").distinct(), docs))
+    tried = materialize(found.where("kind = 0").select("a", "b").distinct())
+    first = materialize(verify(tried, docs))
     link = F.col("common") * DOWN >= (F.col("na") + F.col("nb") - F.col("common")) * UP
     links = first.where(link).select("a", "b")
     lists = found.where("kind = 1")
     if not lists.isEmpty():
         known = first.select("a", "b", "common").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "common"))
         lists = materialize(lists.join(known, ["a", "b"], "left").withColumn("common", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.coalesce("common", F.lit(-1)))))
-        texts_of = materialize(texts.join(lists.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-        tried = first.select("a", "b")
+        texts_of = materialize(_named(texts, lists.select(F.col("b").alias("id"))))
         linked = components(links)
         # most open pairs fall together after a few attempts at one partner of each set; then all that are still open
         attempts: list[int | None] = [*range(ATTEMPTS), None]
