@@ -207,3 +207,21 @@ def test_jaccard_long_lists(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()}
     assert got == jaccard(rows)
+
+
+@pytest.mark.parametrize("map_words", [1, 1 << 18])
+def test_named_texts(spark, monkeypatch, map_words):
+    """The map of named documents never loses one, full or not; missing ids and a clashing column don't matter."""
+    monkeypatch.setattr(ngram_join, "MAP_WORDS", map_words)
+    docs = spark.createDataFrame([(i, f"t{i}", i) for i in range(-500, 500)] + [(None, "x", 0)], "doc_id long, text string, id long")
+    ids = spark.createDataFrame([(i,) for i in range(-500, 500, 7)], "id long")
+    got = {r.doc_id: r.text for r in ngram_join._named(docs, ids).collect()}
+    assert {i: f"t{i}" for i in range(-500, 500, 7)}.items() <= got.items()
+    assert map_words == 1 or len(got) < 200
+    assert ngram_join._named(docs, ids.where("false")).count() == 0
+
+
+def test_jaccard_with_a_full_map(docs, corpus, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MAP_WORDS", 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == jaccard([(r[0], r[1]) for r in corpus])
