@@ -46,11 +46,41 @@ RULES = (
 )
 _ID = {s: i for i, many in SENTENCES.items() for s in many}
 
+_MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_GPL_FREE = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+#: Sentences of the standard notices as they end in real texts; so long that they may also start inside a sentence, as after a
+#: copyright line or an address that has no end. ORACLES knows SENTENCES and RULES only.
+FULL_SENTENCES = {
+    "apache2_short": ("licensed under the apache license version 2 0 the license",),
+    "apache2_asis": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",),
+    "mit_grant": (_MIT_GRANT,),
+    "asis_warranty": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",),
+    "bsd_grant": SENTENCES["bsd_grant"],
+    "gpl_free": (_GPL_FREE,),
+    "gpl2_grant": (f"{_GPL_FREE} either version 2 of the license or at your option any later version",),
+    "gpl3_grant": (f"{_GPL_FREE} either version 3 of the license or at your option any later version",),
+}
+FULL_RULES = RULES + ((("gpl3_grant",), "GPL-3.0-or-later"), (("gpl2_grant",), "GPL-2.0-or-later"))
+_FULL_ID = _ID | {s: i for i, many in FULL_SENTENCES.items() for s in many}
+
+
+def _any_of(many) -> str:
+    """Longest first; a blank is a blank or one line feed."""
+    return "(?:" + "|".join(s.replace(" ", "[ \n]") for s in sorted(many, key=len, reverse=True)) + r")(?= ?(?:\z|[\n\x01]))"
+
+
+_KNOWN = rf"(?<=\A|\A |[\n\x01]|\x01 ){_any_of(_FULL_ID)}|(?<=[ \n]){_any_of(s for many in FULL_SENTENCES.values() for s in many)}"
+
 
 def sentences(text) -> F.Column:
-    """Normal forms of a text's sentences, which end at line feeds and at . ! ? ; : before white space."""
-    cut = F.split(F.regexp_replace(text, r"([.!?;:])[\x20\x09-\x0D]+", "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    """Known sentences of a text in normal form, in text order.
+
+    A sentence starts and ends at . ! ? ; : before white space or at a line's start and end; inside it, line feeds with
+    the comment marks around them are blanks, but a blank line ends it.
+    """
+    cut = F.regexp_replace(F.translate(text, "\x01", " "), r"[.!?;:](?=[\x20\x09-\x0D])", "\x01")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(cut), r"[^a-z0-9\n\x01]+", " "), " ?\n ?", "\n")
+    return F.transform(F.regexp_extract_all(plain, F.lit(_KNOWN), F.lit(0)), lambda s: F.translate(s, "\n", " "))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -61,13 +91,13 @@ def scan(docs: DataFrame) -> DataFrame:
     A rule matches if its identifiers follow each other in the sequence. Null and empty texts have none; rows repeat
     as they come; other columns are ignored; an empty table gives none. All in one projection; no shuffle.
     """
-    known = F.filter(sentences(F.coalesce("text", F.lit(""))), lambda s: s.isin(list(_ID)))
-    ids = F.create_map(*[F.lit(x) for kv in _ID.items() for x in kv])
+    known = sentences(F.coalesce("text", F.lit("")))
+    ids = F.create_map(*[F.lit(x) for kv in _FULL_ID.items() for x in kv])
     found = docs.select("doc_id", known.alias("known")).select("doc_id", F.transform("known", lambda s: F.element_at(ids, s)).alias("ids"))
     seq = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
     found = found.select("doc_id", F.size("ids").cast("long").alias("n_licence_sentences"), F.array_join("ids", ",").alias("sequence"), seq.alias("seq"))
     hits, before = [], []
-    for members, name in RULES:
+    for members, name in FULL_RULES:
         pattern = "," + ",(.*,)?".join(members) + ","
         hit = F.col("seq").rlike(pattern)
         covered = [h for m, h in before if m[0] == members[0]]

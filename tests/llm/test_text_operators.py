@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -131,6 +132,34 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_standard_notices(spark):
+    warranty = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+    gpl = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    notices = {
+        "MIT": ["Copyright (c) 2020 A. Person", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", warranty],
+        "Apache-2.0": ["Copyright 2020 A. Person", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
+        "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+        "GPL-3.0-or-later": ["Copyright (C) 2020 A. Person", f"This program is free software: {gpl}, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."],
+        "GPL-2.0-or-later": ["Copyright (C) 2020 A. Person", f"This program is free software; {gpl}; either version 2 of the License, or (at your option) any later version."],
+    }
+    forms = {
+        "wrapped": lambda ps: "\n\n".join(textwrap.fill(p, 70) for p in ps),
+        "crlf": lambda ps: "\r\n\r\n".join(textwrap.fill(p, 70).replace("\n", "\r\n") for p in ps),
+        "comment": lambda ps: "/*\n" + "\n *\n".join(textwrap.fill(p, 60, initial_indent=" * ", subsequent_indent=" * ") for p in ps) + "\n */\nint x;",
+        "hash": lambda ps: "\n#\n".join(textwrap.fill(p, 60, initial_indent="# ", subsequent_indent="# ") for p in ps) + "\nimport os",
+        "paragraphs": "\n\n".join,
+        "line": " ".join,
+    }
+    rows = [(f"{name} {form}", f(ps)) for name, ps in notices.items() for form, f in forms.items()]
+    rows.append(("blank line", "Released under\n\nthe MIT License."))
+    rows.append(("inside", "it was never released under the MIT License by us"))
+    got = {r.doc_id: r.licences for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {k: k.split(" ")[0] if k.split(" ")[0] in notices else "" for k, _ in rows}
+    rule = {"MIT": "mit_grant,mit_notice,asis_warranty", "Apache-2.0": "apache2_short,apache2_comply,apache2_asis", "BSD-3-Clause": "bsd_grant,bsd_source,bsd_binary,bsd_endorse"}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        assert r.sequence == rule.get(r.doc_id.split(" ")[0], r.sequence)
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.predict_language(docs).join(docs.select("doc_id", F.col("text").alias("t")), "doc_id").where(language_id.third() == 1)
