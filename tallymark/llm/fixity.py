@@ -40,46 +40,94 @@ def leaves(records: DataFrame) -> DataFrame:
     return hashed.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), start.alias("start"), "size", "hash")
 
 
+def slots(leaf: DataFrame, records: int = RECORDS) -> DataFrame:
+    """The trees' lowest level: file, ordinal (page_id's place in the file's range, 0 for null), start, size, hash.
+
+    A lost record leaves its place empty. Most places have one record; repeats of a page_id share one.
+    """
+    place = F.coalesce(F.pmod("page_id", F.lit(records)), F.lit(0)).cast("long")
+    child = F.struct(F.col("start").alias("s"), F.col("size").alias("z"), F.col("hash").alias("h"))
+    up = leaf.groupBy("file", place.alias("ordinal")).agg(F.sort_array(F.collect_list(child)).alias("c"))  # a page_id's repeats
+    return up.select("file", "ordinal", *_range("c"), _digest("c", lambda x: F.concat_ws(":", x["z"], x["h"])))
+
+
+def _range(c: str) -> tuple[F.Column, F.Column]:
+    return F.col(c)[0]["s"].alias("start"), F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["z"]).alias("size")
+
+
+def _digest(c: str, text) -> F.Column:
+    return F.sha2(F.array_join(F.transform(c, text), "|"), 256).alias("hash")
+
+
 def grow(nodes: DataFrame) -> DataFrame:
-    """The level above: file, ordinal, hash of the ordered children's ranges and hashes, and their common range."""
+    """The level above: file, ordinal, hash of the children's places, sizes and hashes, and their common range.
+
+    The hash holds no start, so that a node that only moved keeps it.
+    """
     child = F.struct(F.col("ordinal").alias("o"), F.col("start").alias("s"), F.col("size").alias("z"), F.col("hash").alias("h"))
     up = nodes.groupBy("file", F.floor(F.col("ordinal") / FAN).cast("long").alias("up")).agg(F.sort_array(F.collect_list(child)).alias("c"))  # FAN children
-    text = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["s"], x["z"], x["h"])), "|")
-    return up.select("file", F.col("up").alias("ordinal"), F.col("c")[0]["s"].alias("start"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["z"]).alias("size"), F.sha2(text, 256).alias("hash"))
+    return up.select("file", F.col("up").alias("ordinal"), *_range("c"), _digest("c", lambda x: F.concat_ws(":", x["o"], x["z"], x["h"])))
 
 
-def tree(leaf: DataFrame, levels: int) -> list[DataFrame]:
-    """Levels from the leaves to the roots."""
-    out = [leaf]
+def tree(leaf: DataFrame, levels: int, records: int = RECORDS) -> list[DataFrame]:
+    """Levels from the places to the roots."""
+    out = [materialize(slots(leaf, records))]
     for _ in range(levels):
         out.append(grow(out[-1]))
     return out
 
 
 def audit(ours: DataFrame, theirs: DataFrame, records: int = RECORDS) -> DataFrame:
-    """One row per leaf of either replica: file, ordinal, page_id, start, size, hash, status.
+    """One row per leaf of either replica: file, ordinal (in ours, or theirs for extra), page_id, start, size, hash, status.
 
-    status: ok, moved (the same bytes at another start), corrupt, missing (not in theirs) or extra (only there). Roots are compared
-    first; below a root or node that differs only its children are looked at, level by level, down to the leaves; leaves
-    under equal roots are ok without a look. Takes leaves(); a file has at most records rows, so that trees have
-    a fixed height. Empty replicas give none or only missing or extra.
+    status: ok, moved (the same bytes at another start), corrupt, missing (not in theirs) or extra (only there). Roots are
+    compared first; below a root or node whose hash differs only its children are looked at, level by level, down to the
+    places; what stands under an equal hash is ok, or moved if the start differs, without a look. Within a place, equal
+    records belong together first (repeats of a page_id), what is left in order of hash. Takes leaves(); a file has at most
+    records places, so that trees have a fixed height. Empty replicas give none or only missing or extra.
     """
     levels = 0
     while FAN**levels < records:
         levels += 1
-    a, b = tree(ours, levels), tree(theirs, levels)
-    paths = None
+    a, b = tree(ours, levels, records), tree(theirs, levels, records)
+    paths, moved = None, []
     for level in range(levels, -1, -1):
         x = a[level].select("file", "ordinal", F.struct("start", "size", "hash").alias("x"))
         y = b[level].select("file", "ordinal", F.struct("start", "size", "hash").alias("y"))
         if paths is not None:
-            keep = paths.select("file", F.col("ordinal").alias("up"))
+            keep = paths.where(~F.col("x.hash").eqNullSafe(F.col("y.hash"))).select("file", F.col("ordinal").alias("up"))
             x, y = (z.withColumn("up", F.floor(F.col("ordinal") / FAN).cast("long")).join(keep, ["file", "up"], "left_semi").drop("up") for z in (x, y))
-        paths = x.join(y, ["file", "ordinal"], "full").where(~F.col("x").eqNullSafe(F.col("y")))
-    bad = paths.select("file", "ordinal", F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").when(F.col("x.hash") == F.col("y.hash"), "moved").otherwise("corrupt").alias("status"))
-    alone = bad.where("status = 'extra'").join(theirs, ["file", "ordinal"])
-    mine = ours.join(bad.where("status <> 'extra'"), ["file", "ordinal"], "left").withColumn("status", F.coalesce("status", F.lit("ok")))
-    return mine.unionByName(alone)
+        paths = materialize(x.join(y, ["file", "ordinal"], "full").where(~F.col("x").eqNullSafe(F.col("y"))))  # read by the next level and the end
+        wide = FAN**level
+        below = F.explode(F.sequence(F.col("ordinal") * wide, F.col("ordinal") * wide + (wide - 1)))  # places of a file at most
+        moved.append(paths.where(F.col("x.hash") == F.col("y.hash")).select("file", below.alias("place")))
+    bad = paths.where(~F.col("x.hash").eqNullSafe(F.col("y.hash"))).select("file", F.col("ordinal").alias("place"), F.lit(True).alias("_bad"))
+    shift = moved[0]
+    for m in moved[1:]:
+        shift = shift.unionByName(m)
+    place = F.coalesce(F.pmod("page_id", F.lit(records)), F.lit(0)).cast("long").alias("place")
+    look = shift.withColumn("_bad", F.lit(False)).unionByName(bad)
+    mine = ours.select("*", place).join(look, ["file", "place"], "left")
+    sound = mine.where("_bad IS NULL OR NOT _bad").withColumn("status", F.when(F.col("_bad").isNull(), "ok").otherwise("moved"))
+    other = theirs.select("*", place).join(bad, ["file", "place"], "left_semi")
+    return sound.drop("place", "_bad").unionByName(_pairs(mine.where("_bad").drop("_bad"), other).drop("place"))
+
+
+def _pairs(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Leaves of either side with their status, paired within their place: equal hashes first, then the rest in order."""
+    same = Window.partitionBy("file", "place", "page_id", "hash").orderBy("start")
+    nth = ["file", "place", "page_id", "hash", "n"]
+    x, y = (z.withColumn("n", F.row_number().over(same)) for z in (ours, theirs))
+    key = lambda cols: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cols]
+    left = x.alias("a").join(y.alias("b"), key(nth), "left").select("a.*", F.col("b.start").alias("there"))
+    equal = left.where("there IS NOT NULL").withColumn("status", F.when(F.col("there") == F.col("start"), "ok").otherwise("moved"))
+    rest = Window.partitionBy("file", "place", "page_id").orderBy("start")
+    x = left.where("there IS NULL").withColumn("n", F.row_number().over(rest))
+    y = y.alias("a").join(ours.withColumn("n", F.row_number().over(same)).alias("b"), key(nth), "left_anti").withColumn("n", F.row_number().over(rest))
+    nth.remove("hash")
+    mine = x.alias("a").join(y.alias("b"), key(nth), "left").select("a.*", F.when(F.col("b.hash").isNull(), "missing").otherwise("corrupt").alias("status"))
+    extra = y.alias("a").join(x.alias("b"), key(nth), "left_anti").withColumn("status", F.lit("extra"))
+    return equal.drop("n", "there").unionByName(mine.drop("n", "there")).unionByName(extra.drop("n"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:

@@ -87,6 +87,27 @@ def test_fixity(spark):
     assert fixity.audit(ours, theirs.where("file IS NULL"), 256).where("status <> 'missing'").count() == 0
 
 
+def test_fixity_losses_and_additions_inside_files(spark):
+    rows = [(i, f"http://h/{i}", "x" * (i % 7)) for i in range(600) if i not in (40, 300)]
+    rows += [(7, "http://h/7", f"copy {k}") for k in range(4)] + [(None, f"http://n/{k}", "n") for k in range(3)]
+    theirs = [r for r in rows if r[0] != 100 and r[2] != "copy 1" and r[1] != "http://n/0"]
+    theirs += [(300, "http://h/300", "new"), (None, "http://n/9", "n")]
+    theirs = [(i, u, "ruined" if i == 420 else h) for i, u, h in theirs]
+    schema = "page_id long, url string, html string"
+    a, b = (fixity.leaves(fixity.warc_records(spark.createDataFrame(r, schema), 256)) for r in (rows, theirs))
+    got = fixity.audit(a, b, 256).collect()
+    start = {(r.page_id, r.hash): r.start for r in b.collect()}
+    mine = {(r.page_id, r.hash): r.start for r in a.collect()}
+    assert len(mine) == len(rows) and len(start) == len(theirs)
+    want = {}
+    for k, s in mine.items():
+        want[k] = "corrupt" if k[0] == 420 else "missing" if k not in start else "ok" if start[k] == s else "moved"
+    want |= {k: "extra" for k in start if k not in mine and k[0] != 420}
+    assert {(r.page_id, r.hash): r.status for r in got} == want and len(got) == len(want)
+    named = {s: sorted((k[0] is None, k[0] or 0) for k, t in want.items() if t == s) for s in ("corrupt", "missing", "extra")}
+    assert named == {"corrupt": [(False, 420)], "missing": [(False, 7), (False, 100), (True, 0)], "extra": [(False, 300), (True, 0)]}
+
+
 def test_pipeline(spark, docs, corpus, tmp_path):
     import corpus_pipeline as p
     from test_text_operators import jaccard, removed
