@@ -179,16 +179,18 @@ def _reduce_anchors(with_first: bool):
         many[:-1] |= same
         ask = rep[many]
         parts = [_cover(late, np.zeros(len(late), bool)), _cover(a[later], np.zeros(int(later.sum()), bool))]
+        lefts = np.zeros(len(late) + int(later.sum()), np.int32)
         if with_first:
             held = np.isin(_group_ids(rep), np.concatenate([p["grp"] for p in parts]))
             parts.append(_cover(rep[held], np.ones(int(held.sum()), bool)))
+            lefts = np.concatenate((late["left"], a["left"][later], rep["left"][held])).astype(np.int32)
         cover = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         lo = ask["lo"].astype(np.int64)
         asked = {"grp": ask["h"].view(np.int64), "doc_id": ask["doc"], "lo": lo, "hi": lo + ask["size"], "first": np.zeros(len(ask), bool)}
         n, m = len(cover["grp"]), len(ask)
         out = {k: np.concatenate((cover[k], asked[k])) for k in cover}
         out["kind"] = np.repeat(np.array([0, 1], np.int32), (n, m))
-        out["left"] = np.concatenate((np.zeros(n, np.int32), ask["left"].astype(np.int32)))
+        out["left"] = np.concatenate((lefts, ask["left"].astype(np.int32)))
         return pa.table({k: out[k] for k in ("kind", "grp", "doc_id", "lo", "hi", "left", "first")})
 
     return run
@@ -295,11 +297,11 @@ def _search(min_len: int, with_first: bool):
         at = lo + n_left
         groups = repeat_groups(key, doc, at, left, right, n_left, n_right, min_len)
         if with_first:
-            out = {k: [np.zeros(0, np.int64)] for k in ("grp", "doc_id", "lo", "hi")} | {"first": [np.zeros(0, bool)]}
+            out = {k: [np.zeros(0, np.int64)] for k in ("grp", "doc_id", "lo", "hi", "at")} | {"first": [np.zeros(0, bool)], "whole": [np.zeros(0, bool)]}
             for n, d, m in groups:
                 string = data[begin[m[0]] + n_left[m[0]] - n : begin[m[0]] + n_left[m[0]] + d].tobytes()
                 grp = int.from_bytes(hashlib.blake2b(key[m[:1]].tobytes() + bytes([n]) + string, digest_size=8).digest(), "little", signed=True)
-                for k, v in (("grp", np.full(len(m), grp)), ("doc_id", doc[m]), ("lo", at[m] - n), ("hi", at[m] + d), ("first", _at_first(doc, at, m))):
+                for k, v in (("grp", np.full(len(m), grp)), ("doc_id", doc[m]), ("lo", at[m] - n), ("hi", at[m] + d), ("first", _at_first(doc, at, m)), ("at", at[m]), ("whole", (n_left[m] == n) & (n_right[m] == d))):
                     out[k].append(v)
             return pa.table({k: np.concatenate(v) for k, v in out.items()})
         # all groups of an occurrence hold its anchor, so what they cover of it is one stretch
@@ -318,6 +320,19 @@ def _by_document(docs: DataFrame, parts: int, keep: tuple[str, ...] = ()) -> Dat
     return docs.select("doc_id", "text", *keep, F.pmod(row, F.lit(parts)).cast("int").alias("part"))
 
 
+def _with_classes(leaves: DataFrame, searched: DataFrame) -> DataFrame:
+    """Groups with all members: an interval's representatives stand for all occurrences of their contexts.
+
+    A class whose whole context is an interval's string is that interval's group and none of its own.
+    """
+    leaves = leaves.select(F.col("grp").alias("class"), "doc_id", "lo", "hi", "first", (F.col("lo") + F.col("left")).alias("at"))
+    heads = leaves.where("first").select("class", "doc_id", "at")
+    ranges = searched.join(heads, ["doc_id", "at"]).select("class", "grp", (F.col("lo") - F.col("at")).alias("before"), (F.col("hi") - F.col("at")).alias("after"), "whole")
+    others = ranges.join(leaves.where("not first"), "class").select("grp", "doc_id", (F.col("at") + F.col("before")).alias("lo"), (F.col("at") + F.col("after")).alias("hi"), F.lit(False).alias("first"))
+    alone = leaves.join(ranges.where("whole").select("class"), "class", "left_anti").select(F.col("class").alias("grp"), "doc_id", "lo", "hi", "first")
+    return alone.unionByName(searched.select("grp", "doc_id", "lo", "hi", "first")).unionByName(others)
+
+
 def find_repeats(docs: DataFrame, min_len: int = 100, with_first: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Occurrences of repeat groups: grp, doc_id, lo, hi (bytes), first.
 
@@ -339,8 +354,10 @@ def find_repeats(docs: DataFrame, min_len: int = 100, with_first: bool = False,
     searched = (
         contexts.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(many)).cast("int"))
         .groupBy("bucket")
-        .applyInArrow(_search(min_len, with_first), COVER_SCHEMA)
+        .applyInArrow(_search(min_len, with_first), COVER_SCHEMA + ", at long, whole boolean" if with_first else COVER_SCHEMA)
     )
+    if with_first:
+        return _with_classes(found.where("kind = 0"), materialize(searched))
     return found.where("kind = 0").select("grp", "doc_id", "lo", "hi", "first").unionByName(searched)
 
 

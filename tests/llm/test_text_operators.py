@@ -87,6 +87,22 @@ def test_repeat_groups_have_all_occurrences(docs, corpus):
         assert sum(r.first for r in members) == 1 and len({(r.doc_id, r.lo) for r in members}) > 1
 
 
+def test_repeat_groups_of_many_equal_contexts(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    common, before, after = word(120), word(90), word(90)
+    rows = [(i, f"{before}{common}{after}") for i in range(40)] + [(100, f"{word(90)}{common}{word(90)}"), (101, f"{word(90)}{common}"), (102, common)]
+    text = {i: t.encode() for i, t in rows}
+    groups = {}
+    for r in substring_dedup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), with_first=True).collect():
+        groups.setdefault(r.grp, []).append(r)
+    for members in groups.values():
+        s = text[members[0].doc_id][members[0].lo : members[0].hi]
+        assert sorted((r.doc_id, r.lo) for r in members) == sorted((d, p) for d, t in text.items() for p in range(len(t) - len(s) + 1) if t.startswith(s, p))
+        assert sum(r.first for r in members) == 1
+    assert {len(m) for m in groups.values()} >= {40, 43}
+
+
 def test_mixing(spark, docs, corpus, empty):
     rows = mixing.mix(mixing.sized_documents(docs, "source")).collect()
     again = mixing.mix(mixing.sized_documents(docs.repartition(3), "source")).collect()
