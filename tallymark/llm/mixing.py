@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_RE, table
+from .common import WORD_RE, materialize, table
 
-#: Patterns of membership that the driver's flow takes; more raise an error.
-MAX_PATTERNS = 1000
+#: Up to so many patterns, their plan is broadcast; more are joined by shuffle.
+BROADCAST_PATTERNS = 100_000
 #: Slices of the seeded order in which the documents' sizes are summed.
 SLICES = 4096
 
@@ -30,7 +30,8 @@ def target_sizes(sizes: list[int], weights: list[float], share: float, most: flo
         for i in over:
             target[i] = most * sizes[i]
         left -= sum(target[i] for i in over)
-        free = [i for i in free if i not in set(over)]
+        gone = set(over)
+        free = [i for i in free if i not in gone]
     return target
 
 
@@ -82,6 +83,34 @@ def route(patterns: list[tuple[int, ...]], sizes: list[int], quotas: list[int],
     return [{to[e] - first_s: cap[e ^ 1] for e in of[p] if e % 2 == 0 and first_s <= to[e] < start} for p in range(n_p)]
 
 
+def totals_given(patterns: list[tuple[int, ...]], sizes: list[int], quotas: list[int], repeats: int) -> list[int]:
+    """Words that each pattern gives to all its sources. Only patterns linked by shared sources need a flow."""
+    root = list(range(len(quotas)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for members in patterns:
+        for s in members[1:]:
+            root[find(s)] = find(members[0])
+    linked = defaultdict(list)
+    for p, members in enumerate(patterns):
+        linked[find(members[0])].append(p)
+    out = [0] * len(patterns)
+    for ps in linked.values():
+        if len(ps) == 1:
+            out[ps[0]] = min(sum(quotas[s] for s in patterns[ps[0]]), repeats * sizes[ps[0]])
+            continue
+        at = {s: k for k, s in enumerate(sorted({s for p in ps for s in patterns[p]}))}
+        flows = route([tuple(at[s] for s in patterns[p]) for p in ps], [sizes[p] for p in ps], [quotas[s] for s in at], repeats)
+        for p, f in zip(ps, flows, strict=True):
+            out[p] = sum(f.values())
+    return out
+
+
 def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
     """Choose how often the mix takes each row.
 
@@ -92,39 +121,37 @@ def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeats: int = 2
     rest, to the nearest row; none more than repeats times. Rows with null doc_id take part (ordered by size); equal
     rows are interchangeable. An empty table gives an empty result. rows is read twice and must read alike.
 
-    Sums of at most MAX_PATTERNS patterns in SLICES slices of the seeded order reach the driver; a slice that a
+    One sum a pattern reaches the driver; those of the SLICES slices of the seeded order stay in Spark. A slice that a
     pattern's rest ends in is ordered in one task.
     """
     spark = rows.sparkSession
     key = F.array_sort(F.array_distinct(F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array(F.lit(None).cast("string")))))
     rows = rows.withColumn("_key", key).withColumn("_u", F.xxhash64("doc_id", F.lit(seed)))
     rows = rows.withColumns({"_pattern": F.to_json(F.struct("_key"), {"ignoreNullFields": "false"}), "_slice": F.shiftrightunsigned("_u", 64 - (SLICES.bit_length() - 1)).cast("int")})
-    sums, members_of = defaultdict(dict), {}
-    for r in rows.groupBy("_pattern", "_slice").agg(F.first("_key").alias("key"), F.sum("size").alias("size")).limit(MAX_PATTERNS * SLICES + 1).collect():
-        sums[r["_pattern"]][r["_slice"]] = int(r["size"] or 0)
-        members_of[r["_pattern"]] = r["key"]
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    names = sorted(sums)
-    every = sorted({s for k in members_of.values() for s in k}, key=lambda s: (s is None, s or ""))
+    sums = materialize(rows.groupBy("_pattern", "_slice").agg(F.first("_key").alias("key"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("size")))
+    found = {r["_pattern"]: r for r in sums.groupBy("_pattern").agg(F.first("key").alias("key"), F.sum("size").alias("size")).collect()}
+    names = sorted(found)
+    every = sorted({s for r in found.values() for s in r["key"]}, key=lambda s: (s is None, s or ""))
     index = {s: i for i, s in enumerate(every)}
-    members = [tuple(sorted({index[s] for s in members_of[p]})) for p in names]
-    sizes = [sum(sums[p].values()) for p in names]
-    of_source = [sum(z for m, z in zip(members, sizes, strict=True) if i in m) for i in range(len(every))]
+    members = [tuple(sorted({index[s] for s in found[p]["key"]})) for p in names]
+    sizes = [int(found[p]["size"]) for p in names]
+    of_source = [0] * len(every)
+    for m, z in zip(members, sizes, strict=True):
+        for i in m:
+            of_source[i] += z
     targets = target_sizes(of_source, [weights[i % len(weights)] for i in range(len(every))], share, repeats, sum(sizes))
-    flows = route(members, sizes, [round(t) for t in targets], repeats)
+    given = totals_given(members, sizes, [round(t) for t in targets], repeats)
     plans = []
-    for p, m, z, f in zip(names, members, sizes, flows, strict=True):
-        full, rest = divmod(sum(f.values()), z) if z else (0, 0)
-        before, cut = 0, SLICES
-        for k in sorted(sums[p]):
-            if before + sums[p][k] > rest:
-                cut = k
-                break
-            before += sums[p][k]
-        plans.append((p, float(sum(targets[i] for i in m)), sum(of_source[i] for i in m), int(full), cut, int(rest - before)))
-    plan = spark.createDataFrame(plans, "_pattern string, target double, source_size long, _full long, _cut int, _rest long")
-    rows = rows.drop("target", "source_size", "times", "taken").join(F.broadcast(plan), "_pattern")  # MAX_PATTERNS rows at most
+    for p, m, z, f in zip(names, members, sizes, given, strict=True):
+        full, rest = divmod(f, z) if z else (0, 0)
+        plans.append((p, float(sum(targets[i] for i in m)), sum(of_source[i] for i in m), int(full), int(rest)))
+    plan = spark.createDataFrame(plans, "_pattern string, target double, source_size long, _full long, _all long")
+    small = F.broadcast if len(plans) <= BROADCAST_PATTERNS else lambda df: df
+    upto = F.sum("size").over(Window.partitionBy("_pattern").orderBy("_slice"))  # SLICES rows at most
+    cuts = sums.select("_pattern", "_slice", upto.alias("_upto")).join(small(plan), "_pattern").groupBy(*plan.columns)
+    cuts = cuts.agg(F.coalesce(F.min(F.when(F.col("_upto") > F.col("_all"), F.col("_slice"))), F.lit(SLICES)).alias("_cut"), F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_all"), F.col("_upto"))), F.lit(0)).alias("_before"))
+    plan = cuts.withColumn("_rest", F.col("_all") - F.col("_before")).drop("_all", "_before")
+    rows = rows.drop("target", "source_size", "times", "taken").join(small(plan), "_pattern")
     whole = rows.where("_slice <> _cut").withColumn("_more", (F.col("_slice") < F.col("_cut")).cast("long"))
     run = Window.partitionBy("_pattern").orderBy("_u", "doc_id", "size")
     before = F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")

@@ -140,6 +140,23 @@ def test_mixing_overlapping_sources(spark):
     assert sum(r.taken for r in out) == pytest.approx(3000, abs=30) and max(r.taken for r in out) <= 20
 
 
+def test_mixing_many_sources(spark):
+    rows = [(i, [f"s{i % 1500:04}"], 10 + i % 7) for i in range(6000)] + [(9000 + i, ["x", "y"] if i % 2 else ["x"], 10) for i in range(100)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, sources array<string>, size long")).collect()
+    of = {}
+    for _, many, z in rows:
+        for s in many:
+            of[s] = of.get(s, 0) + z
+    names = sorted(of)
+    want = dict(zip(names, mixing.target_sizes([of[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5, 2, sum(z for *_, z in rows)), strict=True))
+    taken = {}
+    for r in out:
+        assert r.taken in (0, r.size, 2 * r.size)
+        taken[tuple(r.sources)] = taken.get(tuple(r.sources), 0) + r.taken
+    assert len(out) == len(rows) and len(taken) == 1502
+    assert all(abs(t - want[k[0]]) <= 16 for k, t in taken.items() if k[0] not in "xy")
+
+
 def test_license_scan(spark, empty):
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\nRedistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
     rows = [(1, bsd), (2, "x\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License."), (3, "All rights reserved."), (4, None), (5, ""), (6, "mit licence, they say")]
