@@ -111,22 +111,23 @@ def totals_given(patterns: list[tuple[int, ...]], sizes: list[int], quotas: list
     return out
 
 
-def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
+def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17, spread: tuple[str, ...] = ()) -> DataFrame:
     """Choose how often the mix takes each row.
 
     rows: doc_id, sources (array of strings; none or null for no source's name), size (long), and others, which stay.
     Sources stand in code point order, the missing name last, and get weights in turn; a row with several sources may
     serve any of them. Adds source_size and target (of the row's source; sums for several), times and taken (size *
     times). A pattern's rows are all taken floor(flow / size) times, then once more in seeded order up to the flow's
-    rest, to the nearest row; none more than repeats times. Rows with null doc_id take part (ordered by size); equal
-    rows are interchangeable. An empty table gives an empty result. rows is read twice and must read alike.
+    rest, to the nearest row; none more than repeats times. The seeded order hashes doc_id, size and the columns spread
+    (so that many rows of one id, or without one, don't stand in one slice); equal rows are interchangeable. An empty
+    table gives an empty result. rows is read twice and must read alike.
 
     One sum a pattern reaches the driver; those of the SLICES slices of the seeded order stay in Spark. A slice that a
     pattern's rest ends in is ordered in one task.
     """
     spark = rows.sparkSession
     key = F.array_sort(F.array_distinct(F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array(F.lit(None).cast("string")))))
-    rows = rows.withColumn("_key", key).withColumn("_u", F.xxhash64("doc_id", F.lit(seed)))
+    rows = rows.withColumn("_key", key).withColumn("_u", F.xxhash64("doc_id", "size", *spread, F.lit(seed)))
     rows = rows.withColumns({"_pattern": F.to_json(F.struct("_key"), {"ignoreNullFields": "false"}), "_slice": F.shiftrightunsigned("_u", 64 - (SLICES.bit_length() - 1)).cast("int")})
     sums = materialize(rows.groupBy("_pattern", "_slice").agg(F.first("_key").alias("key"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("size")))
     found = {r["_pattern"]: r for r in sums.groupBy("_pattern").agg(F.first("key").alias("key"), F.sum("size").alias("size")).collect()}
@@ -153,7 +154,7 @@ def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeats: int = 2
     plan = cuts.withColumn("_rest", F.col("_all") - F.col("_before")).drop("_all", "_before")
     rows = rows.drop("target", "source_size", "times", "taken").join(small(plan), "_pattern")
     whole = rows.where("_slice <> _cut").withColumn("_more", (F.col("_slice") < F.col("_cut")).cast("long"))
-    run = Window.partitionBy("_pattern").orderBy("_u", "doc_id", "size")
+    run = Window.partitionBy("_pattern").orderBy("_u", "doc_id", "size", *spread)
     before = F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     part = rows.where("_slice = _cut").withColumn("_more", (before + F.col("size") / 2 <= F.col("_rest")).cast("long"))
     out = whole.unionByName(part).withColumn("times", F.col("_full") + F.col("_more")).withColumn("taken", F.col("size") * F.col("times"))
@@ -161,13 +162,13 @@ def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeats: int = 2
 
 
 def sized_documents(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, sources (the one source of each), size in words (null text: 0), and the columns keep."""
+    """doc_id, sources (the one source of each), size in words (null text: 0), text_hash, and the columns keep."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
-    return docs.select("doc_id", *keep, F.array("source").alias("sources"), size.alias("size"))
+    return docs.select("doc_id", *keep, F.array("source").alias("sources"), size.alias("size"), F.xxhash64("text").alias("text_hash"))
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(sized_documents(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(sized_documents(table(spark, sf_dir, "documents")), spread=("text_hash",)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {"op3_source_mixing": op3_source_mixing}
