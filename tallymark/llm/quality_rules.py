@@ -17,7 +17,8 @@ STOP_WORDS = (
 # Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
-#: name, measure, least and greatest value that pass (None: no bound); a null measure passes.
+#: name, measure, least and greatest value that pass (None: no bound); a null measure passes. Repeated lines fail a text
+#: from the share on that the base rule sets for repeated words: more than half.
 RULES = (
     ("words", "n_words", 50, None),
     ("repeated_words", "repeat_ratio", None, 0.5),

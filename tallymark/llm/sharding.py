@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import free_names, materialize, table
 
 ROUNDS = 6
 #: Slices of the row numbering; their counts (this many rows at most) go to the driver.
@@ -62,25 +62,28 @@ def number_rows(rows: DataFrame, *order: str) -> DataFrame:
     """Adds row, a gapless number from 0 in an order fixed by the values of order (equal rows are interchangeable).
 
     Rows fall into SLICES by a hash of the order columns; counts before each slice plus the place within it make the
-    number, so that no task sorts more than a slice.
+    number, so that no task sorts more than a slice. A column row of the input that isn't in order is replaced; all
+    other columns stay.
     """
-    cut = rows.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
-    counts = {r["slice"]: r["n"] for r in cut.groupBy("slice").agg(F.count("*").alias("n")).collect()}
+    cut_, place_, before_ = free_names(rows, "slice", "place", "before")
+    cut = rows.withColumn(cut_, F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
+    counts = {r[0]: r[1] for r in cut.groupBy(cut_).agg(F.count("*")).collect()}
     before, at = [], 0
     for s in range(SLICES):
         before.append(at)
         at += counts.get(s, 0)
-    offset = rows.sparkSession.createDataFrame(list(enumerate(before)), "slice int, before long")
-    place = F.row_number().over(Window.partitionBy("slice").orderBy(*order)) - 1
-    return cut.withColumn("place", place).join(F.broadcast(offset), "slice").withColumn("row", F.col("before") + F.col("place")).drop("slice", "place", "before")
+    offset = rows.sparkSession.createDataFrame(list(enumerate(before)), f"{cut_} int, {before_} long")
+    place = F.row_number().over(Window.partitionBy(cut_).orderBy(*order)) - 1
+    return cut.withColumn(place_, place).join(F.broadcast(offset), cut_).withColumn("row", F.col(before_) + F.col(place_)).drop(cut_, place_, before_)
 
 
 def shard(rows: DataFrame, shards: int, *order: str, seed: int = 11) -> DataFrame:
     """Adds row, shard and slot: row numbers permuted, then dealt in turn.
 
     Counts of shards differ by one at most and slots are gapless from 0. Reruns over the same rows agree. Nulls order
-    first; an empty table gives an empty result. The permutation alone gives shard and slot of any row number
-    (Permutation.place) and the row of any shard and slot (inverse).
+    first; an empty table gives an empty result. Columns row, shard and slot of the input are replaced, all others stay.
+    The permutation alone gives shard and slot of any row number (Permutation.place) and the row of any shard and slot
+    (inverse).
     """
     rows = materialize(rows)
     n = rows.count()
@@ -91,8 +94,9 @@ def shard(rows: DataFrame, shards: int, *order: str, seed: int = 11) -> DataFram
     def permute(x: pd.Series) -> pd.Series:
         return pd.Series(permutation.forward(x.to_numpy()))
 
-    out = numbered.withColumn("p", permute("row"))
-    return out.withColumns({"shard": (F.col("p") % shards).cast("int"), "slot": F.expr(f"p div {shards}")}).drop("p")
+    (p,) = free_names(numbered, "p")
+    out = numbered.withColumn(p, permute("row"))
+    return out.withColumns({"shard": (F.col(p) % shards).cast("int"), "slot": F.expr(f"{p} div {shards}")}).drop(p)
 
 
 def op8_feistel_sharding(spark, sf_dir: str) -> DataFrame:
