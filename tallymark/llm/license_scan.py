@@ -2,85 +2,162 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
 # Licence sentences in normal form (lower case, letters and digits, single spaces) by identifier.
 SENTENCES = {
-    "apache2_short": ("licensed under the apache license version 2 0", "released under the apache license version 2 0", "licensed under the apache license version 2 0 the license"),
+    "apache2_short": (
+        "licensed under the apache license version 2 0", "released under the apache license version 2 0", "licensed under the apache license version 2 0 the license",
+    ),
+    "apache2_title": ("apache license version 2 0 january 2004",),
     "apache2_comply": ("you may not use this file except in compliance with the license",),
-    "apache2_asis": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",),
-    "mit_short": ("released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "spdx license identifier mit"),
-    "mit_grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",),
+    "apache2_asis": (
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ),
+    "mit_short": ("released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"),
+    "mit_grant": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    ),
     "mit_notice": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
-    "asis_warranty": ("the software is provided as is without warranty of any kind express or implied",),
+    "asis_warranty": (
+        "the software is provided as is without warranty of any kind express or implied",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    ),
+    "isc_grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
+    "zero_grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
+    "isc_warranty": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
     "bsd_grant": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
     "bsd_source": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",),
     "bsd_binary": ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",),
     "bsd_endorse": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "mpl2_form": ("this source code form is subject to the terms of the mozilla public license v",),
+    "mpl2_copy": (
+        "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    ),
+    "mpl2_title": ("mozilla public license version 2 0",),
     "gpl3_short": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"),
-    "gpl_free": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",),
-    "gpl2_version": ("either version 2 of the license or at your option any later version",),
-    "gpl3_version": ("either version 3 of the license or at your option any later version",),
+    "gpl2_title": ("gnu general public license version 2 june 1991",),
+    "gpl3_title": ("gnu general public license version 3 29 june 2007",),
+    "lgpl21_title": ("gnu lesser general public license version 2 1 february 1999",),
+    "lgpl3_title": ("gnu lesser general public license version 3 29 june 2007",),
+    "agpl3_title": ("gnu affero general public license version 3 19 november 2007",),
     "ccbync4": ("licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "released under cc by nc 4 0"),
     "ccby4": ("licensed under cc by 4 0", "this work is licensed under cc by 4 0", "released under cc by 4 0"),
     "cc0": ("released under cc0 1 0", "this work is dedicated to the public domain under cc0 1 0"),
+    "cc0_waiver": ("has waived all copyright and related or neighboring rights to this work",),
+    "unlicense": ("this is free and unencumbered software released into the public domain",),
     "all_rights": ("all rights reserved",),
 }
-#: Ordered rules: the identifiers that must follow each other (others may stand between), licence, permissive.
-RULES = (
+# GNU licences (name in their notices, SPDX prefix, versions) and Creative Commons 4.0 (name, SPDX).
+GNU = (("general", "GPL", ("2", "3")), ("lesser general", "LGPL", ("2 1", "3")), ("affero general", "AGPL", ("3",)))
+CREATIVE = (
+    ("attribution", "CC-BY-4.0"), ("attribution sharealike", "CC-BY-SA-4.0"), ("attribution noncommercial", "CC-BY-NC-4.0"), ("attribution noderivatives", "CC-BY-ND-4.0"),
+    ("attribution noncommercial sharealike", "CC-BY-NC-SA-4.0"), ("attribution noncommercial noderivatives", "CC-BY-NC-ND-4.0"),
+)
+# Names after SPDX-License-Identifier.
+SPDX = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "MIT OR Apache-2.0", "Apache-2.0 OR MIT",
+)
+#: Ordered rules: the identifiers that must follow each other (others may stand between), licence.
+RULES = [
     (("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"), "BSD-3-Clause"),
     (("bsd_grant", "bsd_source", "bsd_binary"), "BSD-2-Clause"),
     (("mit_grant", "mit_notice", "asis_warranty"), "MIT"),
     (("mit_short",), "MIT"),
     (("apache2_short", "apache2_comply", "apache2_asis"), "Apache-2.0"),
     (("apache2_short",), "Apache-2.0"),
-    (("gpl_free", "gpl3_version"), "GPL-3.0-or-later"),
-    (("gpl_free", "gpl2_version"), "GPL-2.0-or-later"),
+    (("apache2_title",), "Apache-2.0"),
+    (("isc_grant", "isc_warranty"), "ISC"),
+    (("zero_grant", "isc_warranty"), "0BSD"),
+    (("mpl2_form", "mpl2_copy"), "MPL-2.0"),
+    (("mpl2_title",), "MPL-2.0"),
     (("gpl3_short",), "GPL-3.0"),
+    (("gpl2_title",), "GPL-2.0"),
+    (("gpl3_title",), "GPL-3.0"),
+    (("lgpl21_title",), "LGPL-2.1"),
+    (("lgpl3_title",), "LGPL-3.0"),
+    (("agpl3_title",), "AGPL-3.0"),
     (("ccbync4",), "CC-BY-NC-4.0"),
     (("ccby4",), "CC-BY-4.0"),
     (("cc0",), "CC0-1.0"),
-)
+    (("cc0_waiver",), "CC0-1.0"),
+    (("unlicense",), "Unlicense"),
+]
+
+
+def _normal(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
+def _add_families() -> None:
+    """Sentences and rules that follow a pattern: GNU notices, Creative Commons lines, SPDX lines."""
+    for name, short, versions in GNU:
+        free = f"you can redistribute it and or modify it under the terms of the gnu {name} public license"
+        key = short.lower()
+        SENTENCES[f"{key}_free"] = (f"{free} as published by the free software foundation",)
+        for v in versions:
+            spdx, id_ = f"{short}-{v.replace(' ', '.') if ' ' in v else v + '.0'}", f"{key}{v.replace(' ', '')}"
+            later = f"either version {v} of the license or at your option any later version"
+            SENTENCES[f"gnu{v.replace(' ', '')}_later"] = (later,)
+            SENTENCES[f"{id_}_grant"] = (f"{free} as published by the free software foundation {later}",)
+            SENTENCES[f"{id_}_only"] = (f"{free} version {v} as published by the free software foundation",)
+            RULES.append(((f"{key}_free", f"gnu{v.replace(' ', '')}_later"), f"{spdx}-or-later"))
+            RULES.append(((f"{id_}_grant",), f"{spdx}-or-later"))
+            RULES.append(((f"{id_}_only",), f"{spdx}-only"))
+    for name, spdx in CREATIVE:
+        id_ = "cc_" + "".join(w[0] for w in name.split()) + "_" + name.split()[-1]
+        SENTENCES[id_] = (f"this work is licensed under a creative commons {name} 4 0 international license", f"licensed under a creative commons {name} 4 0 international license")
+        RULES.append(((id_,), spdx))
+    for spdx in SPDX:
+        id_ = "spdx_" + _normal(spdx).replace(" ", "_")
+        SENTENCES[id_] = (f"spdx license identifier {_normal(spdx)}",)
+        RULES.append(((id_,), spdx))
+
+
+_add_families()
 _ID = {s: i for i, many in SENTENCES.items() for s in many}
-
-_MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
-_GPL_FREE = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
-#: Sentences of the standard notices as they end in real texts; so long that they may also start inside a sentence, as after a
-#: copyright line or an address that has no end. ORACLES knows SENTENCES and RULES only.
-FULL_SENTENCES = {
-    "apache2_short": ("licensed under the apache license version 2 0 the license",),
-    "apache2_asis": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",),
-    "mit_grant": (_MIT_GRANT,),
-    "asis_warranty": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",),
-    "bsd_grant": SENTENCES["bsd_grant"],
-    "gpl_free": (_GPL_FREE,),
-    "gpl2_grant": (f"{_GPL_FREE} either version 2 of the license or at your option any later version",),
-    "gpl3_grant": (f"{_GPL_FREE} either version 3 of the license or at your option any later version",),
-}
-FULL_RULES = RULES + ((("gpl3_grant",), "GPL-3.0-or-later"), (("gpl2_grant",), "GPL-2.0-or-later"))
-_FULL_ID = _ID | {s: i for i, many in FULL_SENTENCES.items() for s in many}
+#: Sentences of so many words may also start inside a sentence, as after a copyright line or an address without an end.
+LONG = 10
+#: Every known sentence holds one of these; texts without any aren't looked at further.
+HINTS = ("licen", "redistribut", "permission", "copyright", "warrant", "rights", "mozilla", "mpl", "cc0", "released")
+assert all(any(h in s for h in HINTS) for s in _ID)
 
 
-def _any_of(many) -> str:
-    """Longest first; a blank is a blank or one line feed."""
-    return "(?:" + "|".join(s.replace(" ", "[ \n]") for s in sorted(many, key=len, reverse=True)) + r")(?= ?(?:\z|[\n\x01]))"
+def _any_of(many, blank: str) -> str:
+    return "(?:" + "|".join(s.replace(" ", blank) for s in sorted(many, key=lambda s: (-len(s), s))) + ")"
 
 
-_KNOWN = rf"(?<=\A|\A |[\n\x01]|\x01 ){_any_of(_FULL_ID)}|(?<=[ \n]){_any_of(s for many in FULL_SENTENCES.values() for s in many)}"
+_LONG = [s for s in _ID if s.count(" ") >= LONG - 1]
+_END = r"(?= ?(?:\z|[\n\x01]))"
+_KNOWN = rf"(?<=\A|\A |[\n\x01]|\x01 ){_any_of(_ID, '[ \n]')}{_END}|(?<=[ \n]){_any_of(_LONG, '[ \n]')}{_END}"
 
 
-def sentences(text) -> F.Column:
+def sentences(text: Column) -> Column:
     """Known sentences of a text in normal form, in text order.
 
     A sentence starts and ends at . ! ? ; : before white space or at a line's start and end; inside it, line feeds with
-    the comment marks around them are blanks, but a blank line ends it.
+    the comment marks around them are blanks, but a blank line ends it. The colon after SPDX-License-Identifier ends
+    nothing.
     """
-    cut = F.regexp_replace(F.translate(text, "\x01", " "), r"[.!?;:](?=[\x20\x09-\x0D])", "\x01")
+    one = F.regexp_replace(F.translate(text, "\x01", " "), r"(?i)(spdx-license-identifier):", "$1 ")
+    cut = F.regexp_replace(one, r"[.!?;:](?=[\x20\x09-\x0D])", "\x01")
     plain = F.regexp_replace(F.regexp_replace(F.lower(cut), r"[^a-z0-9\n\x01]+", " "), " ?\n ?", "\n")
-    return F.transform(F.regexp_extract_all(plain, F.lit(_KNOWN), F.lit(0)), lambda s: F.translate(s, "\n", " "))
+    found = F.transform(F.regexp_extract_all(plain, F.lit(_KNOWN), F.lit(0)), lambda s: F.translate(s, "\n", " "))
+    low = F.lower(text)
+    hint = F.lit(False)
+    for h in HINTS:
+        hint = hint | F.contains(low, F.lit(h))
+    return F.when(hint, found).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -92,20 +169,21 @@ def scan(docs: DataFrame) -> DataFrame:
     as they come; other columns are ignored; an empty table gives none. All in one projection; no shuffle.
     """
     known = sentences(F.coalesce("text", F.lit("")))
-    ids = F.create_map(*[F.lit(x) for kv in _FULL_ID.items() for x in kv])
+    ids = F.create_map(*[F.lit(x) for kv in _ID.items() for x in kv])
     found = docs.select("doc_id", known.alias("known")).select("doc_id", F.transform("known", lambda s: F.element_at(ids, s)).alias("ids"))
     seq = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
     found = found.select("doc_id", F.size("ids").cast("long").alias("n_licence_sentences"), F.array_join("ids", ",").alias("sequence"), seq.alias("seq"))
     hits, before = [], []
-    for members, name in FULL_RULES:
-        pattern = "," + ",(.*,)?".join(members) + ","
-        hit = F.col("seq").rlike(pattern)
-        covered = [h for m, h in before if m[0] == members[0]]
-        for h in covered:
-            hit = hit & ~h
-        before.append((members, F.col("seq").rlike(pattern)))
+    for members, name in RULES:
+        match = F.col("seq").rlike("," + ",(.*,)?".join(members) + ",")
+        hit = match
+        for m, earlier in before:
+            if m[0] == members[0]:
+                hit = hit & ~earlier
+        before.append((members, match))
         hits.append(F.when(hit, F.lit(name)))
-    out = found.withColumn("licences", F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), ","))
+    licences = F.when(F.col("n_licence_sentences") > 0, F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), ",")).otherwise("")
+    out = found.withColumn("licences", licences)
     return out.withColumn("unresolved", (F.col("n_licence_sentences") > 0) & (F.col("licences") == "")).drop("seq")
 
 
@@ -123,15 +201,23 @@ def _rule_sql() -> str:
 
 
 _IDS_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _ID.items()) + "}"
+# Ends are doubled, so that a match may take one and leave the other to the next: this engine has no look-around. A long
+# sentence inside another is found from the blank before it.
+_BLANK_SQL = r"(?: |\n\n)"
+_START_SQL = rf"(?:^ ?|[\n\x01] ?){_any_of(_ID, _BLANK_SQL)} ?(?:$|[\n\x01])"
+_INSIDE_SQL = rf"[ \n]{_any_of(_LONG, _BLANK_SQL)} ?(?:$|[\n\x01])"
 ORACLES = {
     "op4_license_scan": rf"""
-WITH s AS (
-  SELECT doc_id, list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
-           lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS x FROM documents
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '(spdx-license-identifier):', '\1 ', 'gi') AS t FROM documents
+), c AS (
+  SELECT r, doc_id, regexp_replace(regexp_replace(lower(regexp_replace(t, '[.!?;:]([\x20\x09-\x0D])', chr(1) || '\1', 'g')), '[^a-z0-9\n\x01]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM t
+), s AS (
+  SELECT r, doc_id, replace(replace(t, chr(10), chr(10) || chr(10)), chr(1), chr(1) || chr(1)) AS t FROM c
 ), k AS (
-  SELECT doc_id, list_filter(x, lambda y: y IN ({", ".join(f"'{s}'" for s in _ID)})) AS known FROM s
+  SELECT r, doc_id, list_transform(regexp_extract_all(t, '{_START_SQL}|{_INSIDE_SQL}'), lambda x: trim(regexp_replace(x, '[\n\x01 ]+', ' ', 'g'))) AS known FROM s
 ), i AS (
-  SELECT doc_id, list_transform(known, lambda y: {_IDS_SQL}[y]) AS ids FROM k
+  SELECT r, doc_id, list_transform(known, lambda y: {_IDS_SQL}[y]) AS ids FROM k
 ), q AS (
   SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_licence_sentences, coalesce(array_to_string(ids, ','), '') AS sequence,
          ',' || coalesce(array_to_string(ids, ','), '') || ',' AS seq FROM i
