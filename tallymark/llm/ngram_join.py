@@ -3,12 +3,14 @@
 Tokens (hashed n-grams) stand in one global order, rare ones first. A set of n tokens that reaches the threshold
 with another shares one of its first n - ceil(t n) + 1 tokens with it, so only those are indexed.
 
-* Index lists are sorted by set size and hold each set's position of the token. Sizes bound the partners, and blocks
-  of equal position whose rest is too short for the overlap wanted are skipped whole.
-* Equal sets are one class. A long list first compares only one of its sets, its head, with the others. Then a pair
-  (x, y) of it needs a look only if x and y aren't connected yet, and only if what is known of both against the head
-  c leaves room: |x & y| <= min(|x & c|, |y & c|) + min(|x - c|, |y - c|). So the answers of a set follow from those of
-  a highly similar set.
+* Index lists hold each set's position of the token and are cut in blocks of equal position. Two sets share at most
+  min(|x| - i, |y| - j) tokens from positions i and j on, so by its largest and the other's smallest set a pair of
+  blocks is skipped whole, unread, where that can't reach the threshold; sizes bound the partners in the rest.
+* Equal sets are one class. A long list first compares only one of its sets, its head c, with the others. The
+  answers of all others derive from the head's: |x & c| + |y & c| - |c| <= |x & y| <= min(|x & c|, |y & c|) +
+  min(|x - c|, |y - c|). Sets much like c are linked or parted by these bounds alone; only pairs that they leave open are
+  compared, and for components only those that aren't connected yet.
+* Lists of more than BLOCK sets are dealt to tasks by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table
+from .common import materialize, release, shuffle_partitions, table, total_bytes
 from .components import components
 from .hashing import BYTE, M1, M2, M3, mix, pair, runs
 
@@ -31,7 +33,11 @@ SLICE = 1 << 20
 FLUSH = 1 << 19
 #: Lists up to this length give all their pairs at once.
 SHORT = 6
-ATTEMPTS = 3
+ATTEMPTS = 2
+#: Sets of one list that are compared in one task; more are dealt by pairs of blocks.
+BLOCK = 1024
+#: Bytes of text for each bucket of index lists.
+BUCKET = 16 << 20
 #: Words of 64 bits of the map of documents that pairs name; its size bounds what is broadcast.
 MAP_WORDS = 1 << 18
 #: Tokens known as frequent: found at least this often in a task's slice of documents; this many at most.
@@ -232,11 +238,11 @@ def wanted(x, y):
     return -(-UP * (x + y) // (UP + DOWN))
 
 
-LIST_SCHEMA = "kind int, token long, a long, b long, n long, pos long"
+LIST_SCHEMA = "kind int, token long, a long, b long, n long, pos long, nh long"
 
 
 def _candidates(t: pa.Table) -> pa.Table:
-    """kind 0: pairs (a, b); kind 1: entries of long lists (b of the list that a heads)."""
+    """kind 0: pairs (a, b); kind 1: entries of long lists (b of the list that a heads, which has nh tokens)."""
     e = _first_of_class(np.concatenate([_unpack(x.as_py()) for x in t["entries"]]))
     start = runs(e["token"])
     size = np.diff(np.concatenate((start, [len(e)])))
@@ -277,6 +283,7 @@ def _candidates(t: pa.Table) -> pa.Table:
             "b": np.concatenate((b, doc[own])),
             "n": np.concatenate((zero, n[own])),
             "pos": np.concatenate((zero, pos[own])),
+            "nh": np.concatenate((zero, n[head])),
         }
     )
 
@@ -328,45 +335,103 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
 
 
-def _open_pairs(attempt: int | None):
-    """Pairs that are in different components and that nothing known rules out, once for all lists of a head.
+def _open(n, pos, common, nh, comp, block, doc, head) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j, derived) of a list's sets, sorted by position and size, that may link: derived ones surely do.
 
-    With an attempt, one partner of each set only, another one in each attempt.
+    common is |x & head|, -1 where it isn't known. Blocks of equal position are skipped whole where no pair of theirs can
+    reach the threshold; block (all equal, or two values) allows pairs of different values only.
+    """
+    starts = runs(pos)
+    ends = np.concatenate((starts[1:], [len(pos)]))
+    small, large, at = n[starts], n[ends - 1], pos[starts]
+    split = block[0] != block[-1] or (block != block[0]).any()
+    rest = n - common
+    for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        # need <= |x| - i means (UP + DOWN) i <= DOWN |x| - UP |y|
+        fits = (DOWN * large[k] - UP * small[k:] >= (UP + DOWN) * at[k]) & (DOWN * large[k:] - UP * small[k] >= (UP + DOWN) * at[k:])
+        held = np.flatnonzero(fits) + k
+        if not len(held):
+            continue
+        y = np.concatenate([np.arange(starts[q], ends[q]) for q in held.tolist()])
+        for x0 in range(s, e, 256):
+            x = np.arange(x0, min(x0 + 256, e))[:, None]
+            need = wanted(n[x], n[y])
+            few, many = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            ok = (y > x) & (comp[x] != comp[y]) & (doc[x] != head) & (doc[y] != head) & (DOWN * few >= UP * many)
+            ok &= np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need
+            if split:
+                ok &= block[x] != block[y]
+            known = (common[x] >= 0) & (common[y] >= 0)
+            ok &= ~known | (np.minimum(common[x], common[y]) + np.minimum(rest[x], rest[y]) >= need)
+            i, j = np.nonzero(ok)
+            if len(i):
+                sure = known[i, j] & ((common[x] + common[y])[i, j] - nh >= need[i, j])
+                yield x[i, 0], y[j], sure
+
+
+def _open_pairs(attempt: int | None, derive: bool):
+    """a, b, derived: pairs in different components that nothing known rules out, over a task's lists.
+
+    With an attempt, one open partner of each set only, another one in each attempt. With derive, pairs that the head's
+    answers link come as such, one for each pair of components; without, they are open too.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        order = np.lexsort((t["b"].to_numpy(), t["pos"].to_numpy(), t["n"].to_numpy(), t["token"].to_numpy()))
-        token, doc, n, pos, common, comp = (t[c].to_numpy()[order] for c in ("token", "b", "n", "pos", "common", "component"))
-        head = int(t["a"][0].as_py())
-        rest = n - common
+        order = np.lexsort((t["b"].to_numpy(), t["n"].to_numpy(), t["pos"].to_numpy(), t["hi"].to_numpy(), t["lo"].to_numpy(), t["token"].to_numpy()))
+        token, lo, hi, doc, n, pos, common, comp, block, nh, head = (t[c].to_numpy()[order] for c in ("token", "lo", "hi", "b", "n", "pos", "common", "component", "block", "nh", "a"))
+        cut = np.concatenate(([True], (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
         draw = mix(doc.astype(np.uint64) * M2 + np.uint64(attempt or 0))
         found: set[tuple[int, int]] = set()
-        starts = runs(token)
-        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(token)], strict=True):
-            if (comp[i:j] == comp[i]).all():
+        sure_of: dict[tuple[int, int], tuple[int, int]] = {}
+        starts = np.flatnonzero(cut).tolist()
+        for s, e in zip(starts, [*starts[1:], len(token)], strict=True):
+            if (comp[s:e] == comp[s]).all():
                 continue
-            size = n[i:j]
-            end = i + np.searchsorted(size, DOWN * size // UP, "right")
-            for k in range(i, j):
-                m = slice(k + 1, int(end[k - i]))
-                need = wanted(n[k], n[m])
-                ok = (comp[m] != comp[k]) & (doc[m] != head)
-                ok &= np.minimum(n[k] - pos[k], n[m] - pos[m]) >= need
-                # common is -1 where the overlap with the head isn't known
-                known = (common[m] >= 0) & (common[k] >= 0)
-                ok &= ~known | (np.minimum(common[k], common[m]) + np.minimum(rest[k], rest[m]) >= need)
-                if doc[k] == head or not ok.any():
+            best: dict[int, tuple[int, int]] = {}
+            for i, j, sure in _open(n[s:e], pos[s:e], common[s:e], int(nh[s]), comp[s:e], block[s:e], doc[s:e], int(head[s])):
+                x, y = doc[s:e][i], doc[s:e][j]
+                if derive:
+                    for c, d, u, v in zip(comp[s:e][i[sure]].tolist(), comp[s:e][j[sure]].tolist(), x[sure].tolist(), y[sure].tolist(), strict=True):
+                        sure_of.setdefault((c, d) if c < d else (d, c), (u, v) if u < v else (v, u))
+                    x, y, i, j = x[~sure], y[~sure], i[~sure], j[~sure]
+                if attempt is None:
+                    found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
                     continue
-                x, others = int(doc[k]), doc[m][ok]
-                if attempt is not None:
-                    others = others[[int((draw[m][ok] ^ draw[k]).argmin())]]
-                found.update((x, y) if x < y else (y, x) for y in others.tolist())
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+                for u, v, d in zip(x.tolist(), y.tolist(), (draw[s:e][i] ^ draw[s:e][j]).tolist(), strict=True):
+                    if u not in best or d < best[u][0]:
+                        best[u] = (d, v)
+            found.update((u, v) if u < v else (v, u) for u, (_, v) in best.items())
+        pairs = [*sorted(found), *sorted(sure_of.values())]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64()), "derived": pa.array([False] * len(found) + [True] * len(sure_of), pa.bool_())})
 
     return run
 
 
+def _units(lists: DataFrame, attempt: int | None) -> DataFrame:
+    """Entries of the lists with more than one component, with a task (unit), and the pair of blocks (lo, hi) and own block there.
+
+    A list of at most BLOCK sets is one block, and lists of one head go together, as many as its size allows. A longer one
+    has blocks of its own by a hash: with an attempt each is alone; without, sets outside the list's largest component
+    meet all blocks, the others only the former's.
+    """
+    by = lists.groupBy("token", "component").agg(F.count("*").alias("m"))
+    stats = by.groupBy("token").agg(F.count("*").alias("parts"), F.sum("m").alias("total"), F.max_by("component", F.struct("m", "component")).alias("major"), F.max("m").alias("most")).where("parts > 1")
+    rows = lists.join(stats, "token").drop("parts")
+    one = F.col("total") <= BLOCK
+    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    if attempt is None:
+        minor, less, more = F.col("component") != F.col("major"), blocks(F.col("total") - F.col("most")), blocks(F.col("most"))
+        rows = rows.withColumn("block", F.when(one, 0).when(minor, F.pmod(F.xxhash64("b"), less)).otherwise(less + F.pmod(F.xxhash64("b"), more)).cast("int"))
+        others = F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.when(minor, less + more).otherwise(less) - 1))
+        rows = rows.withColumn("other", F.explode(others))
+        rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    else:
+        rows = rows.withColumn("block", F.when(one, 0).otherwise(F.pmod(F.xxhash64("b", F.lit(attempt)), blocks(F.col("total")))).cast("int")).withColumns({"lo": F.col("block"), "hi": F.col("block")})
+    dealt = F.pmod(F.xxhash64("token"), F.ceil(F.col("nh") / 64))
+    unit = F.when(one, F.xxhash64("a", dealt)).otherwise(F.xxhash64("token", "lo", "hi"))
+    return rows.select(unit.alias("unit"), "token", "lo", "hi", "block", "a", "b", "n", "pos", "common", "nh", "component")
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for docs, words, of in _documents(batch.column(0).to_pylist(), batch.column(1)):
@@ -375,59 +440,116 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], ["doc_id", "n_shingles", "k1", "k2"])
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs with a doc_id.
+def frequent_tokens(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens with their counts, FREQUENT at most: those above the least level of a histogram of
+    counts that so many reach, so that no more than these go to the driver."""
+    counts = materialize(texts.mapInArrow(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    level = F.floor(F.log2("n") * 8).cast("int")
+    above, cut = 0, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred levels
+        above += r["count"]
+        if above > FREQUENT:
+            break
+        cut = r["level"]
+    top = counts.where(level >= cut).toArrow() if cut is not None else pa.table({"token": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    release(counts)
+    token, count = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(token)
+    return token[order], count[order]
+
+
+def _index_lists(texts: DataFrame) -> DataFrame:
+    """LIST_SCHEMA: candidate pairs of short lists and of heads, and the entries of long lists, written once."""
+    frequent, count = frequent_tokens(texts)
+    buckets = 1 << (max(4 * shuffle_partitions(texts.sparkSession), -(-total_bytes(texts, "text") // BUCKET)) - 1).bit_length()
+    packed = texts.mapInArrow(_index(frequent, count, buckets), "bucket int, entries binary")
+    return materialize(packed.groupBy("bucket").applyInArrow(_candidates, LIST_SCHEMA))
 
-    Sets are the distinct shingles of N lower-cased words of whole texts (fewer words: the whole sequence as one;
-    none or null: empty, linked with nothing). Sets link when DOWN * |x & y| >= UP * |x | y|; every link between
-    different sets is found. component_id is the least doc_id reachable. doc_id must be unique; repeated equal rows
-    come out once each with the same result; rows with null doc_id are left out. An empty table gives none. Tokens are
-    64-bit hashes.
+
+def _linked(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.col("common") * DOWN >= (F.col("na") + F.col("nb") - F.col("common")) * UP)
+
+
+def _long_lists(found: DataFrame, first: DataFrame) -> DataFrame:
+    """Entries of the long lists with what each has in common with its head."""
+    known = first.select("a", "b", "common").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "common"))
+    lists = found.where("kind = 1").drop("kind").join(known, ["a", "b"], "left")
+    return materialize(lists.withColumn("common", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.coalesce("common", F.lit(-1)))))
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """a, b (a < b), na, nb, common: every pair of different sets that link, each set named by the least doc_id that has it
+    (or had it where they first met); copies of a set aren't expanded. jaccard_components() tells which ids share a set.
+
+    Sets as there. All pairs that bounds leave open are compared, connected or not. An empty table gives none.
     """
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    texts = docs.select("doc_id", "text")
-    top = texts.mapInArrow(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    frequent = np.array([r["token"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    frequent, count = frequent[order], np.array([r["n"] for r in top], np.int64)[order]
-    buckets = 1 << (4 * parts - 1).bit_length()
-    packed = texts.mapInArrow(_index(frequent, count, buckets), "bucket int, entries binary")
-    found = materialize(packed.groupBy("bucket").applyInArrow(_candidates, LIST_SCHEMA))
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    found = _index_lists(texts)
     tried = materialize(found.where("kind = 0").select("a", "b").distinct())
-    first = materialize(verify(tried, docs))
-    link = F.col("common") * DOWN >= (F.col("na") + F.col("nb") - F.col("common")) * UP
-    links = first.where(link).select("a", "b")
-    lists = found.where("kind = 1")
+    first = materialize(verify(tried, texts))
+    out = _linked(first)
+    lists = _long_lists(found, first)
     if not lists.isEmpty():
-        known = first.select("a", "b", "common").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "common"))
-        lists = materialize(lists.join(known, ["a", "b"], "left").withColumn("common", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.coalesce("common", F.lit(-1)))))
-        texts_of = materialize(_named(texts, lists.select(F.col("b").alias("id"))))
-        linked = components(links)
-        # most open pairs fall together after a few attempts at one partner of each set; then all that are still open
-        attempts: list[int | None] = [*range(ATTEMPTS), None]
-        while attempts:
-            attempt = attempts.pop(0)
-            entry = lists.join(linked.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-            by_head = entry.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(4))).select("a", "part", "token", "b", "n", "pos", "common", "component").groupBy("a", "part")
-            more = by_head.applyInArrow(_open_pairs(attempt), "a long, b long").distinct()
-            more = materialize(more.join(tried, ["a", "b"], "left_anti"))
-            if more.isEmpty():
-                attempts = attempts[-1:]
-                continue
-            tried = tried.unionByName(more)
-            new = materialize(verify(more, texts_of).where(link).select("a", "b"))
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                linked = components(links)
-    else:
-        linked = components(links)
-    keys = texts.mapInArrow(_keys, "doc_id long, n_shingles long, k1 long, k2 long")
-    keys = materialize(keys)
+        units = _units(lists.withColumn("component", F.col("b")), None)
+        more = units.groupBy("unit").applyInArrow(_open_pairs(None, False), "a long, b long, derived boolean").select("a", "b").distinct()
+        more = materialize(more.join(tried, ["a", "b"], "left_anti"))
+        out = out.unionByName(_linked(verify(more, texts)))
+    release(found, tried)
+    return out
+
+
+def _set_components(texts: DataFrame) -> DataFrame:
+    """id and component of the sets that link."""
+    found = _index_lists(texts)
+    tried = materialize(found.where("kind = 0").select("a", "b").distinct())
+    first = materialize(verify(tried, texts))
+    links = _linked(first).select("a", "b")
+    linked = components(links)
+    lists = _long_lists(found, first)
+    release(found)
+    if lists.isEmpty():
+        return linked
+    texts_of = materialize(_named(texts, lists.select(F.col("b").alias("id"))))
+    # most open pairs fall together after a few attempts at one partner of each set; then all that are still open
+    attempts: list[int | None] = [*range(ATTEMPTS), None]
+    while attempts:
+        attempt = attempts.pop(0)
+        entry = lists.join(linked.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+        more = _units(entry, attempt).groupBy("unit").applyInArrow(_open_pairs(attempt, True), "a long, b long, derived boolean")
+        more = more.groupBy("a", "b").agg(F.max("derived").alias("derived"))
+        more = materialize(more.join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            attempts = attempts[-1:]
+            continue
+        tried = tried.unionByName(more.select("a", "b"))
+        new = materialize(_linked(verify(more.where("not derived").select("a", "b"), texts_of)).select("a", "b").unionByName(more.where("derived").select("a", "b")))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            linked = components(links)
+    release(texts_of, lists)
+    return linked
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs.
+
+    Sets are the distinct shingles of N lower-cased words of whole texts (fewer words: the whole sequence as one;
+    none or null: empty, linked with nothing). Sets link when DOWN * |x & y| >= UP * |x | y|. component_id is the least
+    doc_id reachable by links; pairs that are connected already aren't compared (jaccard_links() does). doc_id must name
+    one text; repeated equal rows come out once each with the same result; rows with null doc_id have a null component_id
+    and link with nothing. Other columns are ignored. An empty table gives none. Tokens are 64-bit hashes.
+    """
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    linked = _set_components(texts)
+    schema = "doc_id long, n_shingles long, k1 long, k2 long"
+    keys = materialize(texts.mapInArrow(_keys, schema))
     classes = keys.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     several = classes.where("size > 1").select("k1", "k2", "n_shingles", "rep")
     out = keys.join(several, ["k1", "k2", "n_shingles"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    return out.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    out = out.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    nameless = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_keys, schema)
+    null = F.lit(None).cast("long")
+    return out.unionByName(nameless.select(null.alias("doc_id"), "n_shingles", null.alias("component_id")))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
