@@ -10,9 +10,12 @@ same one at the same offset, so text positions that are minimizers ("anchors") a
    anchors. A stack scan over its longest-common-prefix values gives the interval tree; in every interval the
    left sides are tested for diversity, and each left-diverse, right-maximal set of occurrences whose common string
    has min_len bytes or more is a repeat group with all its occurrences.
+   An anchor with more contexts than HOT doesn't go to one task: there, the strings of min_len bytes around each of its
+   occurrences are grouped by hash in Spark.
 3. A byte goes if a group covers it at an occurrence that isn't the group's first.
 
-Results are exact but for 64-bit hash equality of contexts under an equal anchor.
+Equality of contexts means equal 64-bit hashes of both the anchor and its context (two different contexts of one anchor
+agree with a chance of 2^-64). maximal_repeats() compares bytes as well.
 """
 
 from __future__ import annotations
@@ -25,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import free_names, materialize, release, shuffle_partitions, total_bytes
 from .hashing import mix, pair, runs, sliding, window_hash
 
 LOG2_GRAM = 5
 GRAM = 1 << LOG2_GRAM
 SLICE = 1 << 20
 FLUSH = 1 << 19
+#: Contexts of one anchor that are put in one suffix array, at most.
+HOT = 2048
+#: Bytes of text for each bucket of anchors and for each part of the documents.
+BUCKET, PART = 16 << 20, 32 << 20
 
 ANCHOR = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("left", "u1"), ("size", "u1")])
 COVER_SCHEMA = "grp long, doc_id long, lo long, hi long, first boolean"
@@ -299,7 +306,10 @@ def _search(min_len: int, with_first: bool):
         if with_first:
             out = {k: [np.zeros(0, np.int64)] for k in ("grp", "doc_id", "lo", "hi", "at")} | {"first": [np.zeros(0, bool)], "whole": [np.zeros(0, bool)]}
             for n, d, m in groups:
-                string = data[begin[m[0]] + n_left[m[0]] - n : begin[m[0]] + n_left[m[0]] + d].tobytes()
+                string = data[begin[m[0]] + n_left[m[0]] - n : begin[m[0]] + n_left[m[0]] + d]
+                if not (sliding(np.minimum, window_hash(string, LOG2_GRAM), reach + 1) == key.view(np.uint64)[m[0]]).any():
+                    continue  # no string of min_len bytes of it has this minimizer: other places of it may lack the anchor
+                string = string.tobytes()
                 grp = int.from_bytes(hashlib.blake2b(key[m[:1]].tobytes() + bytes([n]) + string, digest_size=8).digest(), "little", signed=True)
                 for k, v in (("grp", np.full(len(m), grp)), ("doc_id", doc[m]), ("lo", at[m] - n), ("hi", at[m] + d), ("first", _at_first(doc, at, m)), ("at", at[m]), ("whole", (n_left[m] == n) & (n_right[m] == d))):
                     out[k].append(v)
@@ -315,11 +325,55 @@ def _search(min_len: int, with_first: bool):
     return run
 
 
+def _windows(min_len: int):
+    """grp, h, doc_id, at, lo: every string of min_len bytes in each context that has the anchor as a minimizer, as a hash."""
+    log2, reach = min_len.bit_length() - 1, min_len - GRAM
+    schema = pa.schema([("grp", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("lo", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grp, doc, lo, left = (batch.column(c).to_numpy() for c in ("grp", "doc_id", "lo", "left"))
+            size = np.array([x.as_buffer().size for x in batch.column("ctx")], np.int64)
+            if not len(size):
+                continue
+            data = np.frombuffer(b"".join(x.as_py() for x in batch.column("ctx")), np.uint8)
+            begin = np.cumsum(size) - size
+            least = sliding(np.minimum, window_hash(data, LOG2_GRAM), reach + 1)
+            h = window_hash(data, log2)
+            h = pair(h[: len(data) - min_len + 1], h[min_len - (1 << log2) : len(data) - (1 << log2) + 1])  # two windows that cover it
+            many = size - min_len + 1
+            row = np.repeat(np.arange(len(size)), many)
+            off = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            own = least[begin[row] + off] == grp.view(np.uint64)[row]
+            row, off = row[own], off[own]
+            cols = (grp[row], h[begin[row] + off].view(np.int64), doc[row], lo[row] + left[row], lo[row] + off)
+            for i in range(0, len(row), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)], pa.int64()) for c in cols], schema=schema)
+
+    return run
+
+
+def _search_hot(contexts: DataFrame, min_len: int, with_first: bool) -> DataFrame:
+    """What _search() gives, for anchors of any number of contexts: groups are strings of min_len bytes."""
+    rows = contexts.mapInArrow(_windows(min_len), "grp long, h long, doc_id long, at long, lo long")
+    first = rows.groupBy("grp", "h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hits = rows.join(first, ["grp", "h"]).withColumn("first", (F.col("doc_id") == F.col("f.doc_id")) & (F.col("at") == F.col("f.at")))
+    if with_first:
+        return hits.select(F.xxhash64("grp", "h").alias("grp"), "doc_id", "lo", (F.col("lo") + min_len).alias("hi"), "first", "at", F.lit(True).alias("whole"))
+    return hits.where("not first").groupBy("grp", "doc_id", "at").agg(F.min("lo").alias("lo"), (F.max("lo") + min_len).alias("hi")).select("grp", "doc_id", "lo", "hi", F.lit(False).alias("first"))
+
+
 def _by_document(docs: DataFrame, parts: int, keep: tuple[str, ...] = ()) -> DataFrame:
     row = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     return docs.select("doc_id", "text", *keep, F.pmod(row, F.lit(parts)).cast("int").alias("part"))
 
 
+def _parts(docs: DataFrame, n_bytes: int | None = None) -> int:
+    """Parts of the documents: they follow the bytes of text, so that none grows with the corpus."""
+    n_bytes = total_bytes(docs, "text") if n_bytes is None else n_bytes
+    return max(2 * shuffle_partitions(docs.sparkSession), -(-n_bytes // PART))
+
+
 def _with_classes(leaves: DataFrame, searched: DataFrame) -> DataFrame:
     """Groups with all members: an interval's representatives stand for all occurrences of their contexts.
 
@@ -343,24 +397,75 @@ def find_repeats(docs: DataFrame, min_len: int = 100, with_first: bool = False,
     """
     if not GRAM < min_len <= 140:
         raise ValueError(f"min_len must be in {GRAM + 1}..140")
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    buckets = 1 << (4 * parts - 1).bit_length()
+    n_bytes = total_bytes(docs, "text")
+    buckets = 1 << (max(4 * shuffle_partitions(docs.sparkSession), -(-n_bytes // BUCKET)) - 1).bit_length()
     packed = docs.select("doc_id", "text").mapInArrow(_map_anchors(min_len, buckets), "bucket int, anchors binary, later binary")
     found = materialize(packed.groupBy("bucket").applyInArrow(_reduce_anchors(with_first), FOUND_SCHEMA))
-    many = 2 * parts
+    many = _parts(docs, n_bytes)
     asked = found.where("kind = 1").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(many)).cast("int"))
     contexts = asked.groupBy("part").cogroup(_by_document(docs, many, keep).groupBy("part")).applyInArrow(_fetch, "grp long, doc_id long, lo long, left int, ctx binary")
+    hot = materialize(asked.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("grp"))
+    some = not hot.isEmpty()
+    if some:
+        contexts = materialize(contexts)
     searched = (
-        contexts.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(many)).cast("int"))
+        (contexts.join(hot, "grp", "left_anti") if some else contexts)
+        .withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(many)).cast("int"))
         .groupBy("bucket")
         .applyInArrow(_search(min_len, with_first), COVER_SCHEMA + ", at long, whole boolean" if with_first else COVER_SCHEMA)
     )
+    if some:
+        searched = searched.unionByName(_search_hot(contexts.join(hot, "grp", "left_semi"), min_len, with_first))
     if with_first:
         return _with_classes(found.where("kind = 0"), materialize(searched))
     return found.where("kind = 0").select("grp", "doc_id", "lo", "hi", "first").unionByName(searched)
 
 
+def _common_ends(a: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Bytes that the least and the greatest of a group's right and left sides, hence all, have in common."""
+    for row in a.to_pylist():
+        out = []
+        for x, y in ((row["r0"], row["r1"]), (row["l0"], row["l1"])):
+            n = min(len(x), len(y))
+            p, q = np.frombuffer(x, np.uint8, n), np.frombuffer(y, np.uint8, n)
+            out.append(int((p != q).argmax()) if (p != q).any() else n)
+        yield out[0], out[1]
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = list(_common_ends(batch))
+        cols = [batch.column(0), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, ["grp", "after", "before"])
+
+
+def maximal_repeats(docs: DataFrame, min_len: int = 100, step: int = 1024) -> DataFrame:
+    """grp, doc_id, lo, hi, first: every maximal repeat group that find_repeats() comes upon, with all its occurrences.
+
+    The groups of find_repeats(), whose strings end where contexts do, are extended to both sides by comparing bytes, step
+    by step, until their occurrences part or a text ends; groups that become one string are one. A string each of whose
+    stretches around an anchor also stands elsewhere is listed as these stretches' strings. Rows as in find_repeats().
+    """
+    open_ = materialize(find_repeats(docs, min_len, True))
+    raw = docs.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min(F.col("text").cast("binary")).alias("raw"))
+    done = None
+    while not open_.isEmpty():
+        sides = open_.join(raw, "doc_id").select(
+            "grp", F.expr(f"substring(raw, int(hi) + 1, {step})").alias("r"), F.expr(f"unhex(reverse(hex(substring(raw, int(greatest(lo - {step}, 0)) + 1, int(lo - greatest(lo - {step}, 0))))))").alias("l")
+        )
+        ends = sides.groupBy("grp").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("l").alias("l0"), F.max("l").alias("l1"))
+        grown = open_.join(ends.mapInArrow(_extend, "grp long, after long, before long"), "grp")
+        grown = materialize(grown.select("grp", "doc_id", (F.col("lo") - F.col("before")).alias("lo"), (F.col("hi") + F.col("after")).alias("hi"), "first", ((F.col("before") == step) | (F.col("after") == step)).alias("more")))
+        ready = grown.where("not more").drop("more")
+        done = ready if done is None else done.unionByName(ready)
+        release(open_)
+        open_ = materialize(grown.where("more").drop("more"))
+    if done is None:
+        return open_
+    once = done.where("first").groupBy("doc_id", "lo", "hi").agg(F.min("grp").alias("grp")).select("grp")
+    return done.join(once, "grp")
+
+
 DIGEST_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -369,7 +474,7 @@ def _apply(texts_out: bool, keep: tuple[str, ...]):
         doc, lo, hi = (spans[c].to_numpy() for c in ("doc_id", "lo", "hi"))
         order = np.lexsort((lo, doc))
         doc, lo, hi = doc[order], lo[order], hi[order]
-        out, seen = [], {}
+        out = []
         ids = texts["doc_id"].to_pylist()
         wanted = np.array([-1 if d is None else d for d in ids], np.int64)
         first, last = np.searchsorted(doc, wanted, "left"), np.searchsorted(doc, wanted, "right")
@@ -379,8 +484,6 @@ def _apply(texts_out: bool, keep: tuple[str, ...]):
             if d is None or i == j:
                 removed, spans_n, kept = 0, 0, raw
             else:
-                if seen.setdefault(d, raw) != raw:
-                    raise ValueError(f"doc_id {d} has two different texts")
                 a, most = lo[i:j], np.maximum.accumulate(hi[i:j])
                 head = np.flatnonzero(np.concatenate(([True], a[1:] > most[:-1])))
                 ends = np.concatenate((most[head[1:] - 1], most[-1:]))
@@ -397,17 +500,32 @@ def _apply(texts_out: bool, keep: tuple[str, ...]):
     return run
 
 
+def _apart(docs: DataFrame) -> DataFrame | None:
+    """doc_id, h and key: where one doc_id has several texts, a key for each id and text in order of doc_id and the text's hash."""
+    ids = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h")).distinct()
+    if ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return None
+    return materialize(ids.orderBy("doc_id", "h").withColumn("key", F.monotonically_increasing_id()))
+
+
 def remove_repeats(docs: DataFrame, min_len: int = 100, texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte that a string of min_len bytes covers which also starts earlier (smaller doc_id, or same
     document and earlier start).
 
     One row per row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 or, with
-    texts, the remaining text (bytes of a character cut in two go as well). doc_id must be unique but for wholly
-    repeated rows, which all get the same result; another text under the same doc_id raises an error. Null text:
-    0 bytes (with texts it stays null); null doc_id: kept whole and earlier than nothing. An empty table gives none.
-    Columns other than doc_id and text are left out but for those in keep.
+    texts, the remaining text (bytes of a character cut in two go as well). Wholly repeated rows all get the same result,
+    as one document; different texts under one doc_id are documents of their own, in order of a hash. Null text: 0 bytes
+    (with texts it stays null); null doc_id: kept whole and earlier than nothing. An empty table gives none. Columns other
+    than doc_id and text are left out but for those in keep.
     """
-    many = 2 * shuffle_partitions(docs.sparkSession)
+    keys = _apart(docs)
+    if keys is not None:
+        (own,) = free_names(docs, "own_id")
+        h = docs.withColumn("h", F.xxhash64("text"))
+        docs = h.join(keys, ["doc_id", "h"], "left").select("text", *keep, F.col("doc_id").alias(own), F.col("key").alias("doc_id"))
+        out = remove_repeats(materialize(docs), min_len, texts, (*keep, own))
+        return out.withColumn("doc_id", F.col(own)).drop(own)
+    many = _parts(docs)
     spans = find_repeats(docs, min_len, keep=keep).where("not first").select("doc_id", "lo", "hi", F.pmod(F.xxhash64("doc_id"), F.lit(many)).cast("int").alias("part"))
     schema = DIGEST_SCHEMA.replace("kept_sha256", "text") if texts else DIGEST_SCHEMA
     schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else ""

@@ -18,6 +18,35 @@ def test_permutation(n):
     assert p.place(n - 1, 8) == (int(out[-1]) % 8, int(out[-1]) // 8)
 
 
+def feistel(x: int, n: int, seed: int) -> int:
+    """The permutation on plain numbers, round by round."""
+    import hashlib
+
+    half, mask = max(1, -(-max(n - 1, 1).bit_length() // 2)), (1 << 64) - 1
+    while True:
+        a, b = x >> half, x & ((1 << half) - 1)
+        for r in range(6):
+            key = int.from_bytes(hashlib.blake2b(f"{seed}/{r}".encode(), digest_size=8).digest(), "little")
+            y = (b ^ key) * 0x9E3779B97F4A7C15 & mask
+            y = (y ^ y >> 32) * 0xD6E8FEB86659FD93 & mask
+            a, b = b, a ^ ((y ^ y >> 29) & ((1 << half) - 1))
+        x = a << half | b
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 5, 300])
+def test_permutation_on_plain_numbers(n):
+    assert sharding.Permutation(n, 9).forward(np.arange(n)).tolist() == [feistel(x, n, 9) for x in range(n)]
+
+
+def test_sharding_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(i, i * 2, "s", "p", "b") for i in range(20)], "doc_id long, slice long, place string, p string, before string").withColumn("shard", F.lit("old"))
+    out = sharding.shard(df, 4, "doc_id").collect()
+    n = {r.doc_id: (r.slice, r.place, r.p, r.before) for r in out}
+    assert n == {i: (i * 2, "s", "p", "b") for i in range(20)} and {r.shard for r in out} == {0, 1, 2, 3}
+
+
 def test_sharding(spark, docs, corpus, empty):
     rows = docs.select("doc_id", "text")
     out = sharding.shard(rows, 8, "doc_id", "text").collect()
@@ -53,6 +82,17 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_vectors_recall(spark):
+    """Links of the given table, at a lower cosine, against all pairs."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, np.float64)) for r in df.collect()]
+    u = np.array([v / np.linalg.norm(v) for _, v in rows])
+    for cosine in (0.95, 0.8):
+        want = {i: int(n) - 1 for (i, _), n in zip(rows, (u @ u.T >= cosine).sum(1), strict=True)}
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, cosine).collect()}
+        assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.9 * sum(want.values())
+
+
 def test_vectors_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
     rng = np.random.default_rng(4)
@@ -83,7 +123,9 @@ def test_fixity(spark):
     assert got[5] == "corrupt" and got[255] == "missing" and got[9000] == "extra" and got[None] == "ok" and got[301] == "corrupt" and got[302] == "moved" and got[300] == "ok" and got[600] == "ok"
     record = fixity.warc_records(a, 256).where("page_id = 3").first().record.decode()
     head, body = record.split("\r\n\r\n", 1)
-    assert head.startswith("WARC/1.0\r\n") and "Content-Length: 3" in head and body == "xxx\r\n\r\n"
+    fields = dict(x.split(": ", 1) for x in head.split("\r\n")[1:])
+    assert head.startswith("WARC/1.0\r\n") and fields["Content-Length"] == "3" and body == "xxx\r\n\r\n"
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Type"} <= set(fields)
     assert fixity.audit(ours, theirs.where("file IS NULL"), 256).where("status <> 'missing'").count() == 0
 
 
@@ -108,6 +150,65 @@ def test_fixity_losses_and_additions_inside_files(spark):
     assert named == {"corrupt": [(False, 420)], "missing": [(False, 7), (False, 100), (True, 0)], "extra": [(False, 300), (True, 0)]}
 
 
+def test_fixity_of_written_files(spark, tmp_path):
+    """WARC files are read back as written; a byte changed, a record cut out and a length ruined are found in the files."""
+    rows = [(i, f"http://h/{i} a\nb", "é" * (i % 9) + "\r\n\r\nWARC") for i in range(120)] + [(None, None, None), (30, "", "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"file": F.lit("x"), "record": F.lit(1), "hash": F.lit(2)})
+    records = fixity.warc_records(pages, 64)
+    fixity.write_warc(records, str(tmp_path / "a"))
+    stored = fixity.stored_leaves(fixity.read_warc(spark, str(tmp_path / "a")))
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    ours = fixity.leaves(records)
+    assert sorted(map(key, stored.collect())) == sorted(map(key, ours.collect()))
+    assert fixity.leaves(fixity.warc_records(pages.limit(0))).count() == 0
+    fixity.write_warc(records, str(tmp_path / "b"))
+    for path in (tmp_path / "b" / "file=0").glob("part-*"):
+        raw = path.read_bytes()
+        start = {r.page_id: r.start for r in ours.where("file = 0").collect()}
+        cut = raw[: start[40] - 5] + b"?" + raw[start[40] - 4 : start[50]] + raw[start[51] :].replace(b"Content-Length: 20", b"Content-Length: 2x", 1)
+        path.write_bytes(cut)
+    for path in (tmp_path / "b").glob("file=*/.*.crc"):
+        path.unlink()
+    theirs = fixity.stored_leaves(fixity.read_warc(spark, str(tmp_path / "b")))
+    got = {(r.page_id, r.status) for r in fixity.audit(ours, theirs, 64).collect() if r.status not in ("ok", "moved")}
+    assert (39, "corrupt") in got and (50, "missing") in got and len(got) == 3
+
+
+def test_fixity_of_repeated_pages(spark, monkeypatch):
+    """Many records under one page_id, equal ones among them."""
+    rows = [(5, f"u{i % 1500}", "x") for i in range(3000)]
+    schema = "page_id long, url string, html string"
+    a, b = (fixity.leaves(fixity.warc_records(spark.createDataFrame(r, schema))) for r in (rows, rows[:-1]))
+    got = [r.status for r in fixity.audit(a, b).collect()]
+    assert got.count("missing") == 1 and len(got) == 3000 and set(got) <= {"ok", "moved", "missing"}
+
+
+def test_shared_folder_on_a_cluster(spark, monkeypatch):
+    from tallymark.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_folder(Session())
+
+
+def test_tables_are_released(spark):
+    from tallymark.llm import common
+
+    df = common.materialize(spark.range(3))
+    path = df.scratch_path
+    common.release(df, df, spark.range(1), None)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)
+
+
 def test_pipeline(spark, docs, corpus, tmp_path):
     import corpus_pipeline as p
     from test_text_operators import jaccard, removed

@@ -66,9 +66,61 @@ def test_substring_dedup_in_pieces(spark, monkeypatch):
     want = removed(rows, 60)
     assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got if r.doc_id is not None)
     assert [r.n_removed for r in got if r.doc_id is None] == [0] and len(got) == len(texts) + 2
-    bad = spark.createDataFrame([(1, "a" * 300), (1, "b" * 300)], "doc_id long, text string")
-    with pytest.raises(Exception, match="two different texts"):
-        substring_dedup.remove_repeats(bad).collect()
+
+
+@pytest.mark.parametrize("hot", [1, 2048])
+def test_substring_dedup_of_hot_anchors_and_slices(spark, monkeypatch, hot):
+    """A passage in many different surroundings, and texts longer than a slice."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "SLICE", 1000)
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    common, long = word(150), word(5000)
+    rows = [(i, f"{word(int(rng.integers(5, 90)))}{common[: int(rng.integers(100, 151))]}{word(int(rng.integers(5, 90)))}") for i in range(40)]
+    rows += [(50, long), (51, long[700:2900] + word(50) + long[100:400]), (52, word(30) + long[4000:])]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed(rows)
+
+
+def test_substring_dedup_of_clashing_ids(spark):
+    """Texts under one id are documents of their own, in order of the text's hash."""
+    a, b, c = ("".join(chr(97 + (k * m) % 26) for k in range(300)) for m in (1, 3, 7))
+    df = spark.createDataFrame([(1, a), (1, a + b), (1, a), (2, b), (3, c), (3, None), (None, c)], "doc_id long, text string").withColumn("own_id", F.lit("x"))
+    order = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    ranked = sorted({(1, a), (1, a + b), (2, b), (3, c)}, key=lambda r: (r[0], order[r[1]]))
+    want = removed([(k, t) for k, (_, t) in enumerate(ranked)])
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.own_id) for r in substring_dedup.remove_repeats(df, keep=("own_id",)).collect())
+    expect = [(i, *want[k][:2], "x") for k, (i, t) in enumerate(ranked) for _ in range(2 if t == a else 1)] + [(3, 0, 0, "x"), (0, 300, 0, "x")]
+    assert got == sorted(expect)
+
+
+def places(text, s):
+    return sorted((d, p) for d, t in text.items() for p in range(len(t) - len(s) + 1) if t.startswith(s, p))
+
+
+@pytest.mark.parametrize("hot", [1, 2048])
+def test_maximal_repeats(spark, monkeypatch, hot):
+    """Groups are maximal to both sides, hold all occurrences, and cover every repeated string of the least length."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    x, y, z = word(700), word(450), word(130)
+    rows = [(0, x + y), (1, word(40) + x[100:] + word(20)), (2, word(60) + y + word(10) + z), (3, x[300:] + y[:200]), (4, word(20) + z + word(30)), (5, z), (6, None), (7, word(500))]
+    text = {i: (t or "").encode() for i, t in rows}
+    groups = {}
+    for r in substring_dedup.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string"), step=512).collect():
+        groups.setdefault(r.grp, []).append(r)
+    covered = set()
+    for members in groups.values():
+        s = text[members[0].doc_id][members[0].lo : members[0].hi]
+        at = sorted((r.doc_id, r.lo) for r in members)
+        assert at == places(text, s) and len(at) > 1 and sum(r.first for r in members) == 1
+        assert len({text[d][p - 1 : p] if p else (d, p) for d, p in at}) > 1 and len({text[d][p + len(s) : p + len(s) + 1] or (d, p) for d, p in at}) > 1
+        covered |= {(d, p + k) for d, p in at for k in range(len(s) - 99)}
+    windows = Counter(t[p : p + 100] for t in text.values() for p in range(len(t) - 99))
+    assert covered == {(d, p) for d, t in text.items() for p in range(len(t) - 99) if windows[t[p : p + 100]] > 1}
+    strings = {text[m[0].doc_id][m[0].lo : m[0].hi] for m in groups.values()}
+    assert {x[100:].encode(), y.encode(), z.encode()} <= strings and len(strings) == len(groups)
 
 
 def test_repeat_groups_have_all_occurrences(docs, corpus):
@@ -123,6 +175,36 @@ def test_mixing(spark, docs, corpus, empty):
     assert mixing.mix(mixing.sized_documents(empty)).count() == 0
 
 
+def water(sizes, weights, total, most):
+    """Targets by bisection on the level: each source's is its weight times the level, at most `most` times its size."""
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        if sum(min(w * mid, most * z) for w, z in zip(weights, sizes, strict=True)) < total:
+            low = mid
+        else:
+            high = mid
+    return [min(w * low, most * z) for w, z in zip(weights, sizes, strict=True)]
+
+
+def test_targets_against_bisection():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7, 40):
+        sizes = [int(x) for x in rng.integers(1, 1000, n)]
+        weights = [(3, 1, 2)[i % 3] for i in range(n)]
+        assert mixing.target_sizes(sizes, weights, 1.5, 2) == pytest.approx(water(sizes, weights, 1.5 * sum(sizes), 2), rel=1e-6)
+
+
+def test_mixing_of_rows_without_id(spark):
+    """Ties: rows with one id or none and equal sizes; the mix is near its targets and reruns agree on the sums."""
+    rows = [(None, f"t{i}", "a" if i % 3 else "b") for i in range(500)] + [(7, "same text", "c")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(mixing.sized_documents(df, "source", "text"), spread=("text_hash",)).collect()
+    by = {s: sum(r.taken for r in out if r.source == s) for s in "abc"}
+    sizes = [333, 167, 400]
+    assert len(out) == 700 and all(abs(by[s] - t) <= 2 for s, t in zip("abc", water(sizes, (3, 1, 2), 1350, 2), strict=True))
+
+
 def test_targets_and_flow():
     assert mixing.target_sizes([10, 100, 100], [3, 1, 2], 1.5, 2) == pytest.approx([20, 295 / 3, 590 / 3])
     assert mixing.target_sizes([], [], 1.5, 2) == [] and mixing.target_sizes([0, 0], [1, 1], 1.5, 2) == [0, 0]
@@ -174,6 +256,13 @@ def test_license_scan_standard_notices(spark):
         "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
         "GPL-3.0-or-later": ["Copyright (C) 2020 A. Person", f"This program is free software: {gpl}, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."],
         "GPL-2.0-or-later": ["Copyright (C) 2020 A. Person", f"This program is free software; {gpl}; either version 2 of the License, or (at your option) any later version."],
+        "LGPL-2.1-or-later": [f"This library is free software; {gpl.replace('General', 'Lesser General')}; either version 2.1 of the License, or (at your option) any later version."],
+        "AGPL-3.0-or-later": [f"This program is free software: {gpl.replace('General', 'Affero General')}, either version 3 of the License, or (at your option) any later version."],
+        "ISC": ["Copyright (c) 2020, A. Person", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'],
+        "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+        "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+        "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+        "Unlicense": ["This is free and unencumbered software released into the public domain."],
     }
     forms = {
         "wrapped": lambda ps: "\n\n".join(textwrap.fill(p, 70) for p in ps),
@@ -184,13 +273,56 @@ def test_license_scan_standard_notices(spark):
         "line": " ".join,
     }
     rows = [(f"{name} {form}", f(ps)) for name, ps in notices.items() for form, f in forms.items()]
+    rows += [(f"{x} spdx", f"#!/bin/sh\n# SPDX-License-Identifier: {x}\necho") for x in ("MIT", "Apache-2.0", "GPL-3.0-or-later")]
+    rows.append(("near miss", "Permission is hereby granted, free of charge, to any person obtaining a copy of this book, to read it."))
+    rows.append(("other spdx", "SPDX-License-Identifier: MIT-Modern-Variant"))
     rows.append(("blank line", "Released under\n\nthe MIT License."))
     rows.append(("inside", "it was never released under the MIT License by us"))
     got = {r.doc_id: r.licences for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got == {k: k.split(" ")[0] if k.split(" ")[0] in notices else "" for k, _ in rows}
     rule = {"MIT": "mit_grant,mit_notice,asis_warranty", "Apache-2.0": "apache2_short,apache2_comply,apache2_asis", "BSD-3-Clause": "bsd_grant,bsd_source,bsd_binary,bsd_endorse"}
     for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect():
-        assert r.sequence == rule.get(r.doc_id.split(" ")[0], r.sequence)
+        assert "spdx" in r.doc_id or r.sequence == rule.get(r.doc_id.split(" ")[0], r.sequence)
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame([*rows, *rows[:2], ("null", None), ("empty", "")], columns=["doc_id", "text"])
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.execute(license_scan.ORACLES["op4_license_scan"]).fetchall()
+    clash = spark.createDataFrame([*rows, *rows[:2], ("null", None), ("empty", "")], "doc_id string, text string").withColumns({"sequence": F.lit(1), "seq": F.lit(2), "ids": F.lit(3)})
+    assert sorted(tuple(r) for r in license_scan.scan(clash).collect()) == sorted(want)
+
+
+def test_language_id_is_kernel_ridge():
+    """With all rows as landmarks, scores are those of kernel ridge regression solved directly."""
+    rng = np.random.default_rng(3)
+    alphabets = {"x": "abcdefg ", "y": "efghijk ", "z": "mnopabc "}
+    rows = [("".join(rng.choice(list(alphabets[k]), 60)), k) for k in alphabets for _ in range(9)]
+    texts, labels = [t for t, _ in rows], [k for _, k in rows]
+
+    def kernel(a, b):
+        sets = [[{t[i : i + n] for i in range(len(t) - n + 1)} for t in (f" {' '.join(s.split())} " for s in (a, b))] for n in (1, 2, 3)]
+        return sum(w * len(x & y) / np.sqrt(len(x) * len(y)) for w, (x, y) in zip((0.2, 0.3, 0.5), sets, strict=True))
+
+    gram = np.array([[kernel(a, b) for b in texts] for a in texts])
+    y = np.where(np.array(labels)[:, None] == np.array(sorted(alphabets))[None], 1.0, -1.0)
+    n = len(texts)
+    system = np.block([[gram + language_id.RIDGE * np.eye(n), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+    solved = np.linalg.solve(system, np.vstack([y, np.zeros((1, 3))]))
+    asked = ["".join(rng.choice(list("abcdefghijkmnop "), 50)) for _ in range(70)]
+    want = np.array([[kernel(a, b) for b in texts] for a in asked]) @ solved[:-1] + solved[-1]
+    assert np.allclose(language_id.train(texts, labels, 1000).scores(asked), want, atol=1e-3)
+    few = language_id.train(texts, labels, 12)
+    assert few.predict(texts)[0] == labels
+
+
+def test_language_id_of_many_languages(spark, monkeypatch):
+    """More labels than rows of the sample allow: each still has one row; digits and fractions are no letters."""
+    monkeypatch.setattr(language_id, "SAMPLE", 150)
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 20, f"l{i:03}") for i in range(201)] * 2 + [(900 + k, t, None) for k, t in enumerate(("½²Ⅷ①", "12", "é", "日本"))]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), held_out=F.lit(False)).collect()}
+    assert len(got) == 205 and len({got[i] for i in range(201)}) > 150 and got[900] == got[901] == "und" and got[902] != "und" != got[903]
 
 
 def test_language_id_held_out(spark):
@@ -222,7 +354,7 @@ def test_bpe(docs, corpus, empty):
         r = got[i]
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(want.encode()).hexdigest()), (i, text)
     back = {r.doc_id: r for r in bpe.decode(bpe.encode(docs)).collect()}
-    assert all(hashlib.sha256(back[i].text.encode()).hexdigest() == got[i].decoded_sha256 for i in got)
+    assert all(hashlib.sha256(back[i].text.encode()).hexdigest() == got[i].decoded_sha256 == back[i].decoded_sha256 for i in got)
     assert bpe.digests(empty).count() == 0
 
 
@@ -255,8 +387,29 @@ def test_jaccard(docs, corpus, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
-def test_jaccard_long_lists(spark):
+def test_jaccard_links(docs, corpus, spark, empty):
+    """Every pair of different sets that link, connected or not; rows without an id are in no link."""
+    sets, lower = {}, str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = [(r[0], r[1]) for r in corpus] + [(500 + i, " ".join(f"w{k}" if k != 7 * i else f"x{i}" for k in range(90))) for i in range(12)]
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(lower))
+        s = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        if s:
+            sets.setdefault(s, i)
+    want = {tuple(sorted((i, j))): len(a & b) for a, i in sets.items() for b, j in sets.items() if i < j and 100 * len(a & b) >= 75 * len(a | b)}
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").repartition(3)
+    got = ngram_join.jaccard_links(df).collect()
+    first = {i: sets[s] for s, i in sets.items()}
+    assert {(r.a, r.b): r.common for r in got if r.a in first and r.b in first} == want and len(want) > 60
+    assert ngram_join.jaccard_links(empty).count() == 0
+    nameless = [r for r in ngram_join.jaccard_components(df).collect() if r.doc_id is None]
+    assert len(nameless) == 1 and nameless[0].component_id is None and nameless[0].n_shingles > 0
+
+
+@pytest.mark.parametrize("block", [30, 1024])
+def test_jaccard_long_lists(spark, monkeypatch, block):
     """A large group of near copies, some of them at the edge, and a chain: lists are long and pairs stay open."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = np.random.default_rng(2)
     base = [f"w{k}" for k in range(200)]
     rows = []
