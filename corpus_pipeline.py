@@ -14,8 +14,14 @@ LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a letter and whose predicted language is sure enough; missing languages are filled in."""
-    rows = language_id.predict_language(docs, keep=list(COLUMNS))
+    """Rows whose text has a letter and whose predicted language is sure enough; missing languages are filled in.
+
+    Where no row is labelled nothing can be predicted: then all rows with a letter stay as they are.
+    """
+    model = language_id.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    rows = language_id.predict_language(docs, keep=list(COLUMNS), model=model)
     kept = rows.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
@@ -34,13 +40,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix of sources takes it."""
-    rows = mixing.mix(mixing.sized_documents(docs, "text", "lang", "source", "n_chars"))
+    rows = mixing.mix(mixing.sized_documents(docs, "text", "lang", "source", "n_chars"), spread=("text_hash",))
     return rows.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each row."""
-    return bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens, ids and decoded_sha256 (of the text decoded from the ids) of each row."""
+    return bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
