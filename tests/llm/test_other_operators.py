@@ -245,6 +245,14 @@ def test_pipeline(spark, docs, corpus, tmp_path):
         assert r.ids == t.encode(third[r.doc_id].text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
 
 
+def test_pipeline_without_labels(spark, docs, corpus):
+    """No row is labelled: every row with a letter stays."""
+    import corpus_pipeline as p
+
+    kept = p.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert sorted(r.doc_id for r in kept) == [i for i, t, *_ in corpus if t and any(map(str.isalpha, t))] and {r.lang for r in kept} == {None}
+
+
 def test_pipeline_on_nothing(spark, empty):
     import corpus_pipeline as p
 
