@@ -355,9 +355,11 @@ def _windows(min_len: int):
 
 def _search_hot(contexts: DataFrame, min_len: int, with_first: bool) -> DataFrame:
     """What _search() gives, for anchors of any number of contexts: groups are strings of min_len bytes."""
-    rows = contexts.mapInArrow(_windows(min_len), "grp long, h long, doc_id long, at long, lo long")
-    first = rows.groupBy("grp", "h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = rows.join(first, ["grp", "h"]).withColumn("first", (F.col("doc_id") == F.col("f.doc_id")) & (F.col("at") == F.col("f.at")))
+    rows = materialize(contexts.mapInArrow(_windows(min_len), "grp long, h long, doc_id long, at long, lo long"))
+    first = materialize(rows.groupBy("grp", "h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1"))
+    # strings with very many places are joined apart: they are few, so their side is likely broadcast and no place moves
+    hits = rows.join(first.where(F.col("n") <= HOT), ["grp", "h"]).unionByName(rows.join(first.where(F.col("n") > HOT), ["grp", "h"])).drop("n")
+    hits = hits.withColumn("first", (F.col("doc_id") == F.col("f.doc_id")) & (F.col("at") == F.col("f.at")))
     if with_first:
         return hits.select(F.xxhash64("grp", "h").alias("grp"), "doc_id", "lo", (F.col("lo") + min_len).alias("hi"), "first", "at", F.lit(True).alias("whole"))
     return hits.where("not first").groupBy("grp", "doc_id", "at").agg(F.min("lo").alias("lo"), (F.max("lo") + min_len).alias("hi")).select("grp", "doc_id", "lo", "hi", F.lit(False).alias("first"))
