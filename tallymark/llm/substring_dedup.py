@@ -331,7 +331,7 @@ def _windows(min_len: int):
     schema = pa.schema([("grp", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("lo", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             grp, doc, lo, left = (batch.column(c).to_numpy() for c in ("grp", "doc_id", "lo", "left"))
             size = np.array([x.as_buffer().size for x in batch.column("ctx")], np.int64)
             if not len(size):
