@@ -70,14 +70,17 @@ def period_type(form) -> Column:
 
 
 def fiscal_period(fp, form) -> Column:
-    blank = F.coalesce(F.trim(_c(fp)) == "", F.lit(True))
-    return F.when(~blank, F.trim(_c(fp))).otherwise(F.when(period_type(form) == "annual", "FY").otherwise("Q"))
+    """The period named in upper case, else FY or Q by the form's cycle."""
+    text = F.upper(F.trim(_c(fp)))
+    blank = F.coalesce(text.isin("", "<NA>", "NAN", "NONE"), F.lit(True))
+    return F.when(~blank, text).otherwise(F.when(period_type(form) == "annual", "FY").otherwise("Q"))
 
 
 def accession_key(accn, *parts) -> Column:
     """The accession number, or the parts joined by | where it is missing."""
     text = F.concat_ws("|", *[F.coalesce(_c(p).cast("string"), F.lit("")) for p in parts])
-    return F.coalesce(F.nullif(F.trim(_c(accn)), F.lit("")), text)
+    missing = F.coalesce(F.trim(_c(accn)).isin("", "<NA>", "nan", "None"), F.lit(True))
+    return F.when(missing, text).otherwise(F.trim(_c(accn)))
 
 
 def first_of(*columns) -> Column:

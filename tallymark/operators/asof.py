@@ -18,7 +18,7 @@ def period_ends(df: DataFrame, date: str, months: int = 3) -> DataFrame:
 
 def _timeline(rows: DataFrame, dates: DataFrame, key: str, date: str, carried: list[str]) -> DataFrame:
     """Rows and the snapshots of each key in one table, rows first on equal dates."""
-    snaps = rows.select(key).distinct().crossJoin(F.broadcast(dates.select("snapshot_date")))
+    snaps = rows.select(key).distinct().crossJoin(dates.select("snapshot_date"))
     snaps = snaps.select(key, F.col("snapshot_date").alias("_at"), F.lit(1).alias("_snap"), *[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c in carried])
     return rows.select(key, F.col(date).cast("date").alias("_at"), F.lit(0).alias("_snap"), *carried).unionByName(snaps)
 
@@ -63,18 +63,28 @@ def point_in_time(df: DataFrame, availability: str, period_end: str) -> DataFram
     return df.where(F.col(period_end).isNull() | (F.col(availability) >= F.col(period_end)))
 
 
-def previous_comparable(df: DataFrame, key: list[str], end: str, year: Column, period: Column, carried: list[str], tie: list[str]) -> DataFrame:
-    """Adds prev_* of the row of the same key with the same period a year before, else of the latest earlier end.
+def previous_comparable(df: DataFrame, key: list[str], end: str, year: Column, period: Column, carried: list[str], tie: list[str], any_year: Column | None = None) -> DataFrame:
+    """Adds prev_end and prev_* of the row of the same key with the same period a year before, else of the latest earlier end.
 
-    One self-join by key; among equals the first by tie.
+    Where any_year holds, a missing year on either side also fits. Among several the latest end counts, among one end's the
+    first by tie. Rows are numbered in their key by end; candidates are numbers found by windows and one equi-join, so no
+    row meets all earlier ones.
     """
-    now = df.withColumns({"_year": year, "_period": period, "_id": F.struct(*key, end, *tie)})
-    prev = now.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(end).alias("_end"), F.col("_year").alias("_py"), F.col("_period").alias("_pp"), *[F.col(t).alias(f"_t_{t}") for t in tie], *[F.col(c).alias(f"prev_{c}") for c in carried])
-    same = F.lit(True)
-    for k in key:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    pairs = now.join(prev, same & (F.col("_end") < F.col(end)), "left")
-    exact = ((F.col("_py") == F.col("_year") - 1) & (F.col("_pp") == F.col("_period"))).cast("int")
-    order = Window.partitionBy("_id").orderBy(F.coalesce(exact, F.lit(0)).desc(), F.col("_end").desc(), *[f"_t_{t}" for t in tie])
-    best = pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return best.select(*df.columns, F.col("_end").alias("prev_end"), *[f"prev_{c}" for c in carried])
+    day = F.datediff(F.col(end), F.lit("1970-01-01"))
+    last_first = [F.col(end).asc(), *[F.col(t).desc() for t in tie]]
+    now = df.withColumns({"_year": year.cast("int"), "_period": period, "_day": day, "_open": F.coalesce(any_year, F.lit(False)) if any_year is not None else F.lit(False)})
+    now = now.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*last_first)))
+    before = lambda *by: Window.partitionBy(*by).orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
+    same = before(*key, "_period")
+    now = now.withColumns({
+        "_any": F.max("_rn").over(before(*key)),
+        "_named": F.when(F.col("_open") & F.col("_year").isNull(), F.max("_rn").over(same)),
+        "_nameless": F.when(F.col("_open"), F.max(F.when(F.col("_year").isNull(), F.col("_rn"))).over(same)),
+    })
+    ids = now.groupBy(*key, "_period", "_year", "_day").agg(F.max("_rn").alias("_hit")).where("_year IS NOT NULL AND _period IS NOT NULL")
+    ask = now.select(*key, "_period", "_year", "_day", "_rn").alias("n")
+    on = [F.col(f"n.{k}") == F.col(f"p.{k}") for k in (*key, "_period")] + [F.col("n._year") == F.col("p._year") + 1, F.col("p._day") < F.col("n._day")]
+    exact = ask.join(ids.alias("p"), on).groupBy(*[F.col(f"n.{k}").alias(k) for k in key], F.col("n._rn").alias("_rn")).agg(F.max("_hit").alias("_exact"))
+    now = now.join(exact, [*key, "_rn"], "left").withColumn("_pick", F.coalesce(F.greatest("_exact", "_named", "_nameless"), "_any"))
+    prev = now.select(*key, F.col("_rn").alias("_pick"), F.col(end).alias("prev_end"), *[F.col(c).alias(f"prev_{c}") for c in carried])
+    return now.join(prev, [*key, "_pick"], "left").select(*df.columns, "prev_end", *[f"prev_{c}" for c in carried])

@@ -20,7 +20,7 @@ def search_tags(facts: DataFrame, keyword: str) -> DataFrame:
 
 def priority_tag(facts: DataFrame, order: DataFrame, key: str) -> DataFrame:
     """The first tag of an ordered list (tag, tag_rank; small) that each entity has."""
-    return facts.join(F.broadcast(order), "tag").groupBy(key).agg(F.min_by("tag", "tag_rank").alias("tag"))
+    return facts.join(order, "tag").groupBy(key).agg(F.min_by("tag", "tag_rank").alias("tag"))
 
 
 def candidate_filter(candidates: DataFrame, themes: DataFrame, score: str = "score") -> DataFrame:
@@ -65,18 +65,68 @@ def restated_prior(current: DataFrame, facts: DataFrame, tags: DataFrame) -> Dat
     return best.select("cik", "accession_key", "metric", F.col("val").alias("restated_value"))
 
 
-def company_extract(facts: DataFrame, tags: DataFrame, lead: str = "revenue") -> DataFrame:
-    """One row per company: every metric at the end of the latest annual lead value, with tag and filing date.
+def company_extract(facts: DataFrame, tags: DataFrame, metrics: tuple[str, ...], lead: str = "revenue", as_of: Column | None = None, most_days: int = 500) -> DataFrame:
+    """One row per company with annual lead values: every metric at the end of the latest one, with tag, end, year and filing date.
 
-    tags (small): metric, tag, tag_rank, kind.
+    tags: metric, tag, tag_rank, kind (a short list); besides metrics it may name liabilities_and_equity and equity, whose
+    difference stands in for missing liabilities unless negative. Adds how liabilities came about, the age at as_of,
+    warnings, ratios and which metrics lack the target's end.
     """
-    annual = _facts.latest_annual(facts, tags, duration=False)
+    annual = _facts.latest_annual(facts, tags)
     target = _facts.best_tag(annual.where(F.col("metric") == lead), ["cik"]).select("cik", F.col("end").alias("target_end"))
     at = annual.join(target, "cik").where(F.col("end") == F.col("target_end"))
     best = keep_first(at, ["cik", "metric"], F.col("filed").desc(), "tag_rank", "val")
-    names = [r["metric"] for r in tags.select("metric").distinct().orderBy("metric").collect()]  # metrics of a fixed list
-    wide = best.groupBy("cik", "target_end").pivot("metric", names).agg(F.first("val").alias("value"), F.first("tag").alias("tag"))
-    return wide.select("cik", "target_end", *[F.col(f"{m}_value").alias(m) for m in names], *[f"{m}_tag" for m in names])
+    every = [*metrics, *[m for m in ("liabilities_and_equity", "equity", "liabilities") if m not in metrics]]
+    parts = {"value": "val", "tag": "tag", "end": "end", "filed": "filed", "fy": "fy"}
+    wide = best.groupBy("cik", "target_end").pivot("metric", every).agg(*[F.first(c).alias(n) for n, c in parts.items()])
+    wide = wide.select("cik", "target_end", *[F.col(f"{m}_value").alias(m) for m in every], *[f"{m}_{n}" for m in every for n in parts if n != "value"])
+    value, method = _facts.liabilities_or()
+    rest = method == "calculated"
+    rows = wide.withColumns({
+        "liabilities_method": F.when(rest, "LiabilitiesAndEquity - Equity"), "liabilities_calculated": rest,
+        "liabilities_tag": F.when(rest, F.concat(F.lit("CALCULATED:"), "liabilities_and_equity_tag", F.lit("-"), "equity_tag")).otherwise(F.col("liabilities_tag")),
+        "liabilities_end": F.when(rest, F.col("target_end")).otherwise(F.col("liabilities_end")), "liabilities": value,
+    })
+    age = F.datediff(as_of if as_of is not None else F.current_date(), "target_end")
+    rows = rows.withColumns({"data_age_days": age, "is_stale": age > most_days, "_codes": _facts.financial_warnings(), **_facts.financial_ratios()})
+    issues = _facts.period_issues("target_end", {m: f"{m}_end" for m in metrics})
+    rows = rows.withColumns({"financial_warning": F.size("_codes") > 0, "warning_count": F.size("_codes"), "warning_messages": F.when(F.size("_codes") > 0, F.array_join("_codes", "|")), "_issues": issues})
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("_issues")), lambda e: F.concat_ws(":", e["key"], e["value"])), ";")
+    rows = rows.withColumns({"period_consistent": F.size("_issues") == 0, "period_issues": F.when(F.size("_issues") > 0, text)})
+    return rows.select(
+        "cik", "target_end", *metrics, *[f"{m}_tag" for m in metrics], "liabilities_calculated", "liabilities_method", *[f"{m}_end" for m in metrics], F.col(f"{lead}_fy").alias(f"{lead}_fiscal_year"),
+        F.col(f"{lead}_filed").alias(f"{lead}_filed_date"), "data_age_days", "is_stale", "financial_warning", "warning_count", "warning_messages", *_facts.financial_ratios(), "period_consistent", "period_issues",
+    )
+
+
+def company_records(companies: DataFrame, facts: DataFrame, extracted: DataFrame, key: str = "cik") -> tuple[DataFrame, DataFrame]:
+    """Companies with their extract, and error rows for those without."""
+    return companies.join(extracted, key), error_rows(companies, extracted, facts, key)
+
+
+def standard_panel(factors: DataFrame, universe: DataFrame, columns: dict[str, tuple[str, ...]], key: str = "cik") -> tuple[DataFrame, DataFrame]:
+    """Factor rows of the universe's entities fit for point-in-time use, and a row for each entity left without any.
+
+    columns: availability_date, period_end, form, accession_number, pit_valid -> names that may hold them. Rows go without
+    an availability date, before their period's end, or not valid; where an entity has annual or quarterly reports, other
+    forms go; of equal filings the last counts.
+    """
+    rows = factors
+    names = {c.lower(): c for c in factors.columns}
+    for to, many in columns.items():
+        found = next((names[m.lower()] for m in many if m.lower() in names), None)
+        kind = "date" if to in ("availability_date", "period_end") else "boolean" if to == "pit_valid" else "string"
+        value = F.col(found).cast(kind) if found else F.lit(True if to == "pit_valid" else "" if kind == "string" else None).cast(kind)
+        rows = rows.withColumn(to, F.upper(F.trim(value)) if to == "form" else value)
+    fit = rows.join(universe.select(key).distinct(), key, "left_semi").where(F.coalesce("pit_valid", F.lit(False)) & F.col("availability_date").isNotNull())
+    supported = F.col("form").isin(*clean.ANNUAL_FORMS, "10-Q", "10-Q/A")
+    fit = fit.withColumn("_s", supported).withColumn("_any", F.max("_s").over(Window.partitionBy(key))).where(F.col("_s") | ~F.col("_any")).drop("_s", "_any")
+    fit = fit.where(F.col("period_end").isNull() | (F.col("availability_date") >= F.col("period_end")))
+    once = keep_first(fit, [key, "availability_date", "period_end", "form", "accession_number"], *[F.col(c).desc_nulls_last() for c in factors.columns if c != key])
+    panel = once.join(universe, key)
+    some = factors.select(key, F.lit(True).alias("_f")).distinct()
+    lost = universe.select(key).distinct().join(fit.select(key), key, "left_anti").join(some, key, "left")
+    return panel, lost.select(key, F.lit("failed").alias("status"), F.when(F.col("_f"), "NO_VALID_ROW").otherwise("NO_FACTORS").alias("error_type"))
 
 
 def error_rows(companies: DataFrame, extracted: DataFrame, facts: DataFrame, key: str = "cik") -> DataFrame:
@@ -110,7 +160,7 @@ def hold_diagnostics(held: DataFrame, periods: DataFrame, prices: DataFrame) ->
     held: entry_date, ticker; periods (small): entry_date, exit_date; prices with real closes only.
     """
     last = prices.groupBy("ticker").agg(F.max("date").alias("series_end"))
-    rows = held.join(F.broadcast(periods), "entry_date").join(last, "ticker", "left")
+    rows = held.join(periods, "entry_date").join(last, "ticker", "left")
     ended = F.coalesce((F.col("series_end") < F.col("exit_date")) & (F.col("series_end") >= F.col("entry_date")), F.lit(False))
     return rows.groupBy("entry_date", "exit_date").agg(F.count("*").alias("n_held"), F.count_if(ended).alias("n_ended_inside"), F.count_if(F.coalesce(F.col("series_end") < F.col("entry_date"), F.lit(True))).alias("n_unpriced"))
 

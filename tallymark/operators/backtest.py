@@ -11,7 +11,7 @@ YEAR = 252
 
 def reindex(prices: DataFrame, calendar: DataFrame) -> DataFrame:
     """Every ticker on every calendar day (NULL where it has no price). calendar (date) is small."""
-    grid = prices.select("ticker").distinct().join(F.broadcast(calendar.select("date").distinct()), F.lit(True))
+    grid = prices.select("ticker").distinct().crossJoin(calendar.select("date").distinct())
     return grid.join(prices.select("date", "ticker", "close"), ["date", "ticker"], "left")
 
 
@@ -25,17 +25,29 @@ def holdings(weights: DataFrame, entries: DataFrame, prices: DataFrame) -> DataF
 
     weights: snapshot_date, ticker, weight; entries: snapshot_date, entry_date; prices filled forward.
     """
-    priced = weights.join(F.broadcast(entries), "snapshot_date").join(prices.select(F.col("date").alias("entry_date"), "ticker", F.col("close").alias("entry_close")), ["entry_date", "ticker"])
+    priced = weights.join(entries, "snapshot_date").join(prices.select(F.col("date").alias("entry_date"), "ticker", F.col("close").alias("entry_close")), ["entry_date", "ticker"])
     priced = priced.where("entry_close > 0")
     total = F.sum("weight").over(Window.partitionBy("entry_date"))
     return priced.withColumns({"weight": F.col("weight") / total, "shares": F.col("weight") / total / F.col("entry_close")})
 
 
+def holding_days(entries: DataFrame, calendar: DataFrame) -> DataFrame:
+    """date and entry_date of every calendar day from each entry day to the next one, both included. Both inputs are calendars."""
+    marks = entries.select(F.col("entry_date").alias("date"), F.col("entry_date").alias("_e")).distinct()
+    days = calendar.select("date").distinct().join(marks, "date", "left")
+    order = Window.orderBy("date")  # a row per trading day
+    own = days.select("date", F.last("_e", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("entry_date"), F.last("_e", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    both = F.array_distinct(F.array("entry_date", F.when(F.col("date") == F.col("entry_date"), F.col("_before")).otherwise(F.col("entry_date"))))
+    return own.where("entry_date IS NOT NULL").select("date", F.explode(F.array_compact(both)).alias("entry_date"))
+
+
 def index_returns(held: DataFrame, entries: DataFrame, prices: DataFrame) -> DataFrame:
-    """Daily returns of shares held from one entry day to the next; the first day of a period has none."""
-    periods = entries.select("entry_date").distinct().withColumn("exit_date", F.lead("entry_date").over(Window.orderBy("entry_date")))  # one row per rebalance
-    rows = held.select("entry_date", "ticker", "shares").join(F.broadcast(periods), "entry_date").join(prices, "ticker")
-    rows = rows.where((F.col("date") >= F.col("entry_date")) & (F.col("exit_date").isNull() | (F.col("date") <= F.col("exit_date"))))
+    """Daily returns of shares held from one entry day to the next; the first day of a period has none.
+
+    Each day gets its entry day first, so prices meet holdings by entry day and ticker.
+    """
+    days = holding_days(entries, prices.select("date"))
+    rows = prices.join(days, "date").join(held.select("entry_date", "ticker", "shares"), ["entry_date", "ticker"])
     value = rows.groupBy("entry_date", "date").agg(F.sum(F.col("shares") * F.col("close")).alias("value"))
     before = F.lag("value").over(Window.partitionBy("entry_date").orderBy("date"))
     daily = value.withColumn("ret", F.try_divide("value", before) - 1).where("ret IS NOT NULL")
@@ -101,11 +113,33 @@ def yearly(series: DataFrame, level: str = "level") -> DataFrame:
     return series.groupBy(F.year("date").alias("year")).agg((F.max_by(level, "date") / F.min_by(level, "date") - 1).alias("ret"))
 
 
+def performance(joined: DataFrame) -> DataFrame:
+    """metric, index and benchmark: cumulative return, CAGR, volatility, Sharpe ratio and deepest drawdown of columns ret and bench."""
+    out = None
+    for side in ("ret", "bench"):
+        lv = drawdown(levels(joined.select("date", F.col(side).alias("ret"))))
+        name = "index" if side == "ret" else "benchmark"
+        grown = {"cumulative_return": F.max_by("level", "date") / F.min_by("level", "date") - 1, "cagr": cagr(), "annualized_volatility": volatility("ret"), "sharpe_ratio": sharpe("ret"), "max_drawdown": F.min("drawdown")}
+        one = lv.agg(*[v.alias(k) for k, v in grown.items()]).unpivot([], list(grown), "metric", name)
+        out = one if out is None else out.join(one, "metric")
+    return out
+
+
+def tracking_table(joined: DataFrame) -> DataFrame:
+    """One row: correlation, tracking error, tracking difference (of CAGRs), beta, first and last day, number of days."""
+    side = lambda c, n: levels(joined.select("date", F.col(c).alias("ret"))).agg(cagr().alias(n))
+    rows = joined.agg(F.corr("ret", "bench").alias("correlation"), tracking_error(F.col("ret") - F.col("bench")).alias("tracking_error_annualized"), beta("ret", "bench").alias("beta"), F.min("date").alias("eval_start"), F.max("date").alias("eval_end"), F.count("*").alias("n_days"))
+    rows = rows.crossJoin(side("ret", "_a")).crossJoin(side("bench", "_b"))  # one row each
+    return rows.withColumn("tracking_difference_cagr", F.col("_a") - F.col("_b")).drop("_a", "_b")
+
+
 def price_coverage(prices: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Observations, first and last day, and calendar days missing between them, of each ticker."""
+    """Observations, first and last day, and calendar days missing between them, of each ticker; days are numbered once."""
     seen = prices.where("close IS NOT NULL").groupBy("ticker").agg(F.count("*").alias("n_obs"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    days = seen.join(F.broadcast(calendar.select("date").distinct()), F.col("date").between(F.col("first_date"), F.col("last_date")))
-    return days.groupBy("ticker", "n_obs", "first_date", "last_date").agg((F.count("*") - F.col("n_obs")).alias("n_missing"))
+    place = calendar.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")))  # a row per trading day
+    first, last = (place.select(F.col("date").alias(f"{n}_date"), F.col("_i").alias(f"_{n}")) for n in ("first", "last"))
+    rows = seen.join(first, "first_date").join(last, "last_date")
+    return rows.select("ticker", "n_obs", "first_date", "last_date", (F.col("_last") - F.col("_first") + 1 - F.col("n_obs")).alias("n_missing"))
 
 
 def gaps(grid: DataFrame, long: int = 20) -> DataFrame:
@@ -129,10 +163,18 @@ def flat_runs(prices: DataFrame) -> DataFrame:
 
 
 def suspension_audit(grid: DataFrame, long: int = 20) -> DataFrame:
-    """Status of each ticker: no data, ended before the calendar's end, suspected suspension or ok."""
+    """Status of each ticker: no data, ended before the calendar's end, suspected suspension or ok; and its missing days
+    before the first, inside, and after the last price."""
     real = F.when(F.col("close").isNotNull(), F.col("date"))
-    by = grid.groupBy("ticker").agg(F.min(real).alias("first_valid"), F.max(real).alias("last_valid"), F.max("date").alias("_end"), F.count("close").alias("n_days"))
-    worst = gaps(grid, long).groupBy("ticker").agg(F.max("days_missing").alias("max_gap"), F.count("*").alias("n_gaps"))
-    rows = by.join(worst, "ticker", "left").withColumns({"max_gap": F.coalesce("max_gap", F.lit(0)), "n_gaps": F.coalesce("n_gaps", F.lit(0))})
-    status = F.when(F.col("n_days") == 0, "NO_DATA").when(F.col("last_valid") < F.col("_end"), "DELISTED_OR_DATA_END").when(F.col("max_gap") >= long, "SUSPECTED_SUSPENSION").otherwise("OK")
+    by = Window.partitionBy("ticker")
+    rows = grid.withColumns({"_f": F.min(real).over(by), "_l": F.max(real).over(by)})
+    by = rows.groupBy("ticker").agg(
+        F.min("_f").alias("first_valid"), F.max("_l").alias("last_valid"), F.max("date").alias("_end"), F.count("close").alias("n_days"), F.count_if(F.col("date") < F.col("_f")).alias("n_pre_listing"),
+        F.count_if(F.col("close").isNull() & F.col("date").between(F.col("_f"), F.col("_l"))).alias("n_interior_missing"), F.count_if(F.col("date") > F.col("_l")).alias("n_post_end_missing"),
+    )
+    worst = gaps(grid, long).groupBy("ticker").agg(F.max("days_missing").alias("max_gap"), F.count("*").alias("n_gaps"), F.count_if(F.col("days_missing") >= long).alias("n_long_gaps"))
+    rows = by.join(worst, "ticker", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("max_gap", "n_gaps", "n_long_gaps")})
+    ended = F.coalesce(F.col("last_valid") < F.col("_end"), F.lit(False))
+    rows = rows.withColumns({"suspected_suspension": F.col("max_gap") >= long, "delisted_or_data_end": ended})
+    status = F.when(F.col("n_days") == 0, "NO_DATA").when(ended, "DELISTED_OR_DATA_END").when(F.col("suspected_suspension"), "SUSPECTED_SUSPENSION").otherwise("OK")
     return rows.withColumn("status", status).drop("_end")

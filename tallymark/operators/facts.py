@@ -12,17 +12,21 @@ from .pick import keep_first
 
 # Facts of filing cover pages.
 COVER_TAGS = (
-    "EntityCommonStockSharesOutstanding", "EntityPublicFloat", "EntityRegistrantName", "DocumentType", "DocumentPeriodEndDate", "AmendmentFlag", "EntityCentralIndexKey",
-    "CurrentFiscalYearEndDate", "DocumentFiscalYearFocus", "DocumentFiscalPeriodFocus", "EntityFilerCategory", "EntityCurrentReportingStatus", "EntityWellKnownSeasonedIssuer",
+    "EntityCommonStockSharesOutstanding", "EntityPublicFloat", "DocumentPeriodEndDate", "EntityWellKnownSeasonedIssuer", "EntityVoluntaryFilers", "EntityCurrentReportingStatus",
+    "EntityFilerCategory", "EntityEmergingGrowthCompany", "EntitySmallBusiness", "EntityShellCompany", "AmendmentFlag", "DocumentFiscalYearFocus", "DocumentFiscalPeriodFocus",
 )
 FINANCIAL = ("us-gaap", "ifrs-full")
 SUPPORTED_FORMS = (*clean.ANNUAL_FORMS, *clean.QUARTERLY_FORMS)
 FLOW, STOCK = "flow", "stock"
-ANNUAL_DAYS, QUARTER_DAYS = (300, 400), (60, 120)
+ANNUAL_DAYS, QUARTER_DAYS = (300, 400), (55, 115)
 
 
 def standardize(facts: DataFrame) -> DataFrame:
-    """Facts with tag, value, end and filed, of supported forms, filed no earlier than their end; equal ones once."""
+    """Facts with tag, value, end and filed, of supported forms, filed no earlier than their end; equal ones once.
+
+    Taxonomies come in lower case, forms and periods in upper case, all trimmed.
+    """
+    facts = facts.withColumns({"taxonomy": F.lower(F.trim("taxonomy")), "form": F.upper(F.trim("form")), "fp": F.upper(F.trim("fp"))})
     ok = facts.where(F.col("tag").isNotNull() & F.col("val").isNotNull() & F.col("end").isNotNull() & (F.col("filed") >= F.col("end")) & F.col("form").isin(*SUPPORTED_FORMS))
     key = ["cik", "tag", "unit", "start", "end", "val", "filed", "form", "accn", "fy", "fp"]
     return keep_first(ok, key, F.col("taxonomy").desc_nulls_last())
@@ -34,7 +38,7 @@ def financial_only(facts: DataFrame) -> DataFrame:
     both = F.coalesce(F.col("taxonomy").isin(*FINANCIAL), F.lit(False))
     w = Window.partitionBy("cik")
     marked = facts.withColumns({"_fin": F.max(both).over(w), "_pf": F.max(both & plain).over(w), "_p": F.max(plain).over(w)})
-    keep = F.when(F.col("_pf"), both & plain).when(F.col("_p") & ~F.col("_fin"), plain).when(F.col("_p"), plain & ~F.col("_pf")).otherwise(True)
+    keep = F.when(F.col("_pf"), both & plain).when(F.col("_p") & ~F.col("_fin"), plain).otherwise(True)
     return marked.where(keep).drop("_fin", "_pf", "_p")
 
 
@@ -52,7 +56,7 @@ def best_facts(anchor: DataFrame, facts: DataFrame, tags: DataFrame, taxonomy: C
     preferences in order: form of the same cycle, fiscal year, fiscal period, duration in the cycle's band; then tag
     rank, distance of filing dates, latest filing, accession, unit, value. All of it is one order and one window.
     """
-    f = facts.join(F.broadcast(tags), "tag").select("cik", F.col("end").alias("f_end"), F.col("filed").alias("f_filed"), F.col("form").alias("f_form"), F.col("fy").alias("f_fy"), F.col("fp").alias("f_fp"), F.col("accn").alias("f_accn"), "start", "unit", "val", "taxonomy", "tag", "tag_rank", "metric", "kind")
+    f = facts.join(tags, "tag").select("cik", F.col("end").alias("f_end"), F.col("filed").alias("f_filed"), F.col("form").alias("f_form"), F.col("fy").alias("f_fy"), F.col("fp").alias("f_fp"), F.col("accn").alias("f_accn"), "start", "unit", "val", "taxonomy", "tag", "tag_rank", "metric", "kind")
     pairs = anchor.join(f, "cik").where((F.col("f_end") == F.col("end")) & (F.col("f_filed") <= F.col("filed")))
     if taxonomy is not None:
         pairs = pairs.where(F.col("taxonomy") == taxonomy)
@@ -62,21 +66,37 @@ def best_facts(anchor: DataFrame, facts: DataFrame, tags: DataFrame, taxonomy: C
     band = F.when(annual, days.between(*ANNUAL_DAYS)).otherwise(days.between(*QUARTER_DAYS))
     flow = F.col("kind") == FLOW
     in_band = F.when(flow, F.coalesce(band, F.lit(False))).otherwise(False)
-    gap = F.when(in_band, F.abs(days - F.when(annual, 365).otherwise(91))).otherwise(0)
-    named = ~F.coalesce(F.col("fp"), F.lit("")).isin("", "Q")
+    gap = F.when(in_band, F.abs(days - F.when(annual, 365).otherwise(90))).otherwise(0)
+    named = ~F.coalesce(F.upper(F.trim("fp")), F.lit("")).isin("", "<NA>", "NAN", "NONE", "Q")
     order = Window.partitionBy("cik", "accession_key", "metric").orderBy(
-        cycle.desc(), F.coalesce(F.col("f_fy") == F.col("fy"), F.lit(False)).desc(), F.when(named, F.coalesce(F.col("f_fp") == F.col("fp"), F.lit(False))).otherwise(False).desc(), in_band.desc(),
+        cycle.desc(), F.coalesce(F.col("f_fy") == F.col("fy"), F.lit(False)).desc(), F.when(named, F.coalesce(F.col("f_fp") == F.upper(F.trim("fp")), F.lit(False))).otherwise(False).desc(), in_band.desc(),
         "tag_rank", gap, F.col("f_filed").desc(), F.col("f_accn").desc_nulls_last(), "unit", "val",
     )
-    return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*anchor.columns, "metric", "val", "tag", "taxonomy", "unit")
+    return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*anchor.columns, "metric", "val", "tag", "taxonomy", "unit", F.col("f_filed").alias("fact_filed"))
+
+
+def latest_annual(facts: DataFrame, tag_order: DataFrame) -> DataFrame:
+    """The annual value of each company, tag and end: the latest filing of 10-K and 10-K/A.
+
+    tag_order: metric, tag, tag_rank, kind. A tag of a company that has FY rows keeps only these; a flow tag that then
+    has rows of about a year keeps only these. Both choices hold for all its ends.
+    """
+    rows = facts.where(F.col("form").isin("10-K", "10-K/A")).join(tag_order, "tag")
+    by = Window.partitionBy("cik", "tag", "metric")
+    fy = F.coalesce(F.col("fp") == "FY", F.lit(False))
+    rows = rows.withColumn("_fy", fy).withColumn("_any", F.max("_fy").over(by)).where(F.col("_fy") | ~F.col("_any"))
+    year = F.coalesce(F.datediff("end", "start").between(*ANNUAL_DAYS), F.lit(False))
+    rows = rows.withColumn("_year", year).withColumn("_any", F.max("_year").over(by)).where((F.col("kind") != FLOW) | F.col("_year") | ~F.col("_any"))
+    rows = rows.where(F.col("val").isNotNull() & F.col("end").isNotNull() & F.col("filed").isNotNull()).drop("_fy", "_year", "_any")
+    return keep_first(rows, ["cik", "tag", "metric", "end"], F.col("filed").desc(), F.col("accn").desc_nulls_last(), "val")
 
 
-def latest_annual(facts: DataFrame, tag_order: DataFrame, duration: bool) -> DataFrame:
-    """The annual value of each company, tag and end: soft preference for FY and a year's duration, latest filing."""
-    rows = facts.where(F.col("form").isin("10-K", "10-K/A") & F.col("val").isNotNull()).join(F.broadcast(tag_order), "tag")
+def latest_value(facts: DataFrame) -> DataFrame:
+    """The latest 10-K value of each company and tag: FY rows where there are any, of each fiscal year the last filed, the last year's."""
+    rows = facts.where(F.col("form") == "10-K")
     fy = F.coalesce(F.col("fp") == "FY", F.lit(False))
-    year = F.coalesce(F.datediff("end", "start").between(*ANNUAL_DAYS), F.lit(False)) if duration else F.lit(True)
-    return keep_first(rows, ["cik", "tag", "end"], (fy & year).desc(), fy.desc(), F.col("filed").desc(), F.col("accn").desc_nulls_last(), "val")
+    rows = rows.withColumn("_fy", fy).withColumn("_any", F.max("_fy").over(Window.partitionBy("cik", "tag"))).where(F.col("_fy") | ~F.col("_any")).drop("_fy", "_any")
+    return keep_first(rows, ["cik", "tag"], F.col("fy").desc_nulls_first(), F.col("filed").desc_nulls_first(), F.col("accn").desc_nulls_last(), "val")
 
 
 def best_tag(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -92,36 +112,55 @@ def liabilities_or(total: str = "liabilities", both: str = "liabilities_and_equi
     return value, name
 
 
-METRICS = ("revenue", "operating_income", "net_income", "assets", "liabilities", "equity", "current_assets", "current_liabilities", "operating_cash_flow", "capex")
+METRICS = ("revenue", "operating_income", "net_income", "assets", "liabilities", "equity", "current_assets", "current_liabilities", "operating_cash_flow", "capital_expenditure")
+FACTORS = (
+    "revenue_growth", "operating_income_growth", "net_income_growth", "asset_growth", "operating_margin", "net_margin", "roa", "roe", "debt_ratio", "debt_to_equity", "current_ratio", "ocf_to_assets",
+    "free_cash_flow_proxy",
+)
 
 
 def factor_panel(anchor: DataFrame, best: DataFrame) -> DataFrame:
-    """Anchors with one column per metric, the previous comparable row's metrics and the derived factors."""
+    """Anchors with one column per metric, the previous comparable row's metrics and the derived factors.
+
+    Liabilities that aren't reported are assets minus equity. Annual rows compare with the fiscal year before, quarterly
+    ones with the same quarter of the year before, where a missing year fits any; else with the latest earlier end.
+    """
     wide = best.groupBy("cik", "accession_key").pivot("metric", list(METRICS)).agg(F.first("val"))
-    rows = anchor.join(wide, ["cik", "accession_key"], "left").withColumn("period_type", clean.period_type("form"))
-    rows = rows.withColumn("liabilities", F.coalesce("liabilities", F.col("assets") - F.col("equity")))
-    rows = previous_comparable(rows, ["cik", "period_type"], "end", F.col("fy"), F.when(F.col("period_type") == "annual", F.lit("FY")).otherwise(F.col("fp")), list(METRICS), ["filed", "accession_key"])
+    used = best.groupBy("cik", "accession_key").agg(F.count("*").alias("source_fact_count"), F.max("fact_filed").alias("_last"))
+    rows = anchor.join(wide, ["cik", "accession_key"], "left").join(used, ["cik", "accession_key"], "left").withColumn("period_type", clean.period_type("form"))
+    rows = rows.withColumns({"liabilities": F.coalesce("liabilities", F.col("assets") - F.col("equity")), "source_fact_count": F.coalesce("source_fact_count", F.lit(0))})
+    rows = rows.withColumn("pit_valid", F.coalesce(F.col("_last") <= F.col("filed"), F.lit(True))).drop("_last")
+    annual = F.col("period_type") == "annual"
+    rows = previous_comparable(rows, ["cik", "period_type"], "end", F.col("fy"), F.when(annual, "FY").otherwise(clean.fiscal_period("fp", "form")), list(METRICS), ["filed", "accession_key"], ~annual)
     return derived_factors(rows)
 
 
 def derived_factors(rows: DataFrame) -> DataFrame:
+    """The thirteen factors and how many there are. Returns are on the mean of both balances where there is a previous one."""
     d, g = clean.safe_divide, clean.safe_growth
     mean = lambda c: F.coalesce((F.col(c) + F.col(f"prev_{c}")) / 2, F.col(c))
-    out = {f"{c}_growth": g(c, f"prev_{c}") for c in ("revenue", "operating_income", "net_income", "operating_cash_flow")}
-    out |= {"operating_margin": d("operating_income", "revenue"), "net_margin": d("net_income", "revenue"), "roa": d("net_income", mean("assets")), "roe": d("net_income", mean("equity")), "ocf_to_assets": d("operating_cash_flow", mean("assets"))}
-    out |= {"debt_ratio": d("liabilities", "assets"), "debt_to_equity": d("liabilities", "equity"), "current_ratio": d("current_assets", "current_liabilities"), "free_cash_flow": F.col("operating_cash_flow") - F.abs("capex")}
-    return rows.withColumns(out).withColumns({"factor_available_count": clean.available(*out), "pit_valid": F.coalesce(F.col("filed") >= F.col("end"), F.lit(False))})
+    out = {f"{c}_growth": g(c, f"prev_{c}") for c in ("revenue", "operating_income", "net_income")} | {"asset_growth": g("assets", "prev_assets")}
+    out |= {"operating_margin": d("operating_income", "revenue"), "net_margin": d("net_income", "revenue"), "roa": d("net_income", mean("assets")), "roe": d("net_income", mean("equity"))}
+    out |= {"debt_ratio": d("liabilities", "assets"), "debt_to_equity": d("liabilities", "equity"), "current_ratio": d("current_assets", "current_liabilities")}
+    out |= {"ocf_to_assets": d("operating_cash_flow", mean("assets")), "free_cash_flow_proxy": F.col("operating_cash_flow") - F.abs("capital_expenditure")}
+    return rows.withColumns(out).withColumn("factor_available_count", clean.available(*FACTORS))
 
 
 def financial_warnings() -> Column:
-    """Codes of implausible values in a row of revenue, net income, assets and liabilities."""
+    """Codes of implausible values in a row of revenue, operating_income, net_income, assets and liabilities."""
     c = F.col
     return clean.codes(
-        ("REVENUE_MISSING", c("revenue").isNull()), ("REVENUE_NOT_POSITIVE", c("revenue") <= 0), ("NET_INCOME_MISSING", c("net_income").isNull()),
-        ("ASSETS_NOT_POSITIVE", c("assets") <= 0), ("LIABILITIES_NEGATIVE", c("liabilities") < 0), ("LIABILITIES_OVER_ASSETS", c("liabilities") > 2 * c("assets")),
+        ("revenue_non_positive", c("revenue") <= 0), ("operating_income_exceeds_revenue", c("operating_income") > c("revenue")), ("net_income_exceeds_revenue", c("net_income") > c("revenue")),
+        ("assets_non_positive", c("assets") <= 0), ("liabilities_negative", c("liabilities") < 0), ("liabilities_exceed_assets", c("liabilities") > c("assets")),
     )
 
 
+def financial_ratios() -> dict[str, Column]:
+    """Margins and leverage; NULL where a side is missing or the base is 0."""
+    d = clean.safe_divide
+    return {"operating_margin": d("operating_income", "revenue"), "net_margin": d("net_income", "revenue"), "liability_to_assets": d("liabilities", "assets")}
+
+
 def period_issues(target: str, ends: dict[str, str]) -> Column:
     """Map of metric to issue where its end is missing or differs from the target's."""
     issue = lambda e: F.when(F.col(e).isNull(), "missing").when(F.col(e) != F.col(target), "different")

@@ -24,19 +24,25 @@ def membership_changes(members: DataFrame, date: str, name: str) -> DataFrame:
     return both.select(date, name, action.alias("action"))
 
 
-def membership_ledger(candidates: DataFrame, members: DataFrame, date: str, name: str) -> DataFrame:
-    """Every candidate with its previous and current membership, action and first reason that explains it.
+def membership_ledger(candidates: DataFrame, scores: DataFrame, members: DataFrame, date: str, name: str) -> DataFrame:
+    """Every candidate or scored name of each scored date, with its previous and current membership, action, reason, score and rank.
 
-    candidates: date, name, scored, eligible (booleans); members: date, name.
+    candidates: date, name, theme_eligible, theme_reason; scores: date, name, factor_score; members: date, name.
+    Membership explains a name first; for the others the theme's verdict goes before missing scores and these before the rank.
     """
-    days = indexed(candidates.select(date).union(members.select(date)), date)
+    days = indexed(scores.select(date), date)
+    ranked = scores.select(date, name, "factor_score", F.lit(True).alias("data_eligible"), F.rank().over(Window.partitionBy(date).orderBy(F.col("factor_score").desc())).alias("rank"))
+    rows = candidates.select(date, name, "theme_eligible", "theme_reason").join(ranked, [date, name], "full").join(F.broadcast(days), date)
     inside = members.select(date, name).distinct().join(F.broadcast(days), date)
-    rows = candidates.join(F.broadcast(days), date).join(inside.select("_i", name, F.lit(True).alias("current")), ["_i", name], "left")
-    rows = rows.join(inside.select((F.col("_i") + 1).alias("_i"), name, F.lit(True).alias("previous")), ["_i", name], "left")
-    rows = rows.withColumns({"current": F.coalesce("current", F.lit(False)), "previous": F.coalesce("previous", F.lit(False))})
-    action = F.when(F.col("current") & F.col("previous"), "MAINTAIN").when(F.col("current"), "ADD").when(F.col("previous"), "DROP").otherwise("NONE")
-    reason = F.when(~F.col("eligible"), "NOT_ELIGIBLE").when(~F.col("scored"), "NO_SCORE").when(~F.col("current"), "BELOW_CUTOFF").otherwise("IN_INDEX")
-    return rows.select(date, name, "previous", "current", action.alias("action"), reason.alias("reason"))
+    rows = rows.join(inside.select("_i", name, F.lit(True).alias("_now")), ["_i", name], "left")
+    rows = rows.join(inside.select((F.col("_i") + 1).alias("_i"), name, F.lit(True).alias("_was")), ["_i", name], "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in (("theme_eligible", True), ("data_eligible", False), ("_now", False), ("_was", False))})
+    now, was = F.col("_now"), F.col("_was")
+    action = F.when(now & was, "MAINTAIN").when(now, "ADD").when(was, "DROP").otherwise("NONE")
+    theme = F.coalesce(F.nullif("theme_reason", F.lit("")), F.lit("THEME_DIRECTNESS_LOW"))
+    reason = F.when(now, "FACTOR_SCORE_TOP30").when(~F.col("theme_eligible"), theme).when(~F.col("data_eligible"), "DATA_OR_FACTOR_SCREEN").otherwise("FACTOR_SCORE_OUTSIDE_TOP30")
+    side = lambda c: F.when(c, "IN").otherwise("OUT")
+    return rows.select(date, name, side(was).alias("previous_membership"), side(now).alias("current_membership"), action.alias("action"), reason.alias("reason_code"), "factor_score", "rank", "theme_eligible", "data_eligible")
 
 
 def set_difference(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
@@ -84,15 +90,29 @@ def block_cross_standard(panel: DataFrame, crossed: str, growths: dict[str, tupl
     return panel.withColumns(out)
 
 
-def status_history(evidence: DataFrame, dates: DataFrame, key: str, states: dict[str, str], start: str) -> DataFrame:
-    """State of each key at each date: set by the last evidence up to then whose kind sets one. dates is small."""
+# The status that a kind of evidence sets; other kinds keep the one before.
+STATES = {"OFFICIAL_EXIT": "DISCONTINUED", "PARTIAL_DIVEST": "REDUCED", "KEYWORD_DECLINE": "UNCERTAIN", "ANNUAL_CONFIRM": "ACTIVE"}
+
+
+def status_history(evidence: DataFrame, dates: DataFrame, key: str, states: dict[str, str] = STATES, start: str = "NOT_REVIEWED", out: str = "DISCONTINUED") -> DataFrame:
+    """Status of each key at each date: set by the last evidence up to then whose kind sets one; later evidence is ignored.
+
+    Adds the status before, whether it changed, the evidence kind behind it, whether it makes the key a candidate for
+    exclusion (status out), and how many status-setting pieces are known. dates (snapshot_date) is a calendar. Evidence and
+    dates of a key stand in one order, so a hot key is sorted, not multiplied.
+    """
     mapping = F.create_map(*[F.lit(x) for kv in states.items() for x in kv])
-    sets = evidence.withColumn("_state", F.element_at(mapping, F.col("kind"))).where("_state IS NOT NULL")
-    rows = evidence.select(key).distinct().join(F.broadcast(dates.select("snapshot_date")), F.lit(True))
-    hit = rows.join(sets.select(key, "evidence_date", "kind", "_state"), key, "left")
-    known = F.col("evidence_date") <= F.col("snapshot_date")
-    out = hit.groupBy(key, "snapshot_date").agg(F.max_by(F.when(known, F.col("_state")), F.when(known, F.struct("evidence_date", "kind"))).alias("state"), F.count_if(known).alias("n_evidence"))
-    return out.withColumn("state", F.coalesce("state", F.lit(start)))
+    sets = evidence.select(key, F.col("evidence_date").alias("_at"), F.lit(0).alias("_snap"), "kind", F.element_at(mapping, F.col("kind")).alias("_state")).where("_state IS NOT NULL")
+    snaps = evidence.select(key).distinct().crossJoin(dates.select(F.col("snapshot_date").alias("_at")))
+    none = F.lit(None).cast("string")
+    line = sets.unionByName(snaps.select(key, "_at", F.lit(1).alias("_snap"), none.alias("kind"), none.alias("_state")))
+    past = Window.partitionBy(key).orderBy("_at", "_snap", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col("_snap") == 0, F.struct("_state", "kind"))
+    rows = line.withColumns({"_last": F.last(known, ignorenulls=True).over(past), "n_evidence": F.count(known).over(past)}).where("_snap = 1")
+    rows = rows.select(key, F.col("_at").alias("snapshot_date"), F.coalesce("_last._state", F.lit(start)).alias("status"), F.col("_last.kind").alias("change_reason"), "n_evidence")
+    before = F.coalesce(F.lag("status").over(Window.partitionBy(key).orderBy("snapshot_date")), F.lit(start))
+    rows = rows.withColumn("previous_status", before)
+    return rows.withColumns({"status_changed": F.col("status") != F.col("previous_status"), "exclusion_candidate": F.col("status") == out})
 
 
 def theme_gate(rows: DataFrame, evidence: DataFrame, key: str, date: str, retro: bool = False) -> DataFrame:
@@ -129,6 +149,51 @@ def coverage(df: DataFrame, *columns: str) -> DataFrame:
     return one.unpivot("_n", names, "column", "non_null").select("column", "non_null", (F.col("_n") - F.col("non_null")).alias("missing"), F.bround(F.try_divide(F.col("non_null") * 100, F.col("_n")), 4).alias("percent"))
 
 
+def boolean_coverage(df: DataFrame, *columns: str) -> DataFrame:
+    """How often each flag is true and false, and the share of true ones among all rows."""
+    one = df.agg(F.count("*").alias("_n"), *[x for c in columns for x in (F.count_if(F.col(c)).alias(f"{c}_true"), F.count_if(~F.col(c)).alias(f"{c}_false"))])
+    cells = F.array(*[F.struct(F.lit(f"{c}_true").alias("metric"), F.col(f"{c}_true").alias("available"), F.col(f"{c}_false").alias("missing")) for c in columns])
+    rows = one.select("_n", F.inline(cells))
+    return rows.select("metric", "available", "missing", F.bround(F.coalesce(F.try_divide(F.col("available") * 100, F.col("_n")), F.lit(0.0)), 2).alias("coverage_pct"))
+
+
+def event_cross_check(suspensions: DataFrame, listings: DataFrame) -> DataFrame:
+    """One row: suspected suspensions, delistings or ends of data, names that aren't listed any more."""
+    a = suspensions.agg(F.count_if("suspected_suspension").alias("n_long_suspensions"), F.count_if("delisted_or_data_end").alias("n_delisted"))
+    return a.crossJoin(listings.agg(F.count_if(F.col("listing_status") != "LISTED").alias("n_not_listed")))  # one row each
+
+
+def enrich_provenance(factors: DataFrame, standards: DataFrame, provenance_: DataFrame, mixed: DataFrame, transitions: DataFrame, universe: DataFrame, key: str, end: str) -> DataFrame:
+    """Factor rows with the company's standard, the tags behind each metric, mixed-standard and cross-standard flags, and the universe's columns.
+
+    standards: key, accounting_standard; provenance_ : key, end, ...; mixed: key, end, mixed_standard_warning; transitions: key,
+    end, growth_cross_standard_warning; universe: key, ... (its keys count). Missing flags are false, a missing standard UNKNOWN.
+    """
+    rows = factors.join(universe, key).join(standards, key, "left").join(provenance_, [key, end], "left").join(mixed, [key, end], "left").join(transitions, [key, end], "left")
+    flags = ("mixed_standard_warning", "growth_cross_standard_warning")
+    return rows.withColumns({"accounting_standard": F.coalesce("accounting_standard", F.lit("UNKNOWN")), **{c: F.coalesce(c, F.lit(False)) for c in flags}})
+
+
+def corporate_actions(universe: DataFrame, curated: DataFrame, ipos: DataFrame, spans: DataFrame, weights: DataFrame, name: str = "ticker") -> DataFrame:
+    """One row per name: its curated action, else its IPO (effective on its first trading day), else NONE, and how it fits the index's snapshots.
+
+    curated: name, corporate_action_type, announcement_date, effective_date, successor; ipos: name; spans: name, first_valid,
+    last_valid; weights: name, snapshot_date.
+    """
+    rows = universe.join(curated, name, "left").join(ipos.select(name, F.lit(True).alias("_ipo")).distinct(), name, "left").join(spans, name, "left")
+    ipo = F.col("corporate_action_type").isNull() & F.coalesce("_ipo", F.lit(False))
+    rows = rows.withColumns({
+        "effective_date": F.when(ipo, F.col("first_valid")).otherwise(F.col("effective_date")), "successor": F.coalesce("successor", F.col(name)),
+        "corporate_action_type": F.when(ipo, "IPO").otherwise(F.coalesce("corporate_action_type", F.lit("NONE"))),
+    }).drop("_ipo")
+    held = weights.select(name, "snapshot_date").distinct().join(rows.select(name, F.col("effective_date").alias("_e")), name)
+    counts = held.groupBy(name).agg(F.count("*").alias("n_index_snapshots"), F.count_if(F.col("snapshot_date") < F.col("_e")).alias("n_pre_event_snapshots"))
+    rows = rows.join(counts, name, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_index_snapshots", "n_pre_event_snapshots")})
+    kind, n, pre = F.col("corporate_action_type"), F.col("n_index_snapshots"), F.col("n_pre_event_snapshots")
+    note = F.when((kind == "TICKER_NAME_CHANGE") & (pre > 0), "HELD_BEFORE_RENAME").when(kind.startswith("SPINOFF") & (n == 0), "NOT_IN_INDEX").when(F.col("effective_date").isNotNull() & (pre == 0) & (n > 0), "AFTER_EFFECTIVE_DATE").otherwise("")
+    return rows.withColumns({"action_status": F.when(kind == "NONE", "NONE").otherwise("COMPLETED"), "pit_note": note})
+
+
 def numeric_summary(df: DataFrame, *columns: str) -> DataFrame:
     """count, mean, median, min, max and standard deviation of each column, over one unpivoted pass."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value").where("value IS NOT NULL")

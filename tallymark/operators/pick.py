@@ -37,13 +37,15 @@ def mode_of(df: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def quota_selection(df: DataFrame, quota: DataFrame, theme: str, target: int, *order: Column) -> DataFrame:
-    """The best rows of each theme up to its quota, then the best of the rest until target rows; adds stage and rank."""
-    ranked = df.join(F.broadcast(quota), theme).withColumn("_r", F.row_number().over(Window.partitionBy(theme).orderBy(*order)))
-    chosen = ranked.where("_r <= quota").withColumn("stage", F.lit("quota"))
-    short = chosen.agg((F.lit(target) - F.count("*")).alias("_short"))
-    # at most target rows of each theme can fill the shortage
+    """The best rows of each theme up to its quota, then the best of the rest, target rows in all; adds stage and rank.
+
+    Quotas that make more than target keep the best target of the chosen. No more than target rows of the rest can fill.
+    """
+    ranked = df.join(quota, theme).withColumn("_r", F.row_number().over(Window.partitionBy(theme).orderBy(*order)))
+    chosen = ranked.where("_r <= quota").withColumn("stage", F.lit("theme_quota"))
+    short = chosen.agg((F.lit(target) - F.count("*")).alias("_short"))  # one row
     rest = ranked.where(f"_r > quota AND _r <= quota + {target}")
     fill = rest.orderBy(*order).limit(target).withColumn("_f", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    fill = fill.join(F.broadcast(short), F.col("_f") <= F.col("_short")).drop("_f", "_short").withColumn("stage", F.lit("fill"))
-    out = chosen.unionByName(fill).drop("_r")
+    fill = fill.join(F.broadcast(short), F.col("_f") <= F.col("_short")).drop("_f", "_short").withColumn("stage", F.lit("shortage_fill"))
+    out = chosen.unionByName(fill).drop("_r").orderBy(*order).limit(target)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))

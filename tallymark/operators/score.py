@@ -91,8 +91,23 @@ def remove_names(weights: DataFrame, removed: DataFrame, by: str, name: str) ->
     return rest.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy(by)))
 
 
+def selection_score(relevance: str, quality: str, factors: str) -> Column:
+    """0.60 relevance, 0.25 quality and 0.15 factor availability, these two between the columns of with_minmax()."""
+    return F.bround(0.60 * F.col(relevance) + 0.25 * minmax(quality) + 0.15 * minmax(factors), 4)
+
+
+def _pack(reasons: list[Column]) -> Column:
+    return F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")
+
+
+def _decide(df: DataFrame) -> DataFrame:
+    """Adds eligible, decision and decision_reason from failed_reasons."""
+    ok = F.size("failed_reasons") == 0
+    return df.withColumns({"eligible": ok, "decision": F.when(ok, "INCLUDE").otherwise("EXCLUDE"), "decision_reason": F.when(ok, "ELIGIBLE").otherwise(F.array_join("failed_reasons", " | "))})
+
+
 def screen(df: DataFrame, checks: dict[str, tuple[Column | None, str, str]]) -> DataFrame:
-    """Adds eligible and the arrays passed_reasons, failed_reasons, unavailable_checks.
+    """Adds eligible, decision, decision_reason and the arrays passed_reasons, failed_reasons, unavailable_checks.
 
     checks: name -> (test, reason if it passes, reason if it fails); a test of None (its input isn't there) or of NULL is
     unavailable and fails nothing.
@@ -105,19 +120,86 @@ def screen(df: DataFrame, checks: dict[str, tuple[Column | None, str, str]]) ->
         passed.append(F.when(test, F.lit(yes)))
         failed.append(F.when(~test, F.lit(no)))
         absent.append(F.when(test.isNull(), F.lit(name)))
-    pack = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
-    out = df.withColumns({"passed_reasons": pack(passed), "failed_reasons": pack(failed), "unavailable_checks": pack(absent)})
-    return out.withColumn("eligible", F.size("failed_reasons") == 0)
+    return _decide(df.withColumns({"passed_reasons": _pack(passed), "failed_reasons": _pack(failed), "unavailable_checks": _pack(absent)}))
+
+
+def theme_screen(df: DataFrame, required: dict[str, tuple[str, ...]], core: tuple[str, ...] = (), min_required: int = 4, min_quality: float = 60, max_age: int = 365, require_core: bool = False) -> DataFrame:
+    """The eligibility screen of a snapshot: validity in time, age, required factors, data quality, warnings, core values.
+
+    required: factor -> names of columns that may hold it, the first with a finite value counts. A column that df lacks
+    makes its check unavailable, which fails nothing; so does a missing value of age, quality, or of core unless
+    require_core. Adds what screen() does, the counts of reasons, available and missing required factors, and
+    required_factor_columns (factor -> the column it came from).
+    """
+    names = set(df.columns)
+    passed, failed, absent = [], [], []
+    say = lambda test, text: F.when(F.coalesce(test, F.lit(False)), F.lit(text))
+
+    def flag(column, good, bad, missing, wanted):
+        if column not in names:
+            absent.append(F.lit(missing))
+            return
+        hit = F.coalesce(F.col(column), F.lit(False)) == wanted
+        passed.append(F.when(hit, F.lit(good)))
+        failed.append(F.when(~hit, F.lit(bad)))
+
+    def bound(column, test, good, bad, missing):
+        value = F.col(column).cast("double") if column in names else F.lit(None).cast("double")
+        value = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+        passed.append(say(test(value), good))
+        failed.append(say(~test(value), bad))
+        absent.append(F.when(value.isNull(), F.lit(missing)))
+
+    flag("pit_valid", "PIT_VALID", "PIT_INVALID", "PIT_VALID_NOT_AVAILABLE", True)
+    bound("information_age_days", lambda v: v <= max_age, "INFORMATION_FRESH", f"STALE_INFORMATION_OVER_{max_age}D", "INFORMATION_AGE_NOT_AVAILABLE")
+    there, source = {}, {}
+    for factor, aliases in required.items():
+        live = [F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.lit(c)) for c in aliases if c in names]
+        source[factor] = F.coalesce(*live, F.lit(None).cast("string"))
+        there[factor] = source[factor].isNotNull()
+        passed.append(F.when(there[factor], F.lit(f"REQUIRED_FACTOR_{factor.upper()}_AVAILABLE")))
+    n = sum((t.cast("int") for t in there.values()), F.lit(0))
+    enough = n >= min_required
+    passed.append(F.when(enough, F.concat(F.lit("REQUIRED_FACTOR_COVERAGE_"), n.cast("string"), F.lit(f"_OF_{len(required)}"))))
+    failed.append(F.when(~enough, F.lit(f"REQUIRED_FACTOR_COUNT_BELOW_{min_required}")))
+    failed += [F.when(~enough & ~t, F.lit(f"MISSING_REQUIRED_FACTOR_{f.upper()}")) for f, t in there.items()]
+    bound("data_quality_score", lambda v: v >= min_quality, "DATA_QUALITY_PASS", f"DATA_QUALITY_BELOW_{min_quality:g}", "DATA_QUALITY_NOT_AVAILABLE")
+    flag("financial_warning", "NO_FINANCIAL_WARNING", "FINANCIAL_WARNING", "FINANCIAL_WARNING_NOT_AVAILABLE", False)
+    for c in core:
+        if c not in names:
+            absent.append(F.lit(f"{c.upper()}_COLUMN_NOT_AVAILABLE"))
+            continue
+        value = F.col(c).cast("double")
+        live = F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+        passed.append(F.when(live, F.lit(f"{c.upper()}_AVAILABLE")))
+        (failed if require_core else absent).append(F.when(~live, F.lit(f"MISSING_{c.upper()}" + ("" if require_core else "_NOT_ENFORCED"))))
+    listed = lambda want: F.array_compact(F.array(*[F.when(t == want, F.lit(f)) for f, t in there.items()]))
+    out = df.withColumns({"passed_reasons": _pack(passed), "failed_reasons": _pack(failed), "unavailable_checks": _pack(absent)})
+    counts = {f"{k}_count": F.size(c) for k, c in (("passed_reason", "passed_reasons"), ("failed_reason", "failed_reasons"), ("unavailable_check", "unavailable_checks"))}
+    factors = {"required_factor_count": n, "available_required_factors": listed(True), "missing_required_factors": listed(False)}
+    return _decide(out).withColumns({**counts, **factors, "required_factor_columns": F.create_map(*[x for f, c in source.items() for x in (F.lit(f), c)])})
 
 
 def stale_grace(df: DataFrame, key: str, date: str, n: int, prefix: str = "STALE") -> DataFrame:
-    """Rows that fail for staleness only become eligible if eligible by themselves in one of the n snapshots before."""
+    """Rows that fail for one reason, and that staleness, become eligible if eligible by themselves in one of the n snapshots before.
+
+    Adds stale_grace_applied and stale_grace_source_date (the latest such snapshot), and changes the decision columns. With
+    n of 0 nothing changes.
+    """
+    if n <= 0:
+        return df
     dates = df.select(date).distinct().withColumn("_i", F.dense_rank().over(Window.orderBy(date)))  # a calendar of snapshots
     rows = df.join(F.broadcast(dates), date)
-    seen = F.max(F.when(F.col("eligible"), F.col("_i"))).over(Window.partitionBy(key).orderBy("_i").rangeBetween(-n, -1)) if n > 0 else F.lit(None).cast("int")
-    only = (F.size("failed_reasons") > 0) & F.forall("failed_reasons", lambda r: r.startswith(prefix))
-    rows = rows.withColumn("grace", only & seen.isNotNull())
-    return rows.withColumns({"passed_reasons": F.when(F.col("grace"), F.array_append("passed_reasons", F.lit("STALE_GRACE_APPLIED"))).otherwise(F.col("passed_reasons")), "eligible": F.col("eligible") | F.col("grace")}).drop("_i")
+    past = Window.partitionBy(key).orderBy("_i").rangeBetween(-n, -1)
+    seen = F.max(F.when(F.col("eligible"), F.col(date))).over(past)
+    only = (F.size("failed_reasons") == 1) & F.coalesce(F.col("failed_reasons")[0].startswith(prefix), F.lit(False))
+    rows = rows.withColumn("_seen", seen).withColumn("stale_grace_applied", only & F.col("_seen").isNotNull())
+    hit = F.col("stale_grace_applied")
+    changed = {
+        "stale_grace_source_date": F.when(hit, F.col("_seen")), "passed_reasons": F.when(hit, F.array_append("passed_reasons", F.lit("STALE_GRACE_APPLIED"))).otherwise(F.col("passed_reasons")),
+        "eligible": F.col("eligible") | hit, "decision": F.when(hit, "INCLUDE").otherwise(F.col("decision")), "decision_reason": F.when(hit, "ELIGIBLE_VIA_STALE_GRACE").otherwise(F.col("decision_reason")),
+    }
+    return rows.withColumns(changed).drop("_i", "_seen")
 
 
 def long_reasons(df: DataFrame, *keys: str) -> DataFrame:

@@ -11,7 +11,7 @@ from .pick import keep_first, mode_of
 # Exchanges, endings of derivative tickers and words of derivative names.
 EXCHANGES = ("Nasdaq", "NYSE")
 BAD_SUFFIX = r"-(UN|U|WT|WS|RT|R)$"
-BAD_WORDS = ("WARRANT", "RIGHT", "UNIT", "PREFERRED", "DEPOSITARY")
+BAD_WORDS = ("WARRANT", "RIGHT", "UNIT", "BLANK CHECK", "ACQUISITION CORP", "ACQUISITION CORPORATION", "ACQUISITION CO")
 
 
 def target_universe(master: DataFrame, n: int | None = None) -> DataFrame:
@@ -43,16 +43,25 @@ def representative(records: DataFrame, key: str, mode: str = "annual_preferred")
 
 
 def quality_score(core: list[str], factors: list[str], pit: Column, sources: Column) -> Column:
-    """40 for core values, 35 for factors, 15 for validity, up to 10 for sources."""
-    score = clean.available(*core) * 40.0 / len(core) + clean.available(*factors) * 35.0 / len(factors) + F.when(pit, 15.0).otherwise(0.0) + F.least(F.lit(10.0), sources / 9.0 * 10)
+    """40 for core values, 35 for factors, 15 for validity, up to 10 for sources (none where their number is missing or negative)."""
+    from_sources = F.least(F.lit(10.0), F.greatest(F.coalesce(sources.cast("double"), F.lit(0.0)), F.lit(0.0)) / 9.0 * 10)
+    score = clean.available(*core) * 40.0 / len(core) + clean.available(*factors) * 35.0 / len(factors) + F.when(pit, 15.0).otherwise(0.0) + from_sources
     return F.bround(score, 2)
 
 
+def financial_warning(revenue: str = "revenue", assets: str = "assets", income: str = "net_income", pit: str = "pit_valid") -> Column:
+    """A core value is missing, revenue or assets aren't positive, or the row isn't known to be valid in time."""
+    some = F.coalesce((clean.finite(F.col(revenue)) > 0) & (clean.finite(F.col(assets)) > 0), F.lit(False)) & clean.finite(F.col(income)).isNotNull()
+    return ~(some & F.coalesce(F.col(pit), F.lit(False)))
+
+
 def entity_master(records: DataFrame, tickers: DataFrame, key: str, core: list[str], factors: list[str]) -> DataFrame:
-    """Representative record of each entity with its most frequent ticker, quality score and warning."""
+    """Representative record of each entity with its most frequent ticker, quality score and warning.
+
+    records: key, the columns of representative(), core (with revenue, assets and net_income), factors, source_fact_count.
+    """
     rows = representative(records, key).join(mode_of(tickers, [key], "ticker"), key, "left")
-    warning = F.coalesce(F.col(core[0]) <= 0, F.lit(True)) | ~F.col("pit_valid")
-    return rows.withColumns({"data_quality_score": quality_score(core, factors, F.col("pit_valid"), F.col("factor_available_count")), "financial_warning": warning})
+    return rows.withColumns({"data_quality_score": quality_score(core, factors, F.col("pit_valid"), F.col("source_fact_count")), "financial_warning": financial_warning()})
 
 
 def name_lookup(rows: DataFrame, first: DataFrame, second: DataFrame, by_first: str, by_second: str, name: str) -> DataFrame:

@@ -48,18 +48,6 @@ def metadata_fill(spark, sf_dir):
     return audit.fill_metadata(rows, master, "s_suppkey")
 
 
-def company_extract(spark, sf_dir):
-    _, fact, _ = _order_facts(spark, sf_dir)
-    tags = spark.createDataFrame([("revenue", "A", 0, facts.FLOW), ("revenue", "R", 1, facts.FLOW), ("assets", "N", 0, facts.STOCK)], "metric string, tag string, tag_rank int, kind string")
-    out = audit.company_extract(_yearly(fact), tags)
-    return out.select("cik", "target_end", F.round("revenue", 2).alias("revenue"), F.round("assets", 2).alias("assets"), "revenue_tag", "assets_tag")
-
-
-def _yearly(fact):
-    """Facts of an order as those of its part of a hundred orders, at the month's end."""
-    return fact.withColumns({"cik": (F.col("cik").cast("long") % 97).cast("string"), "end": F.last_day("end"), "form": F.lit("10-K"), "fp": F.lit("FY")})
-
-
 def extract_errors(spark, sf_dir):
     _, fact, _ = _order_facts(spark, sf_dir)
     all_ = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("cik"))
@@ -106,7 +94,7 @@ def evidence_levels(spark, sf_dir):
 
 
 def rationale_table(spark, sf_dir):
-    s = read(spark, sf_dir, "part").where("p_partkey % 10 = 0").withColumn("size", F.col("p_size").cast("double"))
+    s = read(spark, sf_dir, "part").withColumn("size", F.col("p_size").cast("double"))
     return s.select("p_partkey", audit.rationale("p_name", "p_brand", ("price", "p_retailprice"), ("size", "size")).alias("sentence"), audit.name_map({"price": "Price", "size": "Size"}).alias("names"))
 
 
@@ -136,12 +124,6 @@ ORACLES = {
     "panel_extension": f"WITH {p._CLOSE}, x AS (SELECT *, CAST(substr(ticker, 2) AS INTEGER) AS k FROM closes) SELECT date, ticker, CASE WHEN k % 2 = 0 THEN close ELSE 1.0 END AS close FROM x WHERE k % 2 = 0 OR k % 3 = 0",
     "missing_prices": "SELECT 'S' || c_custkey AS ticker FROM customer WHERE c_custkey NOT IN (SELECT l_suppkey FROM lineitem)",
     "metadata_fill": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE c_name END AS name, c_mktsegment AS theme FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey",
-    "company_extract": f"""WITH {_FACTS}, y AS (SELECT CAST(CAST(f.cik AS BIGINT) % 97 AS VARCHAR) AS cik, last_day(d_end) AS d_end, f.filed, f.tag, accn, val, CASE WHEN f.tag = 'N' THEN 'assets' ELSE 'revenue' END AS metric, CASE WHEN f.tag = 'R' THEN 1 ELSE 0 END AS tag_rank
-  FROM f JOIN o ON o.cik = f.cik),
-a AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY cik, tag, d_end ORDER BY filed DESC, accn DESC, val) = 1),
-t AS (SELECT cik, max(d_end) AS target_end FROM a WHERE metric = 'revenue' GROUP BY cik),
-b AS (SELECT a.*, target_end FROM a JOIN t ON a.cik = t.cik AND d_end = target_end QUALIFY row_number() OVER (PARTITION BY a.cik, metric ORDER BY filed DESC, tag_rank, val) = 1)
-SELECT cik, target_end, round(max(val) FILTER (metric = 'revenue'), 2) AS revenue, round(max(val) FILTER (metric = 'assets'), 2) AS assets, max(tag) FILTER (metric = 'revenue') AS revenue_tag, max(tag) FILTER (metric = 'assets') AS assets_tag FROM b GROUP BY 1, 2""",
     "extract_errors": """WITH l AS (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
 SELECT CAST(o_orderkey AS VARCHAR) AS cik, CASE WHEN l_orderkey IS NULL THEN 'NO_FACTS' ELSE 'NO_ANNUAL_VALUE' END AS error_type, l_orderkey IS NULL AS structural_error FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE NOT coalesce(r, false)""",
     "restated_prior": f"""WITH {_FACTS}, t AS (SELECT * FROM (VALUES ('amount', 'R', 0), ('amount', 'A', 1), ('open', 'N', 0)) AS t(metric, tag, tag_rank)),
@@ -158,7 +140,7 @@ UNION ALL SELECT 'B', quarter_end, count(*), round(sum(weight * weight), 6), rou
     "evidence_levels": """WITH k AS (SELECT c_custkey, concat_ws('; ', CASE WHEN c_acctbal < 0 THEN 'debt' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'builder' END, CASE WHEN c_nationkey > 20 THEN 'far' END) AS observed,
   CAST(c_acctbal < 0 AS INTEGER) + CAST(c_mktsegment = 'BUILDING' AS INTEGER) + CAST(c_nationkey > 20 AS INTEGER) AS n FROM customer)
 SELECT c_custkey, observed, CASE WHEN n >= 2 THEN 'strong' WHEN n = 1 THEN 'weak' ELSE 'none' END AS level FROM k""",
-    "rationale_table": "SELECT p_partkey, p_name || ' (' || p_brand || '): price ' || format('{:,.2f}', p_retailprice) || ', size ' || format('{:,.2f}', CAST(p_size AS DOUBLE)) AS sentence, 'price->Price; size->Size' AS names FROM part WHERE p_partkey % 10 = 0",
+    "rationale_table": "SELECT p_partkey, p_name || ' (' || p_brand || '): price ' || format('{:,.2f}', p_retailprice) || ', size ' || format('{:,.2f}', CAST(p_size AS DOUBLE)) AS sentence, 'price->Price; size->Size' AS names FROM part",
     "period_strings": "SELECT o_custkey, string_agg(DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '|' ORDER BY CAST(CAST(o_orderdate AS DATE) AS VARCHAR)) AS joined, count(*) AS n, min(CAST(o_orderdate AS DATE)) AS first, max(CAST(o_orderdate AS DATE)) AS last FROM orders GROUP BY 1",
     "rolling_quarter_error": f"""WITH {p._JOIN}, r AS (SELECT date, count(*) OVER w AS n, stddev_samp(ret - bench) OVER w * sqrt(252) AS tracking_error FROM j WINDOW w AS (ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) SELECT date, round(tracking_error, 4) AS tracking_error FROM r WHERE n = 63""",
     "interval_membership": """WITH b AS (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders),

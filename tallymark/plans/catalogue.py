@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, prices, reports, scores, snapshots
+from . import audits, filings, prices, reports, scores, snapshots
 
-MODULES = (snapshots, scores, prices, reports, audits)
+MODULES = (snapshots, scores, prices, reports, audits, filings)
 
 
 def queries() -> dict:

@@ -22,9 +22,13 @@ def calendar(spark, sf_dir) -> DataFrame:
 
 
 def grid(spark, sf_dir) -> DataFrame:
-    """Ten tickers on all days: the benchmark-sized panel."""
-    few = closes(spark, sf_dir).where(F.substring("ticker", -1, 1) == "1")
-    return backtest.reindex(few, calendar(spark, sf_dir))
+    """Every ticker on all days."""
+    return backtest.reindex(closes(spark, sf_dir), calendar(spark, sf_dir))
+
+
+def filled(spark, sf_dir) -> DataFrame:
+    """All tickers on all days, filled forward; holdings and the benchmark share it."""
+    return backtest.forward_fill(grid(spark, sf_dir))
 
 
 def calendar_reindex(spark, sf_dir):
@@ -36,7 +40,9 @@ def price_long_ffill(spark, sf_dir):
 
 
 def price_unpivot(spark, sf_dir):
-    wide = closes(spark, sf_dir).where("ticker IN ('S1', 'S2', 'S3')").groupBy("date").pivot("ticker", ["S1", "S2", "S3"]).agg(F.first("close"))
+    """A wide matrix with a column per supplier, back in the long shape."""
+    tickers = [f"S{r[0]}" for r in read(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]  # the matrix's columns
+    wide = closes(spark, sf_dir).groupBy("date").pivot("ticker", tickers).agg(F.first("close"))
     return readers.long_prices(wide).where("close IS NOT NULL")
 
 
@@ -58,11 +64,10 @@ def price_coverage(spark, sf_dir):
 
 
 def portfolio(spark, sf_dir):
-    """Weights, entry days, filled prices of the names ever held."""
+    """Weights, entry days, filled prices."""
     w = index_weights(spark, sf_dir).select(F.col("quarter_end").alias("snapshot_date"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), "weight")
     entries = asof.asof_forward(w.select("snapshot_date").distinct(), calendar(spark, sf_dir)).where("entry_date IS NOT NULL")
-    held = closes(spark, sf_dir).join(w.select("ticker").distinct(), "ticker", "left_semi")
-    return w, entries, backtest.forward_fill(backtest.reindex(held, calendar(spark, sf_dir)))
+    return w, entries, filled(spark, sf_dir)
 
 
 def holdings(spark, sf_dir):
@@ -81,8 +86,7 @@ def holding_returns(spark, sf_dir):
 
 def bench(spark, sf_dir) -> DataFrame:
     """Daily mean of filled prices of all suppliers, with its return."""
-    filled = backtest.forward_fill(backtest.reindex(closes(spark, sf_dir), calendar(spark, sf_dir)))
-    day = filled.groupBy("date").agg(F.avg("close").alias("close"))
+    day = filled(spark, sf_dir).groupBy("date").agg(F.avg("close").alias("close"))
     from pyspark.sql.window import Window
 
     return day.withColumn("bench", F.col("close") / F.lag("close").over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1)  # a row per trading day
@@ -105,6 +109,16 @@ def perf_metrics(spark, sf_dir):
     )
 
 
+def performance_block(spark, sf_dir):
+    p = backtest.performance(joined(spark, sf_dir))
+    return p.select("metric", F.round("index", 5).alias("index"), F.round("benchmark", 5).alias("benchmark"))
+
+
+def tracking_table(spark, sf_dir):
+    t = backtest.tracking_table(joined(spark, sf_dir))
+    return t.select("eval_start", "eval_end", "n_days", *[F.round(c, 5).alias(c) for c in ("correlation", "tracking_error_annualized", "tracking_difference_cagr", "beta")])
+
+
 def yearly_returns(spark, sf_dir):
     y = backtest.yearly(backtest.levels(returns(spark, sf_dir).select("date", "ret")))
     return y.select("year", F.round("ret", 6).alias("ret"))
@@ -140,7 +154,7 @@ def latest_prices(spark, sf_dir):
 _CLOSE = """closes AS (SELECT CAST(l_shipdate AS DATE) AS date, 'S' || l_suppkey AS ticker, l_extendedprice AS close FROM lineitem
   QUALIFY row_number() OVER (PARTITION BY CAST(l_shipdate AS DATE), l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) = 1),
 calendar AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)"""
-_GRID = f"""{_CLOSE}, few AS (SELECT * FROM closes WHERE ticker LIKE '%1'),
+_GRID = f"""{_CLOSE}, few AS (SELECT * FROM closes),
 grid AS (SELECT t.ticker, c.date, f.close FROM (SELECT DISTINCT ticker FROM few) t CROSS JOIN calendar c LEFT JOIN few f ON f.ticker = t.ticker AND f.date = c.date)"""
 _GAPS = """span AS (SELECT *, min(date) FILTER (close IS NOT NULL) OVER (PARTITION BY ticker) AS f, max(date) FILTER (close IS NOT NULL) OVER (PARTITION BY ticker) AS l,
   row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM grid),
@@ -164,19 +178,24 @@ _JOIN = f"""{_RET}, agrid AS (SELECT t.ticker, c.date, h.close FROM (SELECT DIST
 day AS (SELECT date, avg(close) AS close FROM ({_FILL} agrid) GROUP BY date),
 bm AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS bench FROM day),
 j AS (SELECT date, ret, bench FROM rets JOIN bm USING (date) WHERE bench IS NOT NULL)"""
+_SIDES = """both_sides AS (SELECT date, 'index' AS s, ret AS r FROM j UNION ALL SELECT date, 'benchmark', bench FROM j),
+raised AS (SELECT *, 100 * exp(sum(ln(1 + r)) OVER (PARTITION BY s ORDER BY date ROWS UNBOUNDED PRECEDING)) AS level FROM both_sides),
+sides AS (SELECT *, max(level) OVER (PARTITION BY s ORDER BY date ROWS UNBOUNDED PRECEDING) AS top FROM raised)"""
 _B = "covar_samp(ret, bench) / var_samp(bench)"
 _TRACK = f"round(corr(ret, bench), 5) AS correlation, round(stddev_samp(ret - bench) * sqrt(252), 5) AS tracking_error, round(avg(ret - bench) * 252, 5) AS tracking_difference, round({_B}, 5) AS beta, round((avg(ret) - {_B} * avg(bench)) * 252, 5) AS alpha"
 ORACLES = {
     "calendar_reindex": f"WITH {_GRID} SELECT ticker, count(*) AS n_days, count(close) AS n_prices, round(sum(close), 2) AS total FROM grid GROUP BY ticker",
     "price_long_ffill": f"WITH {_GRID} SELECT * FROM ({_FILL} grid) WHERE close IS NOT NULL",
-    "price_unpivot": f"WITH {_CLOSE} SELECT date, ticker, close FROM closes WHERE ticker IN ('S1', 'S2', 'S3')",
+    "price_unpivot": f"WITH {_CLOSE} SELECT date, ticker, close FROM closes WHERE ticker IN (SELECT 'S' || s_suppkey FROM supplier)",
     "gap_islands": f"WITH {_GRID}, {_GAPS} SELECT *, CASE WHEN days_missing >= 20 THEN 'suspected_suspension' ELSE 'short_gap' END AS classification FROM gaps",
     "flat_runs": f"""WITH {_CLOSE}, c AS (SELECT ticker, date, floor(close / 20000) AS close FROM closes), s AS (SELECT *, coalesce(CAST(lag(close) OVER (PARTITION BY ticker ORDER BY date) = close AS INTEGER), 0) AS same FROM c),
 g AS (SELECT *, sum(1 - same) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT ticker, max(run) AS longest_flat FROM (SELECT ticker, g, CAST(sum(same) AS BIGINT) AS run FROM g GROUP BY ticker, g) GROUP BY ticker""",
     "suspension_audit": f"""WITH {_GRID}, {_GAPS}, t AS (SELECT ticker, min(date) FILTER (close IS NOT NULL) AS first_valid, max(date) FILTER (close IS NOT NULL) AS last_valid, max(date) AS e, count(close) AS n_days FROM grid GROUP BY ticker),
-x AS (SELECT ticker, max(days_missing) AS max_gap, count(*) AS n_gaps FROM gaps GROUP BY ticker)
-SELECT ticker, first_valid, last_valid, n_days, coalesce(max_gap, 0) AS max_gap, coalesce(n_gaps, 0) AS n_gaps,
-  CASE WHEN n_days = 0 THEN 'NO_DATA' WHEN last_valid < e THEN 'DELISTED_OR_DATA_END' WHEN coalesce(max_gap, 0) >= 20 THEN 'SUSPECTED_SUSPENSION' ELSE 'OK' END AS status FROM t LEFT JOIN x USING (ticker)""",
+x AS (SELECT ticker, max(days_missing) AS max_gap, count(*) AS n_gaps, count(*) FILTER (days_missing >= 20) AS n_long_gaps FROM gaps GROUP BY ticker),
+c AS (SELECT ticker, count(*) FILTER (date < f) AS n_pre_listing, count(*) FILTER (close IS NULL AND date BETWEEN f AND l) AS n_interior_missing, count(*) FILTER (date > l) AS n_post_end_missing FROM span GROUP BY ticker)
+SELECT ticker, first_valid, last_valid, n_days, n_pre_listing, n_interior_missing, n_post_end_missing, coalesce(max_gap, 0) AS max_gap, coalesce(n_gaps, 0) AS n_gaps, coalesce(n_long_gaps, 0) AS n_long_gaps,
+  coalesce(max_gap, 0) >= 20 AS suspected_suspension, coalesce(last_valid < e, false) AS delisted_or_data_end,
+  CASE WHEN n_days = 0 THEN 'NO_DATA' WHEN last_valid < e THEN 'DELISTED_OR_DATA_END' WHEN coalesce(max_gap, 0) >= 20 THEN 'SUSPECTED_SUSPENSION' ELSE 'OK' END AS status FROM t LEFT JOIN x USING (ticker) JOIN c USING (ticker)""",
     "price_coverage": f"""WITH {_CLOSE}, s AS (SELECT ticker, count(*) AS n_obs, min(date) AS first_date, max(date) AS last_date FROM closes GROUP BY ticker)
 SELECT ticker, n_obs, first_date, last_date, count(*) - n_obs AS n_missing FROM s JOIN calendar c ON c.date BETWEEN first_date AND last_date GROUP BY ticker, n_obs, first_date, last_date""",
     "holdings": f"WITH {_PORT} SELECT entry_date, ticker, round(weight, 8) AS weight, round(shares, 10) AS shares FROM h",
@@ -184,6 +203,13 @@ SELECT ticker, n_obs, first_date, last_date, count(*) - n_obs AS n_missing FROM
     "levels_drawdown": f"WITH {_LEVEL} SELECT date, round(level, 4) AS level, round(drawdown, 6) AS drawdown FROM dd",
     "perf_metrics": f"""WITH {_LEVEL} SELECT round(arg_max(level, date) / 100 - 1, 6) AS cumulative, round(pow(arg_max(level, date) / arg_min(level, date), 365.25 / (max(date) - min(date))) - 1, 6) AS cagr,
   round(stddev_samp(ret) * sqrt(252), 6) AS volatility, round(avg(ret) * 252 / (stddev_samp(ret) * sqrt(252)), 6) AS sharpe, round(min(drawdown), 6) AS max_drawdown FROM dd""",
+    "performance_block": f"""WITH {_JOIN}, {_SIDES}, m AS (SELECT s, arg_max(level, date) / arg_min(level, date) - 1 AS cumulative_return, pow(arg_max(level, date) / arg_min(level, date), 365.25 / (max(date) - min(date))) - 1 AS cagr,
+  stddev_samp(r) * sqrt(252) AS annualized_volatility, avg(r) * 252 / (stddev_samp(r) * sqrt(252)) AS sharpe_ratio, min(level / top - 1) AS max_drawdown FROM sides GROUP BY s),
+u AS (UNPIVOT m ON cumulative_return, cagr, annualized_volatility, sharpe_ratio, max_drawdown INTO NAME metric VALUE v)
+SELECT metric, round(max(v) FILTER (s = 'index'), 5) AS "index", round(max(v) FILTER (s = 'benchmark'), 5) AS benchmark FROM u GROUP BY metric""",
+    "tracking_table": f"""WITH {_JOIN}, {_SIDES}, c AS (SELECT s, pow(arg_max(level, date) / arg_min(level, date), 365.25 / (max(date) - min(date))) - 1 AS cagr FROM sides GROUP BY s)
+SELECT min(date) AS eval_start, max(date) AS eval_end, count(*) AS n_days, round(corr(ret, bench), 5) AS correlation, round(stddev_samp(ret - bench) * sqrt(252), 5) AS tracking_error_annualized,
+  round((SELECT cagr FROM c WHERE s = 'index') - (SELECT cagr FROM c WHERE s = 'benchmark'), 5) AS tracking_difference_cagr, round({_B}, 5) AS beta FROM j""",
     "yearly_returns": f"WITH {_LEVEL} SELECT CAST(year(date) AS INTEGER) AS year, round(arg_max(level, date) / arg_min(level, date) - 1, 6) AS ret FROM lv GROUP BY 1",
     "subperiod_tracking": f"WITH {_JOIN} SELECT CASE WHEN year(date) < 1997 THEN 'early' WHEN year(date) < 2000 THEN 'middle' ELSE 'late' END AS period, count(*) AS n, {_TRACK} FROM j GROUP BY 1 HAVING count(*) >= 5",
     "rolling_tracking": f"""WITH {_JOIN}, r AS (SELECT date, count(*) OVER w AS n, corr(ret, bench) OVER w AS correlation, covar_samp(ret, bench) OVER w / var_samp(bench) OVER w AS beta, stddev_samp(ret - bench) OVER w * sqrt(252) AS tracking_error, avg(ret - bench) OVER w * 252 AS mean_active

@@ -35,7 +35,7 @@ def numeric_parse(spark, sf_dir):
 def universe_filter(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("cik"), F.concat(F.lit(" t"), (F.col("c_custkey") % 700).cast("string"), F.when(F.col("c_custkey") % 11 == 0, "-WT").otherwise("")).alias("ticker"),
-        F.when(F.col("c_custkey") % 7 == 0, "United Corp").otherwise(F.col("c_name")).alias("name"), F.when(F.col("c_nationkey") % 2 == 0, "Nasdaq").when(F.col("c_nationkey") % 3 == 0, "NYSE").otherwise("OTC").alias("exchange"),
+        F.when(F.col("c_custkey") % 7 == 0, "United Corp").when(F.col("c_custkey") % 13 == 0, "First Acquisition Corp").when(F.col("c_custkey") % 17 == 0, "Preferred Depositary Inc").otherwise(F.col("c_name")).alias("name"), F.when(F.col("c_nationkey") % 2 == 0, "Nasdaq").when(F.col("c_nationkey") % 3 == 0, "NYSE").otherwise("OTC").alias("exchange"),
     )
     return universe.target_universe(c)
 
@@ -112,20 +112,22 @@ def suffix_join(spark, sf_dir):
 def entity_master(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(
         "o_custkey", F.to_date("o_orderdate").alias("period_end"), F.date_add(F.to_date("o_orderdate"), 40).alias("filed"), F.when(F.col("o_orderpriority").startswith("1"), "annual").otherwise("quarterly").alias("period_type"),
-        (F.col("o_orderkey") % 5 != 0).alias("pit_valid"), (F.col("o_orderkey") % 8).cast("int").alias("factor_available_count"), F.col("o_orderkey").alias("accession"), F.col("o_totalprice").alias("revenue"),
-        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("income"), F.when(F.col("o_orderkey") % 2 == 0, F.lit(1.0)).alias("margin"),
+        (F.col("o_orderkey") % 5 != 0).alias("pit_valid"), (F.col("o_orderkey") % 8).cast("int").alias("factor_available_count"), F.col("o_orderkey").alias("accession"), (F.col("o_totalprice") - 30000).alias("revenue"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("net_income"), F.when(F.col("o_orderkey") % 7 > 0, F.lit(1.0)).alias("assets"), F.when(F.col("o_orderkey") % 2 == 0, F.lit(1.0)).alias("margin"),
+        F.when(F.col("o_orderkey") % 6 > 0, F.col("o_orderkey") % 12 - 2).alias("source_fact_count"),
     )
     tickers = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("ticker"))
-    out = universe.entity_master(o, tickers, "o_custkey", ["revenue", "income"], ["margin"])
+    out = universe.entity_master(o, tickers, "o_custkey", ["revenue", "net_income", "assets"], ["margin"])
     return out.select("o_custkey", "ticker", "accession", "period_type", "selection_reason", "data_quality_score", "financial_warning")
 
 
 def warning_codes(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(
-        "o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice") - 20000).alias("revenue"), F.when(F.col("o_orderkey") % 3 > 0, F.lit(1.0)).alias("net_income"), F.lit(30000.0).alias("assets"), (F.col("o_totalprice") - 15000).alias("liabilities")
+        "o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice") - 20000).alias("revenue"), F.lit(90000.0).alias("operating_income"), F.when(F.col("o_orderkey") % 3 > 0, F.lit(40000.0)).alias("net_income"),
+        F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderkey") % 4 * 40000.0 - 40000).alias("assets"), (F.col("o_totalprice") - 15000).alias("liabilities"),
     )
     w = o.withColumn("codes", facts.financial_warnings())
-    return w.select("o_orderkey", F.size("codes").alias("warning_count"), F.array_join("codes", "|").alias("warnings"))
+    return w.select("o_orderkey", F.size("codes").alias("warning_count"), F.when(F.size("codes") > 0, F.array_join("codes", "|")).alias("warnings"))
 
 
 def transition_flags(spark, sf_dir):
@@ -156,25 +158,27 @@ def null_where(spark, sf_dir):
     return integrity.null_where(li, keys, ["o_custkey"], "o_totalprice", "o_orderpriority")
 
 
-_STATES = {"click": "CONFIRMED", "signup": "WATCH", "purchase": "EXCLUDED"}
+_KINDS = {"click": "ANNUAL_CONFIRM", "signup": "KEYWORD_DECLINE", "purchase": "OFFICIAL_EXIT", "view": "NO_NEW_INFO"}
 
 
 def status_transition(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("evidence_date"), F.col("event_type").alias("kind"))
+    kinds = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
+    e = read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("evidence_date"), F.coalesce(F.element_at(kinds, F.col("event_type")), F.lit("PARTIAL_DIVEST")).alias("kind"))
     days = e.where("dayofmonth(evidence_date) % 7 = 1").select(F.col("evidence_date").alias("snapshot_date")).distinct()
-    return integrity.status_history(e, days, "user_id", _STATES, "PENDING")
+    return integrity.status_history(e, days, "user_id")
 
 
 def theme_gate(spark, sf_dir):
     days = quarters(spark, sf_dir)
-    rows = read(spark, sf_dir, "customer").where("c_nationkey < 5").select("c_custkey").join(F.broadcast(days), F.lit(True))
+    rows = read(spark, sf_dir, "customer").select("c_custkey").crossJoin(days)
     ev = read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("evidence_date"))
     pit, retro = (integrity.theme_gate(rows, ev, "c_custkey", "snapshot_date", r).withColumn("mode", F.lit(m)) for r, m in ((False, "pit"), (True, "retro")))
     return pit.unionByName(retro)
 
 
 def event_windows(spark, sf_dir):
-    ev = read(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select("c_custkey", F.to_date(F.lit("1998-06-15")).alias("effective_date"))
+    """Each customer's first finished order is its event, all its orders are snapshots."""
+    ev = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.to_date(F.min("o_orderdate")).alias("effective_date"))
     snaps = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("snapshot_date"))
     return integrity.event_windows(ev, snaps, "c_custkey")
 
@@ -227,16 +231,16 @@ def liabilities_fallback(spark, sf_dir):
     return o.select("o_orderkey", F.round(value, 2).alias("liabilities"), method.alias("method"))
 
 
-_EVID = "e AS (SELECT user_id, CAST(ts AS DATE) AS evidence_date, event_type AS kind FROM events), d AS (SELECT DISTINCT evidence_date AS snapshot_date FROM e WHERE day(evidence_date) % 7 = 1)"
-_STATE_SQL = "CASE kind WHEN 'click' THEN 'CONFIRMED' WHEN 'signup' THEN 'WATCH' WHEN 'purchase' THEN 'EXCLUDED' END"
+_EVID = "e AS (SELECT user_id, CAST(ts AS DATE) AS evidence_date, CASE event_type WHEN 'click' THEN 'ANNUAL_CONFIRM' WHEN 'signup' THEN 'KEYWORD_DECLINE' WHEN 'purchase' THEN 'OFFICIAL_EXIT' WHEN 'view' THEN 'NO_NEW_INFO' ELSE 'PARTIAL_DIVEST' END AS kind FROM events), d AS (SELECT DISTINCT evidence_date AS snapshot_date FROM e WHERE day(evidence_date) % 7 = 1)"
+_STATE_SQL = "CASE kind WHEN 'OFFICIAL_EXIT' THEN 'DISCONTINUED' WHEN 'PARTIAL_DIVEST' THEN 'REDUCED' WHEN 'KEYWORD_DECLINE' THEN 'UNCERTAIN' WHEN 'ANNUAL_CONFIRM' THEN 'ACTIVE' END"
 ORACLES = {
     "clean_keys": """SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, CASE WHEN c_custkey % 5 IN (0, 1) THEN '' ELSE trim(c_name) END AS name, regexp_replace(upper(trim(c_name)), '[^A-Z0-9.\\-]', '', 'g') AS ticker FROM customer""",
     "bool_parse": "SELECT p_partkey, p_size % 4 = 0 AS plain, p_size % 4 IN (0, 2) AS scored, p_size % 4 <> 1 AS lenient FROM part",
     "numeric_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 3) THEN floor(o_totalprice) END AS value, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
-    "universe_filter": """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS cik, 'T' || (c_custkey % 700) || CASE WHEN c_custkey % 11 = 0 THEN '-WT' ELSE '' END AS ticker, CASE WHEN c_custkey % 7 = 0 THEN 'United Corp' ELSE c_name END AS name,
+    "universe_filter": """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS cik, 'T' || (c_custkey % 700) || CASE WHEN c_custkey % 11 = 0 THEN '-WT' ELSE '' END AS ticker, CASE WHEN c_custkey % 7 = 0 THEN 'United Corp' WHEN c_custkey % 13 = 0 THEN 'First Acquisition Corp' WHEN c_custkey % 17 = 0 THEN 'Preferred Depositary Inc' ELSE c_name END AS name,
   CASE WHEN c_nationkey % 2 = 0 THEN 'Nasdaq' WHEN c_nationkey % 3 = 0 THEN 'NYSE' ELSE 'OTC' END AS exchange FROM customer)
 SELECT * FROM (SELECT * FROM c WHERE exchange <> 'OTC' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY cik, name) = 1)
-WHERE ticker NOT LIKE '%-%' AND NOT regexp_matches(upper(name), 'WARRANT|RIGHT|UNIT|PREFERRED|DEPOSITARY')""",
+WHERE ticker NOT LIKE '%-%' AND NOT regexp_matches(upper(name), 'WARRANT|RIGHT|UNIT|BLANK CHECK|ACQUISITION CO')""",
     "target_slice": """SELECT * FROM (SELECT CASE WHEN s_nationkey >= 0 THEN lpad(CAST(s_nationkey AS VARCHAR), 10, '0') END AS cik, min(s_name) AS ticker FROM supplier WHERE s_nationkey <> 0 GROUP BY 1) ORDER BY ticker, cik LIMIT 10 OFFSET 3""",
     "json_flatten": """WITH e AS (SELECT CAST(event_id AS VARCHAR) AS cik, CAST(user_id AS VARCHAR) AS ticker, event_type AS tag, CAST(props::JSON->>'$.k' AS DOUBLE) AS k FROM events)
 SELECT cik, ticker, 'us-gaap' AS taxonomy, tag, 'USD' AS unit, CAST(NULL AS DATE) AS start, DATE '2024-01-10' AS "end", k AS val, CAST(NULL AS DATE) AS filed, '10-K' AS form, cik AS accn, CAST(NULL AS INTEGER) AS fy FROM e
@@ -261,11 +265,12 @@ FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey AND c_custkey % 4 = 0
 r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY annual DESC, (o_orderkey % 5 <> 0) DESC, d DESC, o_orderkey % 8 DESC, o_orderkey DESC) AS n FROM o),
 m AS (SELECT o_custkey, arg_max(o_orderpriority, (n, o_orderpriority)) AS ticker FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1)
 SELECT o_custkey, ticker, o_orderkey AS accession, CASE WHEN annual THEN 'annual' ELSE 'quarterly' END AS period_type, CASE WHEN annual THEN 'latest_annual' ELSE 'latest_quarterly' END AS selection_reason,
-  round_even((CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END) * 40.0::DOUBLE / 2 + (CASE WHEN o_orderkey % 2 = 0 THEN 35.0::DOUBLE ELSE 0 END) + (CASE WHEN o_orderkey % 5 <> 0 THEN 15.0::DOUBLE ELSE 0 END) + least(10.0::DOUBLE, (o_orderkey % 8) / 9.0::DOUBLE * 10), 2) AS data_quality_score,
-  o_totalprice <= 0 OR o_orderkey % 5 = 0 AS financial_warning FROM r JOIN m USING (o_custkey) WHERE n = 1""",
-    "warning_codes": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice - 20000 END AS r, o_orderkey % 3 > 0 AS ni, o_totalprice - 15000 AS l FROM orders),
-c AS (SELECT o_orderkey, list_filter([CASE WHEN r IS NULL THEN 'REVENUE_MISSING' END, CASE WHEN r <= 0 THEN 'REVENUE_NOT_POSITIVE' END, CASE WHEN NOT ni THEN 'NET_INCOME_MISSING' END, CASE WHEN l < 0 THEN 'LIABILITIES_NEGATIVE' END, CASE WHEN l > 60000 THEN 'LIABILITIES_OVER_ASSETS' END], lambda x: x IS NOT NULL) AS c FROM o)
-SELECT o_orderkey, CAST(len(c) AS INTEGER) AS warning_count, coalesce(array_to_string(c, '|'), '') AS warnings FROM c""",
+  round_even((1 + CAST(o_orderkey % 3 = 0 AS INTEGER) + CAST(o_orderkey % 7 > 0 AS INTEGER)) * 40.0::DOUBLE / 3 + (CASE WHEN o_orderkey % 2 = 0 THEN 35.0::DOUBLE ELSE 0 END) + (CASE WHEN o_orderkey % 5 <> 0 THEN 15.0::DOUBLE ELSE 0 END) + CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE least(10.0::DOUBLE, greatest(o_orderkey % 12 - 2, 0) / 9.0::DOUBLE * 10) END, 2) AS data_quality_score,
+  o_totalprice <= 30000 OR o_orderkey % 3 <> 0 OR o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 AS financial_warning FROM r JOIN m USING (o_custkey) WHERE n = 1""",
+    "warning_codes": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice - 20000 END AS r, CASE WHEN o_orderkey % 3 > 0 THEN 40000 END AS ni, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 * 40000 - 40000 END AS a, o_totalprice - 15000 AS l FROM orders),
+c AS (SELECT o_orderkey, concat_ws('|', CASE WHEN r <= 0 THEN 'revenue_non_positive' END, CASE WHEN 90000 > r THEN 'operating_income_exceeds_revenue' END, CASE WHEN ni > r THEN 'net_income_exceeds_revenue' END,
+  CASE WHEN a <= 0 THEN 'assets_non_positive' END, CASE WHEN l < 0 THEN 'liabilities_negative' END, CASE WHEN l > a THEN 'liabilities_exceed_assets' END) AS c FROM o)
+SELECT o_orderkey, CAST(CASE WHEN c = '' THEN 0 ELSE len(c) - len(replace(c, '|', '')) + 1 END AS INTEGER) AS warning_count, nullif(c, '') AS warnings FROM c""",
     "transition_flags": """WITH n AS (SELECT l_suppkey, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quarter, l_returnflag AS standard, count(*) AS n FROM lineitem GROUP BY ALL),
 u AS (SELECT l_suppkey, quarter, arg_max(standard, (n, standard)) AS standard FROM n GROUP BY 1, 2), p AS (SELECT *, lag(standard) OVER (PARTITION BY l_suppkey ORDER BY quarter) AS previous_standard FROM u)
 SELECT *, coalesce(previous_standard <> standard, false) AS crossed FROM p""",
@@ -275,11 +280,14 @@ SELECT *, CASE WHEN n_us_gaap > 0 AND n_ifrs > 0 THEN 'MIXED_FILER' WHEN n_us_ga
     "cross_block": f"""WITH {_SUPQ}, q AS (SELECT l_suppkey, quarter_end, round(revenue, 2) AS revenue, round(quantity, 2) AS quantity FROM supq), r AS (SELECT *, CASE WHEN quantity % 2 = 0 THEN round(revenue * 0.9::DOUBLE, 2) END AS restated, quantity % 3 = 0 AS crossed FROM q)
 SELECT l_suppkey, quarter_end, round(CASE WHEN NOT crossed THEN 0.5::DOUBLE WHEN restated <> 0 THEN revenue / restated - 1 END, 6) AS growth, CASE WHEN NOT crossed THEN 'unchanged' WHEN restated IS NOT NULL THEN 'restated' ELSE 'blocked' END AS growth_decision FROM r""",
     "null_where": "SELECT o_custkey, o_orderkey, CASE WHEN c_custkey IS NULL THEN o_totalprice END AS o_totalprice, CASE WHEN c_custkey IS NULL THEN o_orderpriority END AS o_orderpriority FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal < 0",
-    "status_transition": f"""WITH {_EVID} SELECT user_id, snapshot_date, coalesce(arg_max({_STATE_SQL}, (evidence_date, kind)) FILTER (evidence_date <= snapshot_date AND {_STATE_SQL} IS NOT NULL), 'PENDING') AS state,
-  count(*) FILTER (evidence_date <= snapshot_date AND {_STATE_SQL} IS NOT NULL) AS n_evidence FROM d CROSS JOIN e GROUP BY 1, 2""",
-    "theme_gate": f"""WITH {_Q}, ev AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS d FROM orders WHERE o_totalprice > 300000 GROUP BY 1), x AS (SELECT c_custkey, snapshot_date, ev.d FROM customer CROSS JOIN q LEFT JOIN ev ON o_custkey = c_custkey WHERE c_nationkey < 5)
+    "status_transition": f"""WITH {_EVID}, s AS (SELECT user_id, snapshot_date, arg_max(kind, (evidence_date, kind)) FILTER (evidence_date <= snapshot_date AND {_STATE_SQL} IS NOT NULL) AS change_reason,
+  count(*) FILTER (evidence_date <= snapshot_date AND {_STATE_SQL} IS NOT NULL) AS n_evidence FROM d CROSS JOIN e GROUP BY 1, 2),
+t AS (SELECT user_id, snapshot_date, change_reason, n_evidence, coalesce({_STATE_SQL.replace("kind", "change_reason")}, 'NOT_REVIEWED') AS status FROM s),
+p AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY user_id ORDER BY snapshot_date), 'NOT_REVIEWED') AS previous_status FROM t)
+SELECT *, status <> previous_status AS status_changed, status = 'DISCONTINUED' AS exclusion_candidate FROM p""",
+    "theme_gate": f"""WITH {_Q}, ev AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS d FROM orders WHERE o_totalprice > 300000 GROUP BY 1), x AS (SELECT c_custkey, snapshot_date, ev.d FROM customer CROSS JOIN q LEFT JOIN ev ON o_custkey = c_custkey)
 SELECT c_custkey, snapshot_date, NOT coalesce(snapshot_date >= d, false) AS theme_eligible, 'pit' AS mode FROM x UNION ALL SELECT c_custkey, snapshot_date, d IS NULL, 'retro' FROM x""",
-    "event_windows": """WITH ev AS (SELECT c_custkey, DATE '1998-06-15' AS effective_date FROM customer WHERE c_custkey % 20 = 0)
+    "event_windows": """WITH ev AS (SELECT o_custkey AS c_custkey, CAST(min(o_orderdate) AS DATE) AS effective_date FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT c_custkey, effective_date, count(*) FILTER (CAST(o_orderdate AS DATE) <= effective_date) AS n_before, count(*) FILTER (CAST(o_orderdate AS DATE) > effective_date) AS n_after,
   max(CAST(o_orderdate AS DATE)) FILTER (CAST(o_orderdate AS DATE) <= effective_date) AS last_before, min(CAST(o_orderdate AS DATE)) FILTER (CAST(o_orderdate AS DATE) > effective_date) AS first_after FROM ev LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""",
     "override_dimension": "SELECT n_nationkey, n_name, coalesce(r_name, 'NONE') AS verdict FROM nation LEFT JOIN region ON r_regionkey = n_nationkey",

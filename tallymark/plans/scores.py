@@ -13,9 +13,9 @@ FACTORS = {"revenue": (0.35, True), "discount": (0.15, False), "quantity": (0.30
 CAP, TOP = 0.10, 30
 
 
-def scored(spark, sf_dir) -> DataFrame:
+def scored(spark, sf_dir, quarters: DataFrame | None = None) -> DataFrame:
     """Quarterly factors (revenue under 200,000 taken as missing) with percentile and composite scores."""
-    q = supplier_quarters(spark, sf_dir).withColumn("revenue", F.when(F.round("revenue", 2) >= 200000, F.round("revenue", 2)))
+    q = (supplier_quarters(spark, sf_dir) if quarters is None else quarters).withColumn("revenue", F.when(F.round("revenue", 2) >= 200000, F.round("revenue", 2)))
     q = q.withColumns({c: F.round(c, 6) for c in ("discount", "tax")})
     p = q.withColumns({f"{c}_score": score.percentile(c, ["quarter_end"], up) for c, (_, up) in FACTORS.items()})
     total, n = score.composite({f"{c}_score": w for c, (w, _) in FACTORS.items()})
@@ -44,8 +44,8 @@ def score_summary(spark, sf_dir):
     )
 
 
-def index_weights(spark, sf_dir) -> DataFrame:
-    rows = scored(spark, sf_dir).where("available_factor_count >= 3").withColumn("s", F.pow(F.col("factor_score"), 6))
+def index_weights(spark, sf_dir, quarters: DataFrame | None = None) -> DataFrame:
+    rows = scored(spark, sf_dir, quarters).where("available_factor_count >= 3").withColumn("s", F.pow(F.col("factor_score"), 6))
     return score.build_index(rows, "quarter_end", "s", TOP, CAP, "l_suppkey")
 
 
@@ -81,8 +81,10 @@ def topn_diff(spark, sf_dir):
 
 
 def determinism_check(spark, sf_dir):
-    d = integrity.weight_differences(index_weights(spark, sf_dir), index_weights(spark, sf_dir), "quarter_end", "l_suppkey")
-    return d.agg(F.max("max_weight_diff").alias("max_weight_diff"), F.sum("membership_changes").alias("membership_changes"))
+    """The index rebuilt from the same rows in another order and split, against the first build."""
+    again = index_weights(spark, sf_dir, supplier_quarters(spark, sf_dir, lambda li: li.repartition(7, F.xxhash64("l_partkey", "l_orderkey")).sortWithinPartitions(F.desc("l_shipdate"))))
+    d = integrity.weight_differences(index_weights(spark, sf_dir), again, "quarter_end", "l_suppkey")
+    return d.agg(F.round(F.max("max_weight_diff"), 9).alias("max_weight_diff"), F.sum("membership_changes").alias("membership_changes"))
 
 
 def rebalance_ledger(spark, sf_dir):
@@ -90,20 +92,31 @@ def rebalance_ledger(spark, sf_dir):
 
 
 def membership_ledger(spark, sf_dir):
-    bal = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") >= 0).alias("eligible"))
-    cand = scored(spark, sf_dir).select("quarter_end", "l_suppkey", (F.col("available_factor_count") >= 3).alias("scored")).join(bal, "l_suppkey")
-    return integrity.membership_ledger(cand, gated_weights(spark, sf_dir), "quarter_end", "l_suppkey")
+    """Candidates are the suppliers of a quarter but every fifth, which is only scored; those with a negative balance fail the theme."""
+    low = F.col("s_acctbal") < 0
+    bal = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (~low).alias("theme_eligible"), F.when(low & (F.col("s_suppkey") % 2 == 0), "NEGATIVE_BALANCE").otherwise("").alias("theme_reason"))
+    rows = scored(spark, sf_dir)
+    cand = rows.where("l_suppkey % 5 <> 0").select("quarter_end", "l_suppkey").join(bal, "l_suppkey")
+    return integrity.membership_ledger(cand, rows.where("available_factor_count >= 3").select("quarter_end", "l_suppkey", "factor_score"), index_weights(spark, sf_dir), "quarter_end", "l_suppkey")
 
 
-def quota_selection(spark, sf_dir):
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("size"), "p_retailprice")
-    rows = score.with_minmax(part, "size", "p_retailprice")
-    rows = rows.withColumn("selection_score", F.bround(0.6 * score.minmax("p_retailprice") + 0.4 * score.minmax("size"), 4))
+def _selected(spark, sf_dir, target: int):
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_size") * 2.0).alias("relevance"), F.when(F.col("p_partkey") % 9 > 0, F.col("p_retailprice")).alias("quality"), (F.col("p_partkey") % 14).cast("double").alias("factors"))
+    rows = score.with_minmax(part, "quality", "factors").withColumn("selection_score", score.selection_score("relevance", "quality", "factors"))
     quota = read(spark, sf_dir, "part").select("p_brand").distinct().withColumn("quota", F.when(F.col("p_brand").endswith("1"), 6).otherwise(2))
-    out = pick.quota_selection(rows, quota, "p_brand", 100, F.col("selection_score").desc(), F.col("p_retailprice").desc(), F.col("p_partkey"))
+    out = pick.quota_selection(rows, quota, "p_brand", target, F.col("selection_score").desc(), F.col("relevance").desc(), F.col("p_partkey"))
     return out.select("p_partkey", "p_brand", "selection_score", "stage", "rank")
 
 
+def quota_selection(spark, sf_dir):
+    return _selected(spark, sf_dir, 100)
+
+
+def quota_trim(spark, sf_dir):
+    """Quotas that make more than the target."""
+    return _selected(spark, sf_dir, 20)
+
+
 def quota_summary(spark, sf_dir):
     chosen = quota_selection(spark, sf_dir)
     total = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("matched"))
@@ -138,15 +151,16 @@ def _index_sql(name: str, rows: str) -> str:
 _IDX = f"{_SCORED}, {_index_sql('idx', 'SELECT * FROM scored WHERE available_factor_count >= 3')}"
 _GATED = "SELECT * FROM scored WHERE available_factor_count >= 3 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)"
 _BOTH = f"{_IDX}, {_index_sql('gated', _GATED)}"
-_SELECT = """part2 AS (SELECT p_partkey, p_brand, CAST(p_size AS DOUBLE) AS size, p_retailprice FROM part),
-mm AS (SELECT min(size) AS s0, max(size) AS s1, min(p_retailprice) AS r0, max(p_retailprice) AS r1 FROM part2),
-sel AS (SELECT p_partkey, p_brand, p_retailprice, round_even(0.6 * ((p_retailprice - r0) / (r1 - r0) * 100) + 0.4 * ((size - s0) / (s1 - s0) * 100), 4) AS selection_score,
+_SELECT = """part2 AS (SELECT p_partkey, p_brand, p_size * 2.0::DOUBLE AS relevance, CASE WHEN p_partkey % 9 > 0 THEN p_retailprice END AS quality, CAST(p_partkey % 14 AS DOUBLE) AS factors FROM part),
+mm AS (SELECT min(quality) AS q0, max(quality) AS q1, min(factors) AS f0, max(factors) AS f1 FROM part2),
+sel AS (SELECT p_partkey, p_brand, relevance, round_even(0.6::DOUBLE * relevance + 0.25::DOUBLE * coalesce((quality - q0) / (q1 - q0) * 100, 50.0::DOUBLE) + 0.15::DOUBLE * coalesce((factors - f0) / (f1 - f0) * 100, 50.0::DOUBLE), 4) AS selection_score,
   CASE WHEN p_brand LIKE '%1' THEN 6 ELSE 2 END AS quota FROM part2, mm),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY selection_score DESC, p_retailprice DESC, p_partkey) AS r FROM sel),
-rest AS (SELECT *, row_number() OVER (ORDER BY selection_score DESC, p_retailprice DESC, p_partkey) AS f FROM ranked WHERE r > quota),
-chosen AS (SELECT p_partkey, p_brand, p_retailprice, selection_score, 'quota' AS stage FROM ranked WHERE r <= quota
-  UNION ALL SELECT p_partkey, p_brand, p_retailprice, selection_score, 'fill' FROM rest WHERE f <= 100 - (SELECT count(*) FROM ranked WHERE r <= quota)),
-quota_selection AS (SELECT p_partkey, p_brand, selection_score, stage, CAST(row_number() OVER (ORDER BY selection_score DESC, p_retailprice DESC, p_partkey) AS INTEGER) AS rank FROM chosen)"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY selection_score DESC, relevance DESC, p_partkey) AS r FROM sel),
+rest AS (SELECT *, row_number() OVER (ORDER BY selection_score DESC, relevance DESC, p_partkey) AS f FROM ranked WHERE r > quota),
+chosen AS (SELECT p_partkey, p_brand, relevance, selection_score, 'theme_quota' AS stage FROM ranked WHERE r <= quota
+  UNION ALL SELECT p_partkey, p_brand, relevance, selection_score, 'shortage_fill' FROM rest WHERE f <= TARGET - (SELECT count(*) FROM ranked WHERE r <= quota)),
+quota_selection AS (SELECT p_partkey, p_brand, selection_score, stage, CAST(row_number() OVER (ORDER BY selection_score DESC, relevance DESC, p_partkey) AS INTEGER) AS rank FROM chosen QUALIFY rank <= TARGET)"""
+_SELECT, _TRIM = _SELECT.replace("TARGET", "100"), _SELECT.replace("TARGET", "20")
 _DAYS = "days AS (SELECT quarter_end, row_number() OVER (ORDER BY quarter_end) AS i FROM (SELECT DISTINCT quarter_end FROM scored))"
 ORACLES = {
     "percentile_scores": f"WITH {_SCORED} SELECT l_suppkey, quarter_end, {', '.join(f'round({c}_score, 6) AS {c}_score' for c in FACTORS)} FROM scored",
@@ -169,12 +183,18 @@ SELECT *, 'DROPPED' AS change FROM (SELECT * FROM x EXCEPT SELECT * FROM y) UNIO
 j AS (SELECT coalesce(a.i, b.i + 1) AS i, coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, CASE WHEN b.i IS NULL THEN 'NEW_ADD' WHEN a.i IS NULL THEN 'DROP' ELSE 'MAINTAIN' END AS action
   FROM m a FULL JOIN m b ON a.i = b.i + 1 AND a.l_suppkey = b.l_suppkey)
 SELECT quarter_end, l_suppkey, action FROM j JOIN days USING (i)""",
-    "membership_ledger": f"""WITH {_BOTH}, {_DAYS}, m AS (SELECT i, l_suppkey FROM gated JOIN days USING (quarter_end)),
-c AS (SELECT quarter_end, i, l_suppkey, available_factor_count >= 3 AS scored, s_acctbal >= 0 AS eligible FROM scored JOIN days USING (quarter_end) JOIN supplier ON s_suppkey = l_suppkey),
-r AS (SELECT c.*, a.i IS NOT NULL AS current, b.i IS NOT NULL AS previous FROM c LEFT JOIN m a ON a.i = c.i AND a.l_suppkey = c.l_suppkey LEFT JOIN m b ON b.i = c.i - 1 AND b.l_suppkey = c.l_suppkey)
-SELECT quarter_end, l_suppkey, previous, current, CASE WHEN current AND previous THEN 'MAINTAIN' WHEN current THEN 'ADD' WHEN previous THEN 'DROP' ELSE 'NONE' END AS action,
-  CASE WHEN NOT eligible THEN 'NOT_ELIGIBLE' WHEN NOT scored THEN 'NO_SCORE' WHEN NOT current THEN 'BELOW_CUTOFF' ELSE 'IN_INDEX' END AS reason FROM r""",
+    "membership_ledger": f"""WITH {_IDX}, ok AS (SELECT quarter_end, l_suppkey, factor_score, rank() OVER (PARTITION BY quarter_end ORDER BY factor_score DESC) AS rank FROM scored WHERE available_factor_count >= 3),
+days AS (SELECT quarter_end, row_number() OVER (ORDER BY quarter_end) AS i FROM (SELECT DISTINCT quarter_end FROM ok)), m AS (SELECT i, l_suppkey FROM idx JOIN days USING (quarter_end)),
+c AS (SELECT quarter_end, l_suppkey, s_acctbal >= 0 AS te, CASE WHEN s_acctbal < 0 AND l_suppkey % 2 = 0 THEN 'NEGATIVE_BALANCE' ELSE '' END AS tr FROM scored JOIN supplier ON s_suppkey = l_suppkey WHERE l_suppkey % 5 <> 0),
+j AS (SELECT coalesce(c.quarter_end, ok.quarter_end) AS quarter_end, coalesce(c.l_suppkey, ok.l_suppkey) AS l_suppkey, coalesce(te, true) AS theme_eligible, tr, factor_score, rank, ok.l_suppkey IS NOT NULL AS data_eligible
+  FROM c FULL JOIN ok ON c.quarter_end = ok.quarter_end AND c.l_suppkey = ok.l_suppkey),
+r AS (SELECT j.*, a.i IS NOT NULL AS now, b.i IS NOT NULL AS was FROM j JOIN days USING (quarter_end) LEFT JOIN m a ON a.i = days.i AND a.l_suppkey = j.l_suppkey LEFT JOIN m b ON b.i = days.i - 1 AND b.l_suppkey = j.l_suppkey)
+SELECT quarter_end, l_suppkey, CASE WHEN was THEN 'IN' ELSE 'OUT' END AS previous_membership, CASE WHEN now THEN 'IN' ELSE 'OUT' END AS current_membership,
+  CASE WHEN now AND was THEN 'MAINTAIN' WHEN now THEN 'ADD' WHEN was THEN 'DROP' ELSE 'NONE' END AS action,
+  CASE WHEN now THEN 'FACTOR_SCORE_TOP30' WHEN NOT theme_eligible THEN coalesce(nullif(tr, ''), 'THEME_DIRECTNESS_LOW') WHEN NOT data_eligible THEN 'DATA_OR_FACTOR_SCREEN' ELSE 'FACTOR_SCORE_OUTSIDE_TOP30' END AS reason_code,
+  factor_score, CAST(rank AS INTEGER) AS rank, theme_eligible, data_eligible FROM r""",
     "quota_selection": f"WITH {_SELECT} SELECT * FROM quota_selection",
+    "quota_trim": f"WITH {_TRIM} SELECT * FROM quota_selection",
     "quota_summary": f"""WITH {_SELECT}, t AS (SELECT p_brand, count(*) AS matched FROM part GROUP BY p_brand), s AS (SELECT p_brand, count(*) AS selected FROM quota_selection GROUP BY p_brand),
 r AS (SELECT p_brand, matched, coalesce(selected, 0) AS selected FROM t LEFT JOIN s USING (p_brand))
 SELECT p_brand, CAST(matched AS BIGINT) AS matched, CAST(selected AS BIGINT) AS selected FROM r UNION ALL SELECT 'TOTAL', CAST(sum(matched) AS BIGINT), CAST(sum(selected) AS BIGINT) FROM r""",

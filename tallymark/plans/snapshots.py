@@ -64,7 +64,7 @@ def screened(spark, sf_dir) -> DataFrame:
 
 
 def _flat(df):
-    return df.select("snapshot_date", "o_custkey", "eligible", *[F.array_join(c, "|").alias(c) for c in ("passed_reasons", "failed_reasons", "unavailable_checks")])
+    return df.select("snapshot_date", "o_custkey", "eligible", "decision", "decision_reason", *[F.array_join(c, "|").alias(c) for c in ("passed_reasons", "failed_reasons", "unavailable_checks")])
 
 
 def eligibility_reasons(spark, sf_dir):
@@ -77,7 +77,7 @@ def reason_long(spark, sf_dir):
 
 def stale_grace(spark, sf_dir):
     graced = score.stale_grace(screened(spark, sf_dir), "o_custkey", "snapshot_date", 2)
-    return graced.select("snapshot_date", "o_custkey", "eligible", "grace", F.array_join("passed_reasons", "|").alias("passed_reasons"))
+    return graced.select("snapshot_date", "o_custkey", "eligible", "decision", "decision_reason", "stale_grace_applied", "stale_grace_source_date", F.array_join("passed_reasons", "|").alias("passed_reasons"))
 
 
 def eligibility_summary(spark, sf_dir):
@@ -87,12 +87,13 @@ def eligibility_summary(spark, sf_dir):
 
 def prev_comparable_growth(spark, sf_dir):
     q = supplier_quarters(spark, sf_dir).select("l_suppkey", "quarter_end", "revenue")
-    rows = asof.previous_comparable(q, ["l_suppkey"], "quarter_end", F.year("quarter_end"), F.quarter("quarter_end"), ["revenue"], [])
+    year = F.when((F.col("l_suppkey") + F.quarter("quarter_end") * 3 + F.year("quarter_end")) % 5 > 0, F.year("quarter_end"))  # a fifth of the fiscal years is missing
+    rows = asof.previous_comparable(q, ["l_suppkey"], "quarter_end", year, F.quarter("quarter_end"), ["revenue"], [], F.lit(True))
     return rows.select("l_suppkey", "quarter_end", F.round("revenue", 4).alias("revenue"), "prev_end", F.round(clean.safe_growth("revenue", "prev_revenue"), 6).alias("growth"))
 
 
-def supplier_quarters(spark, sf_dir) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem")
+def supplier_quarters(spark, sf_dir, rows=lambda li: li) -> DataFrame:
+    li = rows(read(spark, sf_dir, "lineitem"))
     end = F.last_day(F.add_months(F.trunc("l_shipdate", "quarter"), 2))
     return li.groupBy("l_suppkey", end.alias("quarter_end")).agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.avg("l_discount").alias("discount"), F.sum("l_quantity").alias("quantity"), F.avg("l_tax").alias("tax")
@@ -139,6 +140,7 @@ screened AS (SELECT snapshot_date, o_custkey, o_totalprice, NOT (stale OR o_tota
   concat_ws('|', CASE WHEN NOT stale THEN 'FRESH' END, CASE WHEN o_totalprice >= 50000 THEN 'LARGE_ENOUGH' END, CASE WHEN c_acctbal > 0 THEN 'POSITIVE_BALANCE' END) AS passed_reasons,
   concat_ws('|', CASE WHEN stale THEN 'STALE_365D' END, CASE WHEN o_totalprice < 50000 THEN 'TOO_SMALL' END, CASE WHEN c_acctbal < 0 THEN 'NEGATIVE_BALANCE' END) AS failed_reasons,
   concat_ws('|', CASE WHEN c_acctbal = 0 THEN 'balance' END, 'warning') AS unavailable_checks FROM c)"""
+_DECIDE = "CASE WHEN eligible THEN 'INCLUDE' ELSE 'EXCLUDE' END AS decision, CASE WHEN eligible THEN 'ELIGIBLE' ELSE replace(failed_reasons, '|', ' | ') END AS decision_reason"
 _SUPQ = """supq AS (SELECT l_suppkey, last_day(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH) AS quarter_end,
   sum(l_extendedprice * (1 - l_discount)) AS revenue, avg(l_discount) AS discount, sum(l_quantity) AS quantity, avg(l_tax) AS tax FROM lineitem GROUP BY ALL)"""
 _SPINE = """SELECT snapshot_date, '{f}' AS freq FROM (SELECT last_day(CAST(d AS DATE) + INTERVAL {k} MONTH) AS snapshot_date, lo, hi
@@ -162,17 +164,22 @@ FROM d CROSS JOIN u LEFT JOIN events e ON e.user_id = u.user_id AND CAST(ts AS D
     "pit_checks": f"""WITH {_SNAP}, k AS (SELECT 'future' AS "check", count(*) FILTER (o_orderdate > snapshot_date) AS violations FROM snap
 UNION ALL SELECT 'negative_age', count(*) FILTER (information_age_days < 0) FROM snap UNION ALL SELECT 'no_value', count(*) FILTER (o_totalprice IS NULL) FROM snap
 UNION ALL SELECT 'stale_flag', count(*) FILTER (stale <> (information_age_days > 365)) FROM snap) SELECT "check", violations, violations = 0 AS passed FROM k""",
-    "eligibility_reasons": f"WITH {_SCREEN} SELECT snapshot_date, o_custkey, eligible, passed_reasons, failed_reasons, unavailable_checks FROM screened",
+    "eligibility_reasons": f"WITH {_SCREEN} SELECT snapshot_date, o_custkey, eligible, {_DECIDE}, passed_reasons, failed_reasons, unavailable_checks FROM screened",
     "reason_long": f"""WITH {_SCREEN} SELECT snapshot_date, o_custkey, eligible, 'passed' AS type, unnest(string_split(passed_reasons, '|')) AS reason FROM screened WHERE passed_reasons <> ''
 UNION ALL SELECT snapshot_date, o_custkey, eligible, 'failed', unnest(string_split(failed_reasons, '|')) FROM screened WHERE failed_reasons <> ''""",
     "stale_grace": f"""WITH {_SCREEN}, i AS (SELECT *, dense_rank() OVER (ORDER BY snapshot_date) AS i FROM screened),
-g AS (SELECT *, failed_reasons = 'STALE_365D' AND coalesce(bool_or(eligible) OVER (PARTITION BY o_custkey ORDER BY i RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING), false) AS grace FROM i)
-SELECT snapshot_date, o_custkey, eligible OR grace AS eligible, grace, concat_ws('|', nullif(passed_reasons, ''), CASE WHEN grace THEN 'STALE_GRACE_APPLIED' END) AS passed_reasons FROM g""",
+e AS (SELECT i, o_custkey, snapshot_date AS d FROM i WHERE eligible),
+s AS (SELECT i.i, i.o_custkey, max(d) AS d FROM i JOIN e ON e.o_custkey = i.o_custkey AND e.i BETWEEN i.i - 2 AND i.i - 1 GROUP BY ALL),
+g AS (SELECT i.*, d, failed_reasons = 'STALE_365D' AND d IS NOT NULL AS grace FROM i LEFT JOIN s USING (i, o_custkey))
+SELECT snapshot_date, o_custkey, eligible OR grace AS eligible, CASE WHEN eligible OR grace THEN 'INCLUDE' ELSE 'EXCLUDE' END AS decision,
+  CASE WHEN eligible THEN 'ELIGIBLE' WHEN grace THEN 'ELIGIBLE_VIA_STALE_GRACE' ELSE replace(failed_reasons, '|', ' | ') END AS decision_reason, grace AS stale_grace_applied,
+  CASE WHEN grace THEN d END AS stale_grace_source_date, concat_ws('|', nullif(passed_reasons, ''), CASE WHEN grace THEN 'STALE_GRACE_APPLIED' END) AS passed_reasons FROM g""",
     "eligibility_summary": f"""WITH {_SCREEN}, s AS (SELECT snapshot_date, count(DISTINCT o_custkey) AS n_names, CAST(count(*) FILTER (eligible) AS BIGINT) AS n_eligible FROM screened GROUP BY snapshot_date)
 SELECT *, n_names - n_eligible AS n_excluded, round(n_eligible * 100 / n_names, 4) AS percent FROM s""",
-    "prev_comparable_growth": f"""WITH {_SUPQ}, p AS (SELECT a.l_suppkey, a.quarter_end, a.revenue, b.quarter_end AS prev_end, b.revenue AS prev_revenue,
-  row_number() OVER (PARTITION BY a.l_suppkey, a.quarter_end ORDER BY coalesce(year(b.quarter_end) = year(a.quarter_end) - 1 AND quarter(b.quarter_end) = quarter(a.quarter_end), false) DESC, b.quarter_end DESC) AS n
-  FROM supq a LEFT JOIN supq b ON a.l_suppkey = b.l_suppkey AND b.quarter_end < a.quarter_end)
+    "prev_comparable_growth": f"""WITH {_SUPQ}, y AS (SELECT *, CASE WHEN (l_suppkey + quarter(quarter_end) * 3 + year(quarter_end)) % 5 > 0 THEN year(quarter_end) END AS fy FROM supq),
+p AS (SELECT a.l_suppkey, a.quarter_end, a.revenue, b.quarter_end AS prev_end, b.revenue AS prev_revenue,
+  row_number() OVER (PARTITION BY a.l_suppkey, a.quarter_end ORDER BY coalesce(quarter(b.quarter_end) = quarter(a.quarter_end), false) AND (a.fy IS NULL OR b.fy IS NULL OR b.fy = a.fy - 1) DESC, b.quarter_end DESC) AS n
+  FROM y a LEFT JOIN y b ON a.l_suppkey = b.l_suppkey AND b.quarter_end < a.quarter_end)
 SELECT l_suppkey, quarter_end, round(revenue, 4) AS revenue, prev_end, round(revenue / prev_revenue - 1, 6) AS growth FROM p WHERE n = 1""",
     "best_fact_choice": f"""WITH {_FACTS}, t AS (SELECT * FROM (VALUES ('amount', 'R', 0), ('amount', 'A', 1), ('open', 'N', 0)) AS t(metric, tag, tag_rank)),
 p AS (SELECT o.cik, metric, f.tag, val, row_number() OVER (PARTITION BY o.cik, metric ORDER BY (f.annual = o.annual) DESC, (f.fy = o.fy) DESC, tag_rank, f.filed DESC, accn DESC, val) AS n

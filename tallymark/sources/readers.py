@@ -83,6 +83,27 @@ def write_facts(facts: DataFrame, path: str, buckets: int, mode: str = "errorife
     facts.repartition(buckets, "cik").sortWithinPartitions("cik", "tag", "end", "filed").write.mode(mode).parquet(path)
 
 
+def run_log(targets: DataFrame, done: DataFrame, failed: DataFrame, key: str) -> DataFrame:
+    """key, status (success, failed or remaining) and rows of each target: done has a row per fact, failed one per error."""
+    n = done.groupBy(key).agg(F.count("*").alias("n_rows"))
+    rows = targets.select(key).distinct().join(n, key, "left").join(failed.select(key, F.lit(True).alias("_f")).distinct(), key, "left")
+    status = F.when(F.col("n_rows").isNotNull(), "success").when(F.col("_f"), "failed").otherwise("remaining")
+    return rows.select(key, status.alias("status"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+def tag_units(docs: DataFrame, text: str | Column = "value") -> DataFrame:
+    """cik, taxonomy, tag and its units, in order, of nested company facts."""
+    nested = docs.select("cik", F.from_json(text, FACTS_JSON).alias("f")).select("cik", F.explode("f").alias("taxonomy", "tags"))
+    by_tag = nested.select("cik", "taxonomy", F.explode("tags").alias("tag", "t"))
+    return by_tag.select("cik", "taxonomy", "tag", F.array_join(F.array_sort(F.map_keys("t.units")), "|").alias("units"))
+
+
+def fact_store(spark: SparkSession, path: str, cik: str | None = None) -> DataFrame:
+    """The fact store of write_facts(), of one company where cik is given (pushed to the scan), with each row's file."""
+    df = spark.read.parquet(path).withColumn("source_file", F.input_file_name())
+    return df.where(F.col("cik") == cik) if cik is not None else df
+
+
 def write_both(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV and Parquet side by side."""
     df.write.mode(mode).parquet(f"{path}.parquet")

@@ -102,6 +102,7 @@ def test_factor_panel(spark):
     tags = spark.createDataFrame([("revenue", "Revenues", 0, "flow"), ("revenue", "SalesRevenueNet", 1, "flow"), ("assets", "Assets", 0, "stock"), ("equity", "StockholdersEquity", 0, "stock")], "metric string, tag string, tag_rank int, kind string")
     a = facts.anchors(f)
     out = {r.fy: r for r in facts.factor_panel(a, facts.best_facts(a, f, tags)).collect()}
+    assert abs(out[2020].asset_growth - 0.5) < 1e-12 and out[2020].source_fact_count == 3
     assert len(out) == 2 and out[2020].revenue == 150.0 and abs(out[2020].revenue_growth - 0.5) < 1e-12
     assert out[2020].liabilities == 900.0 and abs(out[2020].debt_ratio - 0.6) < 1e-12 and out[2019].revenue_growth is None and out[2020].pit_valid
 
@@ -109,10 +110,46 @@ def test_factor_panel(spark):
 def test_screen_and_grace(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 400), (3, "a", 400), (4, "a", 400)], "d int, k string, age int")
     s = score.screen(df, {"age": (F.col("age") <= 365, "FRESH", "STALE"), "none": (None, "", "")})
-    got = {r.d: (r.eligible, r.grace) for r in score.stale_grace(s, "k", "d", 2).collect()}
+    assert score.stale_grace(s, "k", "d", 0) is s
+    got = {r.d: (r.eligible, r.stale_grace_applied) for r in score.stale_grace(s, "k", "d", 2).collect()}
     assert got == {1: (True, False), 2: (True, True), 3: (True, True), 4: (False, False)}
 
 
+def test_grace_takes_one_reason_only(spark):
+    df = spark.createDataFrame([(1, "a", 5, 1), (2, "a", 400, 1), (2, "b", 400, 1), (3, "a", 400, -1)], "d int, k string, age int, v int")
+    s = score.screen(df, {"age": (F.col("age") <= 365, "FRESH", "STALE_AGE"), "old": (F.col("v") > 0, "OK", "STALE_VALUE")})
+    got = {(r.d, r.k): (r.decision_reason, r.stale_grace_source_date) for r in score.stale_grace(s, "k", "d", 2).collect()}
+    assert got == {(1, "a"): ("ELIGIBLE", None), (2, "a"): ("ELIGIBLE_VIA_STALE_GRACE", 1), (2, "b"): ("STALE_AGE", None), (3, "a"): ("STALE_AGE | STALE_VALUE", None)}
+
+
+def test_quality_of_missing_sources(spark):
+    df = spark.createDataFrame([(1.0, None), (1.0, -3.0), (1.0, 4.5), (1.0, 90.0)], "a double, n double")
+    got = [r[0] for r in df.select(universe.quality_score(["a"], ["a"], F.lit(True), F.col("n"))).collect()]
+    assert got == [90.0, 90.0, 95.0, 100.0]
+
+
+def test_annual_choice_holds_for_a_whole_tag(spark):
+    """An end with only a quarter's row goes where the tag has FY rows at another end."""
+    rows = [("1", "R", D(2020, 1, 1), D(2020, 12, 31), D(2021, 2, 1), "10-K", "a", 2020, "FY", 5.0), ("1", "R", D(2021, 10, 1), D(2021, 12, 31), D(2022, 2, 1), "10-K", "b", 2021, "Q4", 6.0)]
+    df = spark.createDataFrame(rows, "cik string, tag string, start date, end date, filed date, form string, accn string, fy int, fp string, val double")
+    tags = spark.createDataFrame([("revenue", "R", 0, "flow")], "metric string, tag string, tag_rank int, kind string")
+    assert [r.accn for r in facts.latest_annual(df, tags).collect()] == ["a"]
+
+
+def test_cover_facts_stay_where_nothing_else_is_left(spark):
+    rows = [("1", "us-gaap", "EntityPublicFloat"), ("1", "dei", "Revenues"), ("2", None, "EntityPublicFloat"), ("2", None, "Revenues"), ("3", "us-gaap", "Assets"), ("3", "dei", "Revenues")]
+    got = sorted(tuple(r) for r in facts.financial_only(spark.createDataFrame(rows, "cik string, taxonomy string, tag string")).select("cik", "tag").collect())
+    assert got == [("1", "EntityPublicFloat"), ("1", "Revenues"), ("2", "Revenues"), ("3", "Assets")]
+
+
+def test_quotas_over_the_target_are_trimmed(spark):
+    from tallymark.operators import pick
+
+    df = spark.createDataFrame([(i, "x" if i % 2 else "y", float(i)) for i in range(12)], "k int, theme string, s double")
+    quota = spark.createDataFrame([("x", 4), ("y", 4)], "theme string, quota int")
+    assert sorted(r.k for r in pick.quota_selection(df, quota, "theme", 5, F.col("s").desc(), F.col("k")).collect()) == [7, 8, 9, 10, 11]
+
+
 def test_ledger_balances(spark):
     m = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "a")], "d int, n string")
     got = sorted((r.d, r.n, r.action) for r in integrity.membership_changes(m, "d", "n").collect())
@@ -134,5 +171,9 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="no facts"):
         readers.write_facts(spark.createDataFrame([], "cik string, tag string, end date, filed date"), str(tmp_path / "f"), 2)
     df = spark.createDataFrame([(1, "x")], "a int, b string")
+    store = spark.createDataFrame([("1", "x", "2020", "2021"), ("2", "y", "2020", "2021")], "cik string, tag string, end string, filed string")
+    readers.write_facts(store, str(tmp_path / "store"), 2)
+    one = readers.fact_store(spark, str(tmp_path / "store"), "2").collect()
+    assert [r.tag for r in one] == ["y"] and "store" in one[0].source_file and readers.fact_store(spark, str(tmp_path / "store")).count() == 2
     readers.write_both(df, str(tmp_path / "t"))
     assert readers.load_table(spark, str(tmp_path / "t.csv")).first().b == readers.load_table(spark, str(tmp_path / "t.parquet")).first().b == "x"
