@@ -26,7 +26,7 @@ PANEL = (
 
 def supplier_facts(spark, sf_dir) -> DataFrame:
     """A filing per supplier quarter (10-K for the fourth), a fact per metric that has a value; some fiscal years are missing."""
-    q = supplier_quarters(spark, sf_dir).withColumn("revenue", F.round("revenue", 2))
+    q = supplier_quarters(spark, sf_dir).withColumn("revenue", F.round("revenue", 4))
     quarter = F.quarter("quarter_end")
     annual = quarter == 4
     cells = ", ".join(f"'{tag}', CAST({value} AS DOUBLE)" for _, tag, _, value in PANEL)
@@ -243,7 +243,7 @@ w AS (SELECT *, concat_ws('|', CASE WHEN pit THEN 'PIT_VALID' END, CASE WHEN age
     CASE WHEN n < 2 AND NOT r THEN 'MISSING_REQUIRED_FACTOR_ROA' END, CASE WHEN n < 2 THEN 'MISSING_REQUIRED_FACTOR_LEVERAGE' END, CASE WHEN q < 40 THEN 'DATA_QUALITY_BELOW_40' END) AS failed_reasons,
   concat_ws('|', CASE WHEN age IS NULL THEN 'INFORMATION_AGE_NOT_AVAILABLE' END, 'FINANCIAL_WARNING_NOT_AVAILABLE', CASE WHEN NOT r THEN 'MISSING_ROA_NOT_ENFORCED' END, 'REVENUE_COLUMN_NOT_AVAILABLE') AS unavailable_checks FROM n)"""
     return {
-        "factor_panel": f"""WITH {_SUPQ}, v AS (SELECT l_suppkey, quarter_end, round(revenue, 2) AS revenue, quantity FROM supq),
+        "factor_panel": f"""WITH {_SUPQ}, v AS (SELECT l_suppkey, quarter_end, round(revenue, 4) AS revenue, quantity FROM supq),
 k AS (SELECT l_suppkey, quarter_end, quarter(quarter_end) AS q, CASE WHEN (l_suppkey + quarter(quarter_end)) % 11 > 0 THEN year(quarter_end) END AS fy, {wide} FROM v),
 m AS (SELECT * EXCLUDE liabilities, coalesce(liabilities, assets - equity) AS liabilities, CAST(8 + (l_suppkey % 3 = 0)::INT + (l_suppkey % 4 > 0)::INT AS BIGINT) AS source_fact_count FROM k),
 j AS (SELECT a.l_suppkey, a.quarter_end, b.quarter_end AS prev_end, row_number() OVER (PARTITION BY a.l_suppkey, a.quarter_end ORDER BY
