@@ -99,19 +99,25 @@ def _texts(docs: pa.Table) -> Iterator[tuple[int | None, str]]:
             at += n
 
 
+def _by_bucket(docs: pa.Table, buckets: int) -> dict[int, list[str]]:
+    """The distinct words of a chunk's texts, in order, by bucket."""
+    words: set[str] = set()
+    for _, t in _texts(docs):
+        words.update(_WORDS.findall(t))
+    by: dict[int, list[str]] = {}
+    for w in sorted(words):
+        by.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
+    return by
+
+
 def _split(buckets: int):
     """(bucket, chunk, its distinct words)"""
     schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary())])
 
     def run(docs: pa.Table) -> pa.Table:
-        words = set()
-        for _, t in _texts(docs):
-            words.update(_WORDS.findall(t))
-        by: dict[int, list[str]] = {}
-        for w in words:
-            by.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
+        by = _by_bucket(docs, buckets)
         pack = zstandard.ZstdCompressor(level=6)
-        rows = [pack.compress("\n".join(sorted(ws)).encode()) for ws in by.values()]
+        rows = [pack.compress("\n".join(ws).encode()) for ws in by.values()]
         return pa.table([pa.array(list(by), pa.int32()), pa.array([docs["chunk"][0].as_py()] * len(by), pa.int64()), pa.array(rows, pa.binary())], schema=schema)
 
     return run
@@ -137,7 +143,7 @@ def _encode(path: str):
 
 
 def _answer(asked: pa.Table, words: pa.Table) -> pa.Table:
-    """Ids and decoded texts of the words that each chunk asked for, packed."""
+    """Ids and decoded texts of the words that each chunk asked for, packed in the order of asking."""
     flat = words["ids"].combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     at, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False).astype(np.uint32)
@@ -150,30 +156,30 @@ def _answer(asked: pa.Table, words: pa.Table) -> pa.Table:
         ids = np.concatenate([values[at[k] : at[k + 1]] for k in ks])
         # byte planes: the high bytes of sizes and ids are mostly zero
         planes = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T.tobytes() for x in (sizes, ids)]
-        answers.append(pack.compress(planes[0] + planes[1] + "\n".join([*ws, *(text[k] for k in ks)]).encode()))
+        answers.append(pack.compress(planes[0] + planes[1] + "\n".join([text[k] for k in ks]).encode()))
         many.append(len(ws))
-    return pa.table({"chunk": asked["chunk"], "n": pa.array(many, pa.int64()), "answer": pa.array(answers, pa.binary())})
+    return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "n": pa.array(many, pa.int64()), "answer": pa.array(answers, pa.binary())})
 
 
 def _planes(raw: bytes, at: int, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view(np.uint32).ravel()
 
 
-def _place(finish, schema: pa.Schema):
+def _place(finish, schema: pa.Schema, buckets: int):
     """Put the words' ids and pieces in place by position in each text of a chunk."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
         ids_of: dict[str, bytes] = {}
         text_of: dict[str, str] = {}
-        for n, a in zip(answers["n"].to_pylist(), answers["answer"], strict=True):
+        by = _by_bucket(docs, buckets)
+        for b, n, a in zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["answer"], strict=True):
             raw = unpack.decompress(a.as_py())
             sizes = _planes(raw, 0, n)
             total = int(sizes.sum())
             flat = _planes(raw, 4 * n, total).tobytes()
             cuts = (4 * np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))).tolist()
-            both = raw[4 * (n + total) :].decode().split("\n")
-            for w, d, i, j in zip(both[:n], both[n:], cuts[:-1], cuts[1:], strict=True):
+            for w, d, i, j in zip(by[b], raw[4 * (n + total) :].decode().split("\n"), cuts[:-1], cuts[1:], strict=True):
                 ids_of[w] = flat[i:j]
                 text_of[w] = d
         out = []
@@ -223,9 +229,9 @@ def _run(docs: DataFrame, path: str, finish, fields: list[tuple[str, str, pa.Dat
     asked = chunks.groupBy("chunk").applyInArrow(_split(buckets), "bucket int, chunk long, words binary")
     words = asked.groupBy("bucket").applyInArrow(_encode(path), "bucket int, word string, ids array<int>")
     decoded = _joined(words.repartition("bucket"), ["bucket", "word"], pieces(spark, path))
-    answers = asked.groupBy("bucket").cogroup(decoded.groupBy("bucket")).applyInArrow(_answer, "chunk long, n long, answer binary")
+    answers = asked.groupBy("bucket").cogroup(decoded.groupBy("bucket")).applyInArrow(_answer, "chunk long, bucket int, n long, answer binary")
     schema = pa.schema([("doc_id", pa.int64()), *[(a, t) for a, _, t in fields]])
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_place(finish, schema), "doc_id long, " + ", ".join(f"{a} {s}" for a, s, _ in fields))
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_place(finish, schema, buckets), "doc_id long, " + ", ".join(f"{a} {s}" for a, s, _ in fields))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
