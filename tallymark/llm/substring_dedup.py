@@ -152,8 +152,11 @@ def _map_anchors(min_len: int, buckets: int):
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         # equal contexts meet here first: only the earliest of a task's batch goes on to be compared with others
         a, _, later = _by_class(np.concatenate(held))
-        bucket = (a["h"] >> shift).astype(np.int64)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        # anchors are least hashes: by their own high bits most of them would meet in the first buckets
+        bucket = (mix(a["h"].copy()) >> shift).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        a, later = a[order], later[order]
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rows = [(b, _pack(a[i:j][~later[i:j]]), _pack(a[i:j][later[i:j]])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
