@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, fixity, language_id, license_scan, mixing, ngram_join, quality_rules, sharding, substring_dedup
+from . import bpe, embedding_dedup, fill_middle, fixity, language_id, license_scan, mixing, ngram_join, quality_rules, sharding, substring_dedup
 
-MODULES = (quality_rules, substring_dedup, mixing, license_scan, language_id, bpe, ngram_join, sharding, embedding_dedup, fixity)
+MODULES = (quality_rules, substring_dedup, mixing, license_scan, language_id, bpe, ngram_join, sharding, embedding_dedup, fixity, fill_middle)
 
 
 def queries() -> dict:
