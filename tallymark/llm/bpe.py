@@ -7,7 +7,8 @@
 4. Ids and pieces of its words go back to each chunk and are put in place by position.
 
 The tokenizer's pieces never span white space, nor the end of a run of letters before ASCII punctuation, and its
-normaliser works on each side of these alone, so the ids of a text are its words' ids one after the other, and its
+normaliser works on each side of these alone (not so for U+0130, whose lower case ends with a combining mark, which
+joins the punctuation: it is left out of the letters), so the ids of a text are its words' ids one after the other, and its
 decoded text is its words' decoded texts with a blank between. A special token's text starts with punctuation and
 stays whole.
 """
@@ -33,7 +34,7 @@ from .common import WORD_RE, free_names, shuffle_partitions, table, total_bytes
 CHUNK = 8 << 20
 #: Bytes of the corpus for each bucket of words, at most.
 BUCKET = 128 << 20
-_WORDS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+(?=[!-/:-@\[-`{-~\x20\x09-\x0D]|\Z)|" + WORD_RE)
+_WORDS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+(?=[!-/:-@\[-`{-~\x20\x09-\x0D]|\Z)|" + WORD_RE)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
