@@ -39,8 +39,8 @@ PART = 64 << 20
 #: Distinct units that a worker remembers at once, and texts that are encoded together.
 KNOWN, TOGETHER = 1 << 20, 256
 #: White space of the tokenizer's pattern (Unicode's White_Space).
-_WHITE = r"\t-\r \x85\xa0  -     　"
-_UNITS = re.compile(rf" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!-@\[-`{{-~{_WHITE}]|\Z)| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNITS = re.compile(rf" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[!-@\[-`{{-~{_WHITE}]|\Z)| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
 
 
 class Encoder:

@@ -14,8 +14,8 @@ def test_sql(spark, name):
     compare(spark, NAMES[name], SQL[name])
 
 
-def test_ten_operators():
-    assert {n.split("_")[0] for n in NAMES} == {f"op{k}" for k in range(1, 11)}
+def test_operators():
+    assert {n.split("_")[0] for n in NAMES} == {f"op{k}" for k in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(set(NAMES) - set(SQL)))
