@@ -14,8 +14,10 @@ Documents stand in ascending order over all parts, so a document's global start
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,57 +38,43 @@ from .common import groups_for, shared_folder, table, total_bytes
 FORMAT = 0x314B4F544D544C54
 #: Bytes of text that a part holds on average.
 PART = 64 << 20
-#: Distinct units that a worker remembers at once, and texts that are encoded together.
+#: Distinct units that a worker remembers from text to text, and rows taken out of a batch at once.
 KNOWN, TOGETHER = 1 << 20, 256
 #: White space of the tokenizer's pattern (Unicode's White_Space).
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(rf" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[!-@\[-`{{-~{_WHITE}]|\Z)| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of texts by a byte-level tokenizer of the tokenizers library, each distinct unit encoded once.
 
     A unit is a run of letters before white space or ASCII punctuation, or else up to the next white space, with the
     blank before it; or white space before such a unit. The tokenizer's pattern never spans the end of a unit, so the ids
-    of a text are those of its units. Units are encoded many at once, a line feed (one id) between them. A text that holds
-    an added token is encoded as a whole.
+    of a text are those of its units. A text that holds an added token is encoded as a whole. The encoder is the map from
+    units to their ids' bytes.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
-        self.tokenizer, self.dtype = _tokenizer(path), dtype
+        self.tokenizer, self.code = _tokenizer(path), {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 else None
-        self.known: dict[str, bytes] = {}
-
-    def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
-
-    def _learn(self, units: list[str]) -> None:
-        alone = [u for u in units if self.feed is None or "\n" in u or u.isspace()]
-        for u, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False) if alone else [], strict=True):
-            self.known[u] = self._bytes(e.ids)
-        rest = [u for u in units if u not in self.known]
-        groups = [rest[i : i + 512] for i in range(0, len(rest), 512)]
-        for some, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False) if groups else [], strict=True):
-            ids = np.array(e.ids, self.dtype)
-            raw, width = ids.tobytes(), ids.itemsize
-            cuts = (np.flatnonzero(ids == self.feed) * width).tolist()
-            if len(cuts) != len(some) - 1:
-                raise ValueError("a unit's ids hold a line feed's")
-            for u, a, b in zip(some, [0, *(c + width for c in cuts)], [*cuts, len(raw)], strict=True):
-                self.known[u] = raw[a:b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of the encoder's type."""
-        units = [None if any(a in t for a in self.added) else _UNITS.findall(t) for t in texts]
-        new = {u for us in units if us for u in us} - self.known.keys()
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = {u for us in units if us for u in us}
-        self._learn(sorted(new))
-        get = self.known.__getitem__
-        return [self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids) if us is None else b"".join(map(get, us)) for t, us in zip(texts, units, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        self[unit] = ids = self._whole(unit)
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids as little-endian bytes of the encoder's type."""
+        if any(a in text for a in self.added):
+            return self._whole(text)
+        if len(self) > KNOWN:
+            self.clear()
+        return b"".join(map(self.__getitem__, _UNITS.findall(text)))
 
 
 @lru_cache(2)
@@ -130,9 +118,10 @@ def _write(folder: str, tokenizer: str, end_id: int | None, dtype: str):
                     some = batch.slice(i, TOGETHER)
                     nameless += some.column(0).null_count
                     ids.append(some.column(0).fill_null(0).to_numpy())
-                    for raw in encoder.encode([t or "" for t in some.column(1).to_pylist()]):
-                        out.write(raw + end)
-                        sizes.append(len(raw + end) // width)
+                    for t in some.column(1).to_pylist():
+                        raw = encoder.encode(t or "") + end
+                        out.write(raw)
+                        sizes.append(len(raw) // width)
 
         name = f"{part:08d}"
         _put(folder, f"{name}.bin", write)

@@ -238,7 +238,7 @@ def test_encoder_on_odd_texts():
     for _ in range(20):
         texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(1000)]
         want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == want
+        assert [np.frombuffer(x, "<u2").tolist() for x in map(encoder.encode, texts)] == want
 
 
 def test_documents_token_files(spark):
