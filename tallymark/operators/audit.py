@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -154,24 +152,20 @@ def block_ratios(panel: DataFrame, mixed: str, ratios: dict[str, tuple[str, str]
     return panel.withColumns(out)
 
 
-def hold_diagnostics(held: DataFrame, periods: DataFrame, prices: DataFrame) -> DataFrame:
-    """For each holding the last real price day inside its period, and whether the series ended there.
-
-    held: entry_date, ticker; periods (small): entry_date, exit_date; prices with real closes only.
-    """
-    last = prices.groupBy("ticker").agg(F.max("date").alias("series_end"))
-    rows = held.join(periods, "entry_date").join(last, "ticker", "left")
-    ended = F.coalesce((F.col("series_end") < F.col("exit_date")) & (F.col("series_end") >= F.col("entry_date")), F.lit(False))
-    return rows.groupBy("entry_date", "exit_date").agg(F.count("*").alias("n_held"), F.count_if(ended).alias("n_ended_inside"), F.count_if(F.coalesce(F.col("series_end") < F.col("entry_date"), F.lit(True))).alias("n_unpriced"))
+def scenario_rows(rows: DataFrame, gates: dict[str, Column]) -> DataFrame:
+    """Each row once for every scenario whose gate it passes, in a column scenario: later steps keep it as a key of their
+    windows and aggregates, so all scenarios take one plan. A gate that is NULL is closed."""
+    names = F.array_compact(F.array(*[F.when(gate, F.lit(name)) for name, gate in gates.items()]))
+    return rows.withColumn("scenario", F.explode(names))
 
 
-def scenarios(rows: DataFrame, gates: dict[str, Column], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The same function on differently gated rows, in one table with a column scenario."""
-    out = None
-    for name, gate in gates.items():
-        part = run(rows.where(gate)).withColumn("scenario", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+def scenario_weights(weights: DataFrame, names: tuple[str, ...], base: str, *key: str) -> DataFrame:
+    """scenario, max_weight_diff and membership_changes of each against the base one; a missing weight is 0. One pass."""
+    of = lambda n: F.coalesce(F.max(F.when(F.col("scenario") == n, F.col("weight"))), F.lit(0.0))
+    wide = weights.groupBy(*key).agg(*[of(n).alias(f"_{i}") for i, n in enumerate(names)])
+    first = F.col(f"_{names.index(base)}")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.abs(F.col(f"_{i}") - first).alias("d"), ((F.col(f"_{i}") > 0) != (first > 0)).alias("c")) for i, n in enumerate(names)]))
+    return wide.select(each.alias("e")).groupBy(F.col("e.scenario").alias("scenario")).agg(F.max("e.d").alias("max_weight_diff"), F.count_if("e.c").alias("membership_changes"))
 
 
 def evidence_level(*signals: tuple[str, Column]) -> tuple[Column, Column]:
@@ -203,5 +197,5 @@ def group_strings(rows: DataFrame, key: str, value: str) -> DataFrame:
 def rolling_error(joined: DataFrame, rows: int = 63) -> DataFrame:
     """Tracking error of the last `rows` days, where there are as many. A row per trading day, so one ordering."""
     w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(-(rows - 1), 0)
-    out = joined.withColumns({"_n": F.count("*").over(w), "tracking_error": F.stddev_samp(F.col("ret") - F.col("bench")).over(w) * F.sqrt(F.lit(252.0))})
+    out = joined.where("ret IS NOT NULL").withColumns({"_n": F.count("*").over(w), "tracking_error": F.stddev_samp(F.col("ret") - F.col("bench")).over(w) * F.sqrt(F.lit(252.0))})
     return out.where(F.col("_n") == rows).select("date", "tracking_error")

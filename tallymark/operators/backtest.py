@@ -20,49 +20,141 @@ def forward_fill(prices: DataFrame) -> DataFrame:
     return prices.withColumn("close", F.last("close", ignorenulls=True).over(past))
 
 
-def holdings(weights: DataFrame, entries: DataFrame, prices: DataFrame) -> DataFrame:
-    """Shares bought at each entry day: names without a price there are dropped, the rest renormalised.
+def observations(closes: DataFrame) -> DataFrame:
+    """date, ticker, close and prev_close (the ticker's real close before it) of every real close."""
+    before = F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))
+    return closes.where("close IS NOT NULL").select("date", "ticker", "close", before.alias("prev_close"))
 
-    weights: snapshot_date, ticker, weight; entries: snapshot_date, entry_date; prices filled forward.
+
+def entry_prices(seen: DataFrame, marks: DataFrame) -> DataFrame:
+    """entry_date, ticker and the last real close on or before that day (NULL before the first). marks: entry_date, ticker."""
+    line = seen.select("ticker", "date", F.lit(0).alias("_m"), "close").unionByName(marks.select("ticker", F.col("entry_date").alias("date"), F.lit(1).alias("_m"), F.lit(None).cast("double").alias("close")).distinct())
+    past = Window.partitionBy("ticker").orderBy("date", "_m").rowsBetween(Window.unboundedPreceding, 0)
+    return line.withColumn("entry_close", F.last("close", ignorenulls=True).over(past)).where("_m = 1").select(F.col("date").alias("entry_date"), "ticker", "entry_close")
+
+
+def targets(weights: DataFrame, entries: DataFrame, seen: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Weights with their entry day and entry_close; of snapshots that enter on one day the last counts.
+
+    weights: by, snapshot_date, ticker, weight; entries: snapshot_date, entry_date (one without a day goes).
+    """
+    rows = weights.join(entries.where("entry_date IS NOT NULL"), "snapshot_date")
+    last = F.max("snapshot_date").over(Window.partitionBy(*by, "entry_date"))
+    rows = rows.withColumn("_last", last).where("snapshot_date = _last").drop("_last")
+    return rows.join(entry_prices(seen, rows.select("entry_date", "ticker")), ["entry_date", "ticker"], "left")
+
+
+def holdings(aimed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Shares bought at each entry day: names without a price there are dropped, the rest renormalised. aimed: of targets()."""
+    total = F.sum("weight").over(Window.partitionBy(*by, "entry_date"))
+    priced = aimed.where("entry_close > 0").withColumn("_total", total).where("_total > 0")
+    return priced.withColumns({"weight": F.col("weight") / F.col("_total"), "shares": F.col("weight") / F.col("_total") / F.col("entry_close")}).drop("_total")
+
+
+def periods(aimed: DataFrame, calendar: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, entry_date, exit_date (the next entry day, or NULL) and the calendar's numbers _from and _to of each period."""
+    days = calendar.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")))  # a row per trading day
+    spans = aimed.select(*by, "entry_date").distinct().join(days.select(F.col("date").alias("entry_date"), F.col("_i").alias("_from")), "entry_date")
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("entry_date")  # a row per rebalance
+    last = days.agg(F.max("_i").alias("_end"))
+    spans = spans.withColumns({"exit_date": F.lead("entry_date").over(order), "_to": F.lead("_from").over(order)})
+    return spans.join(F.broadcast(last), F.lit(True)).withColumn("_to", F.coalesce("_to", "_end")).drop("_end")
+
+
+def holding_days(spans: DataFrame, calendar: DataFrame, by: tuple[str, ...] = (), first: bool = False) -> DataFrame:
+    """by, entry_date and date of each trading day of a period: after its entry day (first: or on it) to the next one."""
+    days = calendar.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")))  # a row per trading day
+    begin = F.col("_from") + (0 if first else 1)
+    rows = spans.select(*by, "entry_date", F.explode(F.when(begin <= F.col("_to"), F.sequence(begin, F.col("_to")))).alias("_i"))
+    return rows.join(days, "_i").drop("_i")
+
+
+def index_returns(held: DataFrame, spans: DataFrame, seen: DataFrame, calendar: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, date, entry_date and ret: daily returns of shares held from one entry day to the next; an entry day's return is
+    that of the period that ends there.
+
+    A portfolio is worth 1 at its entry; each real close afterwards moves it by shares times the close's change. So only
+    observations are read, no day is filled, and prices that end stay as they were.
     """
-    priced = weights.join(entries, "snapshot_date").join(prices.select(F.col("date").alias("entry_date"), "ticker", F.col("close").alias("entry_close")), ["entry_date", "ticker"])
-    priced = priced.where("entry_close > 0")
-    total = F.sum("weight").over(Window.partitionBy("entry_date"))
-    return priced.withColumns({"weight": F.col("weight") / total, "shares": F.col("weight") / total / F.col("entry_close")})
+    days = holding_days(spans, calendar, by)
+    moves = seen.join(days, "date").join(held.select(*by, "entry_date", "ticker", "shares"), [*by, "entry_date", "ticker"])
+    moves = moves.groupBy(*by, "entry_date", "date").agg(F.sum(F.col("shares") * (F.col("close") - F.col("prev_close"))).alias("_move"))
+    rows = days.join(held.select(*by, "entry_date").distinct(), [*by, "entry_date"], "left_semi").join(moves, [*by, "entry_date", "date"], "left")
+    order = Window.partitionBy(*by, "entry_date").orderBy("date")  # a period's days
+    rows = rows.withColumn("_value", 1 + F.sum(F.coalesce("_move", F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ret = F.try_divide("_value", F.coalesce(F.lag("_value").over(order), F.lit(1.0))) - 1
+    return rows.withColumn("ret", ret).where("ret IS NOT NULL").select(*by, "date", "entry_date", "ret")
+
+
+def holding_diagnostics(aimed: DataFrame, spans: DataFrame, seen: DataFrame, calendar: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row per rebalance with at least one price: targets, priced and excluded names, names whose real closes end inside
+    the period, the sum of renormalised weights and the priced share of the target's weight.
+
+    A name ends inside if the period has a next entry, the name has a real close from the entry to that day, and the last
+    of these is before the period's last trading day but the next entry. An open last period has none.
+    """
+    real = seen.select("date", "ticker").join(holding_days(spans, calendar, by, first=True), "date")
+    last = real.groupBy(*by, "entry_date", "ticker").agg(F.max("date").alias("_real"))
+    days = holding_days(spans, calendar, by, first=True).join(spans.select(*by, "entry_date", "exit_date"), [*by, "entry_date"])
+    edge = days.where("date < exit_date").groupBy(*by, "entry_date").agg(F.max("date").alias("_edge"))
+    held = F.col("entry_close") > 0
+    rows = aimed.join(last, [*by, "entry_date", "ticker"], "left").join(edge, [*by, "entry_date"], "left")
+    out = rows.groupBy(*by, F.col("snapshot_date").alias("rebalance_date"), "entry_date").agg(
+        F.count("*").alias("target_constituents"), F.count_if(held).alias("priced_constituents"), F.count_if(~F.coalesce(held, F.lit(False))).alias("pre_listing_excluded"),
+        F.count_if(held & (F.col("_real") < F.col("_edge"))).alias("delisted_to_cash_mid_period"), F.sum("weight").alias("_all"), F.sum(F.when(held, F.col("weight"))).alias("_held"),
+        F.array_join(F.array_sort(F.collect_list(F.when(~F.coalesce(held, F.lit(False)), F.col("ticker")))), ",").alias("excluded_tickers"),
+    )
+    shares = {"renorm_weight_sum": F.lit(1.0), "investable_weight_coverage": F.when(F.col("_all") > 0, F.round(F.col("_held") / F.col("_all"), 6)).otherwise(0.0)}
+    return out.where("_held > 0").withColumns(shares).drop("_all", "_held")
+
+
+def mean_level(seen: DataFrame) -> DataFrame:
+    """date and close: the mean over all tickers of the last close up to each day, from changes alone (a row per day)."""
+    day = seen.groupBy("date").agg(F.sum(F.col("close") - F.coalesce("prev_close", F.lit(0.0))).alias("_d"), F.count_if(F.col("prev_close").isNull()).alias("_n"))
+    sums = running_sums(day, "date", ("_d", "_n"))
+    return sums.select("date", (F.col("_d") / F.col("_n")).alias("close"))
 
 
-def holding_days(entries: DataFrame, calendar: DataFrame) -> DataFrame:
-    """date and entry_date of every calendar day from each entry day to the next one, both included. Both inputs are calendars."""
-    marks = entries.select(F.col("entry_date").alias("date"), F.col("entry_date").alias("_e")).distinct()
-    days = calendar.select("date").distinct().join(marks, "date", "left")
-    order = Window.orderBy("date")  # a row per trading day
-    own = days.select("date", F.last("_e", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("entry_date"), F.last("_e", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    both = F.array_distinct(F.array("entry_date", F.when(F.col("date") == F.col("entry_date"), F.col("_before")).otherwise(F.col("entry_date"))))
-    return own.where("entry_date IS NOT NULL").select("date", F.explode(F.array_compact(both)).alias("entry_date"))
+def running_sums(rows: DataFrame, date: str, values: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Prefix sums of values along date, in blocks of a year: sums inside a block, plus those of the blocks before."""
+    block = rows.withColumn("_block", F.year(date))
+    keys = [*by, "_block"]
+    sums = block.groupBy(*keys).agg(*[F.sum(v).alias(f"_s{i}") for i, v in enumerate(values)])
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per year
+    sums = sums.select(*keys, *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(values))])
+    inside = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    out = block.withColumns({v: F.sum(v).over(inside) for v in values}).join(sums, keys)
+    return out.withColumns({v: F.col(v) + F.col(f"_b{i}") for i, v in enumerate(values)}).drop("_block", *[f"_b{i}" for i in range(len(values))])
 
 
-def index_returns(held: DataFrame, entries: DataFrame, prices: DataFrame) -> DataFrame:
-    """Daily returns of shares held from one entry day to the next; the first day of a period has none.
+def levels(returns: DataFrame, bench: DataFrame, base_date: str | None = None, by: tuple[str, ...] = (), base: float = 100.0) -> DataFrame:
+    """by, date, level, bench_level and start over the benchmark's days from base_date to the last return.
 
-    Each day gets its entry day first, so prices meet holdings by entry day and ticker.
+    Both sides are base on the first of these days. The index stays flat up to start, the day of its first return, which
+    itself isn't applied; later returns are chained, a day without one counts 0. bench: date, close.
     """
-    days = holding_days(entries, prices.select("date"))
-    rows = prices.join(days, "date").join(held.select("entry_date", "ticker", "shares"), ["entry_date", "ticker"])
-    value = rows.groupBy("entry_date", "date").agg(F.sum(F.col("shares") * F.col("close")).alias("value"))
-    before = F.lag("value").over(Window.partitionBy("entry_date").orderBy("date"))
-    daily = value.withColumn("ret", F.try_divide("value", before) - 1).where("ret IS NOT NULL")
-    first = F.row_number().over(Window.partitionBy("date").orderBy("entry_date"))
-    return daily.withColumn("_n", first).where("_n = 1").select("date", "entry_date", "ret")
+    spans = returns.groupBy(*by).agg(F.min("date").alias("start"), F.max("date").alias("_end")).where("start IS NOT NULL")
+    inside = F.col("date") <= F.col("_end") if base_date is None else (F.col("date") <= F.col("_end")) & (F.col("date") >= F.lit(base_date).cast("date"))
+    days = bench.select("date", "close").join(F.broadcast(spans), inside)  # a row per series
+    first = days.groupBy(*by).agg(F.min_by("close", "date").alias("_base"))
+    rows = days.join(returns.select(*by, "date", "ret"), [*by, "date"], "left")
+    growth = F.when(F.col("date") <= F.col("start"), 1.0).otherwise(1 + F.coalesce("ret", F.lit(0.0)))
+    rows = rows.withColumns({"_log": F.when(growth > 0, F.log(growth)).otherwise(0.0), "_gone": (growth <= 0).cast("int")}).drop("ret")
+    rows = running_sums(rows, "date", ("_log", "_gone"), by)
+    rows = rows.join(first, list(by)) if by else rows.join(F.broadcast(first), F.lit(True))
+    level = F.when(F.col("_gone") > 0, 0.0).otherwise(base * F.exp("_log"))
+    return rows.select(*by, "date", level.alias("level"), (F.col("close") / F.col("_base") * base).alias("bench_level"), "start")
 
 
-def levels(returns: DataFrame, base: float = 100.0) -> DataFrame:
-    """Level after each return: growth inside each year chained with that of the years before."""
-    years = returns.withColumn("_y", F.year("date")).withColumn("_ln", F.log1p("ret"))
-    ends = years.groupBy("_y").agg(F.sum("_ln").alias("_g"))
-    ends = ends.withColumn("_before", F.coalesce(F.sum("_g").over(Window.orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_g")  # one row per year
-    run = Window.partitionBy("_y").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    rows = years.join(F.broadcast(ends), "_y").withColumn("level", F.lit(base) * F.exp(F.col("_before") + F.sum("_ln").over(run)))
-    return rows.drop("_y", "_ln", "_before")
+def changes(level_rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ret and bench, the daily changes of both levels; the first day of each series has none. A row per trading day."""
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("date")
+    return level_rows.withColumns({n: F.try_divide(c, F.lag(c).over(order)) - 1 for n, c in (("ret", "level"), ("bench", "bench_level"))})
+
+
+def evaluated(level_rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Levels from the index's start on, with their changes from there."""
+    return changes(level_rows.where("date >= start"), by)
 
 
 def drawdown(series: DataFrame, level: str = "level", by: list[str] | None = None) -> DataFrame:
@@ -88,49 +180,72 @@ def beta(ret: str, bench: str) -> Column:
     return F.try_divide(F.covar_samp(ret, bench), F.var_samp(bench))
 
 
+def correlation(ret: str, bench: str) -> Column:
+    """NULL where either side doesn't vary."""
+    return F.try_divide(F.covar_samp(ret, bench), F.stddev_samp(ret) * F.stddev_samp(bench))
+
+
 def tracking_error(active: Column | str) -> Column:
     return F.stddev_samp(active) * F.sqrt(F.lit(float(YEAR)))
 
 
-def tracking(joined: DataFrame, *by: str) -> DataFrame:
-    """corr, tracking error and difference, beta, alpha of columns ret and bench."""
-    active = F.col("ret") - F.col("bench")
-    rows = joined.groupBy(*by) if by else joined.groupBy()
-    out = rows.agg(F.count("*").alias("n"), F.corr("ret", "bench").alias("correlation"), tracking_error(active).alias("tracking_error"), (F.avg(active) * YEAR).alias("tracking_difference"), beta("ret", "bench").alias("beta"), F.avg("ret").alias("_mr"), F.avg("bench").alias("_mb"))
-    return out.withColumn("alpha", (F.col("_mr") - F.col("beta") * F.col("_mb")) * YEAR).drop("_mr", "_mb")
+def tracking(moved: DataFrame, *by: str) -> DataFrame:
+    """first and last day, n_days, correlation, tracking error and difference (of CAGRs), beta, alpha and both CAGRs of each
+    group of rows with level, bench_level, ret and bench (of changes())."""
+    rows = moved.groupBy(*by) if by else moved.groupBy()
+    day, active = F.when(F.col("ret").isNotNull(), F.col("date")), F.col("ret") - F.col("bench")
+    out = rows.agg(
+        F.min(day).alias("start"), F.max(day).alias("end"), F.count("ret").alias("n_days"), correlation("ret", "bench").alias("correlation"), tracking_error(active).alias("tracking_error"), beta("ret", "bench").alias("beta"),
+        F.avg("ret").alias("_mr"), F.avg("bench").alias("_mb"), cagr("level").alias("index_cagr"), cagr("bench_level").alias("bench_cagr"),
+    )
+    return out.withColumns({"alpha": (F.col("_mr") - F.col("beta") * F.col("_mb")) * YEAR, "tracking_difference": F.col("index_cagr") - F.col("bench_cagr")}).drop("_mr", "_mb")
 
 
-def rolling_tracking(joined: DataFrame, rows: int = YEAR) -> DataFrame:
+def rolling_tracking(moved: DataFrame, rows: int = YEAR) -> DataFrame:
     """Statistics of the last `rows` days; incomplete frames are dropped. A row per trading day, so one ordering."""
     w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(-(rows - 1), 0)
     active = F.col("ret") - F.col("bench")
-    out = joined.withColumns({"_n": F.count("*").over(w), "correlation": F.corr("ret", "bench").over(w), "beta": F.try_divide(F.covar_samp("ret", "bench").over(w), F.var_samp("bench").over(w)), "tracking_error": F.stddev_samp(active).over(w) * F.sqrt(F.lit(float(YEAR))), "mean_active": F.avg(active).over(w) * YEAR})
+    out = moved.where("ret IS NOT NULL").withColumns({"_n": F.count("*").over(w), "correlation": F.try_divide(F.covar_samp("ret", "bench").over(w), F.stddev_samp("ret").over(w) * F.stddev_samp("bench").over(w)), "beta": F.try_divide(F.covar_samp("ret", "bench").over(w), F.var_samp("bench").over(w)), "tracking_error": F.stddev_samp(active).over(w) * F.sqrt(F.lit(float(YEAR))), "mean_active": F.avg(active).over(w) * YEAR})
     return out.where(F.col("_n") == rows).drop("_n")
 
 
-def yearly(series: DataFrame, level: str = "level") -> DataFrame:
-    """Last level of a year over its first, minus 1."""
-    return series.groupBy(F.year("date").alias("year")).agg((F.max_by(level, "date") / F.min_by(level, "date") - 1).alias("ret"))
+def active_summary(moved: DataFrame, *by: str) -> DataFrame:
+    """Mean, volatility (both daily and annual), positive ratio and information ratio of ret over bench, and the beta that
+    divides by the benchmark's population variance."""
+    active = F.col("ret") - F.col("bench")
+    rows = moved.where("ret IS NOT NULL").groupBy(*by) if by else moved.where("ret IS NOT NULL").groupBy()
+    out = rows.agg(
+        F.avg(active).alias("mean_daily"), F.stddev_samp(active).alias("volatility_daily"), F.avg((active > 0).cast("int")).alias("positive_ratio"), F.count("*").alias("n_days"),
+        F.try_divide(F.covar_samp("ret", "bench"), F.var_pop("bench")).alias("beta_population"), correlation("ret", "bench").alias("correlation"),
+    )
+    year = {"mean_annualized": F.col("mean_daily") * YEAR, "volatility_annualized": F.col("volatility_daily") * F.sqrt(F.lit(float(YEAR)))}
+    return out.withColumns(year).withColumn("information_ratio", F.try_divide("mean_annualized", "volatility_annualized"))
+
 
+def yearly(level_rows: DataFrame, *by: str) -> DataFrame:
+    """Last level of a calendar year over its first, minus 1, of both sides, and their difference."""
+    grown = {n: F.max_by(c, "date") / F.min_by(c, "date") - 1 for n, c in (("index", "level"), ("benchmark", "bench_level"))}
+    return level_rows.groupBy(*by, F.year("date").alias("year")).agg(*[v.alias(n) for n, v in grown.items()]).withColumn("active_return", F.col("index") - F.col("benchmark"))
 
-def performance(joined: DataFrame) -> DataFrame:
-    """metric, index and benchmark: cumulative return, CAGR, volatility, Sharpe ratio and deepest drawdown of columns ret and bench."""
-    out = None
-    for side in ("ret", "bench"):
-        lv = drawdown(levels(joined.select("date", F.col(side).alias("ret"))))
-        name = "index" if side == "ret" else "benchmark"
-        grown = {"cumulative_return": F.max_by("level", "date") / F.min_by("level", "date") - 1, "cagr": cagr(), "annualized_volatility": volatility("ret"), "sharpe_ratio": sharpe("ret"), "max_drawdown": F.min("drawdown")}
-        one = lv.agg(*[v.alias(k) for k, v in grown.items()]).unpivot([], list(grown), "metric", name)
-        out = one if out is None else out.join(one, "metric")
-    return out
 
+def performance(level_rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, side (index, benchmark), cumulative return, CAGR, volatility, Sharpe ratio and deepest drawdown from start on.
 
-def tracking_table(joined: DataFrame) -> DataFrame:
-    """One row: correlation, tracking error, tracking difference (of CAGRs), beta, first and last day, number of days."""
-    side = lambda c, n: levels(joined.select("date", F.col(c).alias("ret"))).agg(cagr().alias(n))
-    rows = joined.agg(F.corr("ret", "bench").alias("correlation"), tracking_error(F.col("ret") - F.col("bench")).alias("tracking_error_annualized"), beta("ret", "bench").alias("beta"), F.min("date").alias("eval_start"), F.max("date").alias("eval_end"), F.count("*").alias("n_days"))
-    rows = rows.crossJoin(side("ret", "_a")).crossJoin(side("bench", "_b"))  # one row each
-    return rows.withColumn("tracking_difference_cagr", F.col("_a") - F.col("_b")).drop("_a", "_b")
+    Both sides go through one window and one aggregate.
+    """
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).alias("level")) for n, c in (("index", "level"), ("benchmark", "bench_level"))]))
+    long = level_rows.where("date >= start").select(*by, "date", sides.alias("_s")).select(*by, "date", "_s.side", "_s.level")
+    order = Window.partitionBy(*by, "side").orderBy("date")
+    long = drawdown(long.withColumn("ret", F.try_divide("level", F.lag("level").over(order)) - 1), by=[*by, "side"])
+    grown = {"cumulative_return": F.max_by("level", "date") / F.min_by("level", "date") - 1, "cagr": cagr(), "annualized_volatility": volatility("ret"), "sharpe_ratio": sharpe("ret"), "max_drawdown": F.min("drawdown")}
+    return long.groupBy(*by, "side").agg(*[v.alias(k) for k, v in grown.items()])
+
+
+def performance_table(level_rows: DataFrame) -> DataFrame:
+    """metric, index and benchmark."""
+    one = performance(level_rows)
+    long = one.unpivot("side", [c for c in one.columns if c != "side"], "metric", "_v")
+    return long.groupBy("metric").agg(*[F.max(F.when(F.col("side") == s, F.col("_v"))).alias(s) for s in ("index", "benchmark")])
 
 
 def price_coverage(prices: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -122,6 +122,39 @@ def theme_gate(rows: DataFrame, evidence: DataFrame, key: str, date: str, retro:
     return rows.join(first, key, "left").withColumn("theme_eligible", ~hit).drop("_e")
 
 
+# Reasons of a theme verdict.
+DISCONTINUED, LOW, LATER = "BUSINESS_DISCONTINUED", "THEME_DIRECTNESS_LOW", "PIT_EVIDENCE_NOT_YET_AVAILABLE"
+
+
+def theme_verdicts(evidence: DataFrame, key: str, mode: str) -> DataFrame:
+    """Change points (key, at, eligible, reason) of each key's theme eligibility; at is NULL for a verdict from ever on.
+
+    evidence: key, kind (discontinued or low), evidence_date. A discontinued business is out at all dates. Low directness
+    is out from its first evidence on (mode pit; until then the name stays in, with a reason) or at all dates (retro).
+    """
+    if mode not in ("pit", "retro"):
+        raise ValueError("mode is pit or retro")
+    by = evidence.groupBy(key).agg(F.max(F.col("kind") == "discontinued").alias("_gone"), F.min(F.when(F.col("kind") == "low", F.col("evidence_date"))).alias("_low"))
+    point = lambda at, ok, why: F.struct(at.cast("date").alias("at"), F.lit(ok).alias("eligible"), F.lit(why).alias("reason"))
+    ever = F.lit(None)
+    low = F.array(point(ever, True, LATER), point(F.col("_low"), False, LOW)) if mode == "pit" else F.array(point(ever, False, LOW))
+    points = F.when(F.col("_gone"), F.array(point(ever, False, DISCONTINUED))).when(F.col("_low").isNotNull(), low)
+    return by.select(key, F.explode(points).alias("p")).select(key, "p.*")
+
+
+def apply_verdicts(rows: DataFrame, verdicts: DataFrame, key: str, date: str, out: str = "eligible") -> DataFrame:
+    """Adds out and {out}_reason: the last verdict on the row's key at or before its date; a key without one is eligible.
+
+    Rows and change points of a key stand in one order, so there is no grid of keys and dates and no range join.
+    """
+    carried = F.struct(*rows.columns)
+    line = rows.select(F.col(key).alias("_k"), F.col(date).cast("date").alias("_at"), F.lit(1).alias("_m"), carried.alias("_row"))
+    marks = verdicts.select(F.col(key).alias("_k"), F.col("at").alias("_at"), F.lit(0).alias("_m"), F.struct("eligible", "reason").alias("_v"))
+    past = Window.partitionBy("_k").orderBy(F.col("_at").asc_nulls_first(), "_m").rowsBetween(Window.unboundedPreceding, 0)
+    both = line.unionByName(marks, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(past)).where("_m = 1")
+    return both.select("_row.*", F.coalesce("_v.eligible", F.lit(True)).alias(out), F.coalesce("_v.reason", F.lit("")).alias(f"{out}_reason"))
+
+
 def checklist(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """One row per check with its number of violations, in one pass."""
     counts = df.agg(*[F.count_if(F.coalesce(bad, F.lit(False))).alias(name) for name, bad in checks.items()])

@@ -69,12 +69,13 @@ def capped_weights(df: DataFrame, by: list[str], score: str, cap: float, *tie: s
     return out.drop("_s", "_n", "_k", "_suffix", "_sum", "_capped")
 
 
-def build_index(df: DataFrame, by: str, score: str, n: int, cap: float, *tie: str) -> DataFrame:
-    """The n best rows of each date with capped weights; ranked by weight."""
-    best = top_n(df, [by], n, F.col(score).desc_nulls_last(), *tie)
-    out = capped_weights(best, [by], score, cap, *tie)
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.col("weight").desc(), F.col(score).desc(), *tie))
-    return out.withColumns({"index_rank": rank, "n_constituents": F.count("*").over(Window.partitionBy(by))})
+def build_index(df: DataFrame, by: str | list[str], score: str, n: int, cap: float, *tie: str) -> DataFrame:
+    """The n best rows of each date (by: or of each series and date) with capped weights; ranked by weight."""
+    keys = [by] if isinstance(by, str) else by
+    best = top_n(df, keys, n, F.col(score).desc_nulls_last(), *tie)
+    out = capped_weights(best, keys, score, cap, *tie)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("weight").desc(), F.col(score).desc(), *tie))
+    return out.withColumns({"index_rank": rank, "n_constituents": F.count("*").over(Window.partitionBy(*keys))})
 
 
 def rebalance_summary(weights: DataFrame, by: str) -> DataFrame:

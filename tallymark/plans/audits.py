@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import audit, facts, score
+from ..operators import audit, facts, integrity
+from ..sources.stages import Stages
 from . import prices as p
-from .scores import _IDX, _index_sql, scored
-from .snapshots import _FACTS, _order_facts, quarters, read
+from .scores import _index_sql, _scored_sql, index_weights
+from .snapshots import _FACTS, _SUPQ, _order_facts, quarters, read, supplier_quarters
 
 
 def tag_search(spark, sf_dir):
@@ -72,19 +74,41 @@ def ratio_blocking(spark, sf_dir):
     return audit.block_ratios(li, "mixed", {"margin": ("a", "b")}).select("l_orderkey", "l_linenumber", "l_partkey", "margin", "margin_decision")
 
 
-def holding_diagnostics(spark, sf_dir):
-    w, entries, prices = p.portfolio(spark, sf_dir)
-    held = p.backtest.holdings(w, entries, prices).select("entry_date", "ticker")
-    periods = entries.select("entry_date").distinct().withColumn("exit_date", F.lead("entry_date").over(Window.orderBy("entry_date")))  # a row per rebalance
-    return audit.hold_diagnostics(held, periods, p.closes(spark, sf_dir))
+SCENARIOS = ("A", "B_pit", "B_retro")
 
 
-def scenario_comparison(spark, sf_dir):
+def _gated(spark, sf_dir, quarters_: DataFrame) -> DataFrame:
+    """Quarters of suppliers with verdicts: a low balance is evidence from the first big returned shipment on, a very low
+    one means discontinued."""
     bal = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
-    rows = scored(spark, sf_dir).where("available_factor_count >= 3").join(bal, "l_suppkey").withColumn("s", F.pow(F.col("factor_score"), 6))
-    run = lambda r: score.rebalance_summary(score.build_index(r, "quarter_end", "s", 30, 0.10, "l_suppkey"), "quarter_end")
-    out = audit.scenarios(rows, {"A": F.lit(True), "B": F.col("s_acctbal") >= 0}, run)
-    return out.select("scenario", "quarter_end", "n", F.round("hhi", 6).alias("hhi"), F.round("weight_max", 6).alias("weight_max"))
+    returned = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 49").groupBy("l_suppkey").agg(F.to_date(F.min("l_shipdate")).alias("evidence_date"))
+    low = bal.where("s_acctbal < 1000").join(returned, "l_suppkey").select("l_suppkey", F.lit("low").alias("kind"), "evidence_date")
+    evidence = low.unionByName(bal.where("s_acctbal < -500").select("l_suppkey", F.lit("discontinued").alias("kind"), F.lit(None).cast("date").alias("evidence_date")))
+    rows = quarters_
+    for mode in ("pit", "retro"):
+        rows = integrity.apply_verdicts(rows, integrity.theme_verdicts(evidence, "l_suppkey", mode), "l_suppkey", "quarter_end", mode)
+    return rows
+
+
+def gate_verdicts(spark, sf_dir):
+    rows = _gated(spark, sf_dir, supplier_quarters(spark, sf_dir).select("l_suppkey", "quarter_end"))
+    return rows.select("l_suppkey", "quarter_end", "pit", "pit_reason", "retro", "retro_reason")
+
+
+def scenario_comparison(spark, sf_dir):
+    """Gate, score, weigh, backtest and metrics once for all scenarios; weights against scenario A."""
+    with Stages(spark) as stages:
+        gated = stages.write(_gated(spark, sf_dir, supplier_quarters(spark, sf_dir)))
+        rows = audit.scenario_rows(gated, {"A": F.lit(True), "B_pit": F.col("pit"), "B_retro": F.col("retro")})
+        weights = stages.write(index_weights(spark, sf_dir, rows, ("scenario",)))
+        done = p.run_backtest(spark, sf_dir, weights, ("scenario",))
+        out = gated.select(F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), (~c).cast("int").alias("x")) for n, c in (("A", F.lit(True)), ("B_pit", F.col("pit")), ("B_retro", F.col("retro")))])).alias("e"))
+        gone = out.groupBy(F.col("e.scenario").alias("scenario")).agg(F.sum("e.x").alias("theme_excluded_rows"))
+        levels = done.levels()
+        perf = p.backtest.performance(levels, done.by).where("side = 'index'").select("scenario", *[F.round(c, 6).alias(c) for c in ("cagr", "annualized_volatility", "sharpe_ratio", "max_drawdown")])
+        track = p.backtest.active_summary(p.backtest.changes(levels, done.by), "scenario").select("scenario", F.round("correlation", 6).alias("correlation"), F.round("volatility_annualized", 6).alias("tracking_error"), F.round("beta_population", 6).alias("beta"))
+        diff = audit.scenario_weights(weights, SCENARIOS, "A", "quarter_end", "l_suppkey").withColumn("max_weight_diff", F.round("max_weight_diff", 8))
+        return stages.result(gone.join(perf, "scenario").join(track, "scenario").join(diff, "scenario"))
 
 
 def evidence_levels(spark, sf_dir):
@@ -104,7 +128,7 @@ def period_strings(spark, sf_dir):
 
 
 def rolling_quarter_error(spark, sf_dir):
-    return audit.rolling_error(p.joined(spark, sf_dir)).select("date", F.round("tracking_error", 4).alias("tracking_error"))
+    return audit.rolling_error(p.run_backtest(spark, sf_dir).moved()).select("date", F.round("tracking_error", 4).alias("tracking_error"))
 
 
 def interval_membership(spark, sf_dir):
@@ -116,6 +140,10 @@ def interval_membership(spark, sf_dir):
 _BEST = f"""{_FACTS}, t AS (SELECT * FROM (VALUES ('amount', 'R', 0), ('amount', 'A', 1), ('open', 'N', 0)) AS t(metric, tag, tag_rank)),
 p AS (SELECT o.cik, metric, f.annual AS ifrs, val, row_number() OVER (PARTITION BY o.cik, metric ORDER BY (f.annual = o.annual) DESC, (f.fy = o.fy) DESC, tag_rank, f.filed DESC, accn DESC, val) AS n
   FROM o JOIN f ON o.cik = f.cik AND f.filed <= o.filed JOIN t ON f.tag = t.tag)"""
+_SK = "scenario, quarter_end"
+_VERDICT = """evidence AS (SELECT s_suppkey AS l_suppkey, s_acctbal < -500 AS gone, (SELECT CAST(min(l_shipdate) AS DATE) FROM lineitem l WHERE l.l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity >= 49 AND s_acctbal < 1000) AS edate FROM supplier),
+judged AS (SELECT supq.*, gone, edate FROM supq JOIN evidence USING (l_suppkey)),
+srows AS (SELECT 'A' AS scenario, * FROM judged UNION ALL SELECT 'B_pit', * FROM judged WHERE NOT gone AND NOT coalesce(quarter_end >= edate, false) UNION ALL SELECT 'B_retro', * FROM judged WHERE NOT gone AND edate IS NULL)"""
 ORACLES = {
     "tag_search": "SELECT DISTINCT p_type AS tag FROM part WHERE contains(lower(p_type), 'a')",
     "priority_tag": "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'R' ELSE 'A' END AS tag FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1",
@@ -132,17 +160,26 @@ SELECT cik, metric, round(val, 4) AS restated_value FROM p WHERE n = 1""",
     "standard_audit": f"""WITH {_BEST} SELECT cik, string_agg(DISTINCT CASE WHEN ifrs THEN 'ifrs-full' ELSE 'us-gaap' END, '|' ORDER BY CASE WHEN ifrs THEN 'ifrs-full' ELSE 'us-gaap' END) AS taxonomies, count(DISTINCT ifrs) > 1 AS mixed, count(*) AS n_metrics FROM p WHERE n = 1 GROUP BY cik""",
     "ratio_blocking": """WITH x AS (SELECT *, l_returnflag <> CASE WHEN l_linestatus = 'F' THEN 'A' ELSE 'N' END AND l_quantity > 10 AS c FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN NOT c THEN l_discount END AS margin, CASE WHEN c THEN 'blocked' ELSE 'unchanged' END AS margin_decision FROM x""",
-    "holding_diagnostics": f"""WITH {p._RET}, e AS (SELECT ticker, max(date) AS series_end FROM closes GROUP BY 1)
-SELECT h.entry_date, exit_date, count(*) AS n_held, count(*) FILTER (coalesce(series_end < exit_date AND series_end >= h.entry_date, false)) AS n_ended_inside, count(*) FILTER (coalesce(series_end < h.entry_date, true)) AS n_unpriced FROM h JOIN per USING (entry_date) LEFT JOIN e USING (ticker) GROUP BY 1, 2""",
-    "scenario_comparison": f"""WITH {_IDX}, {_index_sql("gated", "SELECT * FROM scored WHERE available_factor_count >= 3 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)")}
-SELECT 'A' AS scenario, quarter_end, count(*) AS n, round(sum(weight * weight), 6) AS hhi, round(max(weight), 6) AS weight_max FROM idx GROUP BY 2
-UNION ALL SELECT 'B', quarter_end, count(*), round(sum(weight * weight), 6), round(max(weight), 6) FROM gated GROUP BY 2""",
+    "gate_verdicts": f"""WITH {_SUPQ}, {_VERDICT} SELECT l_suppkey, quarter_end, NOT gone AND NOT coalesce(quarter_end >= edate, false) AS pit,
+  CASE WHEN gone THEN 'BUSINESS_DISCONTINUED' WHEN edate IS NULL THEN '' WHEN quarter_end >= edate THEN 'THEME_DIRECTNESS_LOW' ELSE 'PIT_EVIDENCE_NOT_YET_AVAILABLE' END AS pit_reason,
+  NOT gone AND edate IS NULL AS retro, CASE WHEN gone THEN 'BUSINESS_DISCONTINUED' WHEN edate IS NOT NULL THEN 'THEME_DIRECTNESS_LOW' ELSE '' END AS retro_reason FROM judged""",
+    "scenario_comparison": f"""WITH {_SUPQ}, {_VERDICT}, {_scored_sql("srows", _SK, "sscored")}, {_index_sql("idx", "SELECT * FROM sscored WHERE available_factor_count >= 3", _SK)}, {p._CLOSE},
+{p._ret_sql("SELECT scenario, quarter_end AS snapshot_date, 'S' || l_suppkey AS ticker, weight FROM idx", "scenario, ")}, {p._level_sql("scenario, ")},
+x AS (SELECT scenario, (SELECT count(*) FROM supq) - count(*) AS theme_excluded_rows FROM srows GROUP BY 1),
+f AS (SELECT scenario, round({p._IC}, 6) AS cagr, round(stddev_samp(ret) * sqrt(252), 6) AS annualized_volatility, round(avg(ret) * 252 / (stddev_samp(ret) * sqrt(252)), 6) AS sharpe_ratio FROM ev GROUP BY 1),
+dd AS (SELECT scenario, round(min(d), 6) AS max_drawdown FROM (SELECT scenario, level / max(level) OVER (PARTITION BY scenario ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS d FROM ev) GROUP BY 1),
+t AS (SELECT scenario, round(corr(ret, bench), 6) AS correlation, round(stddev_samp(ret - bench) * sqrt(252), 6) AS tracking_error, round(covar_samp(ret, bench) / var_pop(bench), 6) AS beta FROM moved GROUP BY 1),
+k AS (SELECT DISTINCT quarter_end, l_suppkey FROM idx),
+v AS (SELECT s.scenario, round(max(abs(coalesce(b.weight, 0) - coalesce(a.weight, 0))), 8) AS max_weight_diff, count(*) FILTER ((coalesce(a.weight, 0) > 0) <> (coalesce(b.weight, 0) > 0)) AS membership_changes
+  FROM k CROSS JOIN (SELECT DISTINCT scenario FROM idx) s LEFT JOIN idx b ON b.scenario = s.scenario AND b.quarter_end = k.quarter_end AND b.l_suppkey = k.l_suppkey
+  LEFT JOIN idx a ON a.scenario = 'A' AND a.quarter_end = k.quarter_end AND a.l_suppkey = k.l_suppkey GROUP BY 1)
+SELECT * FROM x JOIN f USING (scenario) JOIN dd USING (scenario) JOIN t USING (scenario) JOIN v USING (scenario)""",
     "evidence_levels": """WITH k AS (SELECT c_custkey, concat_ws('; ', CASE WHEN c_acctbal < 0 THEN 'debt' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'builder' END, CASE WHEN c_nationkey > 20 THEN 'far' END) AS observed,
   CAST(c_acctbal < 0 AS INTEGER) + CAST(c_mktsegment = 'BUILDING' AS INTEGER) + CAST(c_nationkey > 20 AS INTEGER) AS n FROM customer)
 SELECT c_custkey, observed, CASE WHEN n >= 2 THEN 'strong' WHEN n = 1 THEN 'weak' ELSE 'none' END AS level FROM k""",
     "rationale_table": "SELECT p_partkey, p_name || ' (' || p_brand || '): price ' || format('{:,.2f}', p_retailprice) || ', size ' || format('{:,.2f}', CAST(p_size AS DOUBLE)) AS sentence, 'price->Price; size->Size' AS names FROM part",
     "period_strings": "SELECT o_custkey, string_agg(DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '|' ORDER BY CAST(CAST(o_orderdate AS DATE) AS VARCHAR)) AS joined, count(*) AS n, min(CAST(o_orderdate AS DATE)) AS first, max(CAST(o_orderdate AS DATE)) AS last FROM orders GROUP BY 1",
-    "rolling_quarter_error": f"""WITH {p._JOIN}, r AS (SELECT date, count(*) OVER w AS n, stddev_samp(ret - bench) OVER w * sqrt(252) AS tracking_error FROM j WINDOW w AS (ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) SELECT date, round(tracking_error, 4) AS tracking_error FROM r WHERE n = 63""",
+    "rolling_quarter_error": f"""WITH {p._LEVEL}, r AS (SELECT date, count(*) OVER w AS n, stddev_samp(ret - bench) OVER w * sqrt(252) AS tracking_error FROM moved WHERE ret IS NOT NULL WINDOW w AS (ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) SELECT date, round(tracking_error, 4) AS tracking_error FROM r WHERE n = 63""",
     "interval_membership": """WITH b AS (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders),
 q AS (SELECT snapshot_date, lead(snapshot_date) OVER (ORDER BY snapshot_date) AS until FROM (SELECT last_day(CAST(d AS DATE) + INTERVAL 2 MONTH) AS snapshot_date, lo, hi FROM (SELECT lo, hi, unnest(generate_series(date_trunc('year', lo), hi + INTERVAL 3 MONTH, INTERVAL 3 MONTH)) AS d FROM b)) WHERE snapshot_date BETWEEN lo AND hi)
 SELECT snapshot_date, count(*) AS n_days FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem) JOIN q ON date > snapshot_date AND (until IS NULL OR date <= until) GROUP BY 1""",

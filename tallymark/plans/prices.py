@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import asof, backtest, pick
 from ..sources import readers
+from ..sources.stages import Stages
 from .scores import _IDX, index_weights
 from .snapshots import read
 
@@ -63,88 +66,99 @@ def price_coverage(spark, sf_dir):
     return backtest.price_coverage(closes(spark, sf_dir), calendar(spark, sf_dir))
 
 
-def portfolio(spark, sf_dir):
-    """Weights, entry days, filled prices."""
-    w = index_weights(spark, sf_dir).select(F.col("quarter_end").alias("snapshot_date"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), "weight")
-    entries = asof.asof_forward(w.select("snapshot_date").distinct(), calendar(spark, sf_dir)).where("entry_date IS NOT NULL")
-    return w, entries, filled(spark, sf_dir)
+#: Both sides of the published series are 100 on the first trading day from here on; the index is cash until its first entry.
+BASE_DATE = "1995-02-15"
 
 
-def holdings(spark, sf_dir):
-    h = backtest.holdings(*portfolio(spark, sf_dir))
-    return h.select("entry_date", "ticker", F.round("weight", 8).alias("weight"), F.round("shares", 10).alias("shares"))
+@dataclass
+class Backtest:
+    """Result tables of one backtest, written (rows per name and rebalance, or per trading day); by: names of its series."""
 
+    held: DataFrame
+    diagnostics: DataFrame
+    returns: DataFrame
+    bench: DataFrame
+    by: tuple[str, ...]
 
-def returns(spark, sf_dir) -> DataFrame:
-    w, entries, prices = portfolio(spark, sf_dir)
-    return backtest.index_returns(backtest.holdings(w, entries, prices), entries, prices)
+    def levels(self) -> DataFrame:
+        return backtest.levels(self.returns, self.bench, BASE_DATE, self.by)
 
+    def moved(self) -> DataFrame:
+        return backtest.changes(self.levels(), self.by)
 
-def holding_returns(spark, sf_dir):
-    return returns(spark, sf_dir).select("date", "entry_date", F.round("ret", 8).alias("ret"))
 
+def tickers(weights: DataFrame, *by: str) -> DataFrame:
+    return weights.select(*by, F.col("quarter_end").alias("snapshot_date"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), "weight")
 
-def bench(spark, sf_dir) -> DataFrame:
-    """Daily mean of filled prices of all suppliers, with its return."""
-    day = filled(spark, sf_dir).groupBy("date").agg(F.avg("close").alias("close"))
-    from pyspark.sql.window import Window
 
-    return day.withColumn("bench", F.col("close") / F.lag("close").over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1)  # a row per trading day
+def run_backtest(spark, sf_dir, weights: DataFrame | None = None, by: tuple[str, ...] = ()) -> Backtest:
+    """Prices, weights, entries and targets are written once; what the steps after them need is read from there."""
+    with Stages(spark) as stages:
+        seen = stages.write(backtest.observations(closes(spark, sf_dir)))
+        days = stages.write(seen.select("date").distinct())
+        w = stages.write(tickers(index_weights(spark, sf_dir) if weights is None else weights, *by))
+        entries = asof.asof_forward(w.select("snapshot_date").distinct(), days)
+        aimed = stages.write(backtest.targets(w, entries, seen, by))
+        spans = stages.write(backtest.periods(aimed, days, by))
+        held = stages.result(backtest.holdings(aimed, by))
+        diagnostics = stages.result(backtest.holding_diagnostics(aimed, spans, seen, days, by))
+        returns = stages.result(backtest.index_returns(held, spans, seen, days, by))
+        return Backtest(held, diagnostics, returns, stages.result(backtest.mean_level(seen)), by)
 
 
-def joined(spark, sf_dir) -> DataFrame:
-    return returns(spark, sf_dir).select("date", "ret").join(bench(spark, sf_dir).where("bench IS NOT NULL").select("date", "bench"), "date")
+def holdings(spark, sf_dir):
+    h = run_backtest(spark, sf_dir).held
+    return h.select("entry_date", "ticker", F.round("weight", 8).alias("weight"), F.round("shares", 10).alias("shares"))
+
+
+def holding_returns(spark, sf_dir):
+    return run_backtest(spark, sf_dir).returns.select("date", "entry_date", F.round("ret", 8).alias("ret"))
+
+
+def holding_diagnostics(spark, sf_dir):
+    return run_backtest(spark, sf_dir).diagnostics
 
 
 def levels_drawdown(spark, sf_dir):
-    lv = backtest.drawdown(backtest.levels(returns(spark, sf_dir).select("date", "ret")))
-    return lv.select("date", F.round("level", 4).alias("level"), F.round("drawdown", 6).alias("drawdown"))
+    lv = backtest.drawdown(run_backtest(spark, sf_dir).levels())
+    return lv.select("date", F.round("level", 4).alias("level"), F.round("bench_level", 4).alias("bench_level"), F.round("drawdown", 6).alias("drawdown"), "start")
 
 
 def perf_metrics(spark, sf_dir):
-    lv = backtest.drawdown(backtest.levels(returns(spark, sf_dir).select("date", "ret")))
-    return lv.agg(
-        F.round(F.max_by("level", "date") / 100 - 1, 6).alias("cumulative"), F.round(backtest.cagr(), 6).alias("cagr"), F.round(backtest.volatility("ret"), 6).alias("volatility"),
-        F.round(backtest.sharpe("ret"), 6).alias("sharpe"), F.round(F.min("drawdown"), 6).alias("max_drawdown"),
-    )
+    p = backtest.performance(run_backtest(spark, sf_dir).levels()).where("side = 'index'")
+    return p.select(*[F.round(c, 6).alias(c) for c in p.columns if c != "side"])
 
 
 def performance_block(spark, sf_dir):
-    p = backtest.performance(joined(spark, sf_dir))
+    p = backtest.performance_table(run_backtest(spark, sf_dir).levels())
     return p.select("metric", F.round("index", 5).alias("index"), F.round("benchmark", 5).alias("benchmark"))
 
 
 def tracking_table(spark, sf_dir):
-    t = backtest.tracking_table(joined(spark, sf_dir))
-    return t.select("eval_start", "eval_end", "n_days", *[F.round(c, 5).alias(c) for c in ("correlation", "tracking_error_annualized", "tracking_difference_cagr", "beta")])
+    t = backtest.tracking(backtest.evaluated(run_backtest(spark, sf_dir).levels()).withColumnRenamed("start", "eval_start"), "eval_start")
+    return t.select("eval_start", F.col("end").alias("eval_end"), "n_days", *[F.round(c, 5).alias(c) for c in ("correlation", "tracking_error", "tracking_difference", "beta")])
 
 
 def yearly_returns(spark, sf_dir):
-    y = backtest.yearly(backtest.levels(returns(spark, sf_dir).select("date", "ret")))
-    return y.select("year", F.round("ret", 6).alias("ret"))
-
-
-def _rounded(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, *[F.round(c, 5).alias(c) for c in ("correlation", "tracking_error", "tracking_difference", "beta", "alpha")])
+    y = backtest.yearly(run_backtest(spark, sf_dir).levels())
+    return y.select("year", *[F.round(c, 6).alias(c) for c in ("index", "benchmark", "active_return")])
 
 
 def subperiod_tracking(spark, sf_dir):
-    j = joined(spark, sf_dir)
+    moved = run_backtest(spark, sf_dir).moved()
     period = F.when(F.year("date") < 1997, "early").when(F.year("date") < 2000, "middle").otherwise("late")
-    return _rounded(backtest.tracking(j.withColumn("period", period), "period").where("n >= 5"), "period", "n")
+    t = backtest.tracking(moved.withColumn("period", period), "period").where("n_days >= 5")
+    return t.select("period", "start", "end", "n_days", *[F.round(c, 5).alias(c) for c in ("correlation", "tracking_error", "tracking_difference", "beta", "alpha", "index_cagr", "bench_cagr")])
 
 
 def rolling_tracking(spark, sf_dir):
-    r = backtest.rolling_tracking(joined(spark, sf_dir))
+    r = backtest.rolling_tracking(run_backtest(spark, sf_dir).moved())
     return r.select("date", *[F.round(c, 4).alias(c) for c in ("correlation", "beta", "tracking_error", "mean_active")])
 
 
 def active_summary(spark, sf_dir):
-    a = joined(spark, sf_dir).withColumn("active", F.col("ret") - F.col("bench"))
-    return a.agg(
-        F.round(F.avg("active") * 252, 5).alias("mean_active"), F.round(backtest.tracking_error("active"), 5).alias("active_volatility"), F.round(F.avg((F.col("active") > 0).cast("int")), 6).alias("positive_ratio"),
-        F.round(F.avg("active") * 252 / backtest.tracking_error("active"), 5).alias("information_ratio"), F.round(F.covar_samp("ret", "bench") / F.var_pop("bench"), 5).alias("beta_population"),
-    )
+    a = backtest.active_summary(run_backtest(spark, sf_dir).moved())
+    return a.select("n_days", *[F.round(c, 6).alias(c) for c in a.columns if c not in ("n_days", "correlation")])
 
 
 def latest_prices(spark, sf_dir):
@@ -161,28 +175,44 @@ _GAPS = """span AS (SELECT *, min(date) FILTER (close IS NOT NULL) OVER (PARTITI
 isle AS (SELECT ticker, date, i - row_number() OVER (PARTITION BY ticker ORDER BY date) AS g FROM span WHERE close IS NULL AND date > f AND date < l),
 gaps AS (SELECT ticker, min(date) AS gap_start, max(date) AS gap_end, count(*) AS days_missing FROM isle GROUP BY ticker, g)"""
 _FILL = "SELECT date, ticker, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS close FROM"
-_PORT = f"""{_IDX}, {_CLOSE}, w AS (SELECT quarter_end AS snapshot_date, 'S' || l_suppkey AS ticker, weight FROM idx),
+
+
+def _ret_sql(weights: str = "SELECT quarter_end AS snapshot_date, 'S' || l_suppkey AS ticker, weight FROM idx", k: str = "") -> str:
+    """Holdings and daily returns over a filled grid, for each series named by the columns in k (each with a comma after it)."""
+    return f"""w AS ({weights}),
 entries AS (SELECT snapshot_date, min(date) AS entry_date FROM (SELECT DISTINCT snapshot_date FROM w) JOIN calendar ON date >= snapshot_date GROUP BY 1),
-held AS (SELECT * FROM closes WHERE ticker IN (SELECT ticker FROM w)),
-hgrid AS (SELECT t.ticker, c.date, h.close FROM (SELECT DISTINCT ticker FROM held) t CROSS JOIN calendar c LEFT JOIN held h ON h.ticker = t.ticker AND h.date = c.date),
+hgrid AS (SELECT t.ticker, c.date, h.close FROM (SELECT DISTINCT ticker FROM w) t CROSS JOIN calendar c LEFT JOIN closes h ON h.ticker = t.ticker AND h.date = c.date),
 px AS ({_FILL} hgrid),
-buy AS (SELECT entry_date, w.ticker, weight / sum(weight) OVER (PARTITION BY entry_date) AS weight, close FROM w JOIN entries USING (snapshot_date) JOIN px ON px.ticker = w.ticker AND px.date = entry_date WHERE close > 0),
-h AS (SELECT entry_date, ticker, weight, weight / close AS shares FROM buy)"""
-_RET = f"""{_PORT}, per AS (SELECT entry_date, lead(entry_date) OVER (ORDER BY entry_date) AS exit_date FROM (SELECT DISTINCT entry_date FROM entries)),
-val AS (SELECT entry_date, date, sum(shares * close) AS value FROM h JOIN per USING (entry_date) JOIN px USING (ticker) WHERE date >= entry_date AND (exit_date IS NULL OR date <= exit_date) GROUP BY 1, 2),
-rets AS (SELECT date, entry_date, ret FROM (SELECT date, entry_date, value / lag(value) OVER (PARTITION BY entry_date ORDER BY date) - 1 AS ret FROM val) WHERE ret IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY date ORDER BY entry_date) = 1)"""
-_LEVEL = f"""{_RET}, lv AS (SELECT date, ret, 100 * exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS level FROM rets),
-dd AS (SELECT *, level / max(level) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM lv)"""
-_JOIN = f"""{_RET}, agrid AS (SELECT t.ticker, c.date, h.close FROM (SELECT DISTINCT ticker FROM closes) t CROSS JOIN calendar c LEFT JOIN closes h ON h.ticker = t.ticker AND h.date = c.date),
-day AS (SELECT date, avg(close) AS close FROM ({_FILL} agrid) GROUP BY date),
-bm AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS bench FROM day),
-j AS (SELECT date, ret, bench FROM rets JOIN bm USING (date) WHERE bench IS NOT NULL)"""
-_SIDES = """both_sides AS (SELECT date, 'index' AS s, ret AS r FROM j UNION ALL SELECT date, 'benchmark', bench FROM j),
-raised AS (SELECT *, 100 * exp(sum(ln(1 + r)) OVER (PARTITION BY s ORDER BY date ROWS UNBOUNDED PRECEDING)) AS level FROM both_sides),
-sides AS (SELECT *, max(level) OVER (PARTITION BY s ORDER BY date ROWS UNBOUNDED PRECEDING) AS top FROM raised)"""
+aimed AS (SELECT {k}snapshot_date, entry_date, w.ticker AS ticker, weight, px.close FROM w JOIN entries USING (snapshot_date) LEFT JOIN px ON px.ticker = w.ticker AND px.date = entry_date QUALIFY snapshot_date = max(snapshot_date) OVER (PARTITION BY {k}entry_date)),
+h AS (SELECT {k}snapshot_date, entry_date, ticker, weight / sum(weight) OVER (PARTITION BY {k}entry_date) AS weight, weight / sum(weight) OVER (PARTITION BY {k}entry_date) / close AS shares FROM aimed WHERE close > 0),
+per AS (SELECT {k}entry_date, lead(entry_date) OVER ({f"PARTITION BY {k[:-2]} " if k else ""}ORDER BY entry_date) AS exit_date FROM (SELECT DISTINCT {k}entry_date FROM aimed)),
+val AS (SELECT {k}entry_date, date, sum(shares * close) AS value FROM h JOIN per USING ({k}entry_date) JOIN px USING (ticker) WHERE date >= entry_date AND (exit_date IS NULL OR date <= exit_date) GROUP BY ALL),
+rets AS (SELECT * FROM (SELECT {k}date, entry_date, value / lag(value) OVER (PARTITION BY {k}entry_date ORDER BY date) - 1 AS ret FROM val) WHERE ret IS NOT NULL)"""
+
+
+def _level_sql(k: str = "") -> str:
+    """Levels from the base day on, their changes (moved) and those from the index's start on (ev)."""
+    part = f"PARTITION BY {k[:-2]} " if k else ""
+    on = " AND ".join(f"r.{c} = d.{c}" for c in k.replace(" ", "").split(",") if c)
+    return f"""bgrid AS (SELECT t.ticker, c.date, h.close FROM (SELECT DISTINCT ticker FROM closes) t CROSS JOIN calendar c LEFT JOIN closes h ON h.ticker = t.ticker AND h.date = c.date),
+bm AS (SELECT date, avg(close) AS close FROM ({_FILL} bgrid) GROUP BY date),
+span AS (SELECT {k}min(date) AS start, max(date) AS stop FROM rets {f"GROUP BY {k[:-2]}" if k else ""}),
+d AS (SELECT {k}date, close, start FROM bm JOIN span ON date <= stop AND date >= DATE '{BASE_DATE}'),
+g AS (SELECT {", ".join(f"d.{c}" for c in ("date", "close", "start", *[c for c in k.replace(" ", "").split(",") if c]))}, CASE WHEN d.date <= start THEN 1 ELSE 1 + coalesce(ret, 0) END AS growth FROM d LEFT JOIN rets r ON r.date = d.date {"AND " + on if on else ""}),
+lv AS (SELECT {k}date, start, 100 * product(growth) OVER ({part}ORDER BY date ROWS UNBOUNDED PRECEDING) AS level, 100 * close / first_value(close) OVER ({part}ORDER BY date) AS bench_level FROM g),
+moved AS (SELECT *, level / lag(level) OVER ({part}ORDER BY date) - 1 AS ret, bench_level / lag(bench_level) OVER ({part}ORDER BY date) - 1 AS bench FROM lv),
+ev AS (SELECT * REPLACE (CASE WHEN date > start THEN ret END AS ret, CASE WHEN date > start THEN bench END AS bench) FROM moved WHERE date >= start)"""
+
+
+_RET = f"{_IDX}, {_CLOSE}, {_ret_sql()}"
+_LEVEL = f"{_RET}, {_level_sql()}"
+_SIDES = """both_sides AS (SELECT date, 'index' AS side, level, ret AS r FROM ev UNION ALL SELECT date, 'benchmark', bench_level, bench FROM ev),
+sides AS (SELECT *, max(level) OVER (PARTITION BY side ORDER BY date ROWS UNBOUNDED PRECEDING) AS top FROM both_sides),
+m AS (SELECT side, arg_max(level, date) / arg_min(level, date) - 1 AS cumulative_return, pow(arg_max(level, date) / arg_min(level, date), 365.25 / (max(date) - min(date))) - 1 AS cagr,
+  stddev_samp(r) * sqrt(252) AS annualized_volatility, avg(r) * 252 / (stddev_samp(r) * sqrt(252)) AS sharpe_ratio, min(level / top - 1) AS max_drawdown FROM sides GROUP BY side)"""
 _B = "covar_samp(ret, bench) / var_samp(bench)"
-_TRACK = f"round(corr(ret, bench), 5) AS correlation, round(stddev_samp(ret - bench) * sqrt(252), 5) AS tracking_error, round(avg(ret - bench) * 252, 5) AS tracking_difference, round({_B}, 5) AS beta, round((avg(ret) - {_B} * avg(bench)) * 252, 5) AS alpha"
+_CAGR = "pow(arg_max({c}, date) / arg_min({c}, date), 365.25 / (max(date) - min(date))) - 1"
+_IC, _BC = _CAGR.format(c="level"), _CAGR.format(c="bench_level")
 ORACLES = {
     "calendar_reindex": f"WITH {_GRID} SELECT ticker, count(*) AS n_days, count(close) AS n_prices, round(sum(close), 2) AS total FROM grid GROUP BY ticker",
     "price_long_ffill": f"WITH {_GRID} SELECT * FROM ({_FILL} grid) WHERE close IS NOT NULL",
@@ -198,24 +228,29 @@ SELECT ticker, first_valid, last_valid, n_days, n_pre_listing, n_interior_missin
   CASE WHEN n_days = 0 THEN 'NO_DATA' WHEN last_valid < e THEN 'DELISTED_OR_DATA_END' WHEN coalesce(max_gap, 0) >= 20 THEN 'SUSPECTED_SUSPENSION' ELSE 'OK' END AS status FROM t LEFT JOIN x USING (ticker) JOIN c USING (ticker)""",
     "price_coverage": f"""WITH {_CLOSE}, s AS (SELECT ticker, count(*) AS n_obs, min(date) AS first_date, max(date) AS last_date FROM closes GROUP BY ticker)
 SELECT ticker, n_obs, first_date, last_date, count(*) - n_obs AS n_missing FROM s JOIN calendar c ON c.date BETWEEN first_date AND last_date GROUP BY ticker, n_obs, first_date, last_date""",
-    "holdings": f"WITH {_PORT} SELECT entry_date, ticker, round(weight, 8) AS weight, round(shares, 10) AS shares FROM h",
+    "holdings": f"WITH {_RET} SELECT entry_date, ticker, round(weight, 8) AS weight, round(shares, 10) AS shares FROM h",
     "holding_returns": f"WITH {_RET} SELECT date, entry_date, round(ret, 8) AS ret FROM rets",
-    "levels_drawdown": f"WITH {_LEVEL} SELECT date, round(level, 4) AS level, round(drawdown, 6) AS drawdown FROM dd",
-    "perf_metrics": f"""WITH {_LEVEL} SELECT round(arg_max(level, date) / 100 - 1, 6) AS cumulative, round(pow(arg_max(level, date) / arg_min(level, date), 365.25 / (max(date) - min(date))) - 1, 6) AS cagr,
-  round(stddev_samp(ret) * sqrt(252), 6) AS volatility, round(avg(ret) * 252 / (stddev_samp(ret) * sqrt(252)), 6) AS sharpe, round(min(drawdown), 6) AS max_drawdown FROM dd""",
-    "performance_block": f"""WITH {_JOIN}, {_SIDES}, m AS (SELECT s, arg_max(level, date) / arg_min(level, date) - 1 AS cumulative_return, pow(arg_max(level, date) / arg_min(level, date), 365.25 / (max(date) - min(date))) - 1 AS cagr,
-  stddev_samp(r) * sqrt(252) AS annualized_volatility, avg(r) * 252 / (stddev_samp(r) * sqrt(252)) AS sharpe_ratio, min(level / top - 1) AS max_drawdown FROM sides GROUP BY s),
-u AS (UNPIVOT m ON cumulative_return, cagr, annualized_volatility, sharpe_ratio, max_drawdown INTO NAME metric VALUE v)
-SELECT metric, round(max(v) FILTER (s = 'index'), 5) AS "index", round(max(v) FILTER (s = 'benchmark'), 5) AS benchmark FROM u GROUP BY metric""",
-    "tracking_table": f"""WITH {_JOIN}, {_SIDES}, c AS (SELECT s, pow(arg_max(level, date) / arg_min(level, date), 365.25 / (max(date) - min(date))) - 1 AS cagr FROM sides GROUP BY s)
-SELECT min(date) AS eval_start, max(date) AS eval_end, count(*) AS n_days, round(corr(ret, bench), 5) AS correlation, round(stddev_samp(ret - bench) * sqrt(252), 5) AS tracking_error_annualized,
-  round((SELECT cagr FROM c WHERE s = 'index') - (SELECT cagr FROM c WHERE s = 'benchmark'), 5) AS tracking_difference_cagr, round({_B}, 5) AS beta FROM j""",
-    "yearly_returns": f"WITH {_LEVEL} SELECT CAST(year(date) AS INTEGER) AS year, round(arg_max(level, date) / arg_min(level, date) - 1, 6) AS ret FROM lv GROUP BY 1",
-    "subperiod_tracking": f"WITH {_JOIN} SELECT CASE WHEN year(date) < 1997 THEN 'early' WHEN year(date) < 2000 THEN 'middle' ELSE 'late' END AS period, count(*) AS n, {_TRACK} FROM j GROUP BY 1 HAVING count(*) >= 5",
-    "rolling_tracking": f"""WITH {_JOIN}, r AS (SELECT date, count(*) OVER w AS n, corr(ret, bench) OVER w AS correlation, covar_samp(ret, bench) OVER w / var_samp(bench) OVER w AS beta, stddev_samp(ret - bench) OVER w * sqrt(252) AS tracking_error, avg(ret - bench) OVER w * 252 AS mean_active
-  FROM j WINDOW w AS (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) SELECT date, round(correlation, 4) AS correlation, round(beta, 4) AS beta, round(tracking_error, 4) AS tracking_error, round(mean_active, 4) AS mean_active FROM r WHERE n = 252""",
-    "active_summary": f"""WITH {_JOIN} SELECT round(avg(ret - bench) * 252, 5) AS mean_active, round(stddev_samp(ret - bench) * sqrt(252), 5) AS active_volatility, round(avg(CAST(ret > bench AS INTEGER)), 6) AS positive_ratio,
-  round(avg(ret - bench) * 252 / (stddev_samp(ret - bench) * sqrt(252)), 5) AS information_ratio, round(covar_samp(ret, bench) / var_pop(bench), 5) AS beta_population FROM j""",
+    "holding_diagnostics": f"""WITH {_RET}, inside AS (SELECT p.entry_date, c.ticker, max(c.date) AS seen FROM per p JOIN closes c ON c.date >= p.entry_date AND (p.exit_date IS NULL OR c.date <= p.exit_date) GROUP BY ALL),
+edge AS (SELECT p.entry_date, max(date) AS edge FROM per p JOIN calendar c ON c.date >= p.entry_date AND c.date < p.exit_date GROUP BY ALL)
+SELECT snapshot_date AS rebalance_date, a.entry_date, count(*) AS target_constituents, count(*) FILTER (close > 0) AS priced_constituents, count(*) FILTER (close IS NULL OR close <= 0) AS pre_listing_excluded,
+  count(*) FILTER (close > 0 AND seen < edge) AS delisted_to_cash_mid_period, CAST(1 AS DOUBLE) AS renorm_weight_sum, round(sum(weight) FILTER (close > 0) / sum(weight), 6) AS investable_weight_coverage,
+  coalesce(string_agg(ticker, ',' ORDER BY ticker) FILTER (close IS NULL OR close <= 0), '') AS excluded_tickers
+FROM aimed a LEFT JOIN inside USING (entry_date, ticker) LEFT JOIN edge USING (entry_date) GROUP BY 1, 2 HAVING sum(weight) FILTER (close > 0) > 0""",
+    "levels_drawdown": f"WITH {_LEVEL} SELECT date, round(level, 4) AS level, round(bench_level, 4) AS bench_level, round(level / max(level) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 6) AS drawdown, start FROM lv",
+    "perf_metrics": f"WITH {_LEVEL}, {_SIDES} SELECT {', '.join(f'round({c}, 6) AS {c}' for c in ('cumulative_return', 'cagr', 'annualized_volatility', 'sharpe_ratio', 'max_drawdown'))} FROM m WHERE side = 'index'",
+    "performance_block": f"""WITH {_LEVEL}, {_SIDES}, u AS (UNPIVOT m ON cumulative_return, cagr, annualized_volatility, sharpe_ratio, max_drawdown INTO NAME metric VALUE v)
+SELECT metric, round(max(v) FILTER (side = 'index'), 5) AS "index", round(max(v) FILTER (side = 'benchmark'), 5) AS benchmark FROM u GROUP BY metric""",
+    "tracking_table": f"""WITH {_LEVEL} SELECT min(start) AS eval_start, max(date) AS eval_end, count(ret) AS n_days, round(corr(ret, bench), 5) AS correlation, round(stddev_samp(ret - bench) * sqrt(252), 5) AS tracking_error,
+  round(({_IC}) - ({_BC}), 5) AS tracking_difference, round({_B}, 5) AS beta FROM ev""",
+    "yearly_returns": f"""WITH {_LEVEL}, y AS (SELECT CAST(year(date) AS INTEGER) AS year, arg_max(level, date) / arg_min(level, date) - 1 AS i, arg_max(bench_level, date) / arg_min(bench_level, date) - 1 AS b FROM lv GROUP BY 1)
+SELECT year, round(i, 6) AS "index", round(b, 6) AS benchmark, round(i - b, 6) AS active_return FROM y""",
+    "subperiod_tracking": f"""WITH {_LEVEL} SELECT CASE WHEN year(date) < 1997 THEN 'early' WHEN year(date) < 2000 THEN 'middle' ELSE 'late' END AS period, min(date) FILTER (ret IS NOT NULL) AS start, max(date) AS "end", count(ret) AS n_days,
+  round(corr(ret, bench), 5) AS correlation, round(stddev_samp(ret - bench) * sqrt(252), 5) AS tracking_error, round(({_IC}) - ({_BC}), 5) AS tracking_difference, round({_B}, 5) AS beta,
+  round((avg(ret) - {_B} * avg(bench)) * 252, 5) AS alpha, round({_IC}, 5) AS index_cagr, round({_BC}, 5) AS bench_cagr FROM moved GROUP BY 1 HAVING count(ret) >= 5""",
+    "rolling_tracking": f"""WITH {_LEVEL}, r AS (SELECT date, count(*) OVER w AS n, corr(ret, bench) OVER w AS correlation, covar_samp(ret, bench) OVER w / var_samp(bench) OVER w AS beta, stddev_samp(ret - bench) OVER w * sqrt(252) AS tracking_error, avg(ret - bench) OVER w * 252 AS mean_active
+  FROM moved WHERE ret IS NOT NULL WINDOW w AS (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) SELECT date, round(correlation, 4) AS correlation, round(beta, 4) AS beta, round(tracking_error, 4) AS tracking_error, round(mean_active, 4) AS mean_active FROM r WHERE n = 252""",
+    "active_summary": f"""WITH {_LEVEL}, a AS (SELECT count(*) AS n_days, avg(ret - bench) AS m, stddev_samp(ret - bench) AS v, avg(CAST(ret > bench AS INTEGER)) AS p, covar_samp(ret, bench) / var_pop(bench) AS b FROM moved WHERE ret IS NOT NULL)
+SELECT n_days, round(m, 6) AS mean_daily, round(m * 252, 6) AS mean_annualized, round(v, 6) AS volatility_daily, round(v * sqrt(252), 6) AS volatility_annualized, round(p, 6) AS positive_ratio, round(m * 252 / (v * sqrt(252)), 6) AS information_ratio, round(b, 6) AS beta_population FROM a""",
     "latest_prices": f"WITH {_CLOSE} SELECT ticker, max(date) AS date, arg_max(close, date) AS close FROM closes GROUP BY ticker",
 }
 QUERIES = {n: globals()[n] for n in ORACLES}

@@ -13,11 +13,11 @@ FACTORS = {"revenue": (0.35, True), "discount": (0.15, False), "quantity": (0.30
 CAP, TOP = 0.10, 30
 
 
-def scored(spark, sf_dir, quarters: DataFrame | None = None) -> DataFrame:
-    """Quarterly factors (revenue under 200,000 taken as missing) with percentile and composite scores."""
+def scored(spark, sf_dir, quarters: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Quarterly factors (revenue under 200,000 taken as missing) with percentile and composite scores; by: within series."""
     q = (supplier_quarters(spark, sf_dir) if quarters is None else quarters).withColumn("revenue", F.when(F.round("revenue", 2) >= 200000, F.round("revenue", 2)))
     q = q.withColumns({c: F.round(c, 6) for c in ("discount", "tax")})
-    p = q.withColumns({f"{c}_score": score.percentile(c, ["quarter_end"], up) for c, (_, up) in FACTORS.items()})
+    p = q.withColumns({f"{c}_score": score.percentile(c, [*by, "quarter_end"], up) for c, (_, up) in FACTORS.items()})
     total, n = score.composite({f"{c}_score": w for c, (w, _) in FACTORS.items()})
     return p.withColumns({"factor_score": F.round(total, 6), "available_factor_count": n})
 
@@ -44,9 +44,9 @@ def score_summary(spark, sf_dir):
     )
 
 
-def index_weights(spark, sf_dir, quarters: DataFrame | None = None) -> DataFrame:
-    rows = scored(spark, sf_dir, quarters).where("available_factor_count >= 3").withColumn("s", F.pow(F.col("factor_score"), 6))
-    return score.build_index(rows, "quarter_end", "s", TOP, CAP, "l_suppkey")
+def index_weights(spark, sf_dir, quarters: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    rows = scored(spark, sf_dir, quarters, by).where("available_factor_count >= 3").withColumn("s", F.pow(F.col("factor_score"), 6))
+    return score.build_index(rows, [*by, "quarter_end"], "s", TOP, CAP, "l_suppkey")
 
 
 def topn_capped_weights(spark, sf_dir):
@@ -65,10 +65,9 @@ def special_removal(spark, sf_dir):
 
 
 def gated_weights(spark, sf_dir) -> DataFrame:
-    """A second scenario: suppliers with a negative balance are gated before scoring."""
+    """A second scenario: suppliers with a negative balance are gated before percentile scores."""
     gone = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    rows = scored(spark, sf_dir).where("available_factor_count >= 3").join(gone, "l_suppkey", "left_anti").withColumn("s", F.pow(F.col("factor_score"), 6))
-    return score.build_index(rows, "quarter_end", "s", TOP, CAP, "l_suppkey")
+    return index_weights(spark, sf_dir, supplier_quarters(spark, sf_dir).join(gone, "l_suppkey", "left_anti"))
 
 
 def weight_diff(spark, sf_dir):
@@ -133,24 +132,29 @@ def _pct(c: str, up: bool, single: bool = True, by: str = "quarter_end") -> str:
 _NUM = " + ".join(f"coalesce({c}_score * {w}, 0)" for c, (w, _) in FACTORS.items())
 _DEN = " + ".join(f"CASE WHEN {c}_score IS NULL THEN 0 ELSE {w} END" for c, (w, _) in FACTORS.items())
 _N = " + ".join(f"CAST({c}_score IS NOT NULL AS INTEGER)" for c in FACTORS)
-_SCORED = f"""{_SUPQ}, f AS (SELECT l_suppkey, quarter_end, CASE WHEN round(revenue, 2) >= 200000 THEN round(revenue, 2) END AS revenue, round(discount, 6) AS discount, quantity, round(tax, 6) AS tax FROM supq),
-p AS (SELECT *, {", ".join(f"{_pct(c, up)} AS {c}_score" for c, (_, up) in FACTORS.items())} FROM f),
-scored AS (SELECT *, round(({_NUM}) / nullif({_DEN}, 0), 6) AS factor_score, {_N} AS available_factor_count FROM p)"""
 
 
-def _index_sql(name: str, rows: str) -> str:
-    """Weights by capping and sharing out again and again, at most TOP times."""
-    w = f"{name}_0 AS (SELECT quarter_end, l_suppkey, factor_score, pow(factor_score, 6) AS s, count(*) OVER (PARTITION BY quarter_end) AS n FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY quarter_end ORDER BY pow(factor_score, 6) DESC, l_suppkey) <= {TOP}),"
-    w += f"{name}_n AS (SELECT quarter_end, l_suppkey, factor_score, s, count(*) OVER (PARTITION BY quarter_end) AS n, sum(s) OVER (PARTITION BY quarter_end) AS total, row_number() OVER (PARTITION BY quarter_end ORDER BY s DESC, l_suppkey) - 1 AS k, sum(s) OVER (PARTITION BY quarter_end ORDER BY s DESC, l_suppkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS suffix FROM {name}_0),"
+def _scored_sql(rows: str = "supq", by: str = "quarter_end", name: str = "scored") -> str:
+    """Factors, percentile scores and composite score of the rows of a table, within the groups of by."""
+    return f"""{name}_f AS (SELECT * REPLACE (CASE WHEN round(revenue, 2) >= 200000 THEN round(revenue, 2) END AS revenue, round(discount, 6) AS discount, round(tax, 6) AS tax) FROM {rows}),
+{name}_p AS (SELECT *, {", ".join(f"{_pct(c, up, by=by)} AS {c}_score" for c, (_, up) in FACTORS.items())} FROM {name}_f),
+{name} AS (SELECT *, round(({_NUM}) / nullif({_DEN}, 0), 6) AS factor_score, {_N} AS available_factor_count FROM {name}_p)"""
+
+
+def _index_sql(name: str, rows: str, by: str = "quarter_end") -> str:
+    """Weights in closed form of capping and sharing out, within the groups of by."""
+    w = f"{name}_0 AS (SELECT {by}, l_suppkey, factor_score, pow(factor_score, 6) AS s FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY pow(factor_score, 6) DESC, l_suppkey) <= {TOP}),"
+    w += f"{name}_n AS (SELECT {by}, l_suppkey, factor_score, s, count(*) OVER (PARTITION BY {by}) AS n, sum(s) OVER (PARTITION BY {by}) AS total, row_number() OVER (PARTITION BY {by} ORDER BY s DESC, l_suppkey) - 1 AS k, sum(s) OVER (PARTITION BY {by} ORDER BY s DESC, l_suppkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS suffix FROM {name}_0),"
     w += f"{name}_c AS (SELECT *, greatest({CAP}, 1.0 / n) AS cap FROM {name}_n),"
-    w += f"{name}_k AS (SELECT quarter_end, min(k) AS m, arg_min(suffix, k) AS free FROM {name}_c WHERE (1 - k * cap) * s / suffix <= cap + 1e-15 GROUP BY quarter_end),"
-    return w + f"""{name} AS (SELECT c.quarter_end, c.l_suppkey, c.factor_score, s, s / total AS raw_weight, cap AS effective_cap, n AS n_constituents, c.k < coalesce(m, n) AS weight_capped,
-  CASE WHEN c.k < coalesce(m, n) THEN cap ELSE (1 - m * cap) * s / free END AS weight FROM {name}_c c LEFT JOIN {name}_k USING (quarter_end))"""
+    w += f"{name}_k AS (SELECT {by}, min(k) AS m, arg_min(suffix, k) AS free FROM {name}_c WHERE (1 - k * cap) * s / suffix <= cap + 1e-15 GROUP BY {by}),"
+    return w + f"""{name} AS (SELECT {by}, c.l_suppkey, c.factor_score, s, s / total AS raw_weight, cap AS effective_cap, n AS n_constituents, c.k < coalesce(m, n) AS weight_capped,
+  CASE WHEN c.k < coalesce(m, n) THEN cap ELSE (1 - m * cap) * s / free END AS weight FROM {name}_c c LEFT JOIN {name}_k USING ({by}))"""
 
 
+_SCORED = f"{_SUPQ}, {_scored_sql()}"
 _IDX = f"{_SCORED}, {_index_sql('idx', 'SELECT * FROM scored WHERE available_factor_count >= 3')}"
-_GATED = "SELECT * FROM scored WHERE available_factor_count >= 3 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)"
-_BOTH = f"{_IDX}, {_index_sql('gated', _GATED)}"
+_ALLOWED = "allowed AS (SELECT * FROM supq WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0))"
+_BOTH = f"{_IDX}, {_ALLOWED}, {_scored_sql('allowed', name='rescored')}, {_index_sql('gated', 'SELECT * FROM rescored WHERE available_factor_count >= 3')}"
 _SELECT = """part2 AS (SELECT p_partkey, p_brand, p_size * 2.0::DOUBLE AS relevance, CASE WHEN p_partkey % 9 > 0 THEN p_retailprice END AS quality, CAST(p_partkey % 14 AS DOUBLE) AS factors FROM part),
 mm AS (SELECT min(quality) AS q0, max(quality) AS q1, min(factors) AS f0, max(factors) AS f1 FROM part2),
 sel AS (SELECT p_partkey, p_brand, relevance, round_even(0.6::DOUBLE * relevance + 0.25::DOUBLE * coalesce((quality - q0) / (q1 - q0) * 100, 50.0::DOUBLE) + 0.15::DOUBLE * coalesce((factors - f0) / (f1 - f0) * 100, 50.0::DOUBLE), 4) AS selection_score,

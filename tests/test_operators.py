@@ -80,14 +80,11 @@ def test_percentiles(spark):
     assert [r.p for r in out if r.v is None] == [None]
 
 
-def test_gaps_and_levels(spark):
+def test_gaps(spark):
     days = [D(2020, 1, 1) + dt.timedelta(i) for i in range(30)]
     rows = [(d, "x", None if i in (0, 5, 6, 28, 29) else 10.0 + i) for i, d in enumerate(days)]
     g = backtest.gaps(spark.createDataFrame(rows, "date date, ticker string, close double"), 2).collect()
     assert [(r.gap_start, r.days_missing, r.classification) for r in g] == [(days[5], 2, "suspected_suspension")]
-    rets = [(D(2019, 12, 31), 0.1), (D(2020, 1, 1), -0.5), (D(2020, 1, 2), 1.0)]
-    lv = backtest.levels(spark.createDataFrame(rets, "date date, ret double")).orderBy("date").collect()
-    assert np.allclose([r.level for r in lv], [110, 55, 110])
 
 
 def test_factor_panel(spark):
