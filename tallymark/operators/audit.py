@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,9 +18,9 @@ def search_tags(facts: DataFrame, keyword: str) -> DataFrame:
     return facts.where(F.contains(F.lower("tag"), F.lit(keyword.lower()))).select("tag").distinct()
 
 
-def priority_tag(facts: DataFrame, order: DataFrame, key: str) -> DataFrame:
-    """The first tag of an ordered list (tag, tag_rank; small) that each entity has."""
-    return facts.join(order, "tag").groupBy(key).agg(F.min_by("tag", "tag_rank").alias("tag"))
+def priority_tag(facts: DataFrame, order: Sequence[str], key: str) -> DataFrame:
+    """The first tag of an ordered list that each entity has; the list is a literal of the plan."""
+    return _facts.with_tags(facts, [("", tag, rank, "") for rank, tag in enumerate(order)]).groupBy(key).agg(F.min_by("tag", "tag_rank").alias("tag"))
 
 
 def candidate_filter(candidates: DataFrame, themes: DataFrame, score: str = "score") -> DataFrame:
@@ -53,7 +55,7 @@ def fill_metadata(rows: DataFrame, master: DataFrame, key: str) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, f"_{c}") if c in rows.columns else F.col(f"_{c}") for c in extra}).drop(*[f"_{c}" for c in extra])
 
 
-def restated_prior(current: DataFrame, facts: DataFrame, tags: DataFrame) -> DataFrame:
+def restated_prior(current: DataFrame, facts: DataFrame, tags: Sequence[tuple[str, str, int, str]]) -> DataFrame:
     """The prior period's fact in the current row's taxonomy, as known when the current row was filed.
 
     current: cik, accession_key, prev_end, filed, form, fy, fp, current_taxonomy, metric.
@@ -63,7 +65,7 @@ def restated_prior(current: DataFrame, facts: DataFrame, tags: DataFrame) -> Dat
     return best.select("cik", "accession_key", "metric", F.col("val").alias("restated_value"))
 
 
-def company_extract(facts: DataFrame, tags: DataFrame, metrics: tuple[str, ...], lead: str = "revenue", as_of: Column | None = None, most_days: int = 500) -> DataFrame:
+def company_extract(facts: DataFrame, tags: Sequence[tuple[str, str, int, str]], metrics: tuple[str, ...], lead: str = "revenue", as_of: Column | None = None, most_days: int = 500) -> DataFrame:
     """One row per company with annual lead values: every metric at the end of the latest one, with tag, end, year and filing date.
 
     tags: metric, tag, tag_rank, kind (a short list); besides metrics it may name liabilities_and_equity and equity, whose

@@ -248,24 +248,36 @@ def performance_table(level_rows: DataFrame) -> DataFrame:
     return long.groupBy("metric").agg(*[F.max(F.when(F.col("side") == s, F.col("_v"))).alias(s) for s in ("index", "benchmark")])
 
 
+def numbered_days(calendar: DataFrame) -> DataFrame:
+    """date, its number _i from 1, and the days before and after it. A row per trading day."""
+    order = Window.orderBy("date")
+    return calendar.select("date").distinct().select("date", F.row_number().over(order).alias("_i"), F.lag("date").over(order).alias("_before"), F.lead("date").over(order).alias("_after"))
+
+
 def price_coverage(prices: DataFrame, calendar: DataFrame) -> DataFrame:
     """Observations, first and last day, and calendar days missing between them, of each ticker; days are numbered once."""
-    seen = prices.where("close IS NOT NULL").groupBy("ticker").agg(F.count("*").alias("n_obs"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    place = calendar.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")))  # a row per trading day
-    first, last = (place.select(F.col("date").alias(f"{n}_date"), F.col("_i").alias(f"_{n}")) for n in ("first", "last"))
-    rows = seen.join(first, "first_date").join(last, "last_date")
-    return rows.select("ticker", "n_obs", "first_date", "last_date", (F.col("_last") - F.col("_first") + 1 - F.col("n_obs")).alias("n_missing"))
+    seen = prices.where("close IS NOT NULL").join(numbered_days(calendar), "date")
+    out = seen.groupBy("ticker").agg(F.count("*").alias("n_obs"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), (F.max("_i") - F.min("_i") + 1 - F.count("*")).alias("n_missing"))
+    return out
+
 
+def _neighbours(prices: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Real closes with their day's number and the run of missing days before each: _missing, gap_start and gap_end."""
+    seen = prices.where("close IS NOT NULL").select("ticker", "date").join(numbered_days(calendar), "date")
+    order = Window.partitionBy("ticker").orderBy("_i")
+    rows = seen.withColumns({"_missing": F.col("_i") - F.lag("_i").over(order) - 1, "gap_start": F.lag("_after").over(order)})
+    return rows.withColumn("gap_end", F.col("_before"))
 
-def gaps(grid: DataFrame, long: int = 20) -> DataFrame:
-    """Maximal runs of missing closes strictly between a ticker's first and last one; runs of `long` days are suspected suspensions."""
-    by = Window.partitionBy("ticker")
-    real = F.when(F.col("close").isNotNull(), F.col("date"))
-    rows = grid.withColumns({"_f": F.min(real).over(by), "_l": F.max(real).over(by), "_i": F.row_number().over(by.orderBy("date"))})
-    inside = rows.where((F.col("date") > F.col("_f")) & (F.col("date") < F.col("_l")) & F.col("close").isNull())
-    isle = inside.withColumn("_g", F.col("_i") - F.row_number().over(by.orderBy("date")))
-    out = isle.groupBy("ticker", "_g").agg(F.min("date").alias("gap_start"), F.max("date").alias("gap_end"), F.count("*").alias("days_missing")).drop("_g")
-    return out.withColumn("classification", F.when(F.col("days_missing") >= long, "suspected_suspension").otherwise("short_gap"))
+
+def gaps(prices: DataFrame, calendar: DataFrame, long: int = 20) -> DataFrame:
+    """Maximal runs of missing closes strictly between a ticker's first and last one; runs of `long` days are suspected suspensions.
+
+    A run lies between neighbouring observations, whose days' numbers give its length: work and rows grow with the
+    observations, not with tickers times days.
+    """
+    found = _neighbours(prices, calendar).where("_missing > 0")
+    kind = F.when(F.col("_missing") >= long, "suspected_suspension").otherwise("short_gap")
+    return found.select("ticker", "gap_start", "gap_end", F.col("_missing").cast("long").alias("days_missing"), kind.alias("classification"))
 
 
 def flat_runs(prices: DataFrame) -> DataFrame:
@@ -277,19 +289,20 @@ def flat_runs(prices: DataFrame) -> DataFrame:
     return runs.groupBy("ticker").agg(F.max("run").alias("longest_flat"))
 
 
-def suspension_audit(grid: DataFrame, long: int = 20) -> DataFrame:
-    """Status of each ticker: no data, ended before the calendar's end, suspected suspension or ok; and its missing days
-    before the first, inside, and after the last price."""
-    real = F.when(F.col("close").isNotNull(), F.col("date"))
-    by = Window.partitionBy("ticker")
-    rows = grid.withColumns({"_f": F.min(real).over(by), "_l": F.max(real).over(by)})
-    by = rows.groupBy("ticker").agg(
-        F.min("_f").alias("first_valid"), F.max("_l").alias("last_valid"), F.max("date").alias("_end"), F.count("close").alias("n_days"), F.count_if(F.col("date") < F.col("_f")).alias("n_pre_listing"),
-        F.count_if(F.col("close").isNull() & F.col("date").between(F.col("_f"), F.col("_l"))).alias("n_interior_missing"), F.count_if(F.col("date") > F.col("_l")).alias("n_post_end_missing"),
+def suspension_audit(prices: DataFrame, calendar: DataFrame, long: int = 20) -> DataFrame:
+    """Status of each ticker of prices (also without a real close): no data, ended before the calendar's end, suspected
+    suspension or ok; and its missing days before the first, inside, and after the last price. One window, one aggregate."""
+    end = calendar.agg(F.max("date").alias("_end"), F.countDistinct("date").alias("_n"))
+    gap = F.coalesce(F.col("_missing"), F.lit(0))
+    runs = _neighbours(prices, calendar).groupBy("ticker").agg(
+        F.min("date").alias("first_valid"), F.max("date").alias("last_valid"), F.min("_i").alias("_first"), F.max("_i").alias("_last"), F.count("*").alias("n_days"), F.sum(gap).alias("n_interior_missing"),
+        F.max(gap).cast("long").alias("max_gap"), F.count_if(gap > 0).alias("n_gaps"), F.count_if(gap >= long).alias("n_long_gaps"),
     )
-    worst = gaps(grid, long).groupBy("ticker").agg(F.max("days_missing").alias("max_gap"), F.count("*").alias("n_gaps"), F.count_if(F.col("days_missing") >= long).alias("n_long_gaps"))
-    rows = by.join(worst, "ticker", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("max_gap", "n_gaps", "n_long_gaps")})
+    rows = prices.select("ticker").distinct().join(runs, "ticker", "left").join(F.broadcast(end), F.lit(True))  # one row
+    rows = rows.withColumns({"n_pre_listing": F.col("_first") - 1, "n_post_end_missing": F.col("_n") - F.col("_last")})
+    counts = ("n_days", "n_pre_listing", "n_interior_missing", "n_post_end_missing", "max_gap", "n_gaps", "n_long_gaps")
+    rows = rows.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in counts})
     ended = F.coalesce(F.col("last_valid") < F.col("_end"), F.lit(False))
     rows = rows.withColumns({"suspected_suspension": F.col("max_gap") >= long, "delisted_or_data_end": ended})
     status = F.when(F.col("n_days") == 0, "NO_DATA").when(ended, "DELISTED_OR_DATA_END").when(F.col("suspected_suspension"), "SUSPECTED_SUSPENSION").otherwise("OK")
-    return rows.withColumn("status", status).drop("_end")
+    return rows.withColumn("status", status).drop("_end", "_n", "_first", "_last")

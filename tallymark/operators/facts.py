@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,9 +20,29 @@ COVER_TAGS = (
 FINANCIAL = ("us-gaap", "ifrs-full")
 SUPPORTED_FORMS = (*clean.ANNUAL_FORMS, *clean.QUARTERLY_FORMS)
 FLOW, STOCK = "flow", "stock"
+#: Most tags that a list of tags may name: it becomes a filter of the scan and a literal of the plan.
+MOST_TAGS = 10_000
 ANNUAL_DAYS, QUARTER_DAYS = (300, 400), (55, 115)
 
 
+def with_tags(facts: DataFrame, tags: Sequence[tuple[str, str, int, str]]) -> DataFrame:
+    """Facts whose tag is in the list, once for each of its metrics, with metric, tag_rank and kind.
+
+    tags: (metric, tag, tag_rank, kind), MOST_TAGS at most. The list is a filter that reaches the scan and a map literal,
+    so facts aren't moved for it.
+    """
+    if len(tags) > MOST_TAGS:
+        raise ValueError(f"a list of {len(tags)} tags; {MOST_TAGS} at most")
+    by: dict[str, list[tuple[str, str, int, str]]] = {}
+    for t in tags:
+        by.setdefault(t[1], []).append(t)
+    item = lambda m, r, k: F.struct(F.lit(m).alias("metric"), F.lit(r).cast("int").alias("tag_rank"), F.lit(k).alias("kind"))
+    cells = [x for tag, many in by.items() for x in (F.lit(tag), F.array(*[item(m, r, k) for m, _, r, k in many]))]
+    if not cells:
+        return facts.where(F.lit(False)).select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("metric", "string"), ("tag_rank", "int"), ("kind", "string"))])
+    return facts.where(F.col("tag").isin(*by)).select("*", F.inline(F.element_at(F.create_map(*cells), F.col("tag"))))
+
+
 def standardize(facts: DataFrame) -> DataFrame:
     """Facts with tag, value, end and filed, of supported forms, filed no earlier than their end; equal ones once.
 
@@ -49,15 +71,16 @@ def anchors(facts: DataFrame) -> DataFrame:
     return keep_first(rows, ["cik", "accession_key"], F.col("filed").desc(), F.col("end").desc(), "tag", F.col("val")).select("cik", "accession_key", "end", "filed", "form", "fy", "fp")
 
 
-def best_facts(anchor: DataFrame, facts: DataFrame, tags: DataFrame, taxonomy: Column | None = None) -> DataFrame:
+def best_facts(anchor: DataFrame, facts: DataFrame, tags: Sequence[tuple[str, str, int, str]], taxonomy: Column | None = None) -> DataFrame:
     """The best fact of each anchor and metric known when the anchor was filed.
 
-    tags (small): metric, tag, tag_rank, kind (flow or stock). A fact has the anchor's end and was filed no later. Soft
-    preferences in order: form of the same cycle, fiscal year, fiscal period, duration in the cycle's band; then tag
-    rank, distance of filing dates, latest filing, accession, unit, value. All of it is one order and one window.
+    tags: of with_tags(), kind flow or stock. A fact has the anchor's end and was filed no later. Soft preferences in order:
+    form of the same cycle, fiscal year, fiscal period, duration in the cycle's band; then tag rank, distance of filing
+    dates, latest filing, accession, unit, value. All of it is one order and one window. Join and window are by cik and
+    end, so tables bucketed by these (sources.readers.write_bucketed) need no shuffle at all.
     """
-    f = facts.join(tags, "tag").select("cik", F.col("end").alias("f_end"), F.col("filed").alias("f_filed"), F.col("form").alias("f_form"), F.col("fy").alias("f_fy"), F.col("fp").alias("f_fp"), F.col("accn").alias("f_accn"), "start", "unit", "val", "taxonomy", "tag", "tag_rank", "metric", "kind")
-    pairs = anchor.join(f, "cik").where((F.col("f_end") == F.col("end")) & (F.col("f_filed") <= F.col("filed")))
+    f = with_tags(facts, tags).select("cik", F.col("end").alias("f_end"), F.col("filed").alias("f_filed"), F.col("form").alias("f_form"), F.col("fy").alias("f_fy"), F.col("fp").alias("f_fp"), F.col("accn").alias("f_accn"), "start", "unit", "val", "taxonomy", "tag", "tag_rank", "metric", "kind")
+    pairs = anchor.join(f.withColumnRenamed("f_end", "end"), ["cik", "end"]).withColumn("f_end", F.col("end")).where(F.col("f_filed") <= F.col("filed"))
     if taxonomy is not None:
         pairs = pairs.where(F.col("taxonomy") == taxonomy)
     annual = clean.period_type("form") == "annual"
@@ -68,20 +91,20 @@ def best_facts(anchor: DataFrame, facts: DataFrame, tags: DataFrame, taxonomy: C
     in_band = F.when(flow, F.coalesce(band, F.lit(False))).otherwise(False)
     gap = F.when(in_band, F.abs(days - F.when(annual, 365).otherwise(90))).otherwise(0)
     named = ~F.coalesce(F.upper(F.trim("fp")), F.lit("")).isin("", "<NA>", "NAN", "NONE", "Q")
-    order = Window.partitionBy("cik", "accession_key", "metric").orderBy(
+    order = Window.partitionBy("cik", "end", "accession_key", "metric").orderBy(
         cycle.desc(), F.coalesce(F.col("f_fy") == F.col("fy"), F.lit(False)).desc(), F.when(named, F.coalesce(F.col("f_fp") == F.upper(F.trim("fp")), F.lit(False))).otherwise(False).desc(), in_band.desc(),
         "tag_rank", gap, F.col("f_filed").desc(), F.col("f_accn").desc_nulls_last(), "unit", "val",
     )
     return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*anchor.columns, "metric", "val", "tag", "taxonomy", "unit", F.col("f_filed").alias("fact_filed"))
 
 
-def latest_annual(facts: DataFrame, tag_order: DataFrame) -> DataFrame:
+def latest_annual(facts: DataFrame, tag_order: Sequence[tuple[str, str, int, str]]) -> DataFrame:
     """The annual value of each company, tag and end: the latest filing of 10-K and 10-K/A.
 
-    tag_order: metric, tag, tag_rank, kind. A tag of a company that has FY rows keeps only these; a flow tag that then
+    tag_order: of with_tags(). A tag of a company that has FY rows keeps only these; a flow tag that then
     has rows of about a year keeps only these. Both choices hold for all its ends.
     """
-    rows = facts.where(F.col("form").isin("10-K", "10-K/A")).join(tag_order, "tag")
+    rows = with_tags(facts.where(F.col("form").isin("10-K", "10-K/A")), tag_order)
     by = Window.partitionBy("cik", "tag", "metric")
     fy = F.coalesce(F.col("fp") == "FY", F.lit(False))
     rows = rows.withColumn("_fy", fy).withColumn("_any", F.max("_fy").over(by)).where(F.col("_fy") | ~F.col("_any"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stages import Stages
 from .pick import mode_of
 
 
@@ -227,10 +228,53 @@ def corporate_actions(universe: DataFrame, curated: DataFrame, ipos: DataFrame,
     return rows.withColumns({"action_status": F.when(kind == "NONE", "NONE").otherwise("COMPLETED"), "pit_note": note})
 
 
-def numeric_summary(df: DataFrame, *columns: str) -> DataFrame:
-    """count, mean, median, min, max and standard deviation of each column, over one unpivoted pass."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value").where("value IS NOT NULL")
-    return long.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_samp("value").alias("std"))
+def numeric_summary(df: DataFrame, *columns: str, bins: int = 1024, most: int = 1 << 16) -> DataFrame:
+    """count, mean, median, min, max and standard deviation of each column; NaN and NULL are missing."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value").where("value IS NOT NULL AND NOT isnan(value)")
+    stats = long.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_samp("value").alias("std"))
+    return stats.join(medians(long, ["column"], "value", bins, most), "column").select("column", "n", "mean", "median", "min", "max", "std")
+
+
+def _place(value: str, low: str, high: str) -> Column:
+    """Where a value lies between two others, 0 to 1, never falling as it grows: on a straight scale where both are of one
+    magnitude, else by sign and logarithm, so that far outliers don't crowd all others at one end."""
+    v, a, b = F.col(value), F.col(low), F.col(high)
+    scale = lambda x: F.coalesce(F.signum(x) * (F.log2(F.abs(x)) + 1075), F.lit(0.0))
+    near = (F.signum(a) == F.signum(b)) & (F.greatest(F.abs(a), F.abs(b)) / 2 <= F.least(F.abs(a), F.abs(b)))
+    straight = F.try_divide(v / 2 - a / 2, b / 2 - a / 2)
+    return F.coalesce(F.when(near, straight).otherwise(F.try_divide(scale(v) - scale(a), scale(b) - scale(a))), F.lit(0.0))
+
+
+def medians(rows: DataFrame, by: list[str], value: str, bins: int = 1024, most: int = 1 << 16, small: int = 100_000) -> DataFrame:
+    """by and the exact median of a double column (NULL and NaN are missing; groups without a value have no row).
+
+    Distributed selection: for each of the two middle ranks of a group, a range of values that holds it is counted in
+    `bins` parts and narrowed to the part with the rank, again until at most `most` values are left; only these are put in
+    order. No group's values meet in one buffer. The ranges are a row or two per group: they are broadcast where there are
+    at most `small` of them, else joined by key.
+    """
+    v = F.col(value).cast("double")
+    values = rows.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    size = values.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    ranks = F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2")))
+    with Stages(rows.sparkSession) as stages:
+        state = stages.write(size.select(*by, "_lo", "_hi", "_n", F.lit(0).cast("long").alias("_below"), F.explode(ranks).alias("_rank")))
+        side = lambda: F.broadcast(state) if few else state
+        few = state.count() <= small
+        inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+        keys = [*by, "_rank"]
+        while not state.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") > most)).isEmpty():
+            part = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), bins).otherwise(F.least(F.greatest(F.floor(_place("_v", "_lo", "_hi") * bins), F.lit(0)), F.lit(bins)))
+            found = values.join(side(), by).where(inside).groupBy(*keys, "_below", part.alias("_bin")).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+            upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin"))  # a row per part
+            found = found.withColumn("_upto", F.col("_below") + upto).where("_upto > _rank AND _upto - _n <= _rank")
+            old, state = state, stages.write(found.select(*by, "_lo", "_hi", "_n", (F.col("_upto") - F.col("_n")).alias("_below"), "_rank"))
+            stages.release(old)
+        one = state.where("_lo = _hi").select(*keys, F.col("_lo").alias("_v"))
+        rest = state.where("_lo < _hi")
+        order = F.row_number().over(Window.partitionBy(*keys).orderBy("_v")) - 1 + F.col("_below")  # at most `most` values
+        picked = values.join(F.broadcast(rest) if few else rest, by).where(inside).withColumn("_at", order).where("_at = _rank").select(*keys, "_v")
+        return stages.result(one.unionByName(picked).groupBy(*by).agg(F.avg("_v").alias("median")))
 
 
 def distribution(df: DataFrame, column: str, missing: str = "Missing") -> DataFrame:

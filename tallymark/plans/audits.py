@@ -18,8 +18,7 @@ def tag_search(spark, sf_dir):
 
 
 def priority_tag(spark, sf_dir):
-    order = spark.createDataFrame([("R", 0), ("A", 1)], "tag string, tag_rank int")
-    return audit.priority_tag(read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("tag")), order, "l_orderkey")
+    return audit.priority_tag(read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("tag")), ("R", "A"), "l_orderkey")
 
 
 def candidate_filter(spark, sf_dir):

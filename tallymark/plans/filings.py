@@ -40,7 +40,7 @@ def supplier_facts(spark, sf_dir) -> DataFrame:
 
 def factor_panel(spark, sf_dir):
     f = facts.financial_only(facts.standardize(supplier_facts(spark, sf_dir)))
-    tags = spark.createDataFrame([(m, t, 0, k) for m, t, k, _ in PANEL], "metric string, tag string, tag_rank int, kind string")
+    tags = [(m, t, 0, k) for m, t, k, _ in PANEL]
     a = facts.anchors(f)
     out = facts.factor_panel(a, facts.best_facts(a, f, tags))
     return out.select("cik", "end", "period_type", "prev_end", "source_fact_count", "factor_available_count", "pit_valid", F.round("liabilities", 4).alias("liabilities"), *[F.round(c, 6).alias(c) for c in facts.FACTORS])
@@ -50,7 +50,7 @@ def _messy(spark, sf_dir) -> DataFrame:
     """Lines as facts with untidy texts, each twice; some are of other forms, without a value, or filed before their end."""
     li = read(spark, sf_dir, "lineitem")
     rows = li.select(
-        (F.col("l_orderkey") % 97).cast("string").alias("cik"), F.when(F.col("l_linenumber") == 7, F.lit(None)).when(F.col("l_returnflag") == "A", " US-GAAP ").otherwise("dei").alias("taxonomy"),
+        F.col("l_suppkey").cast("string").alias("cik"), F.when(F.col("l_linenumber") == 7, F.lit(None)).when(F.col("l_returnflag") == "A", " US-GAAP ").otherwise("dei").alias("taxonomy"),
         F.when(F.col("l_partkey") % 2 == 0, "EntityPublicFloat").otherwise(F.col("l_returnflag")).alias("tag"), F.lit("USD").alias("unit"), F.lit(None).cast("date").alias("start"),
         F.date_add(F.to_date("l_shipdate"), (F.col("l_linenumber") % 3 - 1).cast("int")).alias("end"), F.to_date("l_shipdate").alias("filed"), F.when(F.col("l_linenumber") % 4 == 0, "8-K").when(F.col("l_linestatus") == "F", " 10-k ").otherwise("10-Q").alias("form"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("accn"), F.year("l_shipdate").alias("fy"), F.lit(" fy").alias("fp"), F.when(F.col("l_quantity") > 5, F.col("l_extendedprice")).alias("val"),
@@ -73,16 +73,16 @@ TAGS = (
 )
 
 
-def yearly_facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Lines as facts of a hundred companies at month ends: of a few forms, not all FY, of zero to three hundred days."""
+def yearly_facts(spark, sf_dir) -> tuple[DataFrame, tuple]:
+    """Lines as facts of customers at month ends: of a few forms, not all FY, of zero to three hundred days."""
     li = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     end = F.last_day("o_orderdate")
     rows = li.select(
-        (F.col("l_orderkey") % 97).cast("string").alias("cik"), F.lit("us-gaap").alias("taxonomy"), F.expr(_TAG).alias("tag"), F.lit("USD").alias("unit"), F.date_sub(end, (F.col("l_partkey") % 4 * 100).cast("int")).alias("start"),
+        F.col("o_custkey").cast("string").alias("cik"), F.lit("us-gaap").alias("taxonomy"), F.expr(_TAG).alias("tag"), F.lit("USD").alias("unit"), F.date_sub(end, (F.col("l_partkey") % 4 * 100).cast("int")).alias("start"),
         end.alias("end"), F.to_date("l_shipdate").alias("filed"), F.when(F.col("l_suppkey") % 5 == 0, "10-Q").when(F.col("l_suppkey") % 5 == 1, "10-K/A").otherwise("10-K").alias("form"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("accn"), F.year("o_orderdate").alias("fy"), F.when((F.col("l_orderkey") % 97 + F.col("l_partkey")) % 3 > 0, "FY").otherwise("Q4").alias("fp"), F.col("l_extendedprice").alias("val"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("accn"), F.year("o_orderdate").alias("fy"), F.when((F.col("o_custkey") + F.col("l_partkey")) % 3 > 0, "FY").otherwise("Q4").alias("fp"), F.col("l_extendedprice").alias("val"),
     )
-    return rows, spark.createDataFrame(list(TAGS), "metric string, tag string, tag_rank int, kind string")
+    return rows, TAGS
 
 
 def annual_facts(spark, sf_dir):
@@ -117,7 +117,7 @@ def company_extract(spark, sf_dir):
 def company_records(spark, sf_dir):
     """Companies with their extract, and those without with the reason."""
     rows, out = _extracted(spark, sf_dir)
-    companies = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 120).cast("string").alias("cik"), F.lit("Nasdaq").alias("exchange")).distinct()
+    companies = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cik"), F.lit("Nasdaq").alias("exchange")).distinct()
     good, bad = audit.company_records(companies, rows, out)
     return good.select("cik", "target_end", F.lit(None).cast("string").alias("error_type")).unionByName(bad.select("cik", F.lit(None).cast("date").alias("target_end"), "error_type"))
 
@@ -219,12 +219,12 @@ def _sql() -> dict[str, str]:
         "ocf_to_assets": f"a.operating_cash_flow / nullif({mean('assets')}, 0)", "free_cash_flow_proxy": "a.operating_cash_flow - abs(a.capital_expenditure)",
     }
     wide = ", ".join(f"CAST({re.sub(r'(?<=[0-9])D', '', v)} AS DOUBLE) AS {m}" for m, _, _, v in PANEL)
-    messy = """li AS (SELECT CAST(l_orderkey % 97 AS VARCHAR) AS cik, l_orderkey, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_returnflag = 'A' THEN 'us-gaap' ELSE 'dei' END AS taxonomy, CASE WHEN l_partkey % 2 = 0 THEN 'EntityPublicFloat' ELSE l_returnflag END AS tag,
+    messy = """li AS (SELECT CAST(l_suppkey AS VARCHAR) AS cik, l_orderkey, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_returnflag = 'A' THEN 'us-gaap' ELSE 'dei' END AS taxonomy, CASE WHEN l_partkey % 2 = 0 THEN 'EntityPublicFloat' ELSE l_returnflag END AS tag,
   CAST(l_shipdate AS DATE) + CAST(l_linenumber % 3 - 1 AS INTEGER) AS "end", CAST(l_shipdate AS DATE) AS filed, CASE WHEN l_linenumber % 4 = 0 THEN '8-K' WHEN l_linestatus = 'F' THEN '10-K' ELSE '10-Q' END AS form,
   l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS accn, CASE WHEN l_quantity > 5 THEN l_extendedprice END AS val FROM lineitem)"""
     values = ", ".join(f"('{m}', '{t}', {r}, '{k}')" for m, t, r, k in TAGS)
-    yearly = f"""f AS (SELECT CAST(l_orderkey % 97 AS VARCHAR) AS cik, {_TAG} AS tag, last_day(o_orderdate) - CAST(l_partkey % 4 * 100 AS INTEGER) AS start, last_day(o_orderdate) AS d_end, CAST(l_shipdate AS DATE) AS filed,
-  CASE l_suppkey % 5 WHEN 0 THEN '10-Q' WHEN 1 THEN '10-K/A' ELSE '10-K' END AS form, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS accn, CAST(year(o_orderdate) AS INTEGER) AS fy, CASE WHEN (l_orderkey % 97 + l_partkey) % 3 > 0 THEN 'FY' ELSE 'Q4' END AS fp, l_extendedprice AS val
+    yearly = f"""f AS (SELECT CAST(o_custkey AS VARCHAR) AS cik, {_TAG} AS tag, last_day(o_orderdate) - CAST(l_partkey % 4 * 100 AS INTEGER) AS start, last_day(o_orderdate) AS d_end, CAST(l_shipdate AS DATE) AS filed,
+  CASE l_suppkey % 5 WHEN 0 THEN '10-Q' WHEN 1 THEN '10-K/A' ELSE '10-K' END AS form, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS accn, CAST(year(o_orderdate) AS INTEGER) AS fy, CASE WHEN (o_custkey + l_partkey) % 3 > 0 THEN 'FY' ELSE 'Q4' END AS fp, l_extendedprice AS val
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey), t AS (SELECT * FROM (VALUES {values}) AS t(metric, tag, tag_rank, kind)),
 y1 AS (SELECT f.*, metric, tag_rank, kind FROM f JOIN t ON f.tag = t.tag WHERE form <> '10-Q' QUALIFY fp = 'FY' OR NOT bool_or(fp = 'FY') OVER (PARTITION BY cik, f.tag)),
 y2 AS (SELECT * FROM y1 QUALIFY kind = 'stock' OR d_end - start BETWEEN 300 AND 400 OR NOT bool_or(d_end - start BETWEEN 300 AND 400) OVER (PARTITION BY cik, tag)),
@@ -265,7 +265,7 @@ SELECT cik, tag, fy, fp, filed, accn, round(val, 2) AS val FROM k QUALIFY row_nu
 SELECT cik, target_end, round(revenue_val, 2) AS revenue, round(assets_val, 2) AS assets, round(li, 2) AS liabilities, revenue_tag, assets_tag, CASE WHEN calc THEN 'CALCULATED:T-E' ELSE liabilities_tag END AS liabilities_tag, calc AS liabilities_calculated,
   CASE WHEN calc THEN 'LiabilitiesAndEquity - Equity' END AS liabilities_method, fy AS revenue_fiscal_year, filed AS revenue_filed_date, CAST(DATE '2002-01-01' - target_end AS INTEGER) AS data_age_days, DATE '2002-01-01' - target_end > 500 AS is_stale,
   CAST(CASE WHEN codes = '' THEN 0 ELSE len(codes) - len(replace(codes, '|', '')) + 1 END AS INTEGER) AS warning_count, nullif(codes, '') AS warning_messages, round(li / nullif(assets_val, 0), 6) AS liability_to_assets, false AS period_consistent, issues AS period_issues FROM c""",
-        "company_records": f"""WITH {extract}, c AS (SELECT DISTINCT CAST(c_custkey % 120 AS VARCHAR) AS cik FROM customer)
+        "company_records": f"""WITH {extract}, c AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS cik FROM customer)
 SELECT c.cik, target_end, CASE WHEN target_end IS NULL THEN CASE WHEN c.cik IN (SELECT cik FROM f) THEN 'NO_ANNUAL_VALUE' ELSE 'NO_FACTS' END END AS error_type FROM c LEFT JOIN z USING (cik)""",
         "standard_panel": """WITH o AS (SELECT o_custkey AS cik, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 7 - 6 AS INTEGER) AS e, CASE WHEN o_orderkey % 3 = 0 THEN '8-K' ELSE '10-Q' END AS form, CAST(o_orderkey AS VARCHAR) AS accn, o_orderkey % 5 > 0 AS ok FROM orders),
 k AS (SELECT * FROM o WHERE ok AND cik IN (SELECT c_custkey FROM customer) QUALIFY form = '10-Q' OR NOT bool_or(form = '10-Q') OVER (PARTITION BY cik)), p AS (SELECT * FROM k WHERE d >= e)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import integrity, pick, score
+from ..sources.stages import Stages
 from .snapshots import _SUPQ, read, supplier_quarters
 
 FACTORS = {"revenue": (0.35, True), "discount": (0.15, False), "quantity": (0.30, True), "tax": (0.20, True)}
@@ -38,10 +39,14 @@ def composite_score(spark, sf_dir):
 
 def score_summary(spark, sf_dir):
     c = F.col("factor_score")
-    return scored(spark, sf_dir).groupBy("quarter_end").agg(
-        F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.median(c), 6).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"),
-        F.count_if(F.col("available_factor_count") == 3).alias("n_three"), F.count_if(F.col("available_factor_count") == 4).alias("n_four"),
-    )
+    with Stages(spark) as stages:
+        rows = stages.write(scored(spark, sf_dir).select("quarter_end", "factor_score", "available_factor_count"))
+        middle = integrity.medians(rows, ["quarter_end"], "factor_score").select("quarter_end", F.round("median", 6).alias("median"))
+        counts = rows.groupBy("quarter_end").agg(
+            F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"),
+            F.count_if(F.col("available_factor_count") == 3).alias("n_three"), F.count_if(F.col("available_factor_count") == 4).alias("n_four"),
+        )
+        return stages.result(counts.join(middle, "quarter_end", "left"))
 
 
 def index_weights(spark, sf_dir, quarters: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import asof, facts, integrity, score
+from ..sources.stages import Stages
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,7 +110,7 @@ def _order_facts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
         "cik", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("accn"), F.lit("us-gaap").alias("taxonomy"), F.col("l_returnflag").alias("tag"), F.lit("USD").alias("unit"), F.lit(None).cast("date").alias("start"),
         "end", F.to_date("l_shipdate").alias("filed"), F.when(F.col("l_linestatus") == "F", "10-K").otherwise("10-Q").alias("form"), F.year("l_shipdate").alias("fy"), F.lit("Q1").alias("fp"), F.col("l_extendedprice").alias("val"),
     )
-    tags = spark.createDataFrame([("amount", "R", 0, facts.STOCK), ("amount", "A", 1, facts.STOCK), ("open", "N", 0, facts.STOCK)], "metric string, tag string, tag_rank int, kind string")
+    tags = [("amount", "R", 0, facts.STOCK), ("amount", "A", 1, facts.STOCK), ("open", "N", 0, facts.STOCK)]
     return anchor, fact, tags
 
 
@@ -118,6 +119,15 @@ def best_fact_choice(spark, sf_dir):
     return facts.best_facts(anchor, fact, tags).select("cik", "metric", "tag", F.round("val", 4).alias("val"))
 
 
+def bucketed_fact_choice(spark, sf_dir):
+    """best_fact_choice over stores of anchors and facts that are bucketed by company and end."""
+    anchor, fact, tags = _order_facts(spark, sf_dir)
+    n = max(8, spark.sparkContext.defaultParallelism)
+    with Stages(spark) as stages:
+        best = facts.best_facts(stages.bucketed(anchor, n, "cik", "end"), stages.bucketed(fact, n, "cik", "end"), tags)
+        return stages.result(best.select("cik", "metric", "tag", F.round("val", 4).alias("val")))
+
+
 def filing_anchors(spark, sf_dir):
     _, fact, _ = _order_facts(spark, sf_dir)
     return facts.anchors(fact).select("cik", F.col("accession_key"), "filed", "form")
@@ -187,4 +197,5 @@ p AS (SELECT o.cik, metric, f.tag, val, row_number() OVER (PARTITION BY o.cik, m
 SELECT cik, metric, tag, round(val, 4) AS val FROM p WHERE n = 1""",
     "filing_anchors": f"WITH {_FACTS} SELECT f.cik, accn AS accession_key, max(f.filed) AS filed, arg_max(CASE WHEN f.annual THEN '10-K' ELSE '10-Q' END, (f.filed, tag)) AS form FROM f GROUP BY f.cik, accn",
 }
+ORACLES["bucketed_fact_choice"] = ORACLES["best_fact_choice"]
 QUERIES = {n: globals()[n] for n in ORACLES}

@@ -25,6 +25,12 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str, path: str | None = None, mode: str = "errorifexists") -> None:
+    """A table in buckets of the keys, one file each, sorted by them; path: where its files go, else the warehouse."""
+    writer = df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 class Stages:
     """Written tables of one job. As a context manager it deletes, at the end, all but those that hold the result.
 
@@ -33,7 +39,7 @@ class Stages:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self._open = spark, f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}", {}
+        self.spark, self.folder, self._open, self._tables = spark, f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}", {}, {}
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self._open)}"
@@ -42,6 +48,14 @@ class Stages:
         self._open[path] = out
         return out
 
+    def bucketed(self, df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+        """Written in buckets of the keys, sorted by them in each: joins, windows and aggregates on them don't shuffle."""
+        path, name = f"{self.folder}/{len(self._open)}", f"bucketed_{uuid.uuid4().hex}"
+        write_bucketed(df, name, buckets, *keys, path=path)
+        self._open[path] = out = self.spark.table(name)
+        self._tables[path] = name
+        return out
+
     def result(self, df: DataFrame) -> DataFrame:
         """A table that outlives the job: small, or what the caller asked for."""
         path = f"{self.folder}/result-{uuid.uuid4().hex}"
@@ -52,6 +66,8 @@ class Stages:
         """Delete written tables that nothing reads any more (all of them where none is named)."""
         for path in [p for p, df in self._open.items() if not tables or any(df is t for t in tables)]:
             if self._open[path] is not None:
+                if path in self._tables:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(path)}")
                 delete(self.spark, path)
                 self._open[path] = None
 

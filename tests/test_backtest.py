@@ -149,3 +149,84 @@ def test_tracking_queries_read_each_table_once(spark):
     for name, most in (("perf_metrics", 6), ("tracking_table", 8), ("rolling_tracking", 6)):
         plan = prices.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") + plan.count("BatchScan") < 2 * most, plan.count("FileScan")
+
+
+def grid_gaps(rows, days, long):
+    """Missing runs over the full grid, by hand."""
+    out = set()
+    for t in {t for _, t, _ in rows}:
+        real = {d for d, x, c in rows if x == t and c is not None}
+        inside = [d for d in days if real and min(real) <= d <= max(real)]
+        run = []
+        for d in [*inside, None]:
+            if d is not None and d not in real:
+                run.append(d)
+            elif run:
+                out.add((t, run[0], run[-1], len(run), "suspected_suspension" if len(run) >= long else "short_gap"))
+                run = []
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_gaps_as_over_the_grid(spark, seed):
+    rng = random.Random(seed)
+    days = [DAY(i) for i in range(60) if i % 7]
+    rows = [(d, f"T{k}", None if rng.random() < 0.5 else 1.0) for k in range(6) for d in days if rng.random() < 0.7] + [(days[3], "none", None)]
+    df, cal = spark.createDataFrame(rows, "date date, ticker string, close double"), spark.createDataFrame([(d,) for d in days], "date date")
+    got = backtest.gaps(df, cal, 3)
+    assert {tuple(r) for r in got.select("ticker", "gap_start", "gap_end", "days_missing", "classification").collect()} == grid_gaps(rows, days, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    audit_ = {r.ticker: r for r in backtest.suspension_audit(df, cal, 3).collect()}
+    assert audit_["none"].status == "NO_DATA" and audit_["none"].n_days == 0 and len(audit_) == len({t for _, t, _ in rows})
+    for t, r in audit_.items():
+        real = sorted(d for d, x, c in rows if x == t and c is not None)
+        if real:
+            runs = [n for x, _, _, n, _ in grid_gaps(rows, days, 3) if x == t]
+            assert (r.n_days, r.n_pre_listing, r.n_post_end_missing, r.n_interior_missing, r.max_gap, r.n_long_gaps) == (len(real), days.index(real[0]), len(days) - 1 - days.index(real[-1]), sum(runs), max(runs, default=0), sum(n >= 3 for n in runs))
+
+
+def test_medians_by_narrowing_ranges(spark):
+    """Few values are ordered at last: ranges are narrowed several times, over ties, extremes, NaN and missing values."""
+    rng = random.Random(5)
+    groups = {
+        "normal": [rng.gauss(0, 1) for _ in range(3001)], "even": [rng.gauss(5, 1e-9) for _ in range(2000)], "ties": [1.0] * 500 + [2.0] * 500, "one": [7.0], "two": [1.0, 4.0],
+        "wide": [10.0**k * s for k in range(-300, 300, 2) for s in (1, -1)], "huge": [1.7e308, -1.7e308, 1.6e308, 5e-324, 0.0], "same": [3.0] * 400, "skew": [0.0] * 900 + [1e9 + i for i in range(901)],
+    }
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("none", float("nan")), ("one", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    out = integrity.medians(df, ["g"], "v", bins=64, most=20)
+    got = {r.g: r["median"] for r in out.collect()}
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        s = sorted(vs)
+        assert got[g] == (s[(len(s) - 1) // 2] / 2 + s[len(s) // 2] / 2 if g != "huge" else 5e-324) or np.isclose(got[g], np.median(vs), rtol=1e-12), g
+    assert integrity.medians(df.where("g = 'none'"), ["g"], "v").count() == 0
+    assert {r.g: r["median"] for r in integrity.medians(df.where("g IN ('ties', 'two')"), ["g"], "v", small=0).collect()} == {"ties": 1.5, "two": 2.5}
+    summary = integrity.numeric_summary(df.where("g = 'even'"), "v", bins=64, most=500).first()
+    assert summary["median"] == np.median(groups["even"]) and summary["n"] == 2000
+
+
+def test_fact_choice_without_a_shuffle(spark):
+    """On stores bucketed by company and end the join and the window need no exchange; tags never move facts."""
+    from tallymark.operators import facts
+    from tallymark.plans.snapshots import _order_facts
+
+    anchor, fact, tags = _order_facts(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with Stages(spark) as stages:
+            a, f = stages.bucketed(anchor, 4, "cik", "end"), stages.bucketed(fact, 4, "cik", "end")
+            best = facts.best_facts(a, f, tags)
+            plan = best._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "PushedFilters" in plan and "In(tag" in plan
+            assert best.count() == facts.best_facts(anchor, fact, tags).count() > 0
+        annual = facts.latest_annual(fact, tags)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(tag" not in annual and annual.count("Exchange") > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError):
+        facts.with_tags(fact, [("m", f"t{i}", 0, "flow") for i in range(facts.MOST_TAGS + 1)])
+    assert facts.with_tags(fact, []).count() == 0

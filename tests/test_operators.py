@@ -83,7 +83,8 @@ def test_percentiles(spark):
 def test_gaps(spark):
     days = [D(2020, 1, 1) + dt.timedelta(i) for i in range(30)]
     rows = [(d, "x", None if i in (0, 5, 6, 28, 29) else 10.0 + i) for i, d in enumerate(days)]
-    g = backtest.gaps(spark.createDataFrame(rows, "date date, ticker string, close double"), 2).collect()
+    df = spark.createDataFrame(rows, "date date, ticker string, close double")
+    g = backtest.gaps(df, df, 2).collect()
     assert [(r.gap_start, r.days_missing, r.classification) for r in g] == [(days[5], 2, "suspected_suspension")]
 
 
@@ -96,7 +97,7 @@ def test_factor_panel(spark):
     rows.append(("1", "us-gaap", "Assets", "USD", None, D(2020, 12, 31), 1.0, D(2020, 1, 1), "10-K", "bad", 2020, "FY"))
     f = facts.standardize(spark.createDataFrame(rows, "cik string, taxonomy string, tag string, unit string, start date, end date, val double, filed date, form string, accn string, fy int, fp string"))
     f = facts.financial_only(f)
-    tags = spark.createDataFrame([("revenue", "Revenues", 0, "flow"), ("revenue", "SalesRevenueNet", 1, "flow"), ("assets", "Assets", 0, "stock"), ("equity", "StockholdersEquity", 0, "stock")], "metric string, tag string, tag_rank int, kind string")
+    tags = [("revenue", "Revenues", 0, "flow"), ("revenue", "SalesRevenueNet", 1, "flow"), ("assets", "Assets", 0, "stock"), ("equity", "StockholdersEquity", 0, "stock")]
     a = facts.anchors(f)
     out = {r.fy: r for r in facts.factor_panel(a, facts.best_facts(a, f, tags)).collect()}
     assert abs(out[2020].asset_growth - 0.5) < 1e-12 and out[2020].source_fact_count == 3
@@ -129,7 +130,7 @@ def test_annual_choice_holds_for_a_whole_tag(spark):
     """An end with only a quarter's row goes where the tag has FY rows at another end."""
     rows = [("1", "R", D(2020, 1, 1), D(2020, 12, 31), D(2021, 2, 1), "10-K", "a", 2020, "FY", 5.0), ("1", "R", D(2021, 10, 1), D(2021, 12, 31), D(2022, 2, 1), "10-K", "b", 2021, "Q4", 6.0)]
     df = spark.createDataFrame(rows, "cik string, tag string, start date, end date, filed date, form string, accn string, fy int, fp string, val double")
-    tags = spark.createDataFrame([("revenue", "R", 0, "flow")], "metric string, tag string, tag_rank int, kind string")
+    tags = [("revenue", "R", 0, "flow")]
     assert [r.accn for r in facts.latest_annual(df, tags).collect()] == ["a"]
 
 
