@@ -194,11 +194,16 @@ def set_keys(sets: np.ndarray, token: np.ndarray, count: int) -> tuple[np.ndarra
 
 
 def _index(frequent: np.ndarray, count: np.ndarray, buckets: int):
-    """Entries of the tokens to index, packed by bucket; and one row for each document (bucket -1)."""
+    """Entries of the tokens to index, packed by bucket; and one row for each document (bucket -1).
+
+    Of equally rare tokens a set indexes its least ones, so tokens are mixed (one to one) before their high bits name the
+    bucket: the least ones would crowd the first buckets.
+    """
     shift = np.uint64(64) - np.uint64(buckets.bit_length() - 1)
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         a = np.concatenate(held)
+        a["token"] = mix(a["token"] * M1)
         a = _first_of_class(a)
         bucket = (a["token"] >> shift).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
