@@ -29,6 +29,12 @@ def clean_text(x) -> Column:
     return F.when(F.coalesce(F.lower(t).isin(*NULL_TOKENS), F.lit(True)), "").otherwise(t)
 
 
+def first_text(x, *order) -> Column:
+    """Aggregate: the first text in the rows' order that isn't blank or a missing-value token; '' where there is none."""
+    t = clean_text(x)
+    return F.coalesce(F.min_by(F.when(t != "", t), F.when(t != "", F.struct(*order))), F.lit(""))
+
+
 def normalize_cik(x) -> Column:
     """Ten digits: a trailing .0 goes, other characters go, zeros in front; '' without a digit."""
     d = F.regexp_replace(F.regexp_replace(F.trim(_c(x).cast("string")), r"\.0$", ""), r"[^0-9]", "")

@@ -141,6 +141,65 @@ def standard_audit(best: DataFrame) -> DataFrame:
     return best.groupBy("cik", "accession_key").agg(F.array_join(F.array_sort(F.collect_set("taxonomy")), "|").alias("taxonomies"), (F.countDistinct("taxonomy") > 1).alias("mixed"), F.count("*").alias("n_metrics"))
 
 
+# Growth factors with their metric, and ratios with the metrics above and below the line.
+GROWTHS = (("revenue_growth", "revenue"), ("operating_income_growth", "operating_income"), ("net_income_growth", "net_income"), ("asset_growth", "assets"))
+WITHIN = (("operating_margin", "operating_income", "revenue"), ("debt_ratio", "liabilities", "assets"), ("roa", "net_income", "assets"))
+
+
+def row_standards(panel: DataFrame, best: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """Adds {metric}_standard, the financial taxonomy behind each metric of a row, and of the row before in its entity and
+    period type its standard and end, form, year and period (prev_standard, before_end ...)."""
+    wide = best.where(F.col("taxonomy").isin(*_facts.FINANCIAL)).groupBy("cik", "accession_key").pivot("metric", list(metrics)).agg(F.first("taxonomy"))
+    rows = panel.join(wide.select("cik", "accession_key", *[F.col(m).alias(f"{m}_standard") for m in metrics]), ["cik", "accession_key"], "left")
+    order = Window.partitionBy("cik", "period_type").orderBy("end", "filed", "accession_key")
+    before = {"prev_standard": F.lag(F.coalesce("assets_standard", "revenue_standard")).over(order)} | {f"before_{c}": F.lag(c).over(order) for c in ("end", "form", "fy", "fp")}
+    return rows.withColumns(before).withColumn("standard", F.coalesce("assets_standard", "revenue_standard", "net_income_standard"))
+
+
+def restated_bases(rows: DataFrame, facts: DataFrame, tags: Sequence[tuple[str, str, int, str]]) -> DataFrame:
+    """Adds restated_{metric}: the previous row's value under the current standard, as known when the current row was filed.
+
+    Only rows whose standard differs from that of the row before are looked up, in one join for all metrics.
+    """
+    crossed = F.coalesce(F.col("standard") != F.col("prev_standard"), F.lit(False))
+    rows = rows.withColumn("crossed", crossed)
+    ask = rows.where("crossed").select("cik", "accession_key", F.col("before_end").alias("end"), "filed", F.col("before_form").alias("form"), F.col("before_fy").alias("fy"), F.col("before_fp").alias("fp"), "standard")
+    best = _facts.best_facts(ask, facts, [t for t in tags if t[0] in dict(GROWTHS).values()], F.col("standard"))
+    wide = best.groupBy("cik", "accession_key").pivot("metric", [m for _, m in GROWTHS]).agg(F.first("val"))
+    return rows.join(wide.select("cik", "accession_key", *[F.col(m).alias(f"restated_{m}") for _, m in GROWTHS]), ["cik", "accession_key"], "left")
+
+
+def block_mixed(rows: DataFrame) -> DataFrame:
+    """Factors of rows (of restated_bases()) that mix accounting standards, blocked or made anew, and the log of decisions.
+
+    Ratios whose two metrics stand under different standards in the row become NULL. Where the row's standard differs from
+    the row's before, growths are on the restated base and roa on the mean with restated assets; without them they become
+    NULL. Adds decisions: an array of factor, decision and reason in the order of the rules; decision_log() makes rows.
+    """
+    said = lambda on, factor, done, why: F.when(on, F.struct(F.lit(factor).alias("factor"), F.lit(done).alias("decision"), F.lit(why).alias("reason")))
+    new, log = {}, []
+    for factor, top, bottom in WITHIN:
+        split = F.coalesce(F.col(f"{top}_standard") != F.col(f"{bottom}_standard"), F.lit(False))
+        new[factor] = F.when(~split, F.col(factor))
+        log.append(said(split, factor, "BLOCKED_NULLED", "STANDARDS_DIFFER_WITHIN_ROW"))
+    for growth, metric in GROWTHS:
+        base, crossed = F.col(f"restated_{metric}"), F.col("crossed")
+        again = base.isNotNull() & F.col(metric).isNotNull() & (base != 0)
+        new[growth] = F.when(~crossed, F.col(growth)).when(again, F.try_divide(F.col(metric), base) - 1)
+        log += [said(crossed & again, growth, "RECOMPUTED_RESTATED", "RESTATED_BASE"), said(crossed & ~again, growth, "BLOCKED_NULLED", "NO_RESTATED_BASE")]
+    base, crossed = F.col("restated_assets"), F.col("crossed") & new["roa"].isNotNull()
+    again = base.isNotNull() & F.col("net_income").isNotNull() & F.col("assets").isNotNull()
+    mean = (F.col("assets") + base) / 2
+    log += [said(crossed & again, "roa", "RECOMPUTED_RESTATED", "RESTATED_MEAN_ASSETS"), said(crossed & ~again, "roa", "BLOCKED_NULLED", "NO_RESTATED_ASSETS")]
+    new["roa"] = F.when(crossed & again, F.try_divide(F.col("net_income"), mean)).when(~crossed, new["roa"])
+    return rows.withColumns({**new, "decisions": F.array_compact(F.array(*log))})
+
+
+def decision_log(blocked: DataFrame, *key: str) -> DataFrame:
+    """key, factor, decision and reason of each decision."""
+    return blocked.select(*key, F.inline("decisions"))
+
+
 def block_ratios(panel: DataFrame, mixed: str, ratios: dict[str, tuple[str, str]]) -> DataFrame:
     """Ratios whose two inputs stand under different standards become NULL, with the decision.
 
@@ -170,13 +229,48 @@ def scenario_weights(weights: DataFrame, names: tuple[str, ...], base: str, *key
     return wide.select(each.alias("e")).groupBy(F.col("e.scenario").alias("scenario")).agg(F.max("e.d").alias("max_weight_diff"), F.count_if("e.c").alias("membership_changes"))
 
 
-def evidence_level(*signals: tuple[str, Column]) -> tuple[Column, Column]:
-    """Observed signals joined by '; ' and a level: strong from two on, weak for one, none."""
-    n = F.lit(0)
-    for _, s in signals:
-        n = n + F.coalesce(s, F.lit(False)).cast("int")
-    text = F.concat_ws("; ", *[F.when(s, F.lit(name)) for name, s in signals])
-    return text, F.when(n >= 2, "strong").when(n == 1, "weak").otherwise("none")
+# Fixed value: the level of names without curated evidence.
+UNSEEN = "EXISTING_CLASSIFICATION_ONLY"
+
+
+def observed_status(status: str = "status", last: str = "last_valid", filed: str = "latest_filed") -> Column:
+    """What was seen of a name, joined by '; ': trading up to its last price, or an audit status to check, and its last
+    filing; UNVERIFIED where nothing was."""
+    day = lambda c: F.col(c).cast("string")
+    listed = F.when((F.col(status) == "OK") & F.col(last).isNotNull(), F.concat(F.lit("LISTED_TRADING(~"), day(last), F.lit(")")))
+    check = F.when(F.col(status).isin("SUSPECTED_SUSPENSION", "DELISTED_OR_DATA_END"), F.concat(F.lit("CHECK("), status, F.lit(")")))
+    filer = F.when(F.col(filed).isNotNull(), F.concat(F.lit("ACTIVE_FILER("), day(filed), F.lit(")")))
+    return F.coalesce(F.nullif(F.concat_ws("; ", F.coalesce(listed, check), filer), F.lit("")), F.lit("UNVERIFIED"))
+
+
+def evidence_levels(names: DataFrame, curated: DataFrame, key: str) -> DataFrame:
+    """names with evidence_level and evidence_note: curated ones (key, evidence_level, evidence_note), else none but the
+    classification; and business_status_observed."""
+    rows = names.join(curated.select(key, "evidence_level", "evidence_note"), key, "left")
+    note = F.lit("candidate list and theme only")
+    return rows.withColumns({"evidence_level": F.coalesce("evidence_level", F.lit(UNSEEN)), "evidence_note": F.coalesce("evidence_note", note), "business_status_observed": observed_status()})
+
+
+#: Columns of selection_rationale(), in order.
+RATIONALE = (
+    "universe_rank", "ticker", "entity_name", "theme", "sub_theme", "quota_theme", "selection_stage", "candidate_score", "ai_relevance_score", "quality_component", "factor_component", "selection_score",
+    "data_quality_score", "factor_available_count", "selection_reason_doc",
+)
+
+
+def selection_rationale(chosen: DataFrame, most_factors: int = 13) -> DataFrame:
+    """A row per chosen name with all that led to its choice and a sentence that states it.
+
+    chosen: the columns of RATIONALE but the last. Numbers in the sentence are rounded half up.
+    """
+    whole, one = (lambda c: F.format_string("%.0f", F.round(F.col(c).cast("double"), 0))), (lambda c: F.format_string("%.1f", F.round(F.col(c).cast("double"), 1)))
+    stage = F.when(F.col("selection_stage") == "theme_quota", "theme quota").otherwise("shortage fill")
+    text = F.concat(
+        "theme", F.lit("/"), "sub_theme", F.lit(": candidate score "), F.col("candidate_score").cast("int").cast("string"), F.lit(", selection score "), one("selection_score"), F.lit(" (relevance 60% x "), whole("ai_relevance_score"),
+        F.lit(", quality 25% x "), whole("quality_component"), F.lit(", factors 15% x "), whole("factor_component"), F.lit("); "), stage, F.lit(", rank "), F.col("universe_rank").cast("string"), F.lit("; data quality "), whole("data_quality_score"),
+        F.lit(", factors "), F.col("factor_available_count").cast("int").cast("string"), F.lit(f" of {most_factors}"),
+    )
+    return chosen.withColumn("selection_reason_doc", text).select(*RATIONALE)
 
 
 def rationale(name: str, theme: str, *parts: tuple[str, str]) -> Column:

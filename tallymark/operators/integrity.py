@@ -95,11 +95,28 @@ def block_cross_standard(panel: DataFrame, crossed: str, growths: dict[str, tupl
 STATES = {"OFFICIAL_EXIT": "DISCONTINUED", "PARTIAL_DIVEST": "REDUCED", "KEYWORD_DECLINE": "UNCERTAIN", "ANNUAL_CONFIRM": "ACTIVE"}
 
 
+def status_step(rows: DataFrame, previous: str, kind: str, evidence_date: str, rebalance_date: str, states: dict[str, str] = STATES, out: str = "DISCONTINUED") -> DataFrame:
+    """Adds new_status, status_changed, change_reason (the kind that was applied), exclusion_candidate and pit_ok of one step.
+
+    Evidence dated after the rebalance isn't known yet: the status stays and pit_ok is false. A kind that sets no status
+    keeps it. A missing date on either side is no obstacle.
+    """
+    later = F.coalesce(F.col(evidence_date) > F.col(rebalance_date), F.lit(False))
+    mapping = F.create_map(*[F.lit(x) for kv in states.items() for x in kv])
+    to = F.when(later, F.col(previous)).otherwise(F.coalesce(F.try_element_at(mapping, F.col(kind)), F.col(previous)))
+    rows = rows.withColumn("new_status", to)
+    return rows.withColumns({
+        "status_changed": ~F.col("new_status").eqNullSafe(F.col(previous)), "change_reason": F.when(later, "PIT_EVIDENCE_AFTER_REBALANCE").otherwise(F.coalesce(kind, F.lit("NO_NEW_INFO"))),
+        "exclusion_candidate": F.coalesce(F.col("new_status") == out, F.lit(False)), "pit_ok": ~later,
+    })
+
+
 def status_history(evidence: DataFrame, dates: DataFrame, key: str, states: dict[str, str] = STATES, start: str = "NOT_REVIEWED", out: str = "DISCONTINUED") -> DataFrame:
     """Status of each key at each date: set by the last evidence up to then whose kind sets one; later evidence is ignored.
 
     Adds the status before, whether it changed, the evidence kind behind it, whether it makes the key a candidate for
-    exclusion (status out), and how many status-setting pieces are known. dates (snapshot_date) is a calendar. Evidence and
+    exclusion (status out), and how many status-setting pieces are known. Of pieces of one day the one whose kind is last in the
+    alphabet counts. dates (snapshot_date) is a calendar. Evidence and
     dates of a key stand in one order, so a hot key is sorted, not multiplied.
     """
     mapping = F.create_map(*[F.lit(x) for kv in states.items() for x in kv])

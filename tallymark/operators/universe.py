@@ -33,13 +33,22 @@ def target_slice(master: DataFrame, start: int = 0, limit: int | None = None) ->
 
 
 def representative(records: DataFrame, key: str, mode: str = "annual_preferred") -> DataFrame:
-    """The record that stands for each entity: annual_only, annual_preferred or latest_any; valid ones first."""
-    annual = (F.col("period_type") == "annual").cast("int")
-    rows = records.where("period_type = 'annual'") if mode == "annual_only" else records
+    """The record that stands for each entity, with the reason of its choice.
+
+    annual_only: annual records alone (an entity without one has no row); annual_preferred: these where there are any,
+    else all; latest_any: all. Of these the valid ones where there are any; then the latest end, filing, most factors,
+    most source facts, greatest accession, missing values last.
+    """
+    if mode not in ("annual_only", "annual_preferred", "latest_any"):
+        raise ValueError(f"no such mode: {mode}")
+    annual = F.coalesce(F.col("period_type") == "annual", F.lit(False))
+    valid = F.coalesce(F.col("pit_valid"), F.lit(False))
+    rows = records.where(annual) if mode == "annual_only" else records
     lead = [annual.desc()] if mode == "annual_preferred" else []
-    order = [*lead, F.col("pit_valid").cast("int").desc(), *[F.col(c).desc_nulls_last() for c in ("period_end", "filed", "factor_available_count", "accession")]]
-    reason = F.when(annual == 1, "latest_annual").otherwise("latest_quarterly")
-    return keep_first(rows, [key], *order).withColumn("selection_reason", reason)
+    last = [c for c in ("period_end", "filed", "factor_available_count", "source_fact_count", "accession") if c in records.columns]
+    base = {"annual_only": F.lit("latest_annual"), "latest_any": F.lit("latest_any"), "annual_preferred": F.when(annual, "latest_annual").otherwise("annual_missing_latest_any")}[mode]
+    reason = F.concat(base, F.when(valid, "_pit_valid").otherwise(""))
+    return keep_first(rows, [key], *lead, valid.desc(), *[F.col(c).desc_nulls_last() for c in last]).withColumn("selection_reason", reason)
 
 
 def quality_score(core: list[str], factors: list[str], pit: Column, sources: Column) -> Column:

@@ -111,9 +111,14 @@ def scenario_comparison(spark, sf_dir):
 
 
 def evidence_levels(spark, sf_dir):
-    c = read(spark, sf_dir, "customer")
-    text, level = audit.evidence_level(("debt", F.col("c_acctbal") < 0), ("builder", F.col("c_mktsegment") == "BUILDING"), ("far", F.col("c_nationkey") > 20))
-    return c.select("c_custkey", text.alias("observed"), level.alias("level"))
+    """Suppliers with the audit of their prices and their last order known as filing; every seventh has curated evidence."""
+    seen = p.backtest.suspension_audit(p.closes(spark, sf_dir), p.calendar(spark, sf_dir)).select("ticker", "status", "last_valid")
+    filed = read(spark, sf_dir, "lineitem").where("l_suppkey % 4 > 0").groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker")).agg(F.to_date(F.max("l_shipdate")).alias("latest_filed"))
+    s = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), "s_suppkey")
+    level = F.when(F.col("s_suppkey") % 2 == 0, "OFFICIAL_FILING_VERIFIED").otherwise("KEYWORD_ONLY")
+    curated = s.where("s_suppkey % 7 = 0").select("ticker", level.alias("evidence_level"), F.lit("read in full").alias("evidence_note"))
+    names = s.select("ticker").join(seen.where("substring(ticker, 2) % 11 > 0"), "ticker", "left").join(filed, "ticker", "left")
+    return audit.evidence_levels(names, curated, "ticker").select("ticker", "evidence_level", "evidence_note", "business_status_observed", "latest_filed")
 
 
 def rationale_table(spark, sf_dir):
@@ -173,9 +178,14 @@ v AS (SELECT s.scenario, round(max(abs(coalesce(b.weight, 0) - coalesce(a.weight
   FROM k CROSS JOIN (SELECT DISTINCT scenario FROM idx) s LEFT JOIN idx b ON b.scenario = s.scenario AND b.quarter_end = k.quarter_end AND b.l_suppkey = k.l_suppkey
   LEFT JOIN idx a ON a.scenario = 'A' AND a.quarter_end = k.quarter_end AND a.l_suppkey = k.l_suppkey GROUP BY 1)
 SELECT * FROM x JOIN f USING (scenario) JOIN dd USING (scenario) JOIN t USING (scenario) JOIN v USING (scenario)""",
-    "evidence_levels": """WITH k AS (SELECT c_custkey, concat_ws('; ', CASE WHEN c_acctbal < 0 THEN 'debt' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'builder' END, CASE WHEN c_nationkey > 20 THEN 'far' END) AS observed,
-  CAST(c_acctbal < 0 AS INTEGER) + CAST(c_mktsegment = 'BUILDING' AS INTEGER) + CAST(c_nationkey > 20 AS INTEGER) AS n FROM customer)
-SELECT c_custkey, observed, CASE WHEN n >= 2 THEN 'strong' WHEN n = 1 THEN 'weak' ELSE 'none' END AS level FROM k""",
+    "evidence_levels": f"""WITH {p._CLOSE}, t AS (SELECT ticker, max(date) AS l FROM closes GROUP BY 1), n AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM calendar),
+g AS (SELECT ticker, max(d) AS g FROM (SELECT ticker, i - lag(i) OVER (PARTITION BY ticker ORDER BY i) - 1 AS d FROM closes JOIN n USING (date)) GROUP BY 1),
+a AS (SELECT ticker, l, CASE WHEN l < (SELECT max(date) FROM calendar) THEN 'DELISTED_OR_DATA_END' WHEN coalesce(g, 0) >= 20 THEN 'SUSPECTED_SUSPENSION' ELSE 'OK' END AS status FROM t LEFT JOIN g USING (ticker) WHERE CAST(substr(ticker, 2) AS INTEGER) % 11 > 0),
+f AS (SELECT 'S' || l_suppkey AS ticker, CAST(max(l_shipdate) AS DATE) AS latest_filed FROM lineitem WHERE l_suppkey % 4 > 0 GROUP BY 1), s AS (SELECT 'S' || s_suppkey AS ticker, s_suppkey FROM supplier)
+SELECT s.ticker, CASE WHEN s_suppkey % 7 > 0 THEN 'EXISTING_CLASSIFICATION_ONLY' WHEN s_suppkey % 2 = 0 THEN 'OFFICIAL_FILING_VERIFIED' ELSE 'KEYWORD_ONLY' END AS evidence_level,
+  CASE WHEN s_suppkey % 7 > 0 THEN 'candidate list and theme only' ELSE 'read in full' END AS evidence_note,
+  coalesce(nullif(concat_ws('; ', CASE WHEN status = 'OK' THEN 'LISTED_TRADING(~' || l || ')' WHEN status IS NOT NULL THEN 'CHECK(' || status || ')' END, CASE WHEN latest_filed IS NOT NULL THEN 'ACTIVE_FILER(' || latest_filed || ')' END), ''), 'UNVERIFIED') AS business_status_observed,
+  latest_filed FROM s LEFT JOIN a USING (ticker) LEFT JOIN f USING (ticker)""",
     "rationale_table": "SELECT p_partkey, p_name || ' (' || p_brand || '): price ' || format('{:,.2f}', p_retailprice) || ', size ' || format('{:,.2f}', CAST(p_size AS DOUBLE)) AS sentence, 'price->Price; size->Size' AS names FROM part",
     "period_strings": "SELECT o_custkey, string_agg(DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '|' ORDER BY CAST(CAST(o_orderdate AS DATE) AS VARCHAR)) AS joined, count(*) AS n, min(CAST(o_orderdate AS DATE)) AS first, max(CAST(o_orderdate AS DATE)) AS last FROM orders GROUP BY 1",
     "rolling_quarter_error": f"""WITH {p._LEVEL}, r AS (SELECT date, count(*) OVER w AS n, stddev_samp(ret - bench) OVER w * sqrt(252) AS tracking_error FROM moved WHERE ret IS NOT NULL WINDOW w AS (ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) SELECT date, round(tracking_error, 4) AS tracking_error FROM r WHERE n = 63""",

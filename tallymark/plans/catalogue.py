@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, filings, prices, reports, scores, snapshots
+from . import audits, filings, prices, reports, scores, snapshots, stores
 
-MODULES = (snapshots, scores, prices, reports, audits, filings)
+MODULES = (snapshots, scores, prices, reports, audits, filings, stores)
 
 
 def queries() -> dict:

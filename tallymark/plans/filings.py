@@ -6,10 +6,12 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import clean
 from ..operators import asof, audit, facts, integrity, score
 from ..sources import readers
+from ..sources.stages import Stages
 from . import prices as p
 from .scores import index_weights
 from .snapshots import _SUPQ, read, supplier_quarters
@@ -46,6 +48,32 @@ def factor_panel(spark, sf_dir):
     return out.select("cik", "end", "period_type", "prev_end", "source_fact_count", "factor_available_count", "pit_valid", F.round("liabilities", 4).alias("liabilities"), *[F.round(c, 6).alias(c) for c in facts.FACTORS])
 
 
+def _blocked(spark, sf_dir) -> DataFrame:
+    """The factor panel where a third of the suppliers moves to another standard in 1998, metric by metric in some
+    quarters; half of these file the previous period again under it, at nine tenths."""
+    own = supplier_facts(spark, sf_dir).withColumn("_moved", (F.col("cik").cast("long") % 3 == 0) & (F.year("end") >= 1998))
+    stays = ((F.col("tag") == "Revenues") & (F.month("end") == 6)) | ((F.col("tag") == "Liabilities") & (F.month("end") == 9)) | ((F.col("tag") == "NetIncomeLoss") & (F.month("end") == 3))
+    own = own.withColumn("taxonomy", F.when(F.col("_moved") & ~stays, "ifrs-full").otherwise("us-gaap"))
+    order = Window.partitionBy("cik", "tag", "form").orderBy("end")
+    again = own.where("cik % 6 = 0").withColumns({c: F.lag(c).over(order) for c in ("val", "start", "end")} | {"taxonomy": F.lit("ifrs-full")}).where("end IS NOT NULL").withColumn("val", F.col("val") * 0.9)
+    with Stages(spark) as stages:
+        f = stages.write(facts.financial_only(facts.standardize(own.unionByName(again).drop("_moved"))))
+        tags = [(m, t, 0, k) for m, t, k, _ in PANEL]
+        a = facts.anchors(f)
+        best = stages.write(facts.best_facts(a, f, tags))
+        rows = audit.row_standards(facts.factor_panel(a, best), best, METRICS)
+        return stages.result(audit.block_mixed(audit.restated_bases(rows, f, tags)))
+
+
+def mixed_blocking(spark, sf_dir):
+    factors = [*[g for g, _ in audit.GROWTHS], *[w[0] for w in audit.WITHIN]]
+    return _blocked(spark, sf_dir).select("cik", "end", "crossed", *[F.round(c, 6).alias(c) for c in factors])
+
+
+def mixed_decisions(spark, sf_dir):
+    return audit.decision_log(_blocked(spark, sf_dir), "cik", "end")
+
+
 def _messy(spark, sf_dir) -> DataFrame:
     """Lines as facts with untidy texts, each twice; some are of other forms, without a value, or filed before their end."""
     li = read(spark, sf_dir, "lineitem")
@@ -242,7 +270,7 @@ w AS (SELECT *, concat_ws('|', CASE WHEN pit THEN 'PIT_VALID' END, CASE WHEN age
   concat_ws('|', CASE WHEN NOT pit THEN 'PIT_INVALID' END, CASE WHEN age > 500 THEN 'STALE_INFORMATION_OVER_500D' END, CASE WHEN n < 2 THEN 'REQUIRED_FACTOR_COUNT_BELOW_2' END, CASE WHEN n < 2 AND g IS NULL THEN 'MISSING_REQUIRED_FACTOR_GROWTH' END, CASE WHEN n < 2 AND NOT m THEN 'MISSING_REQUIRED_FACTOR_MARGIN' END,
     CASE WHEN n < 2 AND NOT r THEN 'MISSING_REQUIRED_FACTOR_ROA' END, CASE WHEN n < 2 THEN 'MISSING_REQUIRED_FACTOR_LEVERAGE' END, CASE WHEN q < 40 THEN 'DATA_QUALITY_BELOW_40' END) AS failed_reasons,
   concat_ws('|', CASE WHEN age IS NULL THEN 'INFORMATION_AGE_NOT_AVAILABLE' END, 'FINANCIAL_WARNING_NOT_AVAILABLE', CASE WHEN NOT r THEN 'MISSING_ROA_NOT_ENFORCED' END, 'REVENUE_COLUMN_NOT_AVAILABLE') AS unavailable_checks FROM n)"""
-    return {
+    out = {
         "factor_panel": f"""WITH {_SUPQ}, v AS (SELECT l_suppkey, quarter_end, round(revenue, 4) AS revenue, quantity FROM supq),
 k AS (SELECT l_suppkey, quarter_end, quarter(quarter_end) AS q, CASE WHEN (l_suppkey + quarter(quarter_end)) % 11 > 0 THEN year(quarter_end) END AS fy, {wide} FROM v),
 m AS (SELECT * EXCLUDE liabilities, coalesce(liabilities, assets - equity) AS liabilities, CAST(8 + (l_suppkey % 3 = 0)::INT + (l_suppkey % 4 > 0)::INT AS BIGINT) AS source_fact_count FROM k),
@@ -299,6 +327,21 @@ SELECT ticker, CASE k WHEN 0 THEN 'TICKER_NAME_CHANGE' WHEN 1 THEN 'SPINOFF_NEW'
   CASE WHEN k < 2 THEN ticker || 'X' ELSE ticker END AS successor, first_valid, last_valid, n AS n_index_snapshots, pre AS n_pre_event_snapshots, CASE WHEN k > 2 THEN 'NONE' ELSE 'COMPLETED' END AS action_status,
   CASE WHEN k = 0 AND pre > 0 THEN 'HELD_BEFORE_RENAME' WHEN k = 1 AND n = 0 THEN 'NOT_IN_INDEX' WHEN effective_date IS NOT NULL AND pre = 0 AND n > 0 THEN 'AFTER_EFFECTIVE_DATE' ELSE '' END AS pit_note FROM j""",
     }
+    panel = out["factor_panel"].split("\nSELECT CAST(l_suppkey")[0]
+    order = "OVER (PARTITION BY l_suppkey, q = 4 ORDER BY quarter_end)"
+    blocked = f"""{panel}, s AS (SELECT o.*, l_suppkey % 3 = 0 AND year(quarter_end) >= 1998 AS ifrs, {", ".join(f"lag({m}) {order} AS b_{m}" for _, m in audit.GROWTHS)} FROM o),
+x AS (SELECT *, coalesce(ifrs AND NOT lag(ifrs) {order}, false) AS crossed FROM s),
+r AS (SELECT *, {", ".join(f"CASE WHEN crossed AND l_suppkey % 2 = 0 THEN b_{m} * 0.9::DOUBLE END AS r_{m}" for _, m in audit.GROWTHS)}, ifrs AND q = 2 AS w1, ifrs AND q = 3 AS w2, ifrs AND q = 1 AS w3 FROM x),
+z AS (SELECT *, {", ".join(f"coalesce(r_{m} <> 0 AND {m} IS NOT NULL, false) AS ok_{m}" for _, m in audit.GROWTHS)}, crossed AND NOT w3 AND roa IS NOT NULL AS ra, r_assets IS NOT NULL AND net_income IS NOT NULL AND assets IS NOT NULL AS ok_roa FROM r)"""
+    keys = 'CAST(l_suppkey AS VARCHAR) AS cik, quarter_end AS "end"'
+    new = [f"round(CASE WHEN NOT crossed THEN {g} WHEN ok_{m} THEN {m} / r_{m} - 1 END, 6) AS {g}" for g, m in audit.GROWTHS]
+    out["mixed_blocking"] = f"""{blocked} SELECT {keys}, crossed, {", ".join(new)}, round(CASE WHEN NOT w1 THEN operating_margin END, 6) AS operating_margin, round(CASE WHEN NOT w2 THEN debt_ratio END, 6) AS debt_ratio,
+  round(CASE WHEN w3 THEN NULL WHEN NOT ra THEN roa WHEN ok_roa THEN net_income / ((assets + r_assets) / 2) END, 6) AS roa FROM z"""
+    log = [f"SELECT {keys}, '{f}' AS factor, 'BLOCKED_NULLED' AS decision, 'STANDARDS_DIFFER_WITHIN_ROW' AS reason FROM z WHERE {w}" for f, w in (("operating_margin", "w1"), ("debt_ratio", "w2"), ("roa", "w3"))]
+    for f, on, ok, why in [*[(g, "crossed", f"ok_{m}", ("RESTATED_BASE", "NO_RESTATED_BASE")) for g, m in audit.GROWTHS], ("roa", "ra", "ok_roa", ("RESTATED_MEAN_ASSETS", "NO_RESTATED_ASSETS"))]:
+        log.append(f"SELECT {keys}, '{f}', CASE WHEN {ok} THEN 'RECOMPUTED_RESTATED' ELSE 'BLOCKED_NULLED' END, CASE WHEN {ok} THEN '{why[0]}' ELSE '{why[1]}' END FROM z WHERE {on}")
+    out["mixed_decisions"] = f"{blocked} " + " UNION ALL ".join(log)
+    return out
 
 
 ORACLES = _sql()

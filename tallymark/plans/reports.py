@@ -168,6 +168,42 @@ def status_transition(spark, sf_dir):
     return integrity.status_history(e, days, "user_id")
 
 
+def status_step(spark, sf_dir):
+    """Each event as one piece of evidence on a status, at a rebalance up to three weeks before or after it."""
+    kinds = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
+    states = F.array(*[F.lit(s) for s in ("ACTIVE", "REDUCED", "DISCONTINUED", "UNCERTAIN", "NOT_REVIEWED")])
+    e = read(spark, sf_dir, "events").select(
+        "event_id", F.element_at(states, (F.col("user_id") % 5 + 1).cast("int")).alias("previous_status"), F.coalesce(F.element_at(kinds, F.col("event_type")), F.lit("PARTIAL_DIVEST")).alias("kind"),
+        F.to_date("ts").alias("evidence_date"), F.date_add(F.to_date("ts"), (F.col("event_id") % 43 - 21).cast("int")).alias("rebalance_date"),
+    )
+    return integrity.status_step(e, "previous_status", "kind", "evidence_date", "rebalance_date").select("event_id", "previous_status", "new_status", "status_changed", "change_reason", "exclusion_candidate", "pit_ok")
+
+
+def representative_modes(spark, sf_dir):
+    """Each customer's representative order under the three modes."""
+    o = read(spark, sf_dir, "orders").select(
+        "o_custkey", F.to_date("o_orderdate").alias("period_end"), F.date_add(F.to_date("o_orderdate"), 40).alias("filed"), F.when(F.col("o_orderpriority").startswith("1"), "annual").otherwise("quarterly").alias("period_type"),
+        (F.col("o_orderkey") % 5 == 0).alias("pit_valid"), (F.col("o_orderkey") % 8).cast("int").alias("factor_available_count"), F.col("o_orderkey").alias("accession"),
+    )
+    parts = [universe.representative(o, "o_custkey", m).select("o_custkey", F.lit(m).alias("mode"), "accession", "selection_reason") for m in ("annual_only", "annual_preferred", "latest_any")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def first_text(spark, sf_dir):
+    """Each customer's first order clerk text that says something, by day and order."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"), F.when(F.col("o_orderkey") % 3 == 0, F.lit(" NaN ")).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(" "), "o_orderpriority")).alias("text"))
+    return o.groupBy("o_custkey").agg(clean.first_text("text", "day", "o_orderkey").alias("first_text"))
+
+
+def financial_ratios(spark, sf_dir):
+    """Margins and leverage of orders; every fifth has no revenue, every third no assets."""
+    o = read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice")).otherwise(0.0).alias("revenue"), (F.col("o_totalprice") / 4).alias("operating_income"), (F.col("o_totalprice") / 8 - 1000).alias("net_income"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice") * 2).alias("assets"), (F.col("o_totalprice") - 5000).alias("liabilities"),
+    )
+    return o.select("o_orderkey", *[F.round(c, 6).alias(n) for n, c in facts.financial_ratios().items()])
+
+
 def theme_gate(spark, sf_dir):
     days = quarters(spark, sf_dir)
     rows = read(spark, sf_dir, "customer").select("c_custkey").crossJoin(days)
@@ -262,9 +298,9 @@ FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey AND c_custkey % 4 = 0
     "one_to_one_join": "SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1) ON o_custkey = c_custkey",
     "suffix_join": "SELECT c_custkey AS key, c_nationkey AS nation_left, c_name AS name, s_nationkey AS nation_right, s_acctbal AS balance FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",
     "entity_master": """WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_totalprice, CAST(o_orderdate AS DATE) AS d, o_orderpriority LIKE '1%' AS annual FROM orders),
-r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY annual DESC, (o_orderkey % 5 <> 0) DESC, d DESC, o_orderkey % 8 DESC, o_orderkey DESC) AS n FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY annual DESC, (o_orderkey % 5 <> 0) DESC, d DESC, o_orderkey % 8 DESC, CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey % 12 - 2 END DESC NULLS LAST, o_orderkey DESC) AS n FROM o),
 m AS (SELECT o_custkey, arg_max(o_orderpriority, (n, o_orderpriority)) AS ticker FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1)
-SELECT o_custkey, ticker, o_orderkey AS accession, CASE WHEN annual THEN 'annual' ELSE 'quarterly' END AS period_type, CASE WHEN annual THEN 'latest_annual' ELSE 'latest_quarterly' END AS selection_reason,
+SELECT o_custkey, ticker, o_orderkey AS accession, CASE WHEN annual THEN 'annual' ELSE 'quarterly' END AS period_type, CASE WHEN annual THEN 'latest_annual' ELSE 'annual_missing_latest_any' END || CASE WHEN o_orderkey % 5 <> 0 THEN '_pit_valid' ELSE '' END AS selection_reason,
   round_even((1 + CAST(o_orderkey % 3 = 0 AS INTEGER) + CAST(o_orderkey % 7 > 0 AS INTEGER)) * 40.0::DOUBLE / 3 + (CASE WHEN o_orderkey % 2 = 0 THEN 35.0::DOUBLE ELSE 0 END) + (CASE WHEN o_orderkey % 5 <> 0 THEN 15.0::DOUBLE ELSE 0 END) + CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE least(10.0::DOUBLE, greatest(o_orderkey % 12 - 2, 0) / 9.0::DOUBLE * 10) END, 2) AS data_quality_score,
   o_totalprice <= 30000 OR o_orderkey % 3 <> 0 OR o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 AS financial_warning FROM r JOIN m USING (o_custkey) WHERE n = 1""",
     "warning_codes": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice - 20000 END AS r, CASE WHEN o_orderkey % 3 > 0 THEN 40000 END AS ni, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 * 40000 - 40000 END AS a, o_totalprice - 15000 AS l FROM orders),
@@ -285,6 +321,16 @@ SELECT l_suppkey, quarter_end, round(CASE WHEN NOT crossed THEN 0.5::DOUBLE WHEN
 t AS (SELECT user_id, snapshot_date, change_reason, n_evidence, coalesce({_STATE_SQL.replace("kind", "change_reason")}, 'NOT_REVIEWED') AS status FROM s),
 p AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY user_id ORDER BY snapshot_date), 'NOT_REVIEWED') AS previous_status FROM t)
 SELECT *, status <> previous_status AS status_changed, status = 'DISCONTINUED' AS exclusion_candidate FROM p""",
+    "status_step": """WITH e AS (SELECT event_id, ['ACTIVE', 'REDUCED', 'DISCONTINUED', 'UNCERTAIN', 'NOT_REVIEWED'][user_id % 5 + 1] AS p, CASE event_type WHEN 'click' THEN 'ANNUAL_CONFIRM' WHEN 'signup' THEN 'KEYWORD_DECLINE' WHEN 'purchase' THEN 'OFFICIAL_EXIT' WHEN 'view' THEN 'NO_NEW_INFO' ELSE 'PARTIAL_DIVEST' END AS k, event_id % 43 - 21 < 0 AS later FROM events),
+n AS (SELECT *, CASE WHEN later THEN p ELSE CASE k WHEN 'ANNUAL_CONFIRM' THEN 'ACTIVE' WHEN 'KEYWORD_DECLINE' THEN 'UNCERTAIN' WHEN 'OFFICIAL_EXIT' THEN 'DISCONTINUED' WHEN 'PARTIAL_DIVEST' THEN 'REDUCED' ELSE p END END AS s FROM e)
+SELECT event_id, p AS previous_status, s AS new_status, s <> p AS status_changed, CASE WHEN later THEN 'PIT_EVIDENCE_AFTER_REBALANCE' ELSE k END AS change_reason, s = 'DISCONTINUED' AS exclusion_candidate, NOT later AS pit_ok FROM n""",
+    "representative_modes": """WITH o AS (SELECT o_custkey, o_orderkey AS a, o_orderpriority LIKE '1%' AS annual, o_orderkey % 5 = 0 AS ok, CAST(o_orderdate AS DATE) AS d, o_orderkey % 8 AS f FROM orders),
+m AS (SELECT o.*, 'annual_only' AS mode FROM o WHERE annual UNION ALL SELECT o.*, 'annual_preferred' FROM o QUALIFY annual OR NOT bool_or(annual) OVER (PARTITION BY o_custkey) UNION ALL SELECT o.*, 'latest_any' FROM o),
+v AS (SELECT * FROM m QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY mode, o_custkey)), r AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY mode, o_custkey ORDER BY d DESC, f DESC, a DESC) = 1)
+SELECT o_custkey, mode, a AS accession, CASE WHEN mode = 'latest_any' THEN 'latest_any' WHEN annual THEN 'latest_annual' ELSE 'annual_missing_latest_any' END || CASE WHEN ok THEN '_pit_valid' ELSE '' END AS selection_reason FROM r""",
+    "first_text": "SELECT o_custkey, coalesce(arg_min(o_orderpriority, (CAST(o_orderdate AS DATE), o_orderkey)) FILTER (o_orderkey % 3 = 1), '') AS first_text FROM orders GROUP BY 1",
+    "financial_ratios": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN round(o_totalprice / 4 / o_totalprice, 6) END AS operating_margin, CASE WHEN o_orderkey % 5 > 0 THEN round((o_totalprice / 8 - 1000) / o_totalprice, 6) END AS net_margin,
+  CASE WHEN o_orderkey % 3 > 0 THEN round((o_totalprice - 5000) / (o_totalprice * 2), 6) END AS liability_to_assets FROM orders""",
     "theme_gate": f"""WITH {_Q}, ev AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS d FROM orders WHERE o_totalprice > 300000 GROUP BY 1), x AS (SELECT c_custkey, snapshot_date, ev.d FROM customer CROSS JOIN q LEFT JOIN ev ON o_custkey = c_custkey)
 SELECT c_custkey, snapshot_date, NOT coalesce(snapshot_date >= d, false) AS theme_eligible, 'pit' AS mode FROM x UNION ALL SELECT c_custkey, snapshot_date, d IS NULL, 'retro' FROM x""",
     "event_windows": """WITH ev AS (SELECT o_custkey AS c_custkey, CAST(min(o_orderdate) AS DATE) AS effective_date FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)

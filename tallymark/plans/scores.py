@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import integrity, pick, score
+from ..operators import audit, integrity, pick, score
 from ..sources.stages import Stages
 from .snapshots import _SUPQ, read, supplier_quarters
 
@@ -112,6 +112,20 @@ def _selected(spark, sf_dir, target: int):
     return out.select("p_partkey", "p_brand", "selection_score", "stage", "rank")
 
 
+def selection_rationale(spark, sf_dir):
+    """The chosen parts with all parts of their score and a sentence."""
+    part = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ticker"), F.col("p_name").alias("entity_name"), F.col("p_brand").alias("theme"), F.col("p_type").alias("sub_theme"), F.col("p_brand").alias("quota_theme"), (F.col("p_size") * 2.0).alias("ai_relevance_score"),
+        (F.col("p_size") * 2).alias("candidate_score"), F.col("p_retailprice").alias("data_quality_score"), (F.col("p_partkey") % 14).alias("factor_available_count"),
+    )
+    rows = score.with_minmax(part.withColumn("f", F.col("factor_available_count").cast("double")), "data_quality_score", "f")
+    rows = rows.withColumns({"quality_component": score.minmax("data_quality_score"), "factor_component": score.minmax("f"), "selection_score": score.selection_score("ai_relevance_score", "data_quality_score", "f")})
+    quota = read(spark, sf_dir, "part").select(F.col("p_brand").alias("quota_theme")).distinct().withColumn("quota", F.when(F.col("quota_theme").endswith("1"), 6).otherwise(2))
+    out = pick.quota_selection(rows, quota, "quota_theme", 100, F.col("selection_score").desc(), F.col("ai_relevance_score").desc(), F.col("ticker"))
+    r = audit.selection_rationale(out.withColumnsRenamed({"stage": "selection_stage", "rank": "universe_rank"}))
+    return r.select("*", *[F.round(c, 6).alias(f"{c}_") for c in ("quality_component", "factor_component")]).drop("quality_component", "factor_component").withColumnsRenamed({"quality_component_": "quality_component", "factor_component_": "factor_component"})
+
+
 def quota_selection(spark, sf_dir):
     return _selected(spark, sf_dir, 100)
 
@@ -203,6 +217,17 @@ SELECT quarter_end, l_suppkey, CASE WHEN was THEN 'IN' ELSE 'OUT' END AS previou
   CASE WHEN now THEN 'FACTOR_SCORE_TOP30' WHEN NOT theme_eligible THEN coalesce(nullif(tr, ''), 'THEME_DIRECTNESS_LOW') WHEN NOT data_eligible THEN 'DATA_OR_FACTOR_SCREEN' ELSE 'FACTOR_SCORE_OUTSIDE_TOP30' END AS reason_code,
   factor_score, CAST(rank AS INTEGER) AS rank, theme_eligible, data_eligible FROM r""",
     "quota_selection": f"WITH {_SELECT} SELECT * FROM quota_selection",
+    "selection_rationale": """WITH p AS (SELECT p_partkey AS ticker, p_name AS entity_name, p_brand AS theme, p_type AS sub_theme, p_brand AS quota_theme, p_size * 2.0::DOUBLE AS ai_relevance_score, p_size * 2 AS candidate_score, p_retailprice AS data_quality_score, p_partkey % 14 AS factor_available_count FROM part),
+mm AS (SELECT min(data_quality_score) AS q0, max(data_quality_score) AS q1, min(factor_available_count)::DOUBLE AS f0, max(factor_available_count)::DOUBLE AS f1 FROM p),
+c AS (SELECT p.*, coalesce((data_quality_score - q0) / (q1 - q0) * 100, 50) AS quality_component, coalesce((factor_available_count - f0) / (f1 - f0) * 100, 50) AS factor_component, CASE WHEN theme LIKE '%1' THEN 6 ELSE 2 END AS quota FROM p, mm),
+s AS (SELECT *, round_even(0.6::DOUBLE * ai_relevance_score + 0.25::DOUBLE * quality_component + 0.15::DOUBLE * factor_component, 4) AS selection_score FROM c),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY selection_score DESC, ai_relevance_score DESC, ticker) AS r FROM s),
+rest AS (SELECT *, row_number() OVER (ORDER BY selection_score DESC, ai_relevance_score DESC, ticker) AS f FROM ranked WHERE r > quota),
+chosen AS (SELECT * EXCLUDE r, 'theme_quota' AS selection_stage FROM ranked WHERE r <= quota UNION ALL SELECT * EXCLUDE (r, f), 'shortage_fill' FROM rest WHERE f <= 100 - (SELECT count(*) FROM ranked WHERE r <= quota)),
+u AS (SELECT *, CAST(row_number() OVER (ORDER BY selection_score DESC, ai_relevance_score DESC, ticker) AS INTEGER) AS universe_rank FROM chosen QUALIFY universe_rank <= 100)
+SELECT universe_rank, ticker, entity_name, theme, sub_theme, quota_theme, selection_stage, candidate_score, ai_relevance_score, selection_score, data_quality_score, factor_available_count, round(quality_component, 6) AS quality_component, round(factor_component, 6) AS factor_component,
+  theme || '/' || sub_theme || ': candidate score ' || CAST(candidate_score AS INTEGER) || ', selection score ' || printf('%.1f', round(selection_score, 1)) || ' (relevance 60% x ' || printf('%.0f', round(ai_relevance_score, 0)) || ', quality 25% x ' || printf('%.0f', round(quality_component, 0))
+  || ', factors 15% x ' || printf('%.0f', round(factor_component, 0)) || '); ' || CASE WHEN selection_stage = 'theme_quota' THEN 'theme quota' ELSE 'shortage fill' END || ', rank ' || universe_rank || '; data quality ' || printf('%.0f', round(data_quality_score, 0)) || ', factors ' || factor_available_count || ' of 13' AS selection_reason_doc FROM u""",
     "quota_trim": f"WITH {_TRIM} SELECT * FROM quota_selection",
     "quota_summary": f"""WITH {_SELECT}, t AS (SELECT p_brand, count(*) AS matched FROM part GROUP BY p_brand), s AS (SELECT p_brand, count(*) AS selected FROM quota_selection GROUP BY p_brand),
 r AS (SELECT p_brand, matched, coalesce(selected, 0) AS selected FROM t LEFT JOIN s USING (p_brand))
