@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-# Licence sentences in normal form (lower case, letters and digits, single spaces) by identifier.
+# Licence sentences in normal form (lower case, letters and digits, single spaces) by identifier; NAME is a
+# name of one to NAME_WORDS words.
 SENTENCES = {
     "apache2_short": (
         "licensed under the apache license version 2 0", "released under the apache license version 2 0", "licensed under the apache license version 2 0 the license",
@@ -32,11 +33,16 @@ SENTENCES = {
     ),
     "isc_grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
     "zero_grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
-    "isc_warranty": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
+    "isc_warranty": ("the software is provided as is and NAME disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
     "bsd_grant": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
     "bsd_source": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",),
     "bsd_binary": ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",),
-    "bsd_endorse": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "bsd_endorse": (
+        "neither the name of NAME nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the name of NAME nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the names of NAME nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "the name of NAME may not be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
     "mpl2_form": ("this source code form is subject to the terms of the mozilla public license v",),
     "mpl2_copy": (
         "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
@@ -133,8 +139,17 @@ HINTS = ("licen", "redistribut", "permission", "copyright", "warrant", "rights",
 assert all(any(h in s for h in HINTS) for s in _ID)
 
 
+#: Words that a name in a sentence may have.
+NAME_WORDS = 12
+
+
 def _any_of(many, blank: str) -> str:
-    return "(?:" + "|".join(s.replace(" ", blank) for s in sorted(many, key=lambda s: (-len(s), s))) + ")"
+    name = rf"[a-z0-9]+(?:\x01*{blank}[a-z0-9]+){{0,{NAME_WORDS - 1}}}?\x01*"  # with the full stop of an Inc.
+    return "(?:" + "|".join(s.replace(" ", blank).replace("NAME", name) for s in sorted(many, key=lambda s: (-len(s), s))) + ")"
+
+
+#: How a sentence with a name is told from its words before and after it, and the sentence as it stands above.
+_NAMED = [(f"^{s.replace('NAME', '.+')}$", s) for s in _ID if "NAME" in s]
 
 
 _LONG = [s for s in _ID if s.count(" ") >= LONG - 1]
@@ -142,6 +157,12 @@ _END = r"(?= ?(?:\z|[\n\x01]))"
 _KNOWN = rf"(?<=\A|\A |[\n\x01]|\x01 ){_any_of(_ID, '[ \n]')}{_END}|(?<=[ \n]){_any_of(_LONG, '[ \n]')}{_END}"
 
 
+def _nameless(sentence: Column) -> Column:
+    for pattern, known in _NAMED:
+        sentence = F.regexp_replace(sentence, pattern, known)
+    return sentence
+
+
 def sentences(text: Column) -> Column:
     """Known sentences of a text in normal form, in text order.
 
@@ -152,7 +173,7 @@ def sentences(text: Column) -> Column:
     one = F.regexp_replace(F.translate(text, "\x01", " "), r"(?i)(spdx-license-identifier):", "$1 ")
     cut = F.regexp_replace(one, r"[.!?;:](?=[\x20\x09-\x0D])", "\x01")
     plain = F.regexp_replace(F.regexp_replace(F.lower(cut), r"[^a-z0-9\n\x01]+", " "), " ?\n ?", "\n")
-    found = F.transform(F.regexp_extract_all(plain, F.lit(_KNOWN), F.lit(0)), lambda s: F.translate(s, "\n", " "))
+    found = F.transform(F.regexp_extract_all(plain, F.lit(_KNOWN), F.lit(0)), lambda s: _nameless(F.translate(s, "\n", " ")))
     low = F.lower(text)
     hint = F.lit(False)
     for h in HINTS:
@@ -200,6 +221,12 @@ def _rule_sql() -> str:
     return ",\n    ".join(out)
 
 
+def _nameless_sql(sentence: str) -> str:
+    for pattern, known in _NAMED:
+        sentence = f"regexp_replace({sentence}, '{pattern}', '{known}')"
+    return sentence
+
+
 _IDS_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _ID.items()) + "}"
 # Ends are doubled, so that a match may take one and leave the other to the next: this engine has no look-around. A long
 # sentence inside another is found from the blank before it.
@@ -215,7 +242,7 @@ WITH t AS (
 ), s AS (
   SELECT r, doc_id, replace(replace(t, chr(10), chr(10) || chr(10)), chr(1), chr(1) || chr(1)) AS t FROM c
 ), k AS (
-  SELECT r, doc_id, list_transform(regexp_extract_all(t, '{_START_SQL}|{_INSIDE_SQL}'), lambda x: trim(regexp_replace(x, '[\n\x01 ]+', ' ', 'g'))) AS known FROM s
+  SELECT r, doc_id, list_transform(regexp_extract_all(t, '{_START_SQL}|{_INSIDE_SQL}'), lambda x: {_nameless_sql("trim(regexp_replace(x, '[\\n\\x01 ]+', ' ', 'g'))")}) AS known FROM s
 ), i AS (
   SELECT r, doc_id, list_transform(known, lambda y: {_IDS_SQL}[y]) AS ids FROM k
 ), q AS (
