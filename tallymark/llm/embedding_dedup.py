@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -53,8 +54,10 @@ def plan_filters(n: int, cosine: float = COSINE, shared: float = SHARED) -> tupl
         listed *= 1.1
 
 
+@lru_cache(2)
 def codes(dim: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotation and the two blocks' codewords (scaled, so that a filter's score is the sum of its two products)."""
+    """Rotation and the two blocks' codewords (scaled, so that a filter's score is the sum of its two products); drawn once
+    in a worker."""
     rng = np.random.Generator(np.random.PCG64([seed, dim, words]))
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     half = -(-dim // 2)
@@ -228,7 +231,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, seed: int = 5) -
     other vectors linked directly, component_id is the least vec_id reachable, kept marks it. Vectors that are null, empty,
     zero or hold null or non-finite components link with nothing, and vectors of different length don't link. Equal
     vectors are one class and always linked; repeated rows count as vectors of their own. Null vec_ids come back with null
-    component_id and kept, and link with nothing. Other columns are ignored. An empty table gives none.
+    component_id and kept, and link with nothing. Different vectors under one vec_id aren't told apart: each gets the links
+    of all of them. Other columns are ignored. An empty table gives none.
     """
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select("vec_id", "embedding").withColumn("fine", F.coalesce(fine & F.col("vec_id").isNotNull(), F.lit(False)))
