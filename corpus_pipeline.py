@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import bpe, language_id, mixing, ngram_join, substring_dedup
-from tallymark.llm.common import materialize, table
+from tallymark.llm.common import materialize, release, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Predictions less sure than this are rejected.
@@ -63,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

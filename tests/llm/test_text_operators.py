@@ -1,11 +1,13 @@
 """Operators on texts against brute force, with odd rows."""
 
 import hashlib
+import random
 import re
 import struct
 import textwrap
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -440,3 +442,32 @@ def test_jaccard_with_a_full_map(docs, corpus, monkeypatch):
     monkeypatch.setattr(ngram_join, "MAP_WORDS", 1)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
     assert got == jaccard([(r[0], r[1]) for r in corpus])
+
+
+def test_licences_with_names(spark):
+    """Names stand where the published texts have the holder's: with an abbreviation's full stop, wrapped, in comments."""
+    head = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+    tail = "may be used to endorse or promote products derived from this software without specific prior written permission."
+    names = ["Neither the name of Google Inc. nor the names of its contributors", "Neither the name of the University of California, Berkeley nor the names of its contributors", "Neither the name of Foo\n * Bar & Co. nor the names of\n * its contributors", "Neither the name of the copyright holder nor the names of its contributors", "Neither the name of ACME nor the names of contributors"]
+    rows = [(i, "\n".join([*head, f"{n} {tail}"])) for i, n in enumerate(names)]
+    rows += [(10, "\n".join(head)), (11, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND ACME LTD. DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.")]
+    rows += [(12, f"Neither the name of {'a ' * 20}nor the names of its contributors {tail}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in license_scan.scan(df).collect()}
+    assert got == {**{i: "BSD-3-Clause" for i in range(5)}, 10: "BSD-2-Clause", 11: "ISC", 12: ""}
+    documents = df.toPandas()  # noqa: F841
+    assert {r[0]: r[3] for r in duckdb.sql(license_scan.ORACLES["op4_license_scan"]).fetchall()} == got
+
+
+def test_words_are_whole_for_the_library(spark, monkeypatch):
+    """Odd letters, marks and punctuation in small chunks get the library's ids and decoded text."""
+    monkeypatch.setattr(bpe, "CHUNK", 2000)
+    rng = random.Random(11)
+    bits = [" ", " ", "a", "B", "\u0130", "\u0131", "\u00df", "\u01c5", "\u1e9e", "\u0307", "\u00e9", "e\u0301", ".", ",", "!", "'s", "'", "-", "1", "\n", "\t", "\u00a0", "\u2003", "\u65e5", "_", "@", "\U0001f642", "<|endoftext|>", "<|startoftext|>", "Merkez: \u0130STANBUL\u0130.", "\u0149", "\u01f0", "\ufb01"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(6000)] + ["long \u0130. " * 3000, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    t = bpe._tokenizer(bpe.tokenizer_path())
+    want = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    got = {r.doc_id: (r.ids, r.decoded_sha256) for r in bpe.encode(df).collect()}
+    bad = [(texts[i], got[i][0], w) for i, w in enumerate(want) if got[i] != (w, hashlib.sha256(t.decode(w, skip_special_tokens=False).encode()).hexdigest())]
+    assert not bad, (len(bad), bad[:3])
