@@ -32,6 +32,22 @@ def target_slice(master: DataFrame, start: int = 0, limit: int | None = None) ->
     return rows.limit(limit) if limit else rows
 
 
+def eligible_rows(rows: DataFrame, flag: str, date: str, ticker: str) -> DataFrame:
+    """Rows whose flag says yes, with a date and a ticker (trimmed, upper case, neither blank nor NAN)."""
+    out = rows.withColumns({date: clean.safe_date(date), ticker: F.upper(F.trim(F.col(ticker)))})
+    return out.where(clean.parse_bool(flag) & F.col(date).isNotNull() & F.coalesce(~F.col(ticker).isin("", "NAN"), F.lit(False)))
+
+
+def gate(rows: DataFrame, verdicts: DataFrame, *keys: str) -> DataFrame:
+    """Rows but those that verdicts (keys, eligible) name as not eligible, by all keys together."""
+    return rows.join(verdicts.where(~F.col("eligible")).select(*keys).distinct(), list(keys), "left_anti")
+
+
+def shared_keys(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """Keys that both tables have."""
+    return a.select(*keys).intersect(b.select(*keys))
+
+
 def representative(records: DataFrame, key: str, mode: str = "annual_preferred") -> DataFrame:
     """The record that stands for each entity, with the reason of its choice.
 

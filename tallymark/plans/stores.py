@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns
+from ..operators import universe
 from ..sources import readers
 from ..sources.runs import Runs
 from ..sources.stages import Stages, shared_folder
+from .audits import _VERDICT, gate_verdicts
 from .filings import yearly_facts
-from .snapshots import read
+from .snapshots import _SUPQ, read, supplier_quarters
 
 
 def _folder(spark) -> str:
@@ -28,6 +30,39 @@ def master_csv(spark, sf_dir):
     return readers.master_csv(spark, path)
 
 
+def candidate_seed(spark, sf_dir):
+    """Parts as curated candidates in CSV, some twice, excluded or without a readable score."""
+    path = _folder(spark)
+    part = read(spark, sf_dir, "part").select(
+        F.concat(F.lit(" p"), (F.col("p_partkey") % 1000).cast("string")).alias("ticker"), "p_partkey", F.col("p_brand").alias("theme"), F.col("p_type").alias("sub_theme"),
+        F.when(F.col("p_partkey") % 7 == 0, "n/a").otherwise((F.col("p_size") * 3).cast("string")).alias("candidate_score"), F.when(F.col("p_partkey") % 5 == 0, "no").otherwise(" Yes ").alias("include"), F.col("p_partkey").cast("string").alias("note"),
+    )
+    part.drop("p_partkey").write.option("header", True).csv(path)
+    return readers.candidates_csv(spark, path, [f"Brand#{k}" for k in range(100)])
+
+
+def eligible_filter(spark, sf_dir):
+    """Orders with untidy flags, dates and tickers."""
+    o = read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "FALSE").when(F.col("o_orderkey") % 3 == 1, " true").otherwise("1").alias("is_eligible"),
+        F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise(F.col("o_orderdate").cast("string")).alias("snapshot_date"),
+        F.when(F.col("o_orderkey") % 11 == 0, " nan ").when(F.col("o_orderkey") % 13 == 0, "  ").when(F.col("o_orderkey") % 17 > 0, F.concat(F.lit(" c"), F.col("o_custkey").cast("string"))).alias("ticker"),
+    )
+    return universe.eligible_rows(o, "is_eligible", "snapshot_date", "ticker").select("o_orderkey", "snapshot_date", "ticker")
+
+
+def gated_rows(spark, sf_dir):
+    """Supplier quarters without those judged ineligible at their quarter."""
+    verdicts = gate_verdicts(spark, sf_dir).select("l_suppkey", "quarter_end", F.col("pit").alias("eligible"))
+    return universe.gate(supplier_quarters(spark, sf_dir).select("l_suppkey", "quarter_end", F.round("quantity", 2).alias("quantity")), verdicts, "l_suppkey", "quarter_end")
+
+
+def shared_days(spark, sf_dir):
+    """Days with both orders and shipments, as two calendars share them."""
+    o = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"))
+    return universe.shared_keys(o, read(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")), "date")
+
+
 def fact_store_scan(spark, sf_dir):
     """The fact store written by company and one company's facts after another counted from it."""
     path = _folder(spark)
@@ -101,6 +136,11 @@ a AS (SELECT *, n > 0 AND top <= 450000 AND k % 2 = 0 AS one, n > 0 AND top <= 4
 _LOG = """l AS (SELECT 1 AS attempt, k, n, CASE WHEN one THEN 'success' ELSE 'failed' END AS status FROM a WHERE k % 2 = 0 UNION ALL SELECT 2, k, n, CASE WHEN one THEN 'skipped' WHEN two THEN 'success' ELSE 'failed' END FROM a)"""
 ORACLES = {
     "master_csv": "SELECT lpad(CAST(s_suppkey * 10 AS VARCHAR), 10, '0') AS cik, 'S' || s_suppkey AS ticker, s_name AS name, 'Nasdaq' AS exchange FROM supplier",
+    "candidate_seed": """WITH c AS (SELECT 'P' || p_partkey % 1000 AS ticker, p_brand AS theme, p_type AS sub_theme, CASE WHEN p_partkey % 7 = 0 THEN 0.0::DOUBLE ELSE least(p_size * 3, 100)::DOUBLE END AS candidate_score, true AS include, CAST(p_partkey AS VARCHAR) AS note FROM part WHERE p_partkey % 5 > 0)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY candidate_score DESC, theme, sub_theme, note) = 1""",
+    "eligible_filter": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS snapshot_date, 'C' || o_custkey AS ticker FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 7 > 0 AND o_orderkey % 11 > 0 AND o_orderkey % 13 > 0 AND o_orderkey % 17 > 0",
+    "gated_rows": f"WITH {_SUPQ}, {_VERDICT} SELECT l_suppkey, quarter_end, round(quantity, 2) AS quantity FROM srows WHERE scenario = 'B_pit'",
+    "shared_days": "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE CAST(o_orderdate AS DATE) IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem)",
     "fact_store_scan": "SELECT CAST(o_custkey AS VARCHAR) AS cik, count(*) AS n_facts, CAST(1 AS BIGINT) AS n_files, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "dual_sinks": "SELECT s_suppkey, s_name, s_acctbal, k AS kind FROM supplier, (VALUES ('csv'), ('parquet')) AS t(k)",
     "aliased_columns": "SELECT c_custkey AS cik, CAST(NULL AS VARCHAR) AS ticker, c_name AS name, c_acctbal AS balance, CAST(NULL AS VARCHAR) AS exchange FROM customer",

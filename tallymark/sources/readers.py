@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clean
+from ..operators.pick import keep_first
 
 MASTER = "cik string, ticker string, name string, exchange string"
 FACT = "`start` string, `end` string, `val` string, `filed` string, `form` string, `accn` string, `fy` string, `fp` string"
@@ -29,6 +32,25 @@ def master_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("cik", clean.normalize_cik("cik"))
 
 
+def candidates_csv(spark: SparkSession, path: str, themes: Sequence[str]) -> DataFrame:
+    """Curated candidates with a header: ticker, theme, sub_theme and candidate_score must be there; include and note may.
+
+    Texts are tidied, scores that can't be read are 0 and all lie within 0..100. Rows that aren't included or have no
+    ticker go; of a ticker's rows the highest score stays, then the first theme. A theme that isn't in the list (a fixed,
+    short one) raises when rows are read.
+    """
+    df = spark.read.csv(path, header=True)
+    if missing := {"ticker", "theme", "sub_theme", "candidate_score"} - set(df.columns):
+        raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
+    include = clean.parse_bool("include") if "include" in df.columns else F.lit(True)
+    score = F.least(F.greatest(F.coalesce(clean.safe_numeric("candidate_score"), F.lit(0.0)), F.lit(0.0)), F.lit(100.0))
+    note = clean.clean_text("note") if "note" in df.columns else F.lit("")
+    rows = df.select(clean.normalize_ticker("ticker").alias("ticker"), clean.clean_text("theme").alias("theme"), clean.clean_text("sub_theme").alias("sub_theme"), score.alias("candidate_score"), include.alias("include"), note.alias("note"))
+    rows = rows.where(F.col("include") & (F.col("ticker") != ""))
+    known = F.when(~F.col("theme").isin(*themes), F.raise_error(F.concat(F.lit("unknown theme: "), "theme")).cast("boolean")).otherwise(True)
+    return keep_first(rows.where(known), ["ticker"], F.col("candidate_score").desc(), "theme", "sub_theme", "note")
+
+
 def flatten_facts(docs: DataFrame, text: str | Column = "value") -> DataFrame:
     """Nested company facts (taxonomy, tag, unit, records) as one long row per record.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import clean, columns
 from tallymark.operators import audit, integrity, universe
+from tallymark.sources import readers
 from tallymark.sources.runs import Runs
 
 D = dt.date
@@ -130,3 +131,22 @@ def test_first_text_observed_status_and_columns(spark):
     with pytest.raises(ValueError, match="ticker, z"):
         columns.require_columns(df, ("k", "ticker", "z"))
     assert columns.require_columns(df, ("k",)) is df
+
+
+def test_candidates_and_gates(spark):
+    path = f"{folder()}/a"
+    rows = [(" a ", "X", "s", "120", "yes", None), ("a", "Y", "s", "90", "yes", "n"), ("b", " X", "", "bad", "1", ""), ("", "X", "s", "5", "y", ""), ("c", "Z", "s", "5", "no", "")]
+    df = spark.createDataFrame(rows, "ticker string, theme string, sub_theme string, candidate_score string, include string, note string")
+    df.write.option("header", True).csv(path)
+    got = {r.ticker: (r.theme, r.candidate_score, r.note) for r in readers.candidates_csv(spark, path, ("X", "Y")).collect()}
+    assert got == {"A": ("X", 100.0, ""), "B": ("X", 0.0, "")}
+    with pytest.raises(Exception, match="unknown theme: Y"):
+        readers.candidates_csv(spark, path, ("X",)).collect()
+    bare = f"{folder()}/b"
+    df.select("ticker", "theme").write.option("header", True).csv(bare)
+    with pytest.raises(ValueError, match="candidate_score, sub_theme"):
+        readers.candidates_csv(spark, bare, ("X",))
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1)], "k string, d int")
+    bad = spark.createDataFrame([("a", 1, False), ("b", 2, False), ("a", 2, True)], "k string, d int, eligible boolean")
+    assert sorted((r.k or "", r.d) for r in universe.gate(rows, bad, "k", "d").collect()) == [("", 1), ("a", 2), ("b", 1)]
+    assert sorted(r.d for r in universe.shared_keys(rows, bad, "k", "d").collect()) == [1, 2]
