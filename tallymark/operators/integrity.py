@@ -25,6 +25,7 @@ def membership_changes(members: DataFrame, date: str, name: str) -> DataFrame:
     return both.select(date, name, action.alias("action"))
 
 
+# The actions and reason codes of membership_ledger().
 def membership_ledger(candidates: DataFrame, scores: DataFrame, members: DataFrame, date: str, name: str) -> DataFrame:
     """Every candidate or scored name of each scored date, with its previous and current membership, action, reason, score and rank.
 

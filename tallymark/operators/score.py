@@ -124,6 +124,7 @@ def screen(df: DataFrame, checks: dict[str, tuple[Column | None, str, str]]) ->
     return _decide(df.withColumns({"passed_reasons": _pack(passed), "failed_reasons": _pack(failed), "unavailable_checks": _pack(absent)}))
 
 
+# The reason codes of theme_screen().
 def theme_screen(df: DataFrame, required: dict[str, tuple[str, ...]], core: tuple[str, ...] = (), min_required: int = 4, min_quality: float = 60, max_age: int = 365, require_core: bool = False) -> DataFrame:
     """The eligibility screen of a snapshot: validity in time, age, required factors, data quality, warnings, core values.
 

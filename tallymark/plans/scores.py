@@ -50,7 +50,12 @@ def score_summary(spark, sf_dir):
 
 
 def index_weights(spark, sf_dir, quarters: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    rows = scored(spark, sf_dir, quarters, by).where("available_factor_count >= 3").withColumn("s", F.pow(F.col("factor_score"), 6))
+    return weighted(scored(spark, sf_dir, quarters, by), by)
+
+
+def weighted(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Capped weights of the best scored rows of each quarter."""
+    rows = rows.where("available_factor_count >= 3").withColumn("s", F.pow(F.col("factor_score"), 6))
     return score.build_index(rows, [*by, "quarter_end"], "s", TOP, CAP, "l_suppkey")
 
 
@@ -69,19 +74,22 @@ def special_removal(spark, sf_dir):
     return out.select("quarter_end", "l_suppkey", F.round("weight", 8).alias("weight"))
 
 
-def gated_weights(spark, sf_dir) -> DataFrame:
-    """A second scenario: suppliers with a negative balance are gated before percentile scores."""
+def _both_weights(spark, sf_dir, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """Weights of all suppliers, and of those that aren't gated, before percentile scores, for a negative balance."""
     gone = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return index_weights(spark, sf_dir, supplier_quarters(spark, sf_dir).join(gone, "l_suppkey", "left_anti"))
+    quarters = stages.write(supplier_quarters(spark, sf_dir))
+    return stages.write(index_weights(spark, sf_dir, quarters)), stages.write(index_weights(spark, sf_dir, quarters.join(gone, "l_suppkey", "left_anti")))
 
 
 def weight_diff(spark, sf_dir):
-    d = integrity.weight_differences(index_weights(spark, sf_dir), gated_weights(spark, sf_dir), "quarter_end", "l_suppkey")
-    return d.select("quarter_end", F.round("max_weight_diff", 8).alias("max_weight_diff"), "membership_changes")
+    with Stages(spark) as stages:
+        d = integrity.weight_differences(*_both_weights(spark, sf_dir, stages), "quarter_end", "l_suppkey")
+        return stages.result(d.select("quarter_end", F.round("max_weight_diff", 8).alias("max_weight_diff"), "membership_changes"))
 
 
 def topn_diff(spark, sf_dir):
-    return integrity.set_difference(index_weights(spark, sf_dir), gated_weights(spark, sf_dir), "quarter_end", "l_suppkey")
+    with Stages(spark) as stages:
+        return stages.result(integrity.set_difference(*_both_weights(spark, sf_dir, stages), "quarter_end", "l_suppkey"))
 
 
 def determinism_check(spark, sf_dir):
@@ -99,9 +107,10 @@ def membership_ledger(spark, sf_dir):
     """Candidates are the suppliers of a quarter but every fifth, which is only scored; those with a negative balance fail the theme."""
     low = F.col("s_acctbal") < 0
     bal = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (~low).alias("theme_eligible"), F.when(low & (F.col("s_suppkey") % 2 == 0), "NEGATIVE_BALANCE").otherwise("").alias("theme_reason"))
-    rows = scored(spark, sf_dir)
-    cand = rows.where("l_suppkey % 5 <> 0").select("quarter_end", "l_suppkey").join(bal, "l_suppkey")
-    return integrity.membership_ledger(cand, rows.where("available_factor_count >= 3").select("quarter_end", "l_suppkey", "factor_score"), index_weights(spark, sf_dir), "quarter_end", "l_suppkey")
+    with Stages(spark) as stages:
+        rows = stages.write(scored(spark, sf_dir))
+        cand = rows.where("l_suppkey % 5 <> 0").select("quarter_end", "l_suppkey").join(bal, "l_suppkey")
+        return stages.result(integrity.membership_ledger(cand, rows.where("available_factor_count >= 3").select("quarter_end", "l_suppkey", "factor_score"), weighted(rows), "quarter_end", "l_suppkey"))
 
 
 def _selected(spark, sf_dir, target: int):
