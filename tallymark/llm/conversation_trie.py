@@ -362,10 +362,12 @@ def prefix_trie(sequences: DataFrame, segment: int = SEGMENT, most_rows: int = R
     names = ["t_children", "t_leaves", "t_saved", "t_ends"]
     for k in range(deepest, -1, -1):
         rows = levels[k]
+        ending = {c: F.lit(None).cast("string" if c == "t_ends" else "long") for c in names}
         if totals is None:
-            rows = rows.withColumns({c: F.lit(None).cast("string" if c == "t_ends" else "long") for c in names})
-        else:
-            rows = rows.withColumn("next", following).join(totals, "next", "left")
+            rows = rows.withColumns(ending)
+        else:  # most rows end here: they have no key to join by
+            rows = rows.withColumn("next", following)
+            rows = rows.where("next IS NULL").withColumns(ending).unionByName(rows.where("next IS NOT NULL").join(totals, "next", "left"))
         key = ["root", "key", "conv_id"]
         ordered = rows.select(*key, "sizes", *names).repartitionByRange(parts, *key).sortWithinPartitions(*key)
         found = _merge(materialize(ordered.mapInArrow(_shards(k * segment, most_rows, most_bytes), _SPEC)))
