@@ -72,13 +72,14 @@ BASE_DATE = "1995-02-15"
 
 @dataclass
 class Backtest:
-    """Result tables of one backtest, written (rows per name and rebalance, or per trading day); by: names of its series."""
+    """Result tables of one backtest, written (rows per name and rebalance, or per trading day); None: wasn't asked for.
+    by: names of its series."""
 
-    held: DataFrame
-    diagnostics: DataFrame
-    returns: DataFrame
-    bench: DataFrame
     by: tuple[str, ...]
+    held: DataFrame | None = None
+    diagnostics: DataFrame | None = None
+    returns: DataFrame | None = None
+    bench: DataFrame | None = None
 
     def levels(self) -> DataFrame:
         return backtest.levels(self.returns, self.bench, BASE_DATE, self.by)
@@ -91,7 +92,7 @@ def tickers(weights: DataFrame, *by: str) -> DataFrame:
     return weights.select(*by, F.col("quarter_end").alias("snapshot_date"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), "weight")
 
 
-def run_backtest(spark, sf_dir, weights: DataFrame | None = None, by: tuple[str, ...] = ()) -> Backtest:
+def run_backtest(spark, sf_dir, weights: DataFrame | None = None, by: tuple[str, ...] = (), want: tuple[str, ...] = ("returns", "bench")) -> Backtest:
     """Prices, weights, entries and targets are written once; what the steps after them need is read from there."""
     with Stages(spark) as stages:
         seen = stages.write(backtest.observations(closes(spark, sf_dir)))
@@ -100,23 +101,25 @@ def run_backtest(spark, sf_dir, weights: DataFrame | None = None, by: tuple[str,
         entries = asof.asof_forward(w.select("snapshot_date").distinct(), days)
         aimed = stages.write(backtest.targets(w, entries, seen, by))
         spans = stages.write(backtest.periods(aimed, days, by))
-        held = stages.result(backtest.holdings(aimed, by))
-        diagnostics = stages.result(backtest.holding_diagnostics(aimed, spans, seen, days, by))
-        returns = stages.result(backtest.index_returns(held, spans, seen, days, by))
-        return Backtest(held, diagnostics, returns, stages.result(backtest.mean_level(seen)), by)
+        held = backtest.holdings(aimed, by)
+        made = {
+            "held": lambda: held, "diagnostics": lambda: backtest.holding_diagnostics(aimed, spans, seen, days, by), "returns": lambda: backtest.index_returns(held, spans, seen, days, by),
+            "bench": lambda: backtest.mean_level(seen),
+        }
+        return Backtest(by, **{name: stages.result(made[name]()) for name in want})
 
 
 def holdings(spark, sf_dir):
-    h = run_backtest(spark, sf_dir).held
+    h = run_backtest(spark, sf_dir, want=("held",)).held
     return h.select("entry_date", "ticker", F.round("weight", 8).alias("weight"), F.round("shares", 10).alias("shares"))
 
 
 def holding_returns(spark, sf_dir):
-    return run_backtest(spark, sf_dir).returns.select("date", "entry_date", F.round("ret", 8).alias("ret"))
+    return run_backtest(spark, sf_dir, want=("returns",)).returns.select("date", "entry_date", F.round("ret", 8).alias("ret"))
 
 
 def holding_diagnostics(spark, sf_dir):
-    return run_backtest(spark, sf_dir).diagnostics
+    return run_backtest(spark, sf_dir, want=("diagnostics",)).diagnostics
 
 
 def levels_drawdown(spark, sf_dir):
