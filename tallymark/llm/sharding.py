@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_names, materialize, table
+from .common import free_names, materialize, release, table
 
 ROUNDS = 6
-#: Slices of the row numbering; their counts (this many rows at most) go to the driver.
-SLICES = 4096
+#: Rows of a range of the row numbering, about; a row per range is broadcast (100,000 at 100 billion rows).
+SLICE = 1_000_000
 
 
 class Permutation:
@@ -58,23 +58,25 @@ class Permutation:
         return p % shards, p // shards
 
 
-def number_rows(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds row, a gapless number from 0 in an order fixed by the values of order (equal rows are interchangeable).
+def number_rows(rows: DataFrame, *order: str, n: int | None = None) -> DataFrame:
+    """Adds row, a gapless number from 0: the place in the order of the columns order, nulls first (equal rows are
+    interchangeable).
 
-    Rows fall into SLICES by a hash of the order columns; counts before each slice plus the place within it make the
-    number, so that no task sorts more than a slice. A column row of the input that isn't in order is replaced; all
-    other columns stay.
+    Rows are sorted in ranges of some SLICE rows (n: their number, counted where it isn't given); a row's number is the
+    count of all ranges before its own plus its place there. The place in the input is the last key of the ranges, so
+    that rows equal in all of order are split among ranges too; rows must read alike each time. Numbers don't depend on
+    where the ranges end. A column row of the input that isn't in order is replaced; all other columns stay.
     """
-    cut_, place_, before_ = free_names(rows, "slice", "place", "before")
-    cut = rows.withColumn(cut_, F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
-    counts = {r[0]: r[1] for r in cut.groupBy(cut_).agg(F.count("*")).collect()}
-    before, at = [], 0
-    for s in range(SLICES):
-        before.append(at)
-        at += counts.get(s, 0)
-    offset = rows.sparkSession.createDataFrame(list(enumerate(before)), f"{cut_} int, {before_} long")
-    place = F.row_number().over(Window.partitionBy(cut_).orderBy(*order)) - 1
-    return cut.withColumn(place_, place).join(F.broadcast(offset), cut_).withColumn("row", F.col(before_) + F.col(place_)).drop(cut_, place_, before_)
+    spark = rows.sparkSession
+    at_, part_, place_, first_, before_ = free_names(rows, "at", "part", "place", "first", "before")
+    parts = max(spark.sparkContext.defaultParallelism, -(-(rows.count() if n is None else n) // SLICE))
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    ranged = rows.withColumn(at_, F.monotonically_increasing_id()).repartitionByRange(parts, *keys, at_).sortWithinPartitions(*keys, at_)
+    ordered = materialize(ranged.drop(at_).withColumns({part_: F.spark_partition_id(), place_: F.monotonically_increasing_id()}))
+    counts = ordered.groupBy(part_).agg(F.min(place_).alias(first_), F.count("*").alias(before_))
+    earlier = Window.orderBy(part_).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    counts = counts.withColumn(before_, F.coalesce(F.sum(before_).over(earlier), F.lit(0)))
+    return ordered.join(F.broadcast(counts), part_).withColumn("row", F.col(before_) + F.col(place_) - F.col(first_)).drop(part_, place_, first_, before_)
 
 
 def shard(rows: DataFrame, shards: int, *order: str, seed: int = 11) -> DataFrame:
@@ -88,7 +90,8 @@ def shard(rows: DataFrame, shards: int, *order: str, seed: int = 11) -> DataFram
     rows = materialize(rows)
     n = rows.count()
     permutation = Permutation(n, seed)
-    numbered = number_rows(rows, *order)
+    numbered = number_rows(rows, *order, n=n)
+    release(rows)
 
     @F.pandas_udf("long")
     def permute(x: pd.Series) -> pd.Series:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm import embedding_dedup, fixity, sharding
+from tallymark.llm import common, embedding_dedup, fixity, sharding
 from tallymark.llm.components import components
 
 
@@ -47,6 +47,22 @@ def test_sharding_keeps_clashing_columns(spark):
     assert n == {i: (i * 2, "s", "p", "b") for i in range(20)} and {r.shard for r in out} == {0, 1, 2, 3}
 
 
+def test_numbers_of_equal_rows_and_nulls(spark, monkeypatch):
+    """Numbers follow the order wherever ranges end; thousands of equal rows are split among ranges; nulls come first."""
+    rows = [(None, "n"), (None, None), *[(7, "same")] * 5000, *[(i, "x") for i in range(300)]]
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    for size, parts in ((1_000_000, 3), (100, 5)):
+        monkeypatch.setattr(sharding, "SLICE", size)
+        df = spark.createDataFrame(rows, "a long, b string").repartition(parts, "b")
+        out = sharding.number_rows(df, "a", "b").collect()
+        assert [(r.a, r.b) for r in sorted(out, key=lambda r: r.row)] == want and sorted(r.row for r in out) == list(range(len(rows)))
+    written = []
+    monkeypatch.setattr(sharding, "materialize", lambda rows: written.append(common.materialize(rows)) or written[-1])
+    sharding.number_rows(df.where("a = 7"), "a", "b")
+    counts = [r["count"] for r in written[0].groupBy("part").count().collect()]
+    assert len(counts) > 10 and sum(counts) == 5000 and max(counts) < 1000
+
+
 def test_sharding(spark, docs, corpus, empty):
     rows = docs.select("doc_id", "text")
     out = sharding.shard(rows, 8, "doc_id", "text").collect()
