@@ -108,10 +108,14 @@ def holding_diagnostics(aimed: DataFrame, spans: DataFrame, seen: DataFrame, cal
     return out.where("_held > 0").withColumns(shares).drop("_all", "_held")
 
 
-def mean_level(seen: DataFrame) -> DataFrame:
-    """date and close: the mean over all tickers of the last close up to each day, from changes alone (a row per day)."""
-    day = seen.groupBy("date").agg(F.sum(F.col("close") - F.coalesce("prev_close", F.lit(0.0))).alias("_d"), F.count_if(F.col("prev_close").isNull()).alias("_n"))
-    sums = running_sums(day, "date", ("_d", "_n"))
+def daily_changes(seen: DataFrame) -> DataFrame:
+    """A row per trading day: move, the sum of all closes' changes, and listed, how many tickers have their first close."""
+    return seen.groupBy("date").agg(F.sum(F.col("close") - F.coalesce("prev_close", F.lit(0.0))).alias("move"), F.count_if(F.col("prev_close").isNull()).alias("listed"))
+
+
+def mean_level(daily: DataFrame) -> DataFrame:
+    """date and close: the mean over all tickers of the last close up to each day. daily: of daily_changes()."""
+    sums = running_sums(daily.select("date", F.col("move").alias("_d"), F.col("listed").alias("_n")), "date", ("_d", "_n"))
     return sums.select("date", (F.col("_d") / F.col("_n")).alias("close"))
 
 

@@ -14,7 +14,7 @@ def percentile(value: str, by: list[str], higher_is_better: bool = True, single:
     v = F.col(value)
     group = Window.partitionBy(*by)
     order = Window.partitionBy(*by).orderBy(v.asc_nulls_last() if higher_is_better else v.desc_nulls_last())
-    ties = F.count(v).over(Window.partitionBy(*by, value))
+    ties = F.count(v).over(order.rangeBetween(Window.currentRow, Window.currentRow))  # the rank's own sort
     n = F.count(v).over(group)
     score = (F.rank().over(order) + (ties - 1) / 2.0) / n * 100
     if single is not None:

@@ -95,18 +95,19 @@ def tickers(weights: DataFrame, *by: str) -> DataFrame:
 def run_backtest(spark, sf_dir, weights: DataFrame | None = None, by: tuple[str, ...] = (), want: tuple[str, ...] = ("returns", "bench")) -> Backtest:
     """Prices, weights, entries and targets are written once; what the steps after them need is read from there."""
     with Stages(spark) as stages:
-        seen = stages.write(backtest.observations(closes(spark, sf_dir)))
-        days = stages.write(seen.select("date").distinct())
-        w = stages.write(tickers(index_weights(spark, sf_dir) if weights is None else weights, *by))
+        w = tickers(index_weights(spark, sf_dir) if weights is None else weights, *by)
+        seen, w = stages.write_together(backtest.observations(closes(spark, sf_dir)), w)
+        daily = stages.write(backtest.daily_changes(seen))
+        days = daily.select("date")
         entries = asof.asof_forward(w.select("snapshot_date").distinct(), days)
         aimed = stages.write(backtest.targets(w, entries, seen, by))
         spans = stages.write(backtest.periods(aimed, days, by))
         held = backtest.holdings(aimed, by)
         made = {
             "held": lambda: held, "diagnostics": lambda: backtest.holding_diagnostics(aimed, spans, seen, days, by), "returns": lambda: backtest.index_returns(held, spans, seen, days, by),
-            "bench": lambda: backtest.mean_level(seen),
+            "bench": lambda: backtest.mean_level(daily),
         }
-        return Backtest(by, **{name: stages.result(made[name]()) for name in want})
+        return Backtest(by, **dict(zip(want, stages.results_together(*[made[name]() for name in want]))))
 
 
 def holdings(spark, sf_dir):

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from itertools import count
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,18 +42,31 @@ class Stages:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self._open, self._tables = spark, f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}", {}, {}
+        self.spark, self.folder, self._open, self._tables, self._number = spark, f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}", {}, {}, count()
 
     def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{len(self._open)}"
+        path = f"{self.folder}/{next(self._number)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._open[path] = out
         return out
 
+    def write_together(self, *dfs: DataFrame) -> list[DataFrame]:
+        """Tables that don't read each other, written at the same time: a short job fills the cores that a long one leaves."""
+        return self._together(self.write, dfs)
+
+    def results_together(self, *dfs: DataFrame) -> list[DataFrame]:
+        return self._together(self.result, dfs)
+
+    def _together(self, write, dfs) -> list[DataFrame]:
+        if len(dfs) < 2:
+            return [write(df) for df in dfs]
+        with ThreadPoolExecutor(len(dfs)) as pool:
+            return [job.result() for job in [pool.submit(inheritable_thread_target(self.spark)(write), df) for df in dfs]]
+
     def bucketed(self, df: DataFrame, buckets: int, *keys: str) -> DataFrame:
         """Written in buckets of the keys, sorted by them in each: joins, windows and aggregates on them don't shuffle."""
-        path, name = f"{self.folder}/{len(self._open)}", f"bucketed_{uuid.uuid4().hex}"
+        path, name = f"{self.folder}/{next(self._number)}", f"bucketed_{uuid.uuid4().hex}"
         write_bucketed(df, name, buckets, *keys, path=path)
         self._open[path] = out = self.spark.table(name)
         self._tables[path] = name

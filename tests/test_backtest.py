@@ -100,7 +100,7 @@ def test_returns_and_diagnostics_as_by_hand(spark, seed):
         mine = {r.date: (r.entry_date, r.ret) for r in got if r.series == s}
         assert mine.keys() == rets.keys() and all(mine[d][0] == rets[d][0] and np.isclose(mine[d][1], rets[d][1]) for d in rets)
         assert {r.rebalance_date: (r.entry_date, r.target_constituents, r.priced_constituents, r.pre_listing_excluded, r.delisted_to_cash_mid_period, r.investable_weight_coverage, r.excluded_tickers) for r in diag if r.series == s} == want
-    level = {r.date: r.close for r in backtest.mean_level(seen).collect()}
+    level = {r.date: r.close for r in backtest.mean_level(backtest.daily_changes(seen)).collect()}
     assert level.keys() == mean.keys() and all(np.isclose(level[d], mean[d]) for d in mean)
 
 
@@ -230,3 +230,21 @@ def test_fact_choice_without_a_shuffle(spark):
     with pytest.raises(ValueError):
         facts.with_tags(fact, [("m", f"t{i}", 0, "flow") for i in range(facts.MOST_TAGS + 1)])
     assert facts.with_tags(fact, []).count() == 0
+
+
+def test_tables_written_together(spark):
+    """Tables written at the same time are those that one after another gives, in their order; all are deleted at the end,
+    also where one of them fails."""
+    from pyspark.errors import PySparkException
+
+    frames = [spark.range(n).withColumn("n", F.lit(n)) for n in (3, 0, 1000)]
+    with Stages(spark) as stages:
+        tables = stages.write_together(*frames)
+        assert [t.count() for t in tables] == [3, 0, 1000] and stages.write_together() == []
+        kept = stages.results_together(*tables[::2])
+        at = stages.folder.removeprefix("file://")
+    assert [r.count() for r in kept] == [3, 1000] and not [d for d in os.listdir(at) if not d.startswith("result")]
+    with pytest.raises(PySparkException), Stages(spark) as stages:
+        at = stages.folder.removeprefix("file://")
+        stages.write_together(spark.range(5), spark.range(5).select(F.raise_error(F.lit("no")).cast("string").alias("x")))
+    assert not os.path.isdir(at) or not [d for d in os.listdir(at) if os.path.exists(f"{at}/{d}/_SUCCESS")]
