@@ -14,6 +14,7 @@ from .common import table
 SENTENCES = {
     "apache2_short": (
         "licensed under the apache license version 2 0", "released under the apache license version 2 0", "licensed under the apache license version 2 0 the license",
+        "licensed under the terms of the apache license version 2 0", "distributed under the apache license version 2 0",
     ),
     "apache2_title": ("apache license version 2 0 january 2004",),
     "apache2_comply": ("you may not use this file except in compliance with the license",),
@@ -21,7 +22,16 @@ SENTENCES = {
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     ),
-    "mit_short": ("released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"),
+    "mit_short": (
+        "released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "licensed under the terms of the mit license",
+        "this project is licensed under the terms of the mit license", "released under the terms of the mit license", "distributed under the mit license",
+    ),
+    "mit_or_apache2": (
+        "licensed under either of apache license version 2 0 or mit license at your option",
+        "licensed under either the mit license or the apache license version 2 0 at your option",
+        "licensed under the apache license version 2 0 license apache or http www apache org licenses license 2 0 or the mit license license mit or http opensource org licenses mit at your option",
+        "licensed under the apache license version 2 0 license apache or https www apache org licenses license 2 0 or the mit license license mit or https opensource org licenses mit at your option",
+    ),
     "mit_grant": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
@@ -50,6 +60,19 @@ SENTENCES = {
     ),
     "mpl2_title": ("mozilla public license version 2 0",),
     "gpl3_short": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"),
+    "zlib_asis": ("this software is provided as is without any express or implied warranty",),
+    "zlib_grant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+    "zlib_origin": ("the origin of this software must not be misrepresented",),
+    "bsl1_title": ("boost software license version 1 0 august 17th 2003",),
+    "bsl1_short": ("distributed under the boost software license version 1 0", "licensed under the boost software license version 1 0"),
+    "epl1_title": ("eclipse public license v 1 0",),
+    "epl1_terms": ("this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",),
+    "epl2_title": ("eclipse public license v 2 0",),
+    "epl2_terms": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    ),
+    "lgpl2_title": ("gnu library general public license version 2 june 1991",),
     "gpl2_title": ("gnu general public license version 2 june 1991",),
     "gpl3_title": ("gnu general public license version 3 29 june 2007",),
     "lgpl21_title": ("gnu lesser general public license version 2 1 february 1999",),
@@ -57,13 +80,13 @@ SENTENCES = {
     "agpl3_title": ("gnu affero general public license version 3 19 november 2007",),
     "ccbync4": ("licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "released under cc by nc 4 0"),
     "ccby4": ("licensed under cc by 4 0", "this work is licensed under cc by 4 0", "released under cc by 4 0"),
-    "cc0": ("released under cc0 1 0", "this work is dedicated to the public domain under cc0 1 0"),
+    "cc0": ("cc0 1 0 universal", "released under cc0 1 0", "this work is dedicated to the public domain under cc0 1 0"),
     "cc0_waiver": ("has waived all copyright and related or neighboring rights to this work",),
     "unlicense": ("this is free and unencumbered software released into the public domain",),
     "all_rights": ("all rights reserved",),
 }
-# GNU licences (name in their notices, SPDX prefix, versions) and Creative Commons 4.0 (name, SPDX).
-GNU = (("general", "GPL", ("2", "3")), ("lesser general", "LGPL", ("2 1", "3")), ("affero general", "AGPL", ("3",)))
+# GNU licences (name in their notices, SPDX prefix, identifier prefix, versions) and Creative Commons 4.0 (name, SPDX).
+GNU = (("general", "GPL", "gpl", ("2", "3")), ("library general", "LGPL", "lgpl_library", ("2",)), ("lesser general", "LGPL", "lgpl", ("2 1", "3")), ("affero general", "AGPL", "agpl", ("3",)))
 CREATIVE = (
     ("attribution", "CC-BY-4.0"), ("attribution sharealike", "CC-BY-SA-4.0"), ("attribution noncommercial", "CC-BY-NC-4.0"), ("attribution noderivatives", "CC-BY-ND-4.0"),
     ("attribution noncommercial sharealike", "CC-BY-NC-SA-4.0"), ("attribution noncommercial noderivatives", "CC-BY-NC-ND-4.0"),
@@ -71,8 +94,8 @@ CREATIVE = (
 # Names after SPDX-License-Identifier.
 SPDX = (
     "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
-    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later",
-    "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "MIT OR Apache-2.0", "Apache-2.0 OR MIT",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.0", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Zlib", "BSL-1.0", "EPL-1.0", "EPL-2.0", "MIT OR Apache-2.0", "Apache-2.0 OR MIT",
 )
 #: Ordered rules: the identifiers that must follow each other (others may stand between), licence.
 RULES = [
@@ -80,6 +103,15 @@ RULES = [
     (("bsd_grant", "bsd_source", "bsd_binary"), "BSD-2-Clause"),
     (("mit_grant", "mit_notice", "asis_warranty"), "MIT"),
     (("mit_short",), "MIT"),
+    (("mit_or_apache2",), "MIT OR Apache-2.0"),
+    (("zlib_asis", "zlib_grant", "zlib_origin"), "Zlib"),
+    (("bsl1_title",), "BSL-1.0"),
+    (("bsl1_short",), "BSL-1.0"),
+    (("epl1_title",), "EPL-1.0"),
+    (("epl1_terms",), "EPL-1.0"),
+    (("epl2_title",), "EPL-2.0"),
+    (("epl2_terms",), "EPL-2.0"),
+    (("lgpl2_title",), "LGPL-2.0"),
     (("apache2_short", "apache2_comply", "apache2_asis"), "Apache-2.0"),
     (("apache2_short",), "Apache-2.0"),
     (("apache2_title",), "Apache-2.0"),
@@ -107,9 +139,8 @@ def _normal(text: str) -> str:
 
 def _add_families() -> None:
     """Sentences and rules that follow a pattern: GNU notices, Creative Commons lines, SPDX lines."""
-    for name, short, versions in GNU:
+    for name, short, key, versions in GNU:
         free = f"you can redistribute it and or modify it under the terms of the gnu {name} public license"
-        key = short.lower()
         SENTENCES[f"{key}_free"] = (f"{free} as published by the free software foundation",)
         for v in versions:
             spdx, id_ = f"{short}-{v.replace(' ', '.') if ' ' in v else v + '.0'}", f"{key}{v.replace(' ', '')}"
@@ -135,7 +166,7 @@ _ID = {s: i for i, many in SENTENCES.items() for s in many}
 #: Sentences of so many words may also start inside a sentence, as after a copyright line or an address without an end.
 LONG = 10
 #: Every known sentence holds one of these; texts without any aren't looked at further.
-HINTS = ("licen", "redistribut", "permission", "copyright", "warrant", "rights", "mozilla", "mpl", "cc0", "released")
+HINTS = ("licen", "redistribut", "permission", "copyright", "warrant", "rights", "mozilla", "mpl", "cc0", "released", "misrepresent")
 assert all(any(h in s for h in HINTS) for s in _ID)
 
 

@@ -471,3 +471,31 @@ def test_words_are_whole_for_the_library(spark, monkeypatch):
     got = {r.doc_id: (r.ids, r.decoded_sha256) for r in bpe.encode(df).collect()}
     bad = [(texts[i], got[i][0], w) for i, w in enumerate(want) if got[i] != (w, hashlib.sha256(t.decode(w, skip_special_tokens=False).encode()).hexdigest())]
     assert not bad, (len(bad), bad[:3])
+
+
+def test_licences_of_published_texts(spark):
+    """Notices as they are published, on one line, wrapped and as a comment; two alternatives are one expression."""
+    texts = {
+        "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution.",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+        "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "EPL-1.0": "Eclipse Public License - v 1.0",
+        "LGPL-2.0-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "LGPL-2.0": "GNU LIBRARY GENERAL PUBLIC LICENSE\n Version 2, June 1991",
+        "MIT": "This project is licensed under the terms of the MIT license.",
+        "MIT OR Apache-2.0": "Licensed under the Apache License, Version 2.0 <LICENSE-APACHE or http://www.apache.org/licenses/LICENSE-2.0> or the MIT license <LICENSE-MIT or http://opensource.org/licenses/MIT>, at your option. This file may not be copied, modified, or distributed except according to those terms.",
+        "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal",
+    }
+    more = [("BSL-1.0", "// SPDX-License-Identifier: BSL-1.0"), ("Zlib", "# SPDX-License-Identifier: Zlib"), ("MIT OR Apache-2.0", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."), ("", "The origin of this software must not be misrepresented."), ("", "x " * 100_000)]
+    wanted = []
+    for name, text in [*texts.items(), *more]:
+        parts = text.split("\n")
+        wrapped = ["\n".join(textwrap.fill(p, 60) if p else p for p in parts)] if name else []
+        wanted += [(name, t) for t in [text, *wrapped, *("\n".join(f" * {x}".rstrip() for x in w.split("\n")) for w in wrapped)]]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(wanted)], "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.unresolved) for r in license_scan.scan(df).collect()}
+    assert {i: got[i][0] for i in got} == {i: name for i, (name, _) in enumerate(wanted)}
+    assert [got[i][1] for i, (name, _) in enumerate(wanted) if not name] == [True, False]
+    documents = df.toPandas()  # noqa: F841
+    assert {r[0]: (r[3], r[4]) for r in duckdb.sql(license_scan.ORACLES["op4_license_scan"]).fetchall()} == got
