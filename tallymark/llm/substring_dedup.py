@@ -217,13 +217,13 @@ def _fetch(key, asked: pa.Table, texts: pa.Table) -> pa.Table:
     return pa.table({"grp": asked["grp"], "doc_id": asked["doc_id"], "lo": asked["lo"], "left": asked["left"], "ctx": pa.array(ctx, pa.binary())})
 
 
-def _order(key: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Order by key, then bytes."""
+def _order(key: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Order by key, then bytes; of rows that differ only in zero bytes at their end, the shorter first."""
     wide = -(-rows.shape[1] // 8) * 8
     words = np.zeros((len(rows), wide), np.uint8)
     words[:, : rows.shape[1]] = rows
     words = words.view(">u8").astype(np.uint64)
-    return np.lexsort((*words.T[::-1], key))
+    return np.lexsort((sizes, *words.T[::-1], key))
 
 
 def _common(rows: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -250,12 +250,12 @@ def repeat_groups(key: np.ndarray, doc: np.ndarray, at: np.ndarray, left: np.nda
 
     key: the anchors' hash; right: rows of bytes from the anchor on; left: of bytes before it, nearest first.
     """
-    order = _order(key, right)
+    order = _order(key, right, n_right)
     lcp = np.zeros(len(order), np.int64)
     same = np.flatnonzero(key[order][1:] == key[order][:-1]) + 1
     lcp[same] = _common(right, n_right, order[same - 1], order[same])
     by_left = np.empty(len(order), np.int64)
-    lefts = _order(key, left)
+    lefts = _order(key, left, n_left)
     by_left[lefts] = np.arange(len(lefts))
     starts = runs(key[order])
     depth = lcp.tolist()
@@ -356,16 +356,51 @@ def _windows(min_len: int):
     return run
 
 
+def _mark_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted windows of one part with place (its number), head (those like the part's first window) and first (the first
+    of its like in the part)."""
+    begin, last = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = batch.column("place")[0].as_py()
+        cols = [batch.column(c).to_numpy() for c in ("grp", "h", "doc_id", "lo")]
+        a = np.stack(cols, 1)
+        begin = a[0] if begin is None else begin
+        before = np.concatenate((a[:1] if last is None else last[None], a[:-1]))
+        new = (a[:, :2] != before[:, :2]).any(1)
+        if last is None:
+            new[0] = True
+        at, known = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1)), start if last is not None else a[0]
+        firsts = np.where((at >= 0)[:, None], a[np.maximum(at, 0)], known[None])
+        start, last = firsts[-1], a[-1]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in ("grp", "h", "doc_id", "at", "lo")], pa.array(np.full(len(a), place), pa.int32()), pa.array((a[:, :2] == begin[:2]).all(1)), pa.array((a[:, 2:] == firsts[:, 2:]).all(1)), pa.array(firsts[:, 2]), pa.array(firsts[:, 3])],
+            ["grp", "h", "doc_id", "at", "lo", "place", "head", "first", "first_doc", "first_lo"],
+        )
+
+
 def _search_hot(contexts: DataFrame, min_len: int, with_first: bool) -> DataFrame:
-    """What _search() gives, for anchors of any number of contexts: groups are strings of min_len bytes."""
+    """What _search() gives, for anchors of any number of contexts: groups are strings of min_len bytes.
+
+    Strings stand sorted in ranges, equal ones in order of their places, so the first of its like is known from the row before;
+    only a range's first string may have begun in ranges before.
+    """
     rows = materialize(contexts.mapInArrow(_windows(min_len), "grp long, h long, doc_id long, at long, lo long"))
-    first = materialize(rows.groupBy("grp", "h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1"))
-    # strings with very many places are joined apart: they are few, so their side is likely broadcast and no place moves
-    hits = rows.join(first.where(F.col("n") <= HOT), ["grp", "h"]).unionByName(rows.join(first.where(F.col("n") > HOT), ["grp", "h"])).drop("n")
-    hits = hits.withColumn("first", (F.col("doc_id") == F.col("f.doc_id")) & (F.col("at") == F.col("f.at")))
-    if with_first:
-        return hits.select(F.xxhash64("grp", "h").alias("grp"), "doc_id", "lo", (F.col("lo") + min_len).alias("hi"), "first", "at", F.lit(True).alias("whole"))
-    return hits.where("not first").groupBy("grp", "doc_id", "at").agg(F.min("lo").alias("lo"), (F.max("lo") + min_len).alias("hi")).select("grp", "doc_id", "lo", "hi", F.lit(False).alias("first"))
+    spark = rows.sparkSession
+    key = ["grp", "h", "doc_id", "lo"]
+    placed = rows.repartitionByRange(max(shuffle_partitions(spark), -(-rows.count() // RANGE)), *key).sortWithinPartitions(*key).withColumn("place", F.spark_partition_id())
+    marked = materialize(placed.mapInArrow(_mark_first, MARKED_SCHEMA))
+    release(rows)
+    # a row for each range: the earliest place of its first string, in any range before that ends with it
+    ends = marked.groupBy("place").agg(F.min(F.when(F.col("head"), F.struct("grp", "h", "first_doc", "first_lo"))).alias("b"), F.max(F.struct("grp", "h", "first_doc", "first_lo")).alias("e"))
+    begun, state = {}, None
+    for r in ends.orderBy("place").toLocalIterator():
+        same = state is not None and (state[0], state[1]) == (r.b.grp, r.b.h)
+        if same:
+            begun[r.place] = state[2:]
+        state = (*state[:2], *state[2:]) if same and (r.e.grp, r.e.h) == (r.b.grp, r.b.h) else tuple(r.e)
+    return marked, begun
 
 
 def _by_document(docs: DataFrame, parts: int, keep: tuple[str, ...] = ()) -> DataFrame:
