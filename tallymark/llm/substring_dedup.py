@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import free_names, materialize, release, shuffle_partitions, total_bytes
 from .hashing import mix, pair, runs, sliding, window_hash
@@ -37,6 +38,8 @@ SLICE = 1 << 20
 FLUSH = 1 << 19
 #: Contexts of one anchor that are put in one suffix array, at most.
 HOT = 2048
+#: Strings of such anchors in one sorted range.
+RANGE = 1 << 20
 #: Bytes of text for each bucket of anchors and for each part of the documents.
 BUCKET, PART = 16 << 20, 32 << 20
 
@@ -356,51 +359,43 @@ def _windows(min_len: int):
     return run
 
 
-def _mark_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted windows of one part with place (its number), head (those like the part's first window) and first (the first
-    of its like in the part)."""
-    begin, last = None, None
+def _mark_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """grp, h, doc_id, at, lo and place of sorted strings of one range, with head (like the range's first string) and later
+    (the range has the same string at an earlier place; a place with several equal anchors is one place)."""
+    begin = known = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        place = batch.column("place")[0].as_py()
-        cols = [batch.column(c).to_numpy() for c in ("grp", "h", "doc_id", "lo")]
-        a = np.stack(cols, 1)
-        begin = a[0] if begin is None else begin
-        before = np.concatenate((a[:1] if last is None else last[None], a[:-1]))
-        new = (a[:, :2] != before[:, :2]).any(1)
-        if last is None:
-            new[0] = True
-        at, known = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1)), start if last is not None else a[0]
-        firsts = np.where((at >= 0)[:, None], a[np.maximum(at, 0)], known[None])
-        start, last = firsts[-1], a[-1]
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in ("grp", "h", "doc_id", "at", "lo")], pa.array(np.full(len(a), place), pa.int32()), pa.array((a[:, :2] == begin[:2]).all(1)), pa.array((a[:, 2:] == firsts[:, 2:]).all(1)), pa.array(firsts[:, 2]), pa.array(firsts[:, 3])],
-            ["grp", "h", "doc_id", "at", "lo", "place", "head", "first", "first_doc", "first_lo"],
-        )
+        a = np.stack([batch.column(c).to_numpy() for c in ("grp", "h", "doc_id", "lo")], 1)
+        begin, known = (a[0, :2], a[0]) if begin is None else (begin, known)
+        new = (a[:, :2] != np.concatenate((known[None], a[:-1]))[:, :2]).any(1)
+        run = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
+        first = np.where((run >= 0)[:, None], a[np.maximum(run, 0)], known)
+        known = first[-1]
+        marks = [pa.array((a[:, :2] == begin).all(1)), pa.array((a[:, 2:] != first[:, 2:]).any(1))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("grp", "h", "doc_id", "at", "lo", "place")], *marks], ["grp", "h", "doc_id", "at", "lo", "place", "head", "later"])
 
 
 def _search_hot(contexts: DataFrame, min_len: int, with_first: bool) -> DataFrame:
     """What _search() gives, for anchors of any number of contexts: groups are strings of min_len bytes.
 
-    Strings stand sorted in ranges, equal ones in order of their places, so the first of its like is known from the row before;
-    only a range's first string may have begun in ranges before.
+    Strings stand sorted in ranges, equal ones in order of their places, so that rows before tell whether one is the first of
+    its like; only a range's first string may have begun in the range before. Nothing is joined, and no key meets in one task.
     """
+    spark = contexts.sparkSession
     rows = materialize(contexts.mapInArrow(_windows(min_len), "grp long, h long, doc_id long, at long, lo long"))
-    spark = rows.sparkSession
     key = ["grp", "h", "doc_id", "lo"]
     placed = rows.repartitionByRange(max(shuffle_partitions(spark), -(-rows.count() // RANGE)), *key).sortWithinPartitions(*key).withColumn("place", F.spark_partition_id())
-    marked = materialize(placed.mapInArrow(_mark_first, MARKED_SCHEMA))
+    marked = materialize(placed.mapInArrow(_mark_later, "grp long, h long, doc_id long, at long, lo long, place int, head boolean, later boolean"))
     release(rows)
-    # a row for each range: the earliest place of its first string, in any range before that ends with it
-    ends = marked.groupBy("place").agg(F.min(F.when(F.col("head"), F.struct("grp", "h", "first_doc", "first_lo"))).alias("b"), F.max(F.struct("grp", "h", "first_doc", "first_lo")).alias("e"))
-    begun, state = {}, None
-    for r in ends.orderBy("place").toLocalIterator():
-        same = state is not None and (state[0], state[1]) == (r.b.grp, r.b.h)
-        if same:
-            begun[r.place] = state[2:]
-        state = (*state[:2], *state[2:]) if same and (r.e.grp, r.e.h) == (r.b.grp, r.b.h) else tuple(r.e)
-    return marked, begun
+    ends = marked.groupBy("place").agg(F.min(F.struct("grp", "h")).alias("b"), F.max(F.struct("grp", "h")).alias("e"))
+    before = F.lag("e").over(Window.orderBy("place"))  # a row per range
+    begun = [r.place for r in ends.withColumn("before", before).where("before = b").select("place").collect()]
+    hits = marked.withColumn("later", F.col("later") | (F.col("head") & F.col("place").isin(begun))) if begun else marked
+    if with_first:
+        hits = hits.join(hits.where("later").select("grp", "h").distinct(), ["grp", "h"], "left_semi")
+        return hits.select(F.xxhash64("grp", "h").alias("grp"), "doc_id", "lo", (F.col("lo") + min_len).alias("hi"), (~F.col("later")).alias("first"), "at", F.lit(True).alias("whole"))
+    return hits.where("later").groupBy("grp", "doc_id", "at").agg(F.min("lo").alias("lo"), (F.max("lo") + min_len).alias("hi")).select("grp", "doc_id", "lo", "hi", F.lit(False).alias("first"))
 
 
 def _by_document(docs: DataFrame, parts: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -424,7 +419,7 @@ def _with_classes(leaves: DataFrame, searched: DataFrame) -> DataFrame:
     ranges = searched.join(heads, ["doc_id", "at"]).select("class", "grp", (F.col("lo") - F.col("at")).alias("before"), (F.col("hi") - F.col("at")).alias("after"), "whole")
     others = ranges.join(leaves.where("not first"), "class").select("grp", "doc_id", (F.col("at") + F.col("before")).alias("lo"), (F.col("at") + F.col("after")).alias("hi"), F.lit(False).alias("first"))
     alone = leaves.join(ranges.where("whole").select("class"), "class", "left_anti").select(F.col("class").alias("grp"), "doc_id", "lo", "hi", "first")
-    return alone.unionByName(searched.select("grp", "doc_id", "lo", "hi", "first")).unionByName(others)
+    return alone.unionByName(searched.select("grp", "doc_id", "lo", "hi", "first")).unionByName(others).distinct()
 
 
 def find_repeats(docs: DataFrame, min_len: int = 100, with_first: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:

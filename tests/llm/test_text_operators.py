@@ -84,6 +84,20 @@ def test_substring_dedup_of_hot_anchors_and_slices(spark, monkeypatch, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 2048])
+def test_substring_dedup_of_periods_and_zero_bytes(spark, monkeypatch, hot):
+    """A place with several equal anchors is one place, strings begin in one range and go on in others, and texts end in zero bytes."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "RANGE", 64)
+    rng = np.random.default_rng(21)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    a, b = word(37), word(90)
+    rows = [(i, word(i) + a * 5 + word(20)) for i in range(12)] + [(20, "ab" * 200), (21, word(9) + "ab" * 90 + word(5)), (22, "x" * 500), (23, "xx" + "x" * 300 + word(3))]
+    rows += [(30, b + "\0" * 9), (31, word(30) + b + "\0" * 40), (32, b + "\0" * 30), (33, b + "\0" * 12 + word(8)), (34, "\0" * 200), (35, word(4) + "\0" * 120 + b), (36, "\0" * 30 + b), (37, "\0" * 20 + b + "q")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed(rows)
+
+
 def test_substring_dedup_of_clashing_ids(spark):
     """Texts under one id are documents of their own, in order of the text's hash."""
     a, b, c = ("".join(chr(97 + (k * m) % 26) for k in range(300)) for m in (1, 3, 7))
