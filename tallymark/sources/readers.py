@@ -75,11 +75,11 @@ def load_table(spark: SparkSession, path: str, schema: str | T.StructType | None
     return reader.csv(path, header=True) if path.lower().endswith(".csv") else reader.parquet(path)
 
 
-def long_prices(wide: DataFrame, date: str = "date") -> DataFrame:
-    """One column per ticker becomes (date, ticker, close)."""
-    tickers = [c for c in wide.columns if c != date]
-    typed = wide.select(F.col(date).cast("date").alias("date"), *[F.col(f"`{c}`").cast("double").alias(c.upper()) for c in tickers])
-    return typed.unpivot("date", [c.upper() for c in tickers], "ticker", "close").withColumn("close", clean.finite("close"))
+def long_prices(wide: DataFrame, date: str = "date", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One column per ticker becomes (date, ticker, close); keep: other columns that aren't tickers and stay."""
+    tickers = [c for c in wide.columns if c not in (date, *keep)]
+    typed = wide.select(F.col(date).cast("date").alias("date"), *keep, *[F.col(f"`{c}`").cast("double").alias(c.upper()) for c in tickers])
+    return typed.unpivot(["date", *keep], [c.upper() for c in tickers], "ticker", "close").withColumn("close", clean.finite("close"))
 
 
 def benchmark_series(df: DataFrame, name: str) -> DataFrame:

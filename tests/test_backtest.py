@@ -248,3 +248,12 @@ def test_tables_written_together(spark):
         at = stages.folder.removeprefix("file://")
         stages.write_together(spark.range(5), spark.range(5).select(F.raise_error(F.lit("no")).cast("string").alias("x")))
     assert not os.path.isdir(at) or not [d for d in os.listdir(at) if os.path.exists(f"{at}/{d}/_SUCCESS")]
+
+
+def test_price_unpivot_gives_all_closes(spark):
+    from sqlcheck import SMALL
+
+    from tallymark.plans import prices
+
+    rows = lambda df: sorted((r.date, r.ticker, r.close) for r in df.collect())
+    assert rows(prices.price_unpivot(spark, SMALL)) == rows(prices.closes(spark, SMALL))
