@@ -150,3 +150,17 @@ def test_candidates_and_gates(spark):
     bad = spark.createDataFrame([("a", 1, False), ("b", 2, False), ("a", 2, True)], "k string, d int, eligible boolean")
     assert sorted((r.k or "", r.d) for r in universe.gate(rows, bad, "k", "d").collect()) == [("", 1), ("a", 2), ("b", 1)]
     assert sorted(r.d for r in universe.shared_keys(rows, bad, "k", "d").collect()) == [1, 2]
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    from sqlcheck import SMALL
+
+    from tallymark.plans import snapshots
+    from tallymark.sources import stages
+
+    monkeypatch.setattr(stages, "BUCKET_ROWS", 200)
+    asked, bucketed = [], stages.Stages.bucketed
+    monkeypatch.setattr(stages.Stages, "bucketed", lambda self, df, n, *keys: asked.append(n) or bucketed(self, df, n, *keys))
+    rows = snapshots.read(spark, SMALL, "lineitem").count()
+    snapshots.bucketed_fact_choice(spark, SMALL)
+    assert asked == [-(-rows // 200)] * 2
