@@ -155,7 +155,7 @@ def test_candidates_and_gates(spark):
 def test_buckets_follow_the_rows(spark, monkeypatch):
     from sqlcheck import SMALL
 
-    from tallymark.plans import snapshots
+    from tallymark.plans import snapshots, stores
     from tallymark.sources import stages
 
     monkeypatch.setattr(stages, "BUCKET_ROWS", 200)
@@ -164,3 +164,4 @@ def test_buckets_follow_the_rows(spark, monkeypatch):
     rows = snapshots.read(spark, SMALL, "lineitem").count()
     snapshots.bucketed_fact_choice(spark, SMALL)
     assert asked == [-(-rows // 200)] * 2
+    assert len(stores.fact_store_scan(spark, SMALL).inputFiles()) > 20
