@@ -206,10 +206,10 @@ def financial_ratios(spark, sf_dir):
 
 def theme_gate(spark, sf_dir):
     days = quarters(spark, sf_dir)
-    rows = read(spark, sf_dir, "customer").select("c_custkey").crossJoin(days)
     ev = read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("evidence_date"))
-    pit, retro = (integrity.theme_gate(rows, ev, "c_custkey", "snapshot_date", r).withColumn("mode", F.lit(m)) for r, m in ((False, "pit"), (True, "retro")))
-    return pit.unionByName(retro)
+    names = integrity.first_evidence(read(spark, sf_dir, "customer").select("c_custkey"), ev, "c_custkey")  # joined before the quarters are added: the grid isn't shuffled
+    modes = F.array(*[F.struct(integrity.theme_open("snapshot_date", r).alias("theme_eligible"), F.lit(m).alias("mode")) for r, m in ((False, "pit"), (True, "retro"))])
+    return names.crossJoin(F.broadcast(days)).select("c_custkey", "snapshot_date", F.inline(modes))
 
 
 def event_windows(spark, sf_dir):

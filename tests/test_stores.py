@@ -165,3 +165,12 @@ def test_buckets_follow_the_rows(spark, monkeypatch):
     snapshots.bucketed_fact_choice(spark, SMALL)
     assert asked == [-(-rows // 200)] * 2
     assert len(stores.fact_store_scan(spark, SMALL).inputFiles()) > 20
+
+
+def test_theme_gate_moves_no_grid(spark):
+    from sqlcheck import SMALL
+
+    from tallymark.plans import reports
+
+    plan = reports.theme_gate(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "Exchange" not in plan.split("BroadcastNestedLoopJoin")[0]
