@@ -250,6 +250,19 @@ def test_tables_written_together(spark):
     assert not os.path.isdir(at) or not [d for d in os.listdir(at) if os.path.exists(f"{at}/{d}/_SUCCESS")]
 
 
+def test_filled_days_are_the_filled_grid(spark):
+    """As the grid filled forward gives them, with missing closes and a price on a day without trade; the grid isn't made."""
+    day = lambda k: D(2020, 1, k)
+    prices = spark.createDataFrame([(day(2), "A", 1.0), (day(4), "A", None), (day(5), "A", 3.0), (day(3), "B", 4.0), (day(9), "B", 5.0), (day(6), "C", None)], "date date, ticker string, close double")
+    calendar = spark.createDataFrame([(day(k),) for k in (1, 2, 3, 4, 5, 6, 7)], "date date")
+    got = backtest.filled_days(prices, calendar)
+    want = backtest.forward_fill(backtest.reindex(prices, calendar)).where("close IS NOT NULL")
+    rows = lambda df: sorted((r.date, r.ticker, r.close) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) == 11
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan.split("Generate")[0].split("row_number")[0] and "Generate explode(sequence" in plan
+
+
 def test_price_unpivot_gives_all_closes(spark):
     from sqlcheck import SMALL
 
