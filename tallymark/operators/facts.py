@@ -148,9 +148,9 @@ def factor_panel(anchor: DataFrame, best: DataFrame) -> DataFrame:
     Liabilities that aren't reported are assets minus equity. Annual rows compare with the fiscal year before, quarterly
     ones with the same quarter of the year before, where a missing year fits any; else with the latest earlier end.
     """
-    wide = best.groupBy("cik", "accession_key").pivot("metric", list(METRICS)).agg(F.first("val"))
-    used = best.groupBy("cik", "accession_key").agg(F.count("*").alias("source_fact_count"), F.max("fact_filed").alias("_last"))
-    rows = anchor.join(wide, ["cik", "accession_key"], "left").join(used, ["cik", "accession_key"], "left").withColumn("period_type", clean.period_type("form"))
+    cells = [F.first(F.when(F.col("metric") == m, F.col("val")), ignorenulls=True).alias(m) for m in METRICS]
+    wide = best.groupBy("cik", "accession_key").agg(*cells, F.count("*").alias("source_fact_count"), F.max("fact_filed").alias("_last"))
+    rows = anchor.join(wide, ["cik", "accession_key"], "left").withColumn("period_type", clean.period_type("form"))
     rows = rows.withColumns({"liabilities": F.coalesce("liabilities", F.col("assets") - F.col("equity")), "source_fact_count": F.coalesce("source_fact_count", F.lit(0))})
     rows = rows.withColumn("pit_valid", F.coalesce(F.col("_last") <= F.col("filed"), F.lit(True))).drop("_last")
     annual = F.col("period_type") == "annual"

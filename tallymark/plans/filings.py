@@ -41,10 +41,11 @@ def supplier_facts(spark, sf_dir) -> DataFrame:
 
 
 def factor_panel(spark, sf_dir):
-    f = facts.financial_only(facts.standardize(supplier_facts(spark, sf_dir)))
     tags = [(m, t, 0, k) for m, t, k, _ in PANEL]
-    a = facts.anchors(f)
-    out = facts.factor_panel(a, facts.best_facts(a, f, tags))
+    with Stages(spark) as stages:
+        f = stages.write(facts.financial_only(facts.standardize(supplier_facts(spark, sf_dir))))
+        a = stages.write(facts.anchors(f))
+        out = stages.result(facts.factor_panel(a, facts.best_facts(a, f, tags)))
     return out.select("cik", "end", "period_type", "prev_end", "source_fact_count", "factor_available_count", "pit_valid", F.round("liabilities", 4).alias("liabilities"), *[F.round(c, 6).alias(c) for c in facts.FACTORS])
 
 
@@ -59,7 +60,7 @@ def _blocked(spark, sf_dir) -> DataFrame:
     with Stages(spark) as stages:
         f = stages.write(facts.financial_only(facts.standardize(own.unionByName(again).drop("_moved"))))
         tags = [(m, t, 0, k) for m, t, k, _ in PANEL]
-        a = facts.anchors(f)
+        a = stages.write(facts.anchors(f))
         best = stages.write(facts.best_facts(a, f, tags))
         rows = audit.row_standards(facts.factor_panel(a, best), best, METRICS)
         return stages.result(audit.block_mixed(audit.restated_bases(rows, f, tags)))

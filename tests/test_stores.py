@@ -174,3 +174,11 @@ def test_theme_gate_moves_no_grid(spark):
 
     plan = reports.theme_gate(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" in plan and "Exchange" not in plan.split("BroadcastNestedLoopJoin")[0]
+
+
+def test_panels_read_facts_written_once(spark):
+    from sqlcheck import SMALL
+
+    from tallymark.plans import filings
+
+    assert not [f for f in filings.factor_panel(spark, SMALL).inputFiles() if "lineitem" in f]
