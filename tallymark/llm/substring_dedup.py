@@ -1,8 +1,10 @@
 """Exact substring deduplication over a sparse enhanced suffix array.
 
-Every string of ``min_len`` bytes holds a minimizer: the least hash among its k-grams. Equal strings hold the
-same one at the same offset, so text positions that are minimizers ("anchors") and the bytes around them
-(the "context", as far as a string of min_len bytes around the anchor reaches) decide every repeat.
+Every string of ``min_len`` bytes holds a minimizer: the least hash among its k-grams, of equal ones the first. Equal
+strings hold the same one at the same offset, so text positions that are minimizers ("anchors") and the bytes around them
+(the "context", as far as the strings of min_len bytes that have the anchor as their minimizer reach) decide every repeat.
+Each string belongs to one anchor. Where groups are listed, contexts are wide: all equal least k-grams are anchors, and
+every string of min_len bytes around one counts, so that longer strings are seen as one.
 
 1. Anchors of all texts, packed by hash bucket, one shuffle. Anchors that occur once are dropped; occurrences
    with an equal context form one leaf of the common-prefix interval tree and are a repeat group of that context.
@@ -11,7 +13,7 @@ same one at the same offset, so text positions that are minimizers ("anchors") a
    left sides are tested for diversity, and each left-diverse, right-maximal set of occurrences whose common string
    has min_len bytes or more is a repeat group with all its occurrences.
    An anchor with more contexts than HOT doesn't go to one task: there, the strings of min_len bytes around each of its
-   occurrences are grouped by hash in Spark.
+   occurrences are grouped by hash in Spark: at most one row for each byte of the text.
 3. A byte goes if a group covers it at an occurrence that isn't the group's first.
 
 Equality of contexts means equal 64-bit hashes of both the anchor and its context (two different contexts of one anchor
@@ -82,19 +84,28 @@ def _slices(ids: list, texts: pa.ChunkedArray | pa.Array, overlap: int) -> Itera
         yield out()
 
 
-def _anchors(data, starts, ends, docs, offs, min_len: int) -> np.ndarray:
+def _anchors(data, starts, ends, docs, offs, min_len: int, wide: bool = False) -> np.ndarray:
     """Anchors of one slice whose context can hold a string of min_len bytes."""
     reach = min_len - GRAM
     if len(data) < min_len:
         return np.zeros(0, ANCHOR)
     h = window_hash(data, LOG2_GRAM)
-    least = sliding(np.minimum, h, reach + 1)
-    # p is an anchor if some window's least value equals its own: the largest of the leasts around it
-    pad = np.zeros(reach, np.uint64)
-    most = sliding(np.maximum, np.concatenate((pad, least, pad)), reach + 1)
-    p = np.flatnonzero(most[: len(h)] == h)
+    if wide:
+        least = sliding(np.minimum, h, reach + 1)
+        # p is an anchor if some window's least value equals its own: the largest of the leasts around it
+        pad = np.zeros(reach, np.uint64)
+        most = sliding(np.maximum, np.concatenate((pad, least, pad)), reach + 1)
+        p = np.flatnonzero(most[: len(h)] == h)
+        begin, end = p - reach, p + min_len
+    else:
+        # a window's anchor is the first of its least values by their high bits (the same in every slice); it moves on with the window,
+        # so that an anchor's windows are neighbours
+        low = np.uint64((1 << (2 * SLICE - 1).bit_length()) - 1)
+        of_window = sliding(np.minimum, (h & ~low) | np.arange(len(h), dtype=np.uint64), reach + 1) & low
+        begin = runs(of_window)
+        p, end = of_window[begin].astype(np.int64), np.append(begin[1:], len(of_window)) - 1 + min_len
     of = np.searchsorted(ends, p, "right")
-    lo, hi = np.maximum(starts[of], p - reach), np.minimum(ends[of], p + min_len)
+    lo, hi = np.maximum(starts[of], begin), np.minimum(ends[of], end)
     ok = (hi - lo >= min_len) & (p + GRAM <= hi)
     p, of, lo, hi = p[ok], of[ok], lo[ok], hi[ok]
     c = (p - lo).astype(np.uint64) << np.uint64(8)
@@ -148,7 +159,7 @@ def _cover(a: np.ndarray, first: np.ndarray) -> dict:
     return {"grp": _group_ids(a), "doc_id": a["doc"], "lo": lo, "hi": lo + a["size"], "first": first}
 
 
-def _map_anchors(min_len: int, buckets: int):
+def _map_anchors(min_len: int, buckets: int, wide: bool):
     schema = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary()), ("later", pa.binary())])
     shift = np.uint64(64) - np.uint64(buckets.bit_length() - 1)
 
@@ -167,7 +178,7 @@ def _map_anchors(min_len: int, buckets: int):
         held, n = [], 0
         for batch in batches:
             for piece in _slices(batch.column(0).to_pylist(), batch.column(1), min_len):
-                a = _anchors(*piece, min_len)
+                a = _anchors(*piece, min_len, wide)
                 held.append(a)
                 n += len(a)
                 if n >= FLUSH:
@@ -331,8 +342,9 @@ def _search(min_len: int, with_first: bool):
     return run
 
 
-def _windows(min_len: int):
-    """grp, h, doc_id, at, lo: every string of min_len bytes in each context that has the anchor as a minimizer, as a hash."""
+def _windows(min_len: int, wide: bool):
+    """grp, h, doc_id, at, lo: every string of min_len bytes in each context that has the anchor as a minimizer (of contexts that
+    aren't wide: every one), as a hash."""
     log2, reach = min_len.bit_length() - 1, min_len - GRAM
     schema = pa.schema([("grp", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("lo", pa.int64())])
 
@@ -344,14 +356,15 @@ def _windows(min_len: int):
                 continue
             data = np.frombuffer(b"".join(x.as_py() for x in batch.column("ctx")), np.uint8)
             begin = np.cumsum(size) - size
-            least = sliding(np.minimum, window_hash(data, LOG2_GRAM), reach + 1)
             h = window_hash(data, log2)
             h = pair(h[: len(data) - min_len + 1], h[min_len - (1 << log2) : len(data) - (1 << log2) + 1])  # two windows that cover it
             many = size - min_len + 1
             row = np.repeat(np.arange(len(size)), many)
             off = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            own = least[begin[row] + off] == grp.view(np.uint64)[row]
-            row, off = row[own], off[own]
+            if wide:
+                least = sliding(np.minimum, window_hash(data, LOG2_GRAM), reach + 1)
+                own = least[begin[row] + off] == grp.view(np.uint64)[row]
+                row, off = row[own], off[own]
             cols = (grp[row], h[begin[row] + off].view(np.int64), doc[row], lo[row] + left[row], lo[row] + off)
             for i in range(0, len(row), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)], pa.int64()) for c in cols], schema=schema)
@@ -383,7 +396,7 @@ def _search_hot(contexts: DataFrame, min_len: int, with_first: bool) -> DataFram
     its like; only a range's first string may have begun in the range before. Nothing is joined, and no key meets in one task.
     """
     spark = contexts.sparkSession
-    rows = materialize(contexts.mapInArrow(_windows(min_len), "grp long, h long, doc_id long, at long, lo long"))
+    rows = materialize(contexts.mapInArrow(_windows(min_len, with_first), "grp long, h long, doc_id long, at long, lo long"))
     key = ["grp", "h", "doc_id", "lo"]
     placed = rows.repartitionByRange(max(shuffle_partitions(spark), -(-rows.count() // RANGE)), *key).sortWithinPartitions(*key).withColumn("place", F.spark_partition_id())
     marked = materialize(placed.mapInArrow(_mark_later, "grp long, h long, doc_id long, at long, lo long, place int, head boolean, later boolean"))
@@ -426,15 +439,15 @@ def find_repeats(docs: DataFrame, min_len: int = 100, with_first: bool = False,
     """Occurrences of repeat groups: grp, doc_id, lo, hi (bytes), first.
 
     Each group is a string of min_len bytes or more with all its occurrences: from its anchor it reaches as far to
-    both sides as its occurrences agree, or as strings of min_len bytes around the anchor go; a longer repeat is a
-    chain of groups. Without with_first, occurrences at a group's earliest position are left out, and what the suffix array's
-    groups cover of an occurrence is one row. keep names columns that a later step wants with the same shuffle of texts. Rows with null doc_id or text, or a text shorter than min_len, have none.
+    both sides as its occurrences agree, or as strings of min_len bytes around the anchor go (without with_first, those that
+    have no other anchor); a longer repeat is a chain of groups. Without with_first, occurrences at a group's earliest position
+    are left out, and what the suffix array's groups cover of an occurrence is one row. keep names columns that a later step wants with the same shuffle of texts. Rows with null doc_id or text, or a text shorter than min_len, have none.
     """
     if not GRAM < min_len <= 140:
         raise ValueError(f"min_len must be in {GRAM + 1}..140")
     n_bytes = total_bytes(docs, "text")
     buckets = 1 << (max(4 * shuffle_partitions(docs.sparkSession), -(-n_bytes // BUCKET)) - 1).bit_length()
-    packed = docs.select("doc_id", "text").mapInArrow(_map_anchors(min_len, buckets), "bucket int, anchors binary, later binary")
+    packed = docs.select("doc_id", "text").mapInArrow(_map_anchors(min_len, buckets, with_first), "bucket int, anchors binary, later binary")
     found = materialize(packed.groupBy("bucket").applyInArrow(_reduce_anchors(with_first), FOUND_SCHEMA))
     many = _parts(docs, n_bytes)
     asked = found.where("kind = 1").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(many)).cast("int"))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,26 @@ def test_substring_dedup_of_periods_and_zero_bytes(spark, monkeypatch, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed(rows)
 
 
+@pytest.mark.parametrize("size", [1 << 20, 1000])
+def test_each_string_has_one_anchor(monkeypatch, size):
+    """Strings of texts with periods are in one anchor's context each (two where pieces of a text meet), equal ones at the same place of it."""
+    monkeypatch.setattr(substring_dedup, "SLICE", size)
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    common = word(150)
+    texts = [word(40) + "the " * 90 + word(60), "of " * 150 + word(3) + common, word(120) + common + "x" * 400, "y" * 99, "z" * 100, word(31) + common + "the " * 300]
+    raw = [t.encode() for t in texts]
+    anchors, seen = {}, Counter()
+    for piece in substring_dedup._slices(list(range(len(texts))), pa.array(texts), 100):
+        for h, _, doc, lo, left, n in substring_dedup._anchors(*piece, 100).tolist():
+            for k in range(n - 99):
+                anchors.setdefault(raw[doc][lo + k : lo + k + 100], set()).add((h, left - k))
+                seen[doc, lo + k] += 1
+    assert set(seen) == {(d, p) for d, t in enumerate(raw) for p in range(len(t) - 99)}
+    assert all(len(v) == 1 for v in anchors.values())
+    assert sum(seen.values()) - len(seen) <= sum(len(t) for t in raw) // 900
+
+
 def test_substring_dedup_of_clashing_ids(spark):
     """Texts under one id are documents of their own, in order of the text's hash."""
     a, b, c = ("".join(chr(97 + (k * m) % 26) for k in range(300)) for m in (1, 3, 7))
