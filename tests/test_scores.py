@@ -36,6 +36,11 @@ def test_composite_scores_do_not_depend_on_the_order_of_rows(spark, mirrored):
     assert one == two
 
 
+def test_ledger_ranks_do_not_depend_on_the_order_of_rows(spark, mirrored):
+    one, two = twins(spark, "membership_ledger", mirrored, "factor_score", "rank")
+    assert one == two
+
+
 def test_exact_sums_of_odd_values(spark):
     nan, inf = float("nan"), float("inf")
     groups = {
