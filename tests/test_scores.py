@@ -41,6 +41,11 @@ def test_ledger_ranks_do_not_depend_on_the_order_of_rows(spark, mirrored):
     assert one == two
 
 
+def test_percentiles_do_not_depend_on_the_order_of_rows(spark, mirrored):
+    one, two = twins(spark, "percentile_scores", mirrored, "revenue_score", "discount_score", "quantity_score", "tax_score")
+    assert one == two
+
+
 def test_exact_sums_of_odd_values(spark):
     nan, inf = float("nan"), float("inf")
     groups = {
